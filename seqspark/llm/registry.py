@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import decontaminate, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
     "op6_url_filter": url_filter.SQL,
+    "op7_decontaminate": decontaminate.SQL,
+    "op8_secret_scan": secret_scan.SQL,
 }
