@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secret_scan, simhash, url_filter
+from . import decontaminate, packing, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_secret_scan": secret_scan.op8_secret_scan,
