@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secret_scan, simhash, url_filter
+from . import decontaminate, packing, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
