@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, secret_scan, simhash, toxicity, url_filter
+from . import ann, decontaminate, packing, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_ann": ann.op2_ann,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
