@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 v, ids = np.array(part.column(1).to_pylist(), float), part.column(0).to_numpy()
                 s = v @ ix.sample.T
                 s[ids[:, None] == ix.sample_ids[None, :]] = -np.inf
-                kth = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(v), -np.inf)
+                kth = np.sort(s, axis=1)[:, -3 * k] if s.shape[1] >= 3 * k else np.full(len(v), -np.inf)
                 q = ix.queries(v)
                 for t in range(TABLES):
                     h, place = ix.slots(q, t)
