@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, packing, quality, secret_scan, simhash, toxicity, url_filter
+from . import ann, decontaminate, packing, pii, quality, secret_scan, simhash, tool_calls, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_ann": ann.op2_ann,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_tool_calls": tool_calls.op4_tool_calls,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_simhash": simhash.op9_simhash,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {
     "op6_url_filter": url_filter.SQL,
