@@ -52,7 +52,7 @@ def prefix_entries(docs_words: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """``(id_col, n_words, n_hit, n_items, items, spans, contaminated)`` for every row of ``docs``.
+    """``(id_col, text_md5, n_words, n_hit, n_items, items, spans, contaminated)`` for every row of ``docs``.
 
     ``items`` are the sorted ids of the items with windows in the document, ``spans`` the sorted (from, to) word intervals of
     the occurrences. Null and empty texts have no words and are never contaminated. Benchmark rows without words have no
@@ -77,10 +77,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = F.aggregate(
         "spans", zero, lambda a, s: F.struct((a["hit"] + F.greatest(s["to"] - F.greatest(s["from"], a["till"]), F.lit(0))).alias("hit"), F.greatest(a["till"], s["to"]).alias("till"))
     )["hit"]
-    out = per.select(F.col("id").alias(id_col), "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one"))
+    out = per.select(F.col("id").alias(id_col), F.col("key").alias("text_md5"), "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one"))
     return out.drop("one").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated; columns stay."""
+    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("text_md5").alias("__md5")).distinct()
+    keyed = docs.withColumn("__md5", F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")))
+    return keyed.join(sized(written(bad, "op7-contaminated")), "__md5", "left_anti").select(*docs.columns)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), "contaminated")

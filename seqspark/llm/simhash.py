@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import sized, table, written
 
 SHINGLE_WORDS, SEED, DISTANCE, SEGMENTS = 4, 42, 4, 3
 #: Neighbours in the order of a table entry that are compared first.
@@ -46,15 +46,19 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` for every row; a null text has no words."""
+    """``(id, key, fp)`` for every row; a null text has no words. ``key`` digests id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py().encode()) if t.is_valid else 0 for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t.as_py().encode()) if t.is_valid else 0 for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "key", "fp"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    src = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key string, fp long")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.md5(F.encode(F.concat_ws("\u0000", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0001")), F.coalesce(F.col(text_col), F.lit("\u0001"))), "utf-8"))
 
 
 def _bounds(segments: int) -> list[tuple[int, int]]:
@@ -142,12 +146,8 @@ def _joined(fps: DataFrame, comps: DataFrame) -> DataFrame:
     return fps.join(c.hint("merge"), "comp", "left").select("fp", F.coalesce("to", "comp").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """``(id_col, fp, component_id)`` for every row of ``docs``: the smallest id reachable over links of ``distance`` or fewer bits.
-
-    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows give repeated rows. Null ids never
-    name a component unless it has no other. Other columns are ignored. An empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, segments: int) -> DataFrame:
+    """``(id, key, fp, component_id)`` for every row of ``docs``."""
     rows = written(fingerprints(docs, id_col, text_col), "op9-fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "op9-classes")
     nodes = classes.select("fp", F.col("fp").alias("comp"))
@@ -157,19 +157,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = _joined(near, components(moved.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     named = last.join(classes.hint("merge"), "fp")
     name = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    known = written(last.join(name.hint("merge"), "comp").select("fp", "component_id"), "op9-components")
-    return rows.join(known.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    known = written(last.join(name.hint("merge"), "comp").select("fp", "comp", "component_id"), "op9-components")
+    return rows.join(known.hint("merge"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """``(id_col, fp, component_id)`` for every row of ``docs``: the smallest id reachable over links of ``distance`` or fewer bits.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows give repeated rows. Null ids never
+    name a component unless it has no other. Other columns are ignored. An empty table gives an empty result.
+    """
+    return _grouped(docs, id_col, text_col, distance, segments).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the group's smallest id.
+    """``docs`` with one row of each near-duplicate group: the one with the smallest id, null ids last.
 
-    Of several rows with that id the one with the smallest text stays; exact repeats of that are reduced to one. Columns stay.
+    Of several rows with that id one text stays, the same whenever the same rows are given; of exact repeats of that row one stays. Columns stay.
     """
-    group = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(group.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    best = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit("")))
-    return kept.groupBy(F.col(id_col).alias("__id")).agg(best.alias("r")).select("r.*")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("w")
+    group = _grouped(docs, id_col, text_col, DISTANCE, SEGMENTS)
+    best = written(group.groupBy("comp").agg(first).select("w.key"), "op9-kept")
+    again = written(group.groupBy("key").count().where("count > 1").select("key"), "op9-repeats")
+    once, more = best.join(again.hint("merge"), "key", "left_anti"), best.join(again.hint("merge"), "key", "left_semi")
+    keyed = docs.withColumn("__key", _key(id_col, text_col))
+    kept = keyed.join(once.select(F.col("key").alias("__key")).hint("shuffle_hash"), "__key", "left_semi")
+    repeated = keyed.join(sized(more.select(F.col("key").alias("__key"))), "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.unionByName(repeated).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
