@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sized, table
+from .common import sized, table, written
 
 TABLES, HASHES, WIDTHS = 4, 4, (0.8, 1.0, 1.2, 1.5, 2.0, 3.0, 5.0)
 #: Vectors at most in the sample that the index is fitted on, queries of it tried, and the share of their neighbours to be met.
@@ -123,6 +123,7 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query`` (a condition on ``id``) holds, the ``k`` rows of other ids with the largest inner products among those met.
 
+    A query that meets fewer than ``k`` rows in its buckets is compared with all rows, in blocks.
     Null, zero, ragged and non-finite vectors and null ids take no part. Rows that repeat an id answer together, each pair of
     ids once with its best score; equal scores go to the smaller id. Fewer than ``k`` others give fewer rows, an empty table none.
     """
@@ -174,9 +175,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, one) - 1))
     left = have.join(crowd, ["t", "bucket"], "left").select("t", "bucket", part(F.col("vparts"), 1).alias("vp"), every(F.col("qparts")).alias("qp"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("floor"))
     right = ask.join(crowd, ["t", "bucket"], "left").select("t", "bucket", every(F.col("vparts")).alias("vp"), part(F.col("qparts"), 2).alias("qp"), F.lit(1).alias("kind"), "id", "v", "floor")
-    keys = ["t", "bucket", "vp", "qp"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = left.unionByName(right).repartition(parts, *keys).sortWithinPartitions(*keys, "kind")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact scores of each probe against the vectors of its bucket part."""
@@ -214,9 +212,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(rerank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+        """The ``k`` best of what each query meets."""
+        keys = ["t", "bucket", "vp", "qp"]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        met = vectors.unionByName(probes).repartition(parts, *keys).sortWithinPartitions(*keys, "kind")
+        found = met.mapInArrow(rerank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "op2-found")
+
+    met = best(left, right)
+    full = met.where(F.col("rank") == min(k, count - 1)).select(F.col("query_id").alias("id"))
+    short = written(rows.where(is_query).join(full.hint("merge"), "id", "left_anti"), "op2-short")
+    n = short.count()
+    if not n:
+        return met
+    # queries that met fewer than k: against all vectors, in blocks
+    blocks = lambda size: F.lit(-(-size // BLOCK)).cast("long")
+    place = lambda df: df.withColumns({"t": F.lit(-1), "bucket": F.lit(0).cast("long"), "vparts": blocks(count), "qparts": blocks(n)})
+    left = place(rows).select("t", "bucket", part(F.col("vparts"), 1).alias("vp"), every(F.col("qparts")).alias("qp"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("floor"))
+    right = place(short).select("t", "bucket", every(F.col("vparts")).alias("vp"), part(F.col("qparts"), 2).alias("qp"), F.lit(1).alias("kind"), "id", "v", F.lit(float("-inf")).alias("floor"))
+    rest = best(left, right)
+    return met.join(short.select(F.col("id").alias("query_id")).hint("merge"), "query_id", "left_anti").unionByName(rest).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
