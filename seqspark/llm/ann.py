@@ -6,9 +6,10 @@ width hash near vectors alike. A table's bucket is a tuple of slots. A query vis
 differ by one, in the order of the squared distances to the slot borders that they cross (Lv et al., Multi-Probe LSH, 2007).
 
 ``fit`` chooses width and number of probes on a bounded sample so that the wanted share of the sample's neighbours is met;
-every vector is indexed. The sample also gives each query a score that its answers must reach (its 3k-th best there), so that a
-bucket returns few rows, yet enough if some neighbours are missed. Buckets are streamed: vectors and probes are dealt by (table, bucket, parts) and sorted, a task holds one
-part of a bucket at a time. A bucket with more than ``BLOCK`` vectors or probes is split, and each part of the one meets each part of the other.
+every vector is indexed. Probes are made in waves, the likeliest first, each wave ``WAVE`` times as long: what a query has found
+sets the score that later answers must reach, so the rows that come back are a few times ``k`` a query at every size. Buckets are
+streamed: vectors and probes are dealt by (table, bucket, parts) and sorted, a task holds one part of a bucket at a time. A bucket with
+more than ``BLOCK`` vectors or probes is split, and each part of the one meets each part of the other.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ TABLES, HASHES, WIDTHS = 4, 4, (0.8, 1.0, 1.2, 1.5, 2.0, 3.0, 5.0)
 #: Vectors at most in the sample that the index is fitted on, queries of it tried, and the share of their neighbours to be met.
 SAMPLE, TRIED, TARGET = 4096, 512, 0.96
 BLOCK = 4096
+WAVE = 8
 _DELTAS = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)))
 _CROSS = np.concatenate([_DELTAS == -1, _DELTAS == 1], axis=1).T.astype(float)
 
@@ -40,8 +42,6 @@ class Index:
     shifts: np.ndarray  # tables x hashes, in slots
     width: float
     probes: int
-    sample: np.ndarray
-    sample_ids: np.ndarray
 
     def slots(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Slots, and places in the slots from 0 to 1."""
@@ -71,7 +71,7 @@ def _costs(place: np.ndarray) -> np.ndarray:
     return np.concatenate([place**2, (1 - place) ** 2], axis=1) @ _CROSS
 
 
-def fit(sample: np.ndarray, ids: np.ndarray, norm: float, count: int, k: int, seed: int = 0, target: float = TARGET) -> Index:
+def fit(sample: np.ndarray, norm: float, count: int, k: int, seed: int = 0, target: float = TARGET) -> Index:
     """The cheapest width, with the number of probes, that meets ``target`` of the sample's nearest pairs.
 
     Among ``n`` of ``count`` vectors the ``k * n / count`` nearest ones are as near as the ``k`` nearest of all.
@@ -88,7 +88,7 @@ def fit(sample: np.ndarray, ids: np.ndarray, norm: float, count: int, k: int, se
     pairs_any = (np.repeat(np.arange(len(tried)), 8), rng.integers(0, n, 8 * len(tried)))
     best = None
     for width in WIDTHS:
-        index = Index(norm, planes, shifts, width, 1, sample, ids)
+        index = Index(norm, planes, shifts, width, 1)
         x, q = index.items(sample), index.queries(sample[tried])
         ranks = {}
         for name, (a, b) in (("near", pairs_near), ("any", pairs_any)):
@@ -108,7 +108,7 @@ def fit(sample: np.ndarray, ids: np.ndarray, norm: float, count: int, k: int, se
         scanned = (ranks["any"] < probes).mean(axis=1).sum() + 1e-4 * probes
         key = (met < target, scanned if met >= target else -met)
         if best is None or key < best[0]:
-            best = (key, Index(norm, planes, shifts, width, probes, sample, ids))
+            best = (key, Index(norm, planes, shifts, width, probes))
     return best[1]
 
 
@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     if not count:
         return spark.createDataFrame([], schema)
     got = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).collect()
-    index = fit(np.array([r.v for r in got]), np.array([r.id for r in got]), norm, count, k, seed)
+    index = fit(np.array([r.v for r in got]), norm, count, k, seed)
     shared = spark.sparkContext.broadcast(index)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,38 +146,34 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(_bucket(ix.slots(x, t)[0])), b.column(0), b.column(1)], ["t", "bucket", "id", "v"])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query under the buckets that it visits, with the score that its answers must reach."""
-        ix = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                v, ids = np.array(part.column(1).to_pylist(), float), part.column(0).to_numpy()
-                s = v @ ix.sample.T
-                s[ids[:, None] == ix.sample_ids[None, :]] = -np.inf
-                kth = np.sort(s, axis=1)[:, -3 * k] if s.shape[1] >= 3 * k else np.full(len(v), -np.inf)
-                q = ix.queries(v)
-                for t in range(TABLES):
-                    h, place = ix.slots(q, t)
-                    order = np.argsort(_costs(place), axis=1, kind="stable")[:, : ix.probes]
-                    buckets = _bucket(h[:, None, :] + _DELTAS[order]).ravel()
-                    who = np.repeat(np.arange(len(v)), order.shape[1])
-                    floor = kth[who] - 1e-9 * np.abs(kth[who]) if np.isfinite(kth).any() else kth[who]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(buckets), pa.array(ids[who]), part.column(1).take(pa.array(who)), pa.array(floor)], ["t", "bucket", "id", "v", "floor"])
-
-    have = rows.mapInArrow(listed, "t int, bucket long, id long, v array<double>")
-    ask = rows.where(is_query).mapInArrow(probing, "t int, bucket long, id long, v array<double>, floor double")
-    crowd = have.groupBy("t", "bucket").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).union(ask.groupBy("t", "bucket").agg(F.lit(0).cast("long"), F.count("*")))
-    crowd = crowd.groupBy("t", "bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"n > {BLOCK} or m > {BLOCK}")
-    crowd = sized(crowd.select("t", "bucket", F.ceil(F.greatest("n", F.lit(1)) / BLOCK).alias("vparts"), F.ceil(F.greatest("m", F.lit(1)) / BLOCK).alias("qparts")))
+    def probing(lo: int, hi: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each query under the buckets that it visits as ``lo``-th to before ``hi``-th."""
+            ix = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    q = ix.queries(np.array(part.column(1).to_pylist(), float))
+                    for t in range(TABLES):
+                        h, place = ix.slots(q, t)
+                        order = np.argsort(_costs(place), axis=1, kind="stable")[:, lo:hi]
+                        who = pa.array(np.repeat(np.arange(len(q)), order.shape[1]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(_bucket(h[:, None, :] + _DELTAS[order]).ravel()), *(part.column(i).take(who) for i in range(3))], ["t", "bucket", "id", "v", "floor"])
+
+        return run
+
     one = F.lit(1).cast("long")
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.coalesce(n, one))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, one) - 1))
-    left = have.join(crowd, ["t", "bucket"], "left").select("t", "bucket", part(F.col("vparts"), 1).alias("vp"), every(F.col("qparts")).alias("qp"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("floor"))
-    right = ask.join(crowd, ["t", "bucket"], "left").select("t", "bucket", every(F.col("vparts")).alias("vp"), part(F.col("qparts"), 2).alias("qp"), F.lit(1).alias("kind"), "id", "v", "floor")
+
+    def sides(have: DataFrame, ask: DataFrame) -> DataFrame:
+        """Vectors and probes in one table, each under the parts of its bucket where it meets the others."""
+        left = have.select("t", "bucket", part(F.col("vparts"), 1).alias("vp"), every(F.col("qparts")).alias("qp"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("floor"))
+        right = ask.select("t", "bucket", every(F.col("vparts")).alias("vp"), part(F.col("qparts"), 2).alias("qp"), F.lit(1).alias("kind"), "id", "v", "floor")
+        return left.unionByName(right)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Exact scores of each probe against the vectors of its bucket part."""
+        """Exact scores of each probe against the vectors of its bucket part; the ``k`` best above the query's floor."""
         key, held, ids, mat = None, [], [], None
         for b in batches:
             if not b.num_rows:
@@ -203,7 +199,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                     z = min(j, a + 512)
                     s = vec[a:z] @ mat.T
                     s[(own[a:z, None] == names[None, :]) | (s < floor[a:z, None])] = -np.inf
-                    if s.shape[1] > 4 * k:
+                    if s.shape[1] > k:
                         kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
                         s[s < kth] = -np.inf
                     r, c = np.nonzero(np.isfinite(s))
@@ -212,27 +208,39 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
-    def best(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-        """The ``k`` best of what each query meets."""
+    def best(dealt: DataFrame, before: DataFrame | None) -> DataFrame:
+        """The ``k`` best of what each query meets and has met before."""
         keys = ["t", "bucket", "vp", "qp"]
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        met = vectors.unionByName(probes).repartition(parts, *keys).sortWithinPartitions(*keys, "kind")
-        found = met.mapInArrow(rerank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        met = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "kind")
+        found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
+        found = found if before is None else found.unionByName(before.select("query_id", "vec_id", "score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "op2-found")
-
-    met = best(left, right)
+        best_ = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank)
+        return written(best_.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "op2-found")
+
+    have = written(rows.mapInArrow(listed, "t int, bucket long, id long, v array<double>"), "op2-index")
+    asking, met, lo, hi = rows.where(is_query), None, 0, 1
+    while lo < index.probes:
+        hi = min(hi, index.probes)
+        floors = None if met is None else met.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") - F.abs("score") * 1e-9).alias("floor"))
+        lowest = F.lit(float("-inf"))
+        wave = asking.withColumn("floor", lowest) if floors is None else asking.join(floors.hint("merge"), "id", "left").select("id", "v", F.coalesce("floor", lowest).alias("floor"))
+        ask = wave.select("id", "v", "floor").mapInArrow(probing(lo, hi), "t int, bucket long, id long, v array<double>, floor double")
+        crowd = have.groupBy("t", "bucket").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).union(ask.groupBy("t", "bucket").agg(F.lit(0).cast("long"), F.count("*")))
+        crowd = crowd.groupBy("t", "bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"n > {BLOCK} or m > {BLOCK}")
+        crowd = sized(written(crowd.select("t", "bucket", F.ceil(F.greatest("n", F.lit(1)) / BLOCK).alias("vparts"), F.ceil(F.greatest("m", F.lit(1)) / BLOCK).alias("qparts")), "op2-crowd"))
+        met = best(sides(have.join(crowd, ["t", "bucket"], "left"), ask.join(crowd, ["t", "bucket"], "left")), met)
+        lo, hi = hi, hi * WAVE
     full = met.where(F.col("rank") == min(k, count - 1)).select(F.col("query_id").alias("id"))
-    short = written(rows.where(is_query).join(full.hint("merge"), "id", "left_anti"), "op2-short")
+    short = written(asking.join(full.hint("merge"), "id", "left_anti"), "op2-short")
     n = short.count()
     if not n:
         return met
     # queries that met fewer than k: against all vectors, in blocks
     blocks = lambda size: F.lit(-(-size // BLOCK)).cast("long")
     place = lambda df: df.withColumns({"t": F.lit(-1), "bucket": F.lit(0).cast("long"), "vparts": blocks(count), "qparts": blocks(n)})
-    left = place(rows).select("t", "bucket", part(F.col("vparts"), 1).alias("vp"), every(F.col("qparts")).alias("qp"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("floor"))
-    right = place(short).select("t", "bucket", every(F.col("vparts")).alias("vp"), part(F.col("qparts"), 2).alias("qp"), F.lit(1).alias("kind"), "id", "v", F.lit(float("-inf")).alias("floor"))
-    rest = best(left, right)
+    rest = best(sides(place(rows), place(short).withColumn("floor", F.lit(float("-inf")))), None)
     return met.join(short.select(F.col("id").alias("query_id")).hint("merge"), "query_id", "left_anti").unionByName(rest).select("query_id", "rank", "vec_id", "score")
 
 
