@@ -35,15 +35,15 @@ def running(df: DataFrame, order: list, add: str | None = None, rank: str = "ran
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
     w = Window.partitionBy("__p").orderBy(*order)
-    inside = dealt.withColumns({"__n": F.row_number().over(w), "__s": F.sum(F.col(add) if add else F.lit(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    inside = dealt.withColumns({"__in": F.row_number().over(w), "__is": F.sum(F.col(add) if add else F.lit(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     inside = written(inside, "ranks")
-    each = inside.groupBy("__p").agg(F.max("__n").alias("n"), F.max_by("__s", "__n").alias("s"))
+    each = inside.groupBy("__p").agg(F.max("__in").alias("n"), F.max_by("__is", "__in").alias("s"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__bn"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__bs"))  # a row a partition
-    out = inside.join(F.broadcast(offsets), "__p").withColumn(rank, (F.col("__bn") + F.col("__n")).cast("long"))
+    out = inside.join(F.broadcast(offsets), "__p").withColumn(rank, (F.col("__bn") + F.col("__in")).cast("long"))
     if add:
-        out = out.withColumn(total, F.col("__bs") + F.col("__s"))
-    return out.drop("__p", "__n", "__s", "__bn", "__bs")
+        out = out.withColumn(total, F.col("__bs") + F.col("__is"))
+    return out.drop("__p", "__in", "__is", "__bn", "__bs")
 
 
 def fingerprint(df: DataFrame) -> str:
