@@ -2,6 +2,7 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -21,6 +22,19 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """Each asked query's rows, as futures: small queries wait for the driver more than for the cores."""
+    names = [i.callspec.params["name"] for i in request.session.items if getattr(i, "callspec", None) and "name" in i.callspec.params and i.module is request.module]
+
+    def run(name):
+        df = QUERIES[name][0](spark, DATA)
+        return df.columns, df.collect()
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(run, n) for n in names}
+
+
 def norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6) + 0.0
@@ -31,17 +45,16 @@ def norm(v):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    fn, sql = QUERIES[name]
-    df = fn(spark, DATA)
-    rows = df.collect()
+def test_query(results, duck, name):
+    sql = QUERIES[name][1]
+    columns, rows = results[name].result()
     if not sql:
         assert rows
         return
     r = duck.execute(sql)
     cols = [x[0] for x in r.description]
-    assert sorted(cols) == sorted(df.columns)
+    assert sorted(cols) == sorted(columns)
     want = r.fetchall()
     k = sorted(cols)
     key = lambda out, names: sorted((tuple(norm(x[names.index(c)]) for c in k) for x in out), key=repr)
-    assert key(rows, df.columns) == key(want, cols)
+    assert key(rows, columns) == key(want, cols)
