@@ -15,14 +15,18 @@ PART = 2048
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, comp)`` for the nodes of the edges: the smallest node of each component, by alternating large and small stars."""
+    """``(node, comp)`` for the nodes of the edges: the smallest node of each component, by alternating large and small stars.
+
+    Minima are written before they are joined back, so both sides of each join are plain shuffles and a node with very many links can be split.
+    """
     edges = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
     before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        both = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "components")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "components")
         large = both.join(low.hint("merge"), both["u"] == low["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+        large = written(large, "components")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "components")
         met = large.join(least.hint("merge"), large["u"] == least["n"])
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "components")

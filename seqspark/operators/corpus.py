@@ -47,9 +47,9 @@ def budgeted_prefix(convs: DataFrame, size: str, target: int, order: list) -> Da
     return running(convs, order, size, "__r", "__s").where(F.col("__s") - F.col(size) < target).drop("__r", "__s")
 
 
-def weighted_sample(convs: DataFrame, key: str, weight: str, size: str, target: int, seed: int = 0) -> DataFrame:
-    """A weighted sample without replacement up to a budget: keys ``ln(u) / w``, the largest first (Efraimidis and Spirakis)."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def weighted_sample(convs: DataFrame, key: str, weight: str, size: str, target: int, seed: int = 0, uniform: Column | None = None) -> DataFrame:
+    """A weighted sample without replacement up to a budget: keys ``ln(u) / w``, the largest first (Efraimidis and Spirakis). ``uniform`` replaces the hashed ``u``."""
+    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52) if uniform is None else uniform
     x = convs.where(F.col(weight) > 0).withColumn("__k", F.log(u) / F.col(weight))
     return budgeted_prefix(x, size, target, [F.desc("__k"), key]).drop("__k")
 

@@ -19,9 +19,12 @@ def with_folds(df: DataFrame, seq: str, k: int, fold: Column | None = None) -> D
     return df.withColumn("own", (F.pmod(F.xxhash64(seq), F.lit(k)) if fold is None else fold).cast("int"))
 
 
-def tier_folds(seqs: DataFrame, seq: str, tier: str, k: int, test_tier: str = "clean", held_back: bool = True, validation: int = 10) -> DataFrame:
-    """``(seq, fold, part)``: 1/k of the test tier is ``test``, one in ``validation`` of its rest ``val``, the rest and all of the other tiers ``train`` (unless not ``held_back``)."""
-    h = F.xxhash64(seq)
+def tier_folds(seqs: DataFrame, seq: str, tier: str, k: int, test_tier: str = "clean", held_back: bool = True, validation: int = 10, mixed: Column | None = None) -> DataFrame:
+    """``(seq, fold, part)``: 1/k of the test tier is ``test``, one in ``validation`` of its rest ``val``, the rest and all of the other tiers ``train`` (unless not ``held_back``).
+
+    ``mixed`` is a long that deals sequences out; a hash of the id by default.
+    """
+    h = F.xxhash64(seq) if mixed is None else mixed
     folds = seqs.select(seq, tier, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
     part = F.when(F.col(tier) != test_tier, "train").when(F.pmod(h, F.lit(k)) == F.col("fold"), "test").when(F.pmod(F.floor(h / k).cast("long"), F.lit(validation)) == 0, "val").otherwise("train")
     out = folds.select(seq, tier, "fold", part.alias("part"))
@@ -180,6 +183,18 @@ def kneser_ney(df: DataFrame, folds: int, n: int = 5) -> DataFrame:
     return x.select("fold", "seq", "pos", "token", "p", (F.col("best") == F.col("token")).alias("hit"))
 
 
+def kneser_ney_labels(df: DataFrame, folds: int, n: int = 3) -> DataFrame:
+    """Scored test rows of the model on ``token``, summed over the tokens of the true ``label`` (a column of ``df``, a function of the token)."""
+    lab = df.select("token", "label").distinct()
+    rows, hs = histories(df, n - 1), [f"h{i}" for i in range(n)]
+    m = KneserNey(rows, folds, n)
+    te = testing(rows).join(lab.hint("shuffle_hash"), "token")
+    asked = te.select("fold", *hs, "label").distinct().join(lab.select("label", F.col("token").alias("token")).hint("shuffle_hash"), "label")
+    known = m.counts[1].select("fold", "token").distinct()  # others have no probability
+    p = m.prob(asked.join(known.hint("merge"), ["fold", "token"], "left_semi")).groupBy("fold", *hs, "label").agg(F.sum("p").alias("p"))
+    return te.join(p.hint("merge"), ["fold", *hs, "label"], "left").select("fold", "seq", "pos", "label", "p", F.lit(None).cast("boolean").alias("hit"))
+
+
 def with_cache(scored: DataFrame, df: DataFrame, folds: int, size: int = 320, share: float = 0.25) -> DataFrame:
     """``scored`` mixed with the smoothed distribution of the sequence's last ``size`` tokens. ``hit`` is not carried: the best guess depends on the position's cache."""
     w = Window.partitionBy("seq", "token").orderBy("pos").rangeBetween(-size, -1)

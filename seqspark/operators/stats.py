@@ -167,7 +167,7 @@ def acceptance_bands(values: DataFrame, bands: dict[str, tuple]) -> DataFrame:
     return values.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def shuffled_positions(df: DataFrame, seq: str, pos: str, seed: int = 42, out: str = "pos") -> DataFrame:
-    """Each sequence's rows with new positions in a random, repeatable order."""
-    w = Window.partitionBy(seq).orderBy(F.xxhash64(pos, seq, F.lit(seed)), pos)
+def shuffled_positions(df: DataFrame, seq: str, pos: str, seed: int = 42, out: str = "pos", mixed: Column | None = None) -> DataFrame:
+    """Each sequence's rows with new positions in a random, repeatable order: by a hash, or by ``mixed``."""
+    w = Window.partitionBy(seq).orderBy(F.xxhash64(pos, seq, F.lit(seed)) if mixed is None else mixed, pos)
     return df.withColumn("__q", F.row_number().over(w) - 1).drop(pos).withColumnRenamed("__q", out)

@@ -84,6 +84,16 @@ def c06(spark, d):
     return K.log_table(spark, log)
 
 
+ROUND = f"""WITH {EV}, {POS}, x AS (SELECT seq, pos, CASE WHEN k % 3 = 0 THEN 'a' ELSE token END AS token FROM pos), p AS (SELECT seq, pos, token AS a, lead(token) OVER (PARTITION BY seq ORDER BY pos) AS b FROM x), c AS (SELECT a, b, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY ALL), t AS (SELECT * FROM c ORDER BY c DESC, a, b LIMIT 1),
+g AS (SELECT x.*, row_number() OVER (PARTITION BY seq ORDER BY pos) - row_number() OVER (PARTITION BY seq, token ORDER BY pos) AS isl FROM x), r AS (SELECT seq, token, isl, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT CASE WHEN t.a = t.b THEN (SELECT sum(n // 2) FROM r WHERE r.token = t.a) ELSE t.c END AS m FROM t)"""
+
+
+@query("c06_first_merge", ROUND + " SELECT CAST(1 AS INTEGER) AS round, a, b, c AS count, CAST((SELECT count(*) FROM x) - m AS BIGINT) AS tokens, round(((SELECT count(*) FROM x) - m) / (SELECT count(*) FROM x), 6) AS ratio FROM t, s")
+def c06b(spark, d):
+    x = placed(spark, d).select("seq", "pos", F.when(F.col("k") % 3 == 0, "a").otherwise(F.col("token")).alias("token"))
+    return rounded(K.log_table(spark, K.merge_rounds(x, 1)[1]), "ratio")
+
+
 @query("c07_pmi_merges")
 def c07(spark, d):
     _, log = K.merge_rounds(placed(spark, d).select("seq", "pos", "token"), 4, least=3, by_pmi=True)

@@ -141,9 +141,10 @@ def t04(spark, d):
     return K.budgeted_prefix(convs(spark, d), "size", 50000, mixed()).select("doc_id", "size")
 
 
-@query("t05_weighted_sample")
+@query("t05_weighted_sample", CONV + ", k AS (SELECT *, ln(((doc_id * 7919) % 10007 + 0.5) / 10007) / (1 / ttr) AS k FROM cv), r AS (SELECT *, sum(size) OVER (ORDER BY k DESC, doc_id) AS s FROM k) SELECT doc_id, size FROM r WHERE s - size < 50000")
 def t05(spark, d):
-    return K.weighted_sample(convs(spark, d).withColumn("w", 1 / F.col("ttr")), "doc_id", "w", "size", 50000).select("doc_id", "size")
+    u = ((F.col("doc_id") * 7919) % 10007 + 0.5) / 10007
+    return K.weighted_sample(convs(spark, d).withColumn("w", 1 / F.col("ttr")), "doc_id", "w", "size", 50000, uniform=u).select("doc_id", "size")
 
 
 @query(

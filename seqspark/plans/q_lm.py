@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from seqspark.operators import lm as L
 
 from .q_context import POS, placed
+from .q_patterns import SYM
 from .q_stats import rounded
 from .registry import query
 from .views import EV
 
 FOLDS = 3
+SEG = SYM
 
 
 def rows(spark, d):
@@ -136,7 +138,43 @@ def t09(spark, d):
     return L.with_folds(placed(spark, d).select("seq").distinct(), "seq", 5, F.col("seq") % 5)
 
 
-@query("t10_tier_folds")
+@query(
+    "t10_tier_folds",
+    f"WITH {EV}, s AS (SELECT DISTINCT seq, CASE WHEN seq % 4 = 0 THEN 'held' ELSE 'clean' END AS tier, (seq * 7919) % 10007 AS h FROM ev) SELECT seq, tier, CAST(f AS INTEGER) AS fold, CASE WHEN tier <> 'clean' THEN 'train' WHEN h % 5 = f THEN 'test' WHEN (h // 5) % 10 = 0 THEN 'val' ELSE 'train' END AS part FROM s, (SELECT unnest(range(5)) AS f)",
+)
 def t10(spark, d):
     s = placed(spark, d).select("seq", F.when(F.col("seq") % 4 == 0, "held").otherwise("clean").alias("tier")).distinct()
-    return L.tier_folds(s, "seq", "tier", 5)
+    return L.tier_folds(s, "seq", "tier", 5, mixed=(F.col("seq") * 7919) % 10007)
+
+
+def _joint(sql):
+    """The model's SQL over compound tokens of a label and a class of ``k``."""
+    sql = sql.replace(f"{POS}, rw AS", f"{POS}, cp AS (SELECT seq, pos, token || '/' || (k % 3) AS token FROM pos), rw AS").replace("FROM pos WINDOW w AS (PARTITION BY seq ORDER BY pos)), fo", "FROM cp WINDOW w AS (PARTITION BY seq ORDER BY pos)), fo")
+    return sql[: sql.index("bs AS (SELECT fold")]
+
+
+@query(
+    "l07_joint_kneser_ney",
+    _joint(KN) + "sl AS (SELECT own, rw.seq, rw.pos, sum(p) AS p FROM rw JOIN p3 ON p3.fold = own AND p3.a = rw.a AND p3.b = rw.b AND split_part(p3.token, '/', 1) = split_part(rw.token, '/', 1) GROUP BY ALL) SELECT own AS fold, count(*) AS n, round(-avg(log2(p)), 6) AS bits FROM sl GROUP BY own",
+)
+def l07(spark, d):
+    return done(L.kneser_ney_labels(compound(spark, d), FOLDS, 3)).drop("acc")
+
+
+@query(
+    "l11_segment_chain_bits",
+    "WITH " + SEG + f", sq AS (SELECT actor AS seq, row_id AS event, CAST(row_number() OVER (PARTITION BY actor ORDER BY row_id, i) - 1 AS INTEGER) AS pos, substr(sym, CAST(2 * i + 1 AS INTEGER), 2) AS token FROM (SELECT actor, row_id, sym, unnest(range(0, CAST((length(sym) + 1) // 2 AS BIGINT))) AS i FROM st)), rw AS (SELECT CAST(seq % {FOLDS} AS INTEGER) AS own, seq, event, pos, token, coalesce(lag(token) OVER w, '<B>') AS a FROM sq WINDOW w AS (PARTITION BY seq ORDER BY pos)), fo AS (SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS fold), tr AS (SELECT fold, rw.* FROM rw JOIN fo ON fold <> own)"
+    + _markov("a").replace(BASE, "").replace(OUT, "SELECT fold, count(*) AS n, round(avg(b), 6) AS bits FROM (SELECT fold, seq, event, -sum(log2(p)) AS b FROM sc GROUP BY ALL) GROUP BY fold").replace("sc AS (SELECT own,", "sc AS (SELECT own AS fold, k.seq, k.event,"),
+)
+def l11(spark, d):
+    from seqspark.operators import cluster as K
+    from seqspark.operators import context as X
+
+    from .q_patterns import strings, two
+
+    s, _ = strings(spark, d)
+    x = K.expand_segments(s, two(s), "actor", "row_id", "sym", "dur").select(F.col("actor").alias("seq"), "event", "sub", "token")
+    w = X.Window.partitionBy("seq").orderBy("event", "sub")
+    x = x.withColumn("pos", F.row_number().over(w) - 1)
+    scored = L.markov(L.with_folds(x.select("seq", "pos", "token"), "seq", FOLDS, F.col("seq") % FOLDS), 1, FOLDS)
+    return rounded(L.event_bits(scored.join(x.select("seq", "pos", "event"), ["seq", "pos"]), "event"), "bits")

@@ -146,7 +146,7 @@ def f05(spark, d):
     return rounded(S.freq_stats_by(words(spark, d).select(F.col("lang").alias("dim"), "token"), "token", "dim"), "entropy")
 
 
-@query("t11_shuffled_sequences")
+@query("t11_shuffled_sequences", f"WITH {EV}, {POS} SELECT seq, token, CAST(row_number() OVER (PARTITION BY seq ORDER BY (pos * 7919 + seq) % 10007, pos) - 1 AS INTEGER) AS pos FROM pos")
 def t11(spark, d):
-    return S.shuffled_positions(placed(spark, d).select("seq", "pos", "token"), "seq", "pos")
+    return S.shuffled_positions(placed(spark, d).select("seq", "pos", "token"), "seq", "pos", mixed=(F.col("pos") * 7919 + F.col("seq")) % 10007)
 
