@@ -158,9 +158,9 @@ def p17(spark, d):
     return events(spark, d).select("event_id", b.alias("event_bucket"), C.gap_bucket(dt, timed, scheme="dialogue").alias("dialogue_bucket"), C.gap_bucket(dt, timed, scheme="subword").alias("subword_bucket"), C.gap_display(b).alias("shown"), C.gap_midpoint(b).alias("midpoint"))
 
 
-@query("p19_tier_of", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'hersh' WHEN source LIKE 'src0%' THEN 'clean' ELSE 'other' END AS tier FROM documents")
+@query("p19_tier_of", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'held' WHEN source LIKE 'src0%' THEN 'clean' ELSE 'other' END AS tier FROM documents")
 def p19(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.tier_of(F.col("source"), {"src1": "hersh", "src0": "clean"}).alias("tier"))
+    return table(spark, d, "documents").select("doc_id", C.tier_of(F.col("source"), {"src1": "held", "src0": "clean"}).alias("tier"))
 
 
 @query("p22_click_times", f"WITH {PAT} SELECT row_id, list_transform(list_prepend(0.0, list_transform(range(1, len(ici) + 1), lambda i: list_sum(ici[1:i]))), lambda x: round(x, 6)) AS times FROM pat")
@@ -173,9 +173,9 @@ def p23(spark, d):
     return patterns(spark, d).select("row_id", C.regular_spacing(F.col("n_clicks"), F.col("ici"), clicks=4, least=0.1).alias("regular"))
 
 
-@query("p24_stratum_key", "SELECT doc_id, CASE WHEN source = 'src3' THEN 'EC1-birth' ELSE coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END, '(NaN)') END AS stratum FROM documents")
+@query("p24_stratum_key", "SELECT doc_id, CASE WHEN source = 'src3' THEN 'special' ELSE coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END, '(NaN)') END AS stratum FROM documents")
 def p24(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.stratum_key(F.when(F.col("doc_id") % 5 != 0, F.col("lang")), F.col("source"), "src3").alias("stratum"))
+    return table(spark, d, "documents").select("doc_id", C.stratum_key(F.when(F.col("doc_id") % 5 != 0, F.col("lang")), F.col("source"), "src3", "special").alias("stratum"))
 
 
 @query(

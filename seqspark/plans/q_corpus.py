@@ -150,10 +150,10 @@ def t05(spark, d):
 @query(
     "t06_tier_allocation",
     CONV + f""", r AS (SELECT *, sum(size) OVER (ORDER BY {ORD}) - size AS b FROM cv), e1 AS (SELECT max(b + size) AS e FROM r WHERE b < 15000), e2 AS (SELECT max(b + size) AS e FROM r, e1 WHERE b >= e1.e AND b - e1.e < 23000)
-SELECT doc_id, size, CASE WHEN b < 15000 THEN 'birth' WHEN b >= e1.e AND b - e1.e < 23000 THEN 'dswp' WHEN b >= e2.e AND b - e2.e < 62000 THEN 'hersh' END AS tier FROM r, e1, e2""",
+SELECT doc_id, size, CASE WHEN b < 15000 THEN 'first' WHEN b >= e1.e AND b - e1.e < 23000 THEN 'second' WHEN b >= e2.e AND b - e2.e < 62000 THEN 'third' END AS tier FROM r, e1, e2""",
 )
 def t06(spark, d):
-    return K.allocate_tiers(convs(spark, d), "size", [("birth", 15000), ("dswp", 23000), ("hersh", 62000)], mixed()).select("doc_id", "size", "tier")
+    return K.allocate_tiers(convs(spark, d), "size", [("first", 15000), ("second", 23000), ("third", 62000)], mixed()).select("doc_id", "size", "tier")
 
 
 @query(
@@ -202,7 +202,7 @@ def f04(spark, d):
     x = T.encode(x, v.where("w <> '<unk>'").select("w", F.col("id").alias("word_id")), "w", "word_id", 499)
     x = x.withColumns({"actor_": F.col("actor"), "timed": F.lit(1)}).select("cid", "pos", "wpos", "word_id", F.col("actor_").alias("actor"), "dt", "timed")
     convs_ = x.groupBy("cid").agg(F.count("*").alias("size"))
-    tiers = K.allocate_tiers(convs_, "size", [("birth", 4000), ("dswp", 7000), ("hersh", 20000)], [F.xxhash64("cid"), "cid"]).select("cid", "tier")
+    tiers = K.allocate_tiers(convs_, "size", [("first", 4000), ("second", 7000), ("third", 20000)], [F.xxhash64("cid"), "cid"]).select("cid", "tier")
     return K.mask_sequences(x.join(tiers.hint("shuffle_hash"), "cid"), "cid", [F.xxhash64("cid", F.lit(1)), "cid"], 0.3, "actor", "dt", "timed")
 
 

@@ -11,7 +11,7 @@ from seqspark.functions import columns as C
 
 
 def event_schema(intervals: int = 40) -> T.StructType:
-    """The wide event table: keys, actor, time, clicks, and one column an interval."""
+    """The wide event table: keys, actor, time, clicks, and one column an interval. The names are fixed values of the file format."""
     text = ["source", "source_coda_id", "recording_id", "date", "clan", "whale_photo_id", "local_speaker_id"]
     fields = [T.StructField(c, T.StringType()) for c in text] + [T.StructField("time_in_recording_s", T.DoubleType()), T.StructField("n_clicks", T.IntegerType()), T.StructField("coda_duration_s", T.DoubleType())]
     fields += [T.StructField(f"ICI{i}", T.DoubleType()) for i in range(1, intervals + 1)]

@@ -300,7 +300,7 @@ def test_transcripts(spark, tmp_path):
     assert got == [("MOT", "pro:exist|here~cop|be&3S det|the n|balloon ."), ("CHI", "n|balloon-PL !"), ("MOT", None)]
     assert [r.months for r in SRC.child_age(lines).collect()] == [19]
     (tmp_path / "d").mkdir()
-    (tmp_path / "d/x.txt").write_text("a1 loose\nFile: one\n  Whale 1: a1 /b2\n  In chorus -c3\nFile: two\n d4")
+    (tmp_path / "d/x.txt").write_text("a1 loose\nFile: one\n  Speaker 1: a1 /b2\n  In chorus -c3\nFile: two\n d4")
     m = SRC.marked_dialogue(SRC.read_lines(spark, str(tmp_path / "d"))).orderBy("line_no", "pos").collect()
     assert [(r.section, r.token, r.marked) for r in m] == [("unknown", "a1", "a1"), ("one", "a1", "a1"), ("one", "/b2", "/b2"), ("one", "-c3", "-c3*"), ("two", "d4", "d4")]
 
