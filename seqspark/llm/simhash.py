@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqspark.operators.cluster import components
+
 from .common import sized, table, written
 
 SHINGLE_WORDS, SEED, DISTANCE, SEGMENTS = 4, 42, 4, 3
@@ -118,28 +120,6 @@ def neighbour_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SE
     return found.where(_apart(F.col("a"), F.col("b")) <= distance).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, comp)`` for the nodes of ``edges`` (a, b): the smallest node of each component.
-
-    Alternating large and small stars; every round is written to the shared folder. Ends when a round changes nothing.
-    """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), both["u"] == low["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        met = large.join(least.hint("merge"), large["u"] == least["n"])
-        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small, "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
 def _joined(fps: DataFrame, comps: DataFrame) -> DataFrame:
     """``fps`` with ``comp`` moved to that of ``comps`` where it has the node."""
     c = comps.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
