@@ -44,6 +44,14 @@ FAMILY = {
 FAMILY["latin", "f"] = FAMILY["latin", "m"]
 
 
+def has_entity(text: Column) -> Column:
+    """Whether a text holds an entity. What every entity needs (an at sign, a run of digits and separators, or a title) is looked for first, as it is quick."""
+    hint = text.contains("@") | text.rlike(r"\d[\d.() -]{5}")
+    for title in _MALE + _FEMALE:
+        hint |= text.contains(title)
+    return F.coalesce(hint & text.rlike(ENTITY), F.lit(False))
+
+
 def kind_of(raw: Column) -> Column:
     return F.when(raw.contains("@"), "email").when(raw.startswith("+"), "phone").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ipv4").when(raw.rlike(r"^\d"), "card").otherwise("person")
 
@@ -149,7 +157,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     every other column (one named ``entities`` is replaced). An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c != "entities"]
-    has = F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False))
+    has = has_entity(F.col(text_col))
     digest = F.md5(F.encode(F.col(text_col), "utf-8"))
     some = docs.where(has).select(*kept, digest.alias("__key"))
     texts = some.groupBy("__key").agg(F.first(F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).alias("raws"))
