@@ -16,13 +16,34 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н", "Κος")
-_FEMALE = ("Mrs", "Ms", "Frau", "Madame", "Señora", "Г-жа", "Κα")
+_MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин", "Κος", "Κύριος")
+_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Dra", "Г-жа", "Госпожа", "Κα", "Κυρία")
+_EITHER = ("Mx", "Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesora", "Profesor", "Д-р", "Доктор", "Профессор", "Δρ")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)"
-CARD = r"(?<![\d.])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\d)"
+#: With a country code: +1 and ten digits; 8 to 15 digits in any groups, or with an area code in brackets; short numbers in groups.
+_ABROAD = (
+    r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}",
+    r"\+[1-9](?:[ ./-]?\d){7,14}",
+    r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d(?:[ ./-]?\d){4,10}",
+    r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}",
+)
+#: Without one, in groups: 3-3-4, an area code in brackets, 00 and a country code, or a leading 0 and 9 to 11 digits (10 or 11 for a code of two) that are no date.
+_BRACKETS = (r"(?:(?<!\d)1[ .-]?)?\(\d{2,3}\)[ .-]?\d{3,5}[ .-]?\d{4}", r"\(0\d{1,4}\)[ ./-]?\d(?:[ ./-]?\d){4,8}")
+_HOME = (
+    r"(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}",
+    r"00[1-9]\d{0,2}[ ./-]\d(?:[ ./-]?\d){6,11}",
+    r"0\d(?:[ ./-]\d{2}){4}",
+    *(rf"(?!\d\d?[/-]\d\d?[/-]\d)0\d{{{area}}}[ /-]\d(?:[ /-]?\d){{{max(7 - area, 4 + (area == 1) * 3)},{9 - area}}}" for area in (1, 2, 3, 4)),
+)
+PHONE = rf"(?:{'|'.join((*_ABROAD, *_BRACKETS))}|(?<![\p{{L}}\d_])(?<!\d[./-])(?:{'|'.join(_HOME)}))(?!\d)"
+CARD = r"(?<![\d.])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
-PERSON = rf"(?<!\p{{L}})(?:{'|'.join(sorted(_MALE + _FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+TITLED = rf"(?:(?:{'|'.join(sorted(_MALE + _FEMALE + _EITHER, key=len, reverse=True))})\.? )+"
+#: A capital and letters, with parts behind hyphens and apostrophes, but no 's; of one capital only with such a part.
+_PARTS = r"(?:-\p{L}[\p{L}\p{M}]*|['’]\p{Lu}[\p{L}\p{M}]+)"
+_NAME = rf"(?:\p{{Lu}}['’]\p{{L}}[\p{{L}}\p{{M}}]+{_PARTS}*|\p{{Lu}}[\p{{L}}\p{{M}}]+{_PARTS}*|\p{{Lu}}{_PARTS}+)"
+_BEFORE = r"(?:(?:\p{Lu}\. ?)+|(?:(?:von|vom|van|der|den|zu|zur|de|del|della|di|da|dos|du|des|la|le|las|los|el|al|bin|ten|ter) )+)?"
+PERSON = rf"(?<!\p{{L}}){TITLED}{_BEFORE}{_NAME}(?: {_BEFORE}{_NAME})?"
 ENTITY = "|".join((EMAIL, PHONE, CARD, IPV4, PERSON))
 TYPES = ("email", "phone", "card", "ipv4", "person")
 
@@ -46,14 +67,14 @@ FAMILY["latin", "f"] = FAMILY["latin", "m"]
 
 def has_entity(text: Column) -> Column:
     """Whether a text holds an entity. What every entity needs (an at sign, a run of digits and separators, or a title) is looked for first, as it is quick."""
-    hint = text.contains("@") | text.rlike(r"\d[\d.() -]{5}")
-    for title in _MALE + _FEMALE:
+    hint = text.contains("@") | text.rlike(r"\d[\d.()/ -]{5}")
+    for title in _MALE + _FEMALE + _EITHER:
         hint |= text.contains(title)
     return F.coalesce(hint & text.rlike(ENTITY), F.lit(False))
 
 
 def kind_of(raw: Column) -> Column:
-    return F.when(raw.contains("@"), "email").when(raw.startswith("+"), "phone").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ipv4").when(raw.rlike(r"^\d"), "card").otherwise("person")
+    return F.when(raw.contains("@"), "email").when(raw.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ipv4").when(raw.rlike(rf"^{CARD}$"), "card").when(raw.rlike(r"^[+(\d]"), "phone").otherwise("person")
 
 
 def _digits(c: Column) -> Column:
@@ -61,9 +82,9 @@ def _digits(c: Column) -> Column:
 
 
 def identity(raw: Column, kind: Column) -> Column:
-    """What makes two spellings the same entity: lower case for an e-mail, the digits, or gender and name."""
-    female = F.split(raw, r"\.? ")[0].isin(*_FEMALE)
-    person = F.concat(F.when(female, "f").otherwise("m"), F.lit("|"), F.regexp_replace(raw, r"^\S+ ", ""))
+    """What makes two spellings the same entity: lower case for an e-mail, the digits, or gender and name. A title of no gender alone, as Dr, counts as m."""
+    female = F.arrays_overlap(F.split(F.regexp_extract(raw, f"^{TITLED}", 0), r"\.? "), F.array(*map(F.lit, _FEMALE)))
+    person = F.concat(F.when(female, "f").otherwise("m"), F.lit("|"), F.translate(F.regexp_replace(raw, f"^{TITLED}", ""), "’", "'"))
     return F.when(kind == "email", ascii_lower(raw)).when(kind.isin("phone", "card"), _digits(raw)).when(kind == "ipv4", raw).otherwise(person)
 
 
@@ -129,7 +150,7 @@ def written_like(raw: Column, kind: Column, new: Column) -> Column:
     chars = F.split(raw, "")
     digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, F.length(_digits(F.substring(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
     mail = F.when((raw == F.upper(raw)) & raw.rlike("[A-Z]"), F.upper(new)).otherwise(new)
-    return F.when(kind.isin("phone", "card"), digits).when(kind == "email", mail).when(kind == "ipv4", new).otherwise(F.concat(F.regexp_extract(raw, r"^\S+ ", 0), F.substring(new, F.lit(3), F.length(new))))
+    return F.when(kind.isin("phone", "card"), digits).when(kind == "email", mail).when(kind == "ipv4", new).otherwise(F.concat(F.regexp_extract(raw, f"^{TITLED}", 0), F.substring(new, F.lit(3), F.length(new))))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

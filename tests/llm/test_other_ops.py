@@ -132,3 +132,32 @@ def test_surrogates_are_distinct(spark):
     people = spark.createDataFrame([("person", f"m|Name{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}") for i in range(120)] + [("person", "m|Abbott")], "kind string, ident string")
     got = pii.assign(people, "k").collect()
     assert len(got) == 121 == len({r.new for r in got}) and not {r.new for r in got} & {r.ident for r in got}
+
+
+def test_pii_forms(spark):
+    """Each form is one entity, replaced as a whole; what only looks like one stays."""
+    forms = {
+        "phone": ["+14155552671", "+442079460958", "+1 415 5552671", "+49 30 1234567", "+33 1 23 45 67 89", "(743) 555-3824", "743-555-3824", "743.555.3824", "743 555 3824", "1-743-555-3824", "+49 (0)30 1234567",
+                  "(030) 1234567", "030/1234567", "020 7946 0958", "01 23 45 67 89", "0049 30 1234567", "0171-1234567", "01632 960123", "+1 (988) 555-2485"],
+        "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005", "4539 5787 6362 1486"],
+        "person": ["Mr O'Brien", "Mr O’Brien", "Mrs McDonald", "Frau Mueller-X", "Dr Weber", "Prof. Dr. Anna Weber", "Frau Dr. Weber", "Mr. J. R. Smith", "Señor de la Cruz", "Herr von Berg", "Mme D'Angelo", "Mr John F. Kennedy", "Miss Anne-Marie Smith-Jones"],
+    }
+    rows = [(k, x) for k, xs in forms.items() for x in xs]
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"so {x}, then") for i, (_, x) in enumerate(rows)], "i long, text string"), "k").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        kind, x = rows[r.i]
+        assert r.entities == {kind: 1}, (x, r)
+        new = r.text.removeprefix("so ").removesuffix(", then")
+        assert new != x and not set(re.findall(r"[\w'’-]{4,}", x)) - {"Prof", "Frau", "Herr", "Miss", "Señor"} & set(re.findall(r"[\w'’-]{4,}", new)), (x, new)
+        if kind != "person":
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", x)
+        elif not re.search(r" \S+ .*\b[A-Z]", x):
+            assert re.fullmatch(r"(?:Mr|Mrs|Frau|Dr|Mme|Herr|Señor) (?:Dr\. )?[A-Z][a-z]+(?: [A-Z][a-z]+)?", new), (x, new)
+    by = {rows[r.i][1]: r.text.split(" ", 2)[2] for r in got}
+    assert by["Mr O'Brien"] == by["Mr O’Brien"]
+    plain = ["2003-01-02", "01-02-2003 04", "01/02/2003", "12345 and 1.2.3", "pages (2003) 100-105", "Mr and Dr", "978-3-16-148410-0", "10 000 000", "12-345-67890", "0123456789"]
+    assert [(r.text, r.entities) for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in plain], "text string"), "k").collect()] == [(x, {}) for x in plain]
+    after = spark.createDataFrame([("(743) 555-3824 12 and +1 415 555 2671 4539-5787-6362-1486, Mr Smith's",)], "text string")
+    r = pii.pseudonymise(after, "k").first()
+    assert r.entities == {"phone": 2, "card": 1, "person": 1} and " 12 and " in r.text and r.text.endswith("'s")
