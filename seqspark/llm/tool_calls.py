@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import table, written
 
 #: Tool name to its parameters: name to (type, required, values allowed or None).
 SCHEMAS = {
@@ -79,6 +79,37 @@ def levels(edges: DataFrame) -> DataFrame:
         left = written(left.join(ready.select("conv", "id").hint("merge"), ["conv", "id"], "left_anti"), "op4-edges")
 
 
+def _rows(rows: DataFrame, schemas: dict) -> DataFrame:
+    """``rows`` (conv, id, name, call_turn, result_turn, level, called, has, arguments, content, mark) checked and written as JSON; ``mark`` is a status set beforehand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.to_pylist():
+                try:
+                    args, bad = json.loads(x["arguments"] or "{}"), None
+                except ValueError:
+                    args, bad = x["arguments"], "arguments are no JSON"
+                bad = (bad or problems(x["name"], args, schemas)) if x["called"] else None
+                status = x["mark"] or ("orphan_result" if not x["called"] else "cycle" if x["level"] is None else "invalid" if bad else "ok" if x["has"] else "pending")
+                body = {"arguments": args if x["called"] else None, "content": x["content"], "id": x["id"], "name": x["name"], "status": status}
+                out.append((bad, status, canonical(body)))
+            texts = [pa.array(list(col), pa.string()) for col in (zip(*out) if out else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *texts], ["conv", "id", "name", "call_turn", "result_turn", "level", "problem", "status", "json"])
+
+    return rows.mapInArrow(run, "conv string, id string, name string, call_turn long, result_turn long, level int, problem string, status string, json string")
+
+
+def _marked(rows: DataFrame, mark: str, called: bool) -> DataFrame:
+    """Calls or results (conv, id, turn, name, arguments, content, as far as there) as rows of a status of their own."""
+    get = lambda c: (F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c)
+    turn, none = F.col("turn").cast("long"), F.lit(None).cast("long")
+    return rows.select(
+        F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), get("id"), get("name"), (turn if called else none).alias("call_turn"), (none if called else turn).alias("result_turn"),
+        F.lit(None).cast("int").alias("level"), F.lit(called).alias("called"), F.lit(False).alias("has"), get("arguments"), get("content"), F.lit(mark).alias("mark"),
+    )
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """One row for each call and each result without a call: ``(conv, id, name, call_turn, result_turn, level, problem, status, json)``.
 
@@ -100,37 +131,20 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     both = c.withColumn("called", F.lit(True)).join(lev.hint("shuffle_hash"), key, "left").join(r.hint("merge"), key, "full")
     level = F.when(F.col("called").isNull(), None).when(F.col("known").isNull(), 0).otherwise(F.col("level")).alias("level")
     rows = both.select(*key, "name", "call_turn", "result_turn", level, F.coalesce("called", F.lit(False)).alias("called"), F.coalesce("has", F.lit(False)).alias("has"), "arguments", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.to_pylist():
-                try:
-                    args, bad = json.loads(x["arguments"] or "{}"), None
-                except ValueError:
-                    args, bad = x["arguments"], "arguments are no JSON"
-                bad = (bad or problems(x["name"], args, schemas)) if x["called"] else None
-                status = "orphan_result" if not x["called"] else "cycle" if x["level"] is None else "invalid" if bad else "ok" if x["has"] else "pending"
-                body = {"arguments": args if x["called"] else None, "content": x["content"], "id": x["id"], "name": x["name"], "status": status}
-                out.append((bad, status, canonical(body)))
-            texts = [pa.array(list(col), pa.string()) for col in (zip(*out) if out else ((), (), ()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], *texts], ["conv", "id", "name", "call_turn", "result_turn", "level", "problem", "status", "json"])
-
-    return rows.mapInArrow(run, "conv string, id string, name string, call_turn long, result_turn long, level int, problem string, status string, json string")
+    return _rows(rows.withColumn("mark", F.lit(None).cast("string")), schemas)
 
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results drawn from plain conversation turns: an assistant turn calls a tool chosen by its text, a user turn is the result of the call just before it.
 
-    A third of the calls depend on the call two turns before. Some arguments break the tool's schema, as their text has no word or their limit is text.
+    A call's query is the whole text of its turn. A third of the calls depend on the call two turns before. Some arguments break the tool's schema, as their limit is text.
     """
     sid = lambda t: F.concat_ws("-", F.lit("call"), "conv_id", t.cast("string"))
     text = F.coalesce(F.col("text"), F.lit(""))
     pick = F.crc32(F.encode(text, "utf-8"))
-    query = F.regexp_extract(ascii_lower(text), "[a-z]+", 0)
-    limit = F.length(text)
-    args = F.when(pick % 7 == 0, F.format_string('{"limit": "%d", "query": "%s"}', limit, query)).otherwise(F.format_string('{"query": "%s", "limit": %d}', query, limit))
-    args = F.when(pick % 3 == 1, F.format_string('{"query": "%s", "lang": "en"}', query)).otherwise(args)
+    query, limit = text.alias("query"), F.length(text)
+    args = F.when(pick % 7 == 0, F.to_json(F.struct(limit.cast("string").alias("limit"), query))).otherwise(F.to_json(F.struct(query, limit.alias("limit"))))
+    args = F.when(pick % 3 == 1, F.to_json(F.struct(query, F.lit("en").alias("lang")))).otherwise(args)
     name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("count")), (pick % 3).cast("int") + 1)
     deps = F.when(pick % 9 < 3, F.array(sid(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
     calls = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), sid(F.col("turn")).alias("id"), "turn", name.alias("name"), args.alias("arguments"), deps.alias("deps"))
@@ -138,5 +152,12 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def format_turns(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """The rows of :func:`link_calls` over the calls and results of plain turns, and a row of status ``message``, named by its role, for each turn of another role (null too)."""
+    calls, results = calls_of_turns(turns)
+    other = turns.where("role is null or role not in ('assistant', 'user')").select(F.col("conv_id").alias("conv"), "turn", F.col("role").alias("name"), F.col("text").alias("content"))
+    return link_calls(calls, results, schemas).unionByName(_rows(_marked(other, "message", False), schemas))
+
+
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_calls(*calls_of_turns(table(spark, sf_dir, "conversations")))
+    return format_turns(table(spark, sf_dir, "conversations"))

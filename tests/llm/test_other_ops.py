@@ -98,6 +98,20 @@ def test_tool_calls(spark):
     assert empty.count() == 0
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_whole_turns_are_formatted(spark):
+    texts = ['Über "alles" \\ zwei\nZeilen', "Привет мир", None, "plain words here", "a\tb\u0001 😀"]
+    rows = [(1, 0, "system", "be ü")] + [(1, i + 1, "assistant", t) for i, t in enumerate(texts)] + [(1, 9, None, "who"), (2, 0, "system", None), (2, 1, "user", "hi")]
+    got = tool_calls.format_turns(spark.createDataFrame(rows, TURNS)).collect()
+    calls = {r.call_turn: json.loads(r.json) for r in got if r.call_turn is not None}
+    assert [calls[i + 1]["arguments"]["query"] for i in range(len(texts))] == [t or "" for t in texts]
+    said = sorted((r.conv, r.result_turn, r["name"], json.loads(r.json)["content"]) for r in got if r.status == "message" and r["name"])
+    assert said == [("1", 0, "system", "be ü"), ("2", 0, "system", None)] and [json.loads(r.json)["content"] for r in got if r.status == "message" and not r["name"]] == ["who"]
+    assert len(got) == len(rows) and [r.status for r in got if r.conv == "2" and r["name"] is None] == ["orphan_result"]
+
+
 def test_pii(spark):
     texts = [
         None, "", "nothing here 1.2.3 and 12345", "mail bos.42@mail8.example.com or BOS.42@MAIL8.EXAMPLE.COM now", "call +1 (988) 555-2485, +1 988 555 2485.", "4539578763621486 4539-5787-6362-1486 and 1234567890123456",
