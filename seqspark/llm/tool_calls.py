@@ -1,6 +1,7 @@
 """Chat formatting: tool calls are linked to their results, ordered, validated and written as canonical JSON.
 
-Calls and results meet in a hash join on (conversation, call id), each side reduced to one row an id first. The topological
+Calls and results meet in a hash join on (conversation, call id), each side reduced to one row an id first; what
+is over is returned by itself. The topological
 level of a call is found in rounds over the dependency edges alone: a call whose dependencies all have a level gets the round's
 number. The order of a conversation is (level, turn, id); it is returned as columns, so no conversation is gathered in one task.
 Arguments are checked against the tool's schema, and rows serialised, by a small function over Arrow batches.
@@ -27,6 +28,10 @@ SCHEMAS = {
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+#: Stands for a null conversation while rows are linked; the result has an empty string.
+_NO_CONV = "\u0000"
+
+
 def canonical(value) -> str:
     """Sorted keys, no spaces, UTF-8 kept, whole floats as integers; NaN and infinities become null."""
 
@@ -110,53 +115,66 @@ def _marked(rows: DataFrame, mark: str, called: bool) -> DataFrame:
     )
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+def _others(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows with an id that aren't in ``kept``, identical ones as often as they are there: a count a distinct row, so a common id isn't one task's."""
+    left = rows.withColumn("__n", F.lit(1)).unionByName(kept.withColumn("__n", F.lit(-1))).groupBy(*rows.columns).agg(F.sum("__n").alias("__n")).where("__n > 0")
+    return left.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("col")
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, whole: bool = False) -> DataFrame:
     """One row for each call and each result without a call: ``(conv, id, name, call_turn, result_turn, level, problem, status, json)``.
 
     ``calls`` has (conv, id, turn, name, arguments, deps), ``results`` (conv, id, turn, content); ``arguments`` is JSON text, ``deps`` an array
     of call ids of the conversation; ids it doesn't know are ignored. Of several calls or results of an id the one with the smallest turn, then
-    content, stays. Rows without an id are left out; a null conversation is one of its own. ``status`` is the first that holds of: ``orphan_result``, ``cycle``,
-    ``invalid`` (see ``problem``), ``pending`` (no result), ``ok``. Other columns are ignored.
+    content, is linked. A null conversation is one of its own. ``status`` is the first that holds of: ``orphan_result``, ``cycle``,
+    ``invalid`` (see ``problem``), ``pending`` (no result), ``ok``. Other columns are ignored. With ``whole``, every further call and result is a row too:
+    ``no_id`` without an id, ``duplicate`` if another row of its id is linked; without, these are left out.
     """
     key = ["conv", "id"]
-    conv = F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")
-    one = F.min(F.struct("turn", "name", "arguments", "deps"))
-    c = calls.where("id is not null").select(conv, "id", "turn", "name", "arguments", "deps").groupBy(*key).agg(one.alias("c"))
-    c = written(c.select(*key, F.col("c.turn").alias("call_turn"), "c.name", "c.arguments", "c.deps"), "op4-calls")
-    r = results.where("id is not null").select(conv, "id", "turn", "content").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
-    r = r.select(*key, F.col("r.turn").alias("result_turn"), "r.content", F.lit(True).alias("has"))
+    conv = F.coalesce(F.col("conv").cast("string"), F.lit(_NO_CONV)).alias("conv")
+    calls = calls.select(conv, "id", F.col("turn").cast("long").alias("turn"), "name", "arguments", "deps")
+    results = results.select(conv, "id", F.col("turn").cast("long").alias("turn"), "content")
+    c1 = calls.where("id is not null").groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "deps")).alias("c")).select(*key, "c.*")
+    c = written(c1.withColumnRenamed("turn", "call_turn"), "op4-calls")
+    r1 = results.where("id is not null").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r")).select(*key, "r.*")
+    r = r1.withColumnRenamed("turn", "result_turn").withColumn("has", F.lit(True))
     asked = c.select("conv", "id", F.explode("deps").alias("dep"))
     edges = asked.join(c.select("conv", F.col("id").alias("dep")).hint("shuffle_hash"), ["conv", "dep"], "left_semi").select("conv", "id", "dep")
     lev = written(levels(edges), "op4-levels").withColumn("known", F.lit(True))
     both = c.withColumn("called", F.lit(True)).join(lev.hint("shuffle_hash"), key, "left").join(r.hint("merge"), key, "full")
     level = F.when(F.col("called").isNull(), None).when(F.col("known").isNull(), 0).otherwise(F.col("level")).alias("level")
     rows = both.select(*key, "name", "call_turn", "result_turn", level, F.coalesce("called", F.lit(False)).alias("called"), F.coalesce("has", F.lit(False)).alias("has"), "arguments", "content")
-    return _rows(rows.withColumn("mark", F.lit(None).cast("string")), schemas)
+    rows = rows.withColumn("mark", F.lit(None).cast("string"))
+    if whole:
+        for x, linked, called in ((calls, c.withColumnRenamed("call_turn", "turn"), True), (results, r1, False)):
+            rows = rows.unionByName(_marked(x.where("id is null"), "no_id", called)).unionByName(_marked(_others(x.where("id is not null"), linked), "duplicate", called))
+    return _rows(rows.withColumn("conv", F.when(F.col("conv") != _NO_CONV, F.col("conv")).otherwise("")), schemas)
 
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results drawn from plain conversation turns: an assistant turn calls a tool chosen by its text, a user turn is the result of the call just before it.
 
-    A call's query is the whole text of its turn. A third of the calls depend on the call two turns before. Some arguments break the tool's schema, as their limit is text.
+    A call's query is the whole text of its turn. A third of the calls depend on the call two turns before. Some arguments break the tool's schema, as their limit is text. A turn
+    whose conversation or number is null gets no id, as nothing says which turns belong together.
     """
-    sid = lambda t: F.concat_ws("-", F.lit("call"), "conv_id", t.cast("string"))
+    sid = lambda t: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
     text = F.coalesce(F.col("text"), F.lit(""))
     pick = F.crc32(F.encode(text, "utf-8"))
     query, limit = text.alias("query"), F.length(text)
     args = F.when(pick % 7 == 0, F.to_json(F.struct(limit.cast("string").alias("limit"), query))).otherwise(F.to_json(F.struct(query, limit.alias("limit"))))
     args = F.when(pick % 3 == 1, F.to_json(F.struct(query, F.lit("en").alias("lang")))).otherwise(args)
     name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("count")), (pick % 3).cast("int") + 1)
-    deps = F.when(pick % 9 < 3, F.array(sid(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    deps = F.when(pick % 9 < 3, F.array_compact(F.array(sid(F.col("turn") - 2)))).otherwise(F.array().cast("array<string>"))
     calls = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), sid(F.col("turn")).alias("id"), "turn", name.alias("name"), args.alias("arguments"), deps.alias("deps"))
     results = turns.where("role = 'user'").select(F.col("conv_id").alias("conv"), sid(F.col("turn") - 1).alias("id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 
 def format_turns(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """The rows of :func:`link_calls` over the calls and results of plain turns, and a row of status ``message``, named by its role, for each turn of another role (null too)."""
+    """The rows of :func:`link_calls`, with all that is linked to none, over the calls and results of plain turns, and a row of status ``message``, named by its role, for each turn of another role (null too)."""
     calls, results = calls_of_turns(turns)
     other = turns.where("role is null or role not in ('assistant', 'user')").select(F.col("conv_id").alias("conv"), "turn", F.col("role").alias("name"), F.col("text").alias("content"))
-    return link_calls(calls, results, schemas).unionByName(_rows(_marked(other, "message", False), schemas))
+    return link_calls(calls, results, schemas, whole=True).unionByName(_rows(_marked(other, "message", False), schemas))
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

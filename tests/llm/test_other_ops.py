@@ -112,6 +112,26 @@ def test_whole_turns_are_formatted(spark):
     assert len(got) == len(rows) and [r.status for r in got if r.conv == "2" and r["name"] is None] == ["orphan_result"]
 
 
+def test_no_call_is_lost(spark):
+    calls = [(1, "a", 1, "lookup", '{"query": "x"}', []), (1, "a", 1, "lookup", '{"query": "x"}', []), (1, "a", 5, "nope", None, None), (1, "a", None, "lookup", '{"query": "n"}', []), (1, None, 4, "lookup", '{"query": "q"}', []), (1, None, 4, "lookup", '{"query": "q"}', [])]
+    results = [(1, "a", 2, "r0"), (1, "a", 3, "r1"), (1, "a", 3, "r1"), (1, None, 7, "lost"), (None, None, None, None)]
+    out = tool_calls.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv long, id string, turn long, content string"), whole=True).collect()
+    got = sorted((r.status, r.call_turn or 0, r.result_turn or 0) for r in out)
+    assert len(out) == len(calls) + len(results) - 1  # one call and one result share a row
+    assert [g for g in got if g[0] == "duplicate"] == [("duplicate", 0, 3), ("duplicate", 0, 3), ("duplicate", 1, 0), ("duplicate", 1, 0), ("duplicate", 5, 0)]
+    assert [g for g in got if g[0] == "no_id"] == [("no_id", 0, 0), ("no_id", 0, 7), ("no_id", 4, 0), ("no_id", 4, 0)]
+    turns = [(None, 1, "assistant", "one"), (None, 1, "assistant", "two"), (None, 1, "assistant", "two"), (5, None, "assistant", "x"), (5, None, "user", "y"), (None, 2, "user", "u"), (6, 1, "assistant", "z"), (6, 1, "assistant", "zz"), (6, 2, "user", "r")]
+    got = tool_calls.format_turns(spark.createDataFrame(turns, TURNS)).collect()
+    said = [t for r in got for t in ((json.loads(r.json)["arguments"] or {}).get("query"), json.loads(r.json)["content"]) if t]
+    assert sorted(said) == sorted(t[3] for t in turns) and sum(r.status == "no_id" for r in got) == 6 and sum(r.status == "duplicate" for r in got) == 1
+
+
+def test_null_and_empty_conversations_differ(spark):
+    calls = spark.createDataFrame([("", "a", 1, "lookup", '{"query": "x"}', []), (None, "a", 2, "lookup", '{"query": "y"}', [])], CALLS.replace("conv long", "conv string"))
+    out = tool_calls.link_calls(calls, spark.createDataFrame([(None, "a", 3, "r")], "conv string, id string, turn long, content string")).collect()
+    assert sorted((r.conv, r.call_turn, r.status) for r in out) == [("", 1, "pending"), ("", 2, "ok")]
+
+
 def test_pii(spark):
     texts = [
         None, "", "nothing here 1.2.3 and 12345", "mail bos.42@mail8.example.com or BOS.42@MAIL8.EXAMPLE.COM now", "call +1 (988) 555-2485, +1 988 555 2485.", "4539578763621486 4539-5787-6362-1486 and 1234567890123456",
