@@ -118,7 +118,7 @@ def l06b(spark, d):
 
 @query("l08_learned_baseline")
 def l08(spark, d):
-    return rounded(L.learned_baseline(rows(spark, d)), "bits", "acc")
+    return rounded(L.learned_baseline(rows(spark, d), FOLDS), "bits", "acc")
 
 
 @query("l09_event_bits", _markov("a").replace(OUT, "SELECT fold, count(*) AS n, round(avg(b), 6) AS bits FROM (SELECT fold, seq, ev, -sum(log2(p)) AS b FROM sc GROUP BY ALL) GROUP BY fold").replace("sc AS (SELECT own,", "sc AS (SELECT own AS fold, k.seq, k.pos // 4 AS ev,"))

@@ -340,3 +340,10 @@ def test_windows_of_short_sequences(spark):
     assert got == {("s", 1): (["<PAD>", "<PAD>", "a"], "b")}
     assert T.strict_windows(df, "seq", "pos", "token", 3).count() == 0
     assert S.freq_stats(df.limit(0), "token").first().n is None
+
+
+def test_learned_baseline_scores_every_fold(spark):
+    rows = [(s % 3, s, i, "abc"[(s + i) % 3]) for s in range(6) for i in range(8 + s)]
+    got = {r.fold: r for r in L.learned_baseline(spark.createDataFrame(rows, "own int, seq long, pos int, token string"), 3, k=2, max_iter=10).collect()}
+    assert {f: r.n for f, r in got.items()} == {f: sum(8 + s - 1 for s in range(6) if s % 3 == f) for f in range(3)}
+    assert all(r.acc == 1 for r in got.values())
