@@ -13,19 +13,25 @@ from seqspark.operators import tokens as T
 from seqspark.operators.stages import written
 
 
-def hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None, eps: float = 0.10, min_points: int = 10) -> DataFrame:
-    """``(row_id, origin, type, distance)`` of labelled and unlabelled patterns (row_id, n_clicks, ici, label).
-
-    Anchors keep their label (``anchor``); other rows take the label of their nearest anchors if within its threshold (``matched``); noise anchors and
-    unmatched rows are searched for dense groups (``discovered``); the rest is ``{n}-NOISE`` (``noise``). The distance is kept for every queried row.
-    """
+def pooled(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None) -> DataFrame:
+    """``rows`` with ``__anchor``, the match (``predicted``, ``nearest``, ``accepted``) of the others, and ``__pool``: noise anchors and rows no anchor accepts, as :func:`hybrid` searches them."""
     anchor = F.col("row_id") % 4 == 0 if anchor is None else anchor
     noise = F.col("label").startswith("5") if noise is None else noise
     rows = rows.withColumns({"__anchor": anchor, "__noise": noise})
     real = rows.where("__anchor and not __noise")
     other = rows.where("not __anchor")
     hit = written(M.accept(M.knn_match(other, real, ["n_clicks"]), M.tau_table(real)), "hybrid").select(F.col("qid").alias("row_id"), "predicted", "nearest", "accepted")
-    x = rows.join(hit.hint("shuffle_hash"), "row_id", "left").withColumn("__pool", (F.col("__anchor") & F.col("__noise")) | (~F.col("__anchor") & ~F.coalesce("accepted", F.lit(False))))
+    return rows.join(hit.hint("shuffle_hash"), "row_id", "left").withColumn("__pool", (F.col("__anchor") & F.col("__noise")) | (~F.col("__anchor") & ~F.coalesce("accepted", F.lit(False))))
+
+
+def hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None, eps: float = 0.10, min_points: int = 10) -> DataFrame:
+    """``(row_id, origin, type, distance)`` of labelled and unlabelled patterns (row_id, n_clicks, ici, label).
+
+    Anchors keep their label (``anchor``); other rows take the label of their nearest anchors if within its threshold (``matched``); noise anchors and
+    unmatched rows are searched for dense groups (``discovered``); the rest is ``{n}-NOISE`` (``noise``). The distance is kept for every queried row.
+    """
+    x = pooled(rows, anchor, noise)
+    real = x.where("__anchor and not __noise")
     found = K.keep_large(K.density_clusters(x.where("__pool").select("row_id", "n_clicks", "ici"), eps=eps, min_points=min_points), min_points)
     c = found.where("cluster is not null").join(x.select("row_id", "ici", "dur"), "row_id")
     cent = M.centroids(c, ["n_clicks", "cluster"]).join(c.groupBy("n_clicks", "cluster").agg(F.avg("dur").alias("mean")), ["n_clicks", "cluster"])

@@ -9,7 +9,6 @@ from seqspark.operators import match as M
 from seqspark.operators import quality as Q
 
 from .q_context import POS, placed
-from .q_match import others
 from .q_stats import rounded
 from .registry import query
 from .views import EV, LAB, labelled, table
@@ -46,7 +45,9 @@ def c05(spark, d):
 
 @query("c01_density_clusters")
 def c01(spark, d):
-    x = others(spark, d).where("label like '5%'")
+    from .flows import pooled
+
+    x = pooled(labelled(spark, d).where("n_clicks between 3 and 10")).where("__pool").select("row_id", "n_clicks", "ici")
     return K.keep_large(K.density_clusters(x, eps=0.08, min_points=10))
 
 
@@ -109,12 +110,12 @@ def a32(spark, d):
 
 @query("c09_pca")
 def c09(spark, d):
-    return K.pca_2(labelled(spark, d), [4, 5, 6])
+    return K.pca_2(labelled(spark, d), list(range(3, 11)))
 
 
 @query("c10_parameter_sweep")
 def c10(spark, d):
-    x = labelled(spark, d).where("n_clicks in (5, 6)")
+    x = labelled(spark, d).where("n_clicks between 3 and 10")
     out = None
     for m in (5, 20):  # two settings
         c = K.density_clusters(x, eps=0.06, min_points=m).join(x.select("row_id", "label"), "row_id")
@@ -158,6 +159,16 @@ def u03(spark, d):
     return one(a.union(b).distinct(), "both").crossJoin(one(a.intersect(b), "shared")).crossJoin(one(a.exceptAll(b), "leaked"))  # one row each
 
 
+@query("u03_vocabulary_folds", f"WITH {EV}, a AS (SELECT DISTINCT k FROM ev WHERE seq % 2 = 0), b AS (SELECT DISTINCT k FROM ev WHERE seq % 2 = 1) SELECT (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)) AS both, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS shared, (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS leaked")
+def u03_folds(spark, d):
+    from .views import events
+
+    e = events(spark, d)
+    a, b = e.where("seq % 2 = 0").select("k").distinct(), e.where("seq % 2 = 1").select("k").distinct()
+    one = lambda x, n: x.agg(F.count("*").alias(n))
+    return one(a.union(b).distinct(), "both").crossJoin(one(a.intersect(b), "shared")).crossJoin(one(a.exceptAll(b), "leaked"))  # one row each
+
+
 @query("u04_distinct_by_key", f"WITH {LAB} SELECT actor, arg_min(label, row_id) AS label, min(row_id) AS row_id FROM lab GROUP BY actor")
 def u04(spark, d):
     return labelled(spark, d).groupBy("actor").agg(F.min_by("label", "row_id").alias("label"), F.min("row_id").alias("row_id"))

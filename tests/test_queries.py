@@ -58,3 +58,21 @@ def test_query(results, duck, name):
     k = sorted(cols)
     key = lambda out, names: sorted((tuple(norm(x[names.index(c)]) for c in k) for x in out), key=repr)
     assert key(rows, columns) == key(want, cols)
+
+
+def test_cluster_queries_cover_all_lengths(spark):
+    from seqspark.plans import q_cluster
+    from seqspark.plans.views import labelled
+
+    d = "/root/testdata/sf0.001"
+    lengths = {r.n_clicks for r in labelled(spark, d).where("n_clicks between 3 and 10").select("n_clicks").distinct().collect()}
+    assert {r.n_clicks for r in q_cluster.c09(spark, d).select("n_clicks").distinct().collect()} == lengths
+    assert {r.n_clicks for r in q_cluster.c10(spark, d).collect() if r.n_clicks is not None} == lengths
+
+
+def test_residual_pool_is_whole(spark):
+    from seqspark.plans.flows import pooled
+
+    rows = spark.createDataFrame([(i, 3, [0.1, 0.1 + i / 1000], "A", 1.0) for i in range(0, 40)] + [(101, 3, [9.0, 9.0], "B", 1.0), (104, 3, [5.0, 5.0], "5-LOW", 1.0)], "row_id long, n_clicks int, ici array<double>, label string, dur double")
+    pool = {r.row_id for r in pooled(rows).where("__pool").collect()}
+    assert {101, 104} <= pool and not pool & set(range(0, 40, 4))
