@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tokens import sized
+from .stages import sized
 
 K, MIN_ANCHORS, TAU_FLOOR, DIGITS, PART = 5, 6, 0.10, 9, 2048
 

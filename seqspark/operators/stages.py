@@ -4,26 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of a join side up to which it is broadcast; a larger side is shuffled.
+BROADCAST_BYTES = 8 << 20
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir``. Where that is unset: a folder of our own in local mode, else an error, as executors would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written as Parquet and read back; its lineage ends there."""
+    """``df`` written to the shared folder as Parquet and read back: the lineage ends there, and Spark knows its size."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables made by :func:`written` that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def taken_bytes(df: DataFrame) -> int:
+    """About the bytes of all rows of ``df``: it is run for this, so write a costly one first."""
+    row = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(8)) for c in df.columns), F.lit(16))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def sized(df: DataFrame, other: str = "shuffle_hash", limit: int | None = None) -> DataFrame:
+    """``df`` with a join hint: broadcast if its measured rows take at most ``limit`` bytes (``BROADCAST_BYTES``), else ``other``."""
+    return df.hint("broadcast" if taken_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else other)
+
+
+def spare(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer name that no column of ``tables`` has, in any case."""
+    used = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def running(df: DataFrame, order: list, add: str | None = None, rank: str = "rank", total: str = "running") -> DataFrame:

@@ -6,17 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import running
+from .stages import running, sized
 
 PAD = "<PAD>"
-#: Bytes of a vocabulary up to which it is broadcast.
-SMALL = 8 << 20
-
-
-def sized(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """A side of a join with its hint: broadcast if its measured size allows, else shuffled."""
-    row = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(8)) for c in df.columns), F.lit(16))
-    return df.hint("broadcast" if (df.agg(F.sum(row)).first()[0] or 0) <= limit else "shuffle_hash")
 
 
 def dense_ids(df: DataFrame, by: list[str], out: str = "id", start: int = 0) -> DataFrame:
