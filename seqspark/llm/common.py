@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-#: Bytes of a join side up to which it is broadcast; a larger side is shuffled.
-BROADCAST_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: the lineage ends there, and Spark knows its size."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from seqspark.operators.stages import discard, shared_dir, sized, spare, written  # noqa: F401
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def sized(df: DataFrame, other: str = "shuffle_hash", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a join hint: broadcast if its rows, counted and summed, take at most ``limit`` bytes; else ``other``."""
-    row = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(8)) for c in df.columns), F.lit(16))
-    taken = df.agg(F.sum(row)).first()[0] or 0
-    return df.hint("broadcast" if taken <= limit else other)
+#: Rows of one key that a task of a join should meet at most; see :func:`dealt_join`.
+HOT_ROWS = 100_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -45,3 +20,24 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """``(key, parts)`` of the keys with more than :data:`HOT_ROWS` of ``rows`` rows and more than a task's share: at most as many keys as there are shuffle partitions."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(HOT_ROWS, -(-rows // tasks))
+    return counts.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("long").alias("parts"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner", cond: Column | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key`` (and ``cond``), both shuffled; the left rows of ``hot`` keys (:func:`hot_keys`) are dealt by ``spread`` to ``parts`` tasks, their right rows are copied to these.
+
+    Both sides keep their ``key``; ``right``'s is dropped.
+    """
+    few = F.broadcast(hot.select(F.col(key).alias("__hot"), "parts"))  # a row a shuffle partition at most
+    one = F.lit(1).cast("long")
+    a = left.join(few, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("parts", one))).drop("__hot", "parts")
+    b = right.withColumnRenamed(key, "__key").join(few, F.col("__key") == F.col("__hot"), "left")
+    b = b.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one) - 1))).drop("__hot", "parts")
+    on = (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__part"))
+    return a.join(b.hint("merge"), on if cond is None else on & cond, how).drop("__key", "__salt", "__part")

@@ -1,14 +1,14 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions only.
 
 An item's window is ``window`` consecutive words (the whole item if it is shorter). A document holds a window exactly when
-it holds all its words in a row, a containment of 1, so the necessary prefix of a window is its rarest shingle alone.
-Shingles are ``shingle`` words long (one by default: at containment 1 a longer shingle is checked by the verification anyway);
-rarity is the count over all documents, and a window with a shingle that no document has is dropped. Every document word is
-looked up among the prefix shingles; the positional bound gives the only place where the window could start, the length bound
-that it fits, and the verification compares all words at that place.
-
-The join side built from the items is broadcast when its measured size allows; otherwise both sides are shuffled by word.
-Documents are never shuffled: only matches, and one sentinel row a document that carries its word count, are grouped.
+it holds all its words in a row, a containment of 1, so the necessary prefix of a window is its rarest shingle alone. A shingle is one
+word: a longer one would only do part of the verification's work. Rarity is the count over all documents, and a window with a word
+that no document has is dropped. Every document word is looked up among the prefix words; the positional bound gives the only
+place where the window could start, the length bound that it fits, and the verification compares all words at that place.
+
+Documents are cut into words once and written. Windows of measured small size are broadcast. Larger ones meet the words by shuffle: a row is then
+a word and its place alone, frequent words are dropped where no window needs them and dealt to several tasks where one does, and the few
+candidates are verified in a second join that fetches only the documents that have one.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, table, written
+from seqspark.operators import stages
+
+from .common import ascii_lower, dealt_join, discard, hot_keys, sized, spare, table, written
 
 WINDOW = 13
 #: At least one word in this many is hit in a contaminated document.
 SHARE = 20
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Not a word, as it is a gap character.
-_END = "\u0000"
 
 
 def words_of(text: Column) -> Column:
@@ -32,23 +32,56 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """``(words, items)``: the distinct windows with the ids, as strings, of the items that have them."""
+    """``(window, words, item)``, each once: the windows of every item, ``window`` being a digest of the words."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     cut = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), F.lit(window)).alias("words"))
-    return cut.groupBy("words").agg(F.collect_set("item").alias("items"))
+    return cut.select(F.md5(F.encode(F.array_join("words", " "), "utf-8")).alias("window"), "words", "item").distinct()
+
+
+def _fits(df: DataFrame) -> bool:
+    return stages.taken_bytes(df) <= stages.BROADCAST_BYTES
+
+
+def rarity(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(token, n)``, written: how often each word of ``vocabulary`` occurs in ``rows`` (w); if the vocabulary is too large to broadcast, every other word too."""
+    each = rows.select(F.explode("w").alias("token"))
+    if _fits(vocabulary):
+        each = each.join(F.broadcast(vocabulary), "token", "left_semi")  # measured just above
+    return written(each.groupBy("token").agg(F.count("*").alias("n")), "op7-rarity")
 
 
-def prefix_entries(docs_words: DataFrame, windows: DataFrame) -> DataFrame:
-    """``(token, offset, words, items)``: each window under its rarest word, ties to the smaller word, then the first place."""
-    placed = windows.select("words", "items", F.posexplode("words").alias("offset", "token"))
-    vocabulary = written(placed.select("token").distinct(), "op7-vocabulary")
-    seen = docs_words.select(F.explode("w").alias("token")).join(sized(vocabulary), "token", "left_semi").groupBy("token").count()
-    seen = written(seen, "op7-rarity")
-    ranked = placed.join(sized(seen), "token", "left")
-    key = F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "offset")
-    rarest = ranked.groupBy("words").agg(F.min(key).alias("k"), F.first("items").alias("items"))
-    return rarest.where("k.n > 0").select("k.token", "k.offset", "words", "items")
+def prefix_entries(windows: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(token, offset, words, window)``: each window under its rarest word, ties to the smaller word, then the first place."""
+    placed = windows.select("window", "words").distinct().select("window", "words", F.posexplode("words").alias("offset", "token"))
+    key = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")
+    rarest = placed.join(sized(seen, "merge"), "token", "left").groupBy("window").agg(F.min(key).alias("k"), F.first("words").alias("words"))
+    return rarest.where("k.n > 0").select("k.token", "k.offset", "words", "window")
+
+
+def occurrences(rows: DataFrame, entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(rid, from, to, window)``, each once: where the words of ``rows`` (rid, w) hold a window, as word places, the end exclusive."""
+    start = F.col("pos") - F.col("offset")
+    till = start + F.size("words")
+    found = [start.alias("from"), till.alias("to"), "window"]
+    if _fits(entries):
+        placed = rows.select("rid", "w", F.posexplode("w").alias("pos", "token"))
+        fits = (start >= 0) & (till <= F.size("w"))
+        same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")
+        few = F.broadcast(entries.withColumnRenamed("token", "prefix"))  # measured just above
+        return placed.join(few, (F.col("token") == F.col("prefix")) & fits & same).select("rid", *found).distinct()
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    hot = written(hot_keys(seen, "token", "n", total), "op7-hot")
+    needless = hot.join(entries.select("token").distinct().hint("merge"), "token", "left_anti")
+    narrow = rows.select("rid", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
+    narrow = narrow.join(F.broadcast(needless), "token", "left_anti")  # a row a shuffle partition at most
+    met = dealt_join(narrow, entries, "token", hot, ["rid", "pos"], cond=(start >= 0) & (till <= F.col("n_words")))
+    maybe = written(met.select("rid", *found), "op7-candidates")
+    words = entries.select("window", "words")
+    asked = maybe.join(words.hint("merge"), "window").select("rid", "from", "to", "window", "words")
+    texts = rows.join(sized(written(maybe.select("rid").distinct(), "op7-asked"), "merge"), "rid", "left_semi").select(F.col("rid").alias("__rid"), "w")
+    same = F.slice("w", F.col("from") + 1, F.size("words")) == F.col("words")
+    return asked.join(texts.hint("merge"), (F.col("rid") == F.col("__rid")) & same).select("rid", "from", "to", "window").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -57,35 +90,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``items`` are the sorted ids of the items with windows in the document, ``spans`` the sorted (from, to) word intervals of
     the occurrences. Null and empty texts have no words and are never contaminated. Benchmark rows without words have no
     window; a null item id reads as ''. Repeated rows give repeated rows, null document ids are kept, other columns are
-    ignored. An empty benchmark hits nothing.
+    ignored. An empty benchmark hits nothing. A text of any length is one row while it is cut and verified, a place a word while it is looked up.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = docs.select(F.col(id_col).alias("id"), F.md5(F.encode(text, "utf-8")).alias("key"), words_of(F.col(text_col)).alias("w"))
-    found = prefix_entries(row.select("w"), item_windows(benchmark, item_col, item_text, window))
-    spark = docs.sparkSession
-    sentinel = spark.range(1).select(F.lit(_END).alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items"))
-    entries = written(found.unionByName(sentinel).withColumn("len", F.size("words")), "op7-entries")
-    placed = row.select("id", "key", "w", F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "token"))
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
-    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("words")
-    hit = placed.join(sized(entries, "merge"), (placed["token"] == entries["token"]) & ((placed["token"] == _END) | (fits & same)))
-    end = placed["token"] == _END
-    per = hit.select("id", "key", F.when(end, F.col("pos")).alias("n"), F.when(~end, F.struct(start.alias("from"), (start + F.col("len")).alias("to"))).alias("span"), F.when(~end, F.col("items")).alias("items"))
-    per = per.groupBy("id", "key").agg(F.count("n").alias("copies"), F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    cut = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.md5(F.encode(text, "utf-8")).alias("key"), words_of(F.col(text_col)).alias("w"))
+    rows = written(cut, "op7-words")
+    windows = written(item_windows(benchmark, item_col, item_text, window), "op7-windows")
+    seen = rarity(rows, written(windows.select(F.explode("words").alias("token")).distinct(), "op7-vocabulary"))
+    entries = written(prefix_entries(windows, seen), "op7-entries")
+    hits = written(occurrences(rows.select("rid", "w"), entries, seen), "op7-hits")
+    spans = hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    listed = hits.select("rid", "window").distinct().join(sized(windows.select("window", "item"), "merge"), "window").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per = written(spans.join(listed.hint("merge"), "rid"), "op7-documents")
+    discard(hits, entries, seen)
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("till"))
     covered = F.aggregate(
         "spans", zero, lambda a, s: F.struct((a["hit"] + F.greatest(s["to"] - F.greatest(s["from"], a["till"]), F.lit(0))).alias("hit"), F.greatest(a["till"], s["to"]).alias("till"))
     )["hit"]
-    out = per.select(F.col("id").alias(id_col), F.col("key").alias("text_md5"), "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one"))
-    return out.drop("one").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    none = F.array().cast("array<string>")
+    all_ = rows.select("rid", "id", "key", F.size("w").cast("long").alias("n_words")).join(sized(per), "rid", "left")
+    items = F.coalesce("items", none)
+    out = all_.select(
+        F.col("id").alias(id_col), F.col("key").alias("text_md5"), "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)).alias("spans"),
+    )
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated; columns stay."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("text_md5").alias("__md5")).distinct()
-    keyed = docs.withColumn("__md5", F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")))
-    return keyed.join(sized(written(bad, "op7-contaminated")), "__md5", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that aren't contaminated, repeated ones included; columns stay, whatever their names. Null, empty and blank texts stay."""
+    md5 = spare("text_md5", docs)
+    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("text_md5").alias(md5)).distinct()
+    keyed = docs.withColumn(md5, F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")))
+    return keyed.join(sized(written(bad, "op7-contaminated")), md5, "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqspark.llm import decontaminate, packing, quality, secret_scan, simhash, toxicity
+from seqspark.llm import common, decontaminate, packing, quality, secret_scan, simhash, toxicity
+from seqspark.operators import stages
 
 DOCS = "doc_id long, text string, lang string, spans string, score string"
 
@@ -139,6 +140,43 @@ def test_contamination(spark):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def quick_contamination(texts, items):
+    """The same for long texts: only places of a window's first word are tried."""
+    out = []
+    for t in texts:
+        w, hit, ids, at = words(t), set(), set(), {}
+        for i, x in enumerate(w):
+            at.setdefault(x, []).append(i)
+        for item, it in items:
+            v = words(it)
+            for s in range(max(1, len(v) - 12)):
+                win = v[s : s + 13]
+                for i in at.get(win[0], ()):
+                    if w[i : i + len(win)] == win:
+                        hit |= set(range(i, i + len(win)))
+                        ids.add(str(item))
+        out.append((len(w), len(hit), len(ids), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [8 << 20, -1])
+def test_contamination_of_long_texts(spark, monkeypatch, limit):
+    """Texts of 20,000 words with one very frequent word, by broadcast and by shuffle."""
+    monkeypatch.setattr(stages, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "HOT_ROWS", 1000)
+    rng = np.random.default_rng(1)
+    long = [" ".join(f"w{n}" if n < 3000 else "the" for n in rng.integers(0, 4200, 20000)) for _ in range(8)]
+    texts = [*long, "the the the " * 10, "", None, long[0]]
+    items = [(i, " ".join(texts[i % 8].split()[i * 37 : i * 37 + 20])) for i in range(40)] + [(100, "the " * 13), (101, "the the the the"), (102, "nowhere at all")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, text_md5 string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = sorted(decontaminate.contamination(df, bench).collect(), key=lambda r: r.doc_id)
+    want = quick_contamination(texts, items)
+    assert [(r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in got] == want
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, x in enumerate(want) if not x[4]]
+
+
 # -- 8
 
 
