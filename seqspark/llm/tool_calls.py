@@ -2,8 +2,9 @@
 
 Calls and results meet in a hash join on (conversation, call id), each side reduced to one row an id first; what
 is over is returned by itself. The topological
-level of a call is found in rounds over the dependency edges alone: a call whose dependencies all have a level gets the round's
-number. The order of a conversation is (level, turn, id); it is returned as columns, so no conversation is gathered in one task.
+level of a call is found in rounds over the dependency edges alone: a call whose dependencies all have a level gets one too, and a chain of calls
+that each wait for one other is halved in every round by pointing past the call waited for, so a long chain takes few rounds. The order of a
+conversation is (level, turn, id); it is returned as columns, so no conversation is gathered in one task.
 Arguments are checked against the tool's schema, and rows serialised, by a small function over Arrow batches.
 """
 
@@ -11,13 +12,14 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 #: Tool name to its parameters: name to (type, required, values allowed or None).
 SCHEMAS = {
@@ -30,10 +32,16 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 #: Stands for a null conversation while rows are linked; the result has an empty string.
 _NO_CONV = "\u0000"
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _valid(text: str) -> str:
+    """``text`` with surrogates that stand alone escaped, as UTF-8 has no form of them."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value) -> str:
-    """Sorted keys, no spaces, UTF-8 kept, whole floats as integers; NaN and infinities become null."""
+    """Sorted keys, no spaces, UTF-8 kept but lone surrogates escaped, whole floats as integers; NaN and infinities become null."""
 
     def plain(x):
         if isinstance(x, float):
@@ -42,7 +50,19 @@ def canonical(value) -> str:
             return {str(k): plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _valid(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def parsed(text: str | None):
+    """``(arguments, problem)``: the parsed JSON text, an empty object for none; the text itself if it is no JSON, or nests too deep to be read or written."""
+    try:
+        value = json.loads(text or "{}")
+        canonical([value])
+        return value, None
+    except RecursionError:
+        return text, "arguments nest too deep"
+    except ValueError:
+        return text, "arguments are no JSON"
 
 
 def problems(name: str | None, arguments, schemas: dict) -> str | None:
@@ -66,22 +86,43 @@ def problems(name: str | None, arguments, schemas: dict) -> str | None:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """``(conv, id, level)`` for the dependants of ``edges`` (conv, id, dep): one more than their deepest dependency; null in or behind a cycle."""
-    left = written(edges.where("id <> dep").distinct(), "op4-edges")
-    stuck = edges.where("id = dep").select("conv", "id").distinct()
-    left = written(left.union(stuck.select("conv", "id", F.col("id").alias("dep"))), "op4-edges")
-    done, level = None, 0
+    """``(conv, id, level)`` for the dependants of ``edges`` (conv, id, dep): one more than their deepest dependency; null in or behind a cycle.
+
+    A row of ``left`` is a call without a level and one of its open dependencies (null for none), the steps to that, and ``base``, the level that the
+    others give it at least. Each round takes the calls without open dependencies off, then lets a call with one of them that has one itself skip it.
+    """
+    key = ["conv", "id"]
+    edges = written(edges.select("conv", "id", "dep").distinct(), "op4-edges")
+    inner = edges.select("conv", F.col("id").alias("dep")).distinct().withColumn("inner", F.lit(True))
+    first = edges.join(inner.hint("merge"), ["conv", "dep"], "left")
+    step = F.lit(1).cast("long")
+    left = written(first.select(*key, F.when(F.col("inner"), F.col("dep")).alias("dep"), step.alias("step"), F.when(F.col("inner"), 0).otherwise(1).cast("long").alias("base")), "op4-open")
+    done = None
+
+    def state_of(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy(*key).agg(F.max("base").alias("base"), F.count_distinct("dep").alias("n"), F.min("dep").alias("dep"), F.max("step").alias("step")), "op4-state")
+
     while True:
-        level += 1
-        waiting = left.select("conv", F.col("id").alias("dep")).distinct().withColumn("open", F.lit(1))
-        state = left.join(waiting.hint("merge"), ["conv", "dep"], "left").groupBy("conv", "id").agg(F.max("open").alias("open"))
-        state = written(state, "op4-state")
-        ready = state.where("open is null").select("conv", "id", F.lit(level).alias("level"))
+        state = state_of(left)
+        ready = state.where("n = 0").select(*key, F.col("base").alias("level"))
         if ready.isEmpty():
-            rest = state.select("conv", "id", F.lit(None).cast("int").alias("level"))
-            return rest if done is None else done.unionByName(rest)
+            stuck = state.select(*key, F.lit(None).cast("long").alias("level"))
+            out = stuck if done is None else done.unionByName(stuck)
+            return out.withColumn("level", F.col("level").cast("int"))
         done = ready if done is None else done.unionByName(ready)
-        left = written(left.join(ready.select("conv", "id").hint("merge"), ["conv", "id"], "left_anti"), "op4-edges")
+        open_ = left.join(ready.select(*key).hint("merge"), key, "left_anti")
+        met = open_.join(ready.select("conv", F.col("id").alias("dep"), "level").hint("merge"), ["conv", "dep"], "left")
+        known = F.col("level").isNotNull()
+        solved = met.select(*key, F.when(~known, F.col("dep")).alias("dep"), "step", F.when(known, F.greatest("base", F.col("level") + F.col("step"))).otherwise(F.col("base")).alias("base"))
+        solved = written(solved.groupBy(*key, "dep").agg(F.max("step").alias("step"), F.max("base").alias("base")), "op4-solved")
+        now = state_of(solved)
+        ahead = now.where("n = 1").select("conv", F.col("id").alias("dep"), F.col("dep").alias("next"), F.col("step").alias("far"), F.col("base").alias("under"))
+        own = now.where("n = 1").select(*key, F.lit(True).alias("one"))
+        met = solved.join(own.hint("merge"), key, "left").join(ahead.hint("merge"), ["conv", "dep"], "left")
+        jump = F.coalesce(F.col("one") & F.col("next").isNotNull() & (F.col("step") + F.col("far") < 1 << 40), F.lit(False))  # round a cycle the steps only grow
+        rows = met.select(*key, F.when(jump, F.col("next")).otherwise(F.col("dep")).alias("dep"), F.when(jump, F.col("step") + F.col("far")).otherwise(F.col("step")).alias("step"), F.when(jump, F.greatest("base", F.col("under") + F.col("step"))).otherwise(F.col("base")).alias("base"))
+        before, left = left, written(rows, "op4-open")
+        discard(before, solved, now)
 
 
 def _rows(rows: DataFrame, schemas: dict) -> DataFrame:
@@ -91,11 +132,9 @@ def _rows(rows: DataFrame, schemas: dict) -> DataFrame:
         for b in batches:
             out = []
             for x in b.to_pylist():
-                try:
-                    args, bad = json.loads(x["arguments"] or "{}"), None
-                except ValueError:
-                    args, bad = x["arguments"], "arguments are no JSON"
+                args, bad = parsed(x["arguments"])
                 bad = (bad or problems(x["name"], args, schemas)) if x["called"] else None
+                bad = bad and _valid(bad)
                 status = x["mark"] or ("orphan_result" if not x["called"] else "cycle" if x["level"] is None else "invalid" if bad else "ok" if x["has"] else "pending")
                 body = {"arguments": args if x["called"] else None, "content": x["content"], "id": x["id"], "name": x["name"], "status": status}
                 out.append((bad, status, canonical(body)))
@@ -141,7 +180,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, wh
     asked = c.select("conv", "id", F.explode("deps").alias("dep"))
     edges = asked.join(c.select("conv", F.col("id").alias("dep")).hint("shuffle_hash"), ["conv", "dep"], "left_semi").select("conv", "id", "dep")
     lev = written(levels(edges), "op4-levels").withColumn("known", F.lit(True))
-    both = c.withColumn("called", F.lit(True)).join(lev.hint("shuffle_hash"), key, "left").join(r.hint("merge"), key, "full")
+    both = c.withColumn("called", F.lit(True)).join(lev.hint("shuffle_hash"), key, "left").join(r.hint("shuffle_hash"), key, "full")
     level = F.when(F.col("called").isNull(), None).when(F.col("known").isNull(), 0).otherwise(F.col("level")).alias("level")
     rows = both.select(*key, "name", "call_turn", "result_turn", level, F.coalesce("called", F.lit(False)).alias("called"), F.coalesce("has", F.lit(False)).alias("has"), "arguments", "content")
     rows = rows.withColumn("mark", F.lit(None).cast("string"))

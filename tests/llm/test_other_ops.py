@@ -2,6 +2,7 @@
 
 import json
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -142,6 +143,73 @@ def test_tool_calls(spark):
     assert empty.count() == 0
 
 
+def brute_levels(edges):
+    """Longest distance to a call that waits for none; None in or behind a cycle."""
+    deps = {}
+    for i, d in edges:
+        deps.setdefault(i, set()).add(d)
+    level = {d: 0 for _, d in edges if d not in deps}
+    while True:
+        ready = {i: 1 + max(level[d] for d in ds) for i, ds in deps.items() if i not in level and all(d in level for d in ds)}
+        if not ready:
+            return {i: level.get(i) for i in deps}
+        level |= ready
+
+
+def test_levels(spark):
+    """Random graphs with cycles, and a chain of a hundred calls with side branches."""
+    rng = np.random.default_rng(7)
+    for n, m in ((12, 14), (30, 30), (40, 90)):
+        edges = {(f"c{a}", f"c{b}") for a, b in rng.integers(0, n, (m, 2)).tolist()}
+        edges |= {(f"d{a}", f"d{b}") for a, b in rng.integers(0, n, (m, 2)).tolist() if a > b}
+        got = tool_calls.levels(spark.createDataFrame([("x", a, b) for a, b in edges], "conv string, id string, dep string")).collect()
+        assert {r.id: r.level for r in got} == brute_levels(edges) and len(got) == len({a for a, _ in edges})
+    chain = {(f"c{i}", f"c{i - 1}") for i in range(1, 101)} | {("c60", "s5"), ("c90", "c10")} | {(f"s{i}", f"s{i - 1}") for i in range(1, 6)}
+    got = tool_calls.levels(spark.createDataFrame([("x", a, b) for a, b in chain], "conv string, id string, dep string")).collect()
+    assert {r.id: r.level for r in got} == brute_levels(chain)
+
+
+def test_arguments_of_any_shape(spark):
+    """Lone surrogates are escaped, deep nesting is invalid, and both are rows."""
+    deep = "[" * 100_000 + "]" * 100_000
+    nested = '{"query": ' + '{"a":' * 3000 + "1" + "}" * 3000 + "}"
+    args = ['{"query": "\\ud800 x"}', '{"\\udfff": 1}', deep, nested, '{"query": 1e999}', "NaN", '{"query": "' + "y" * 300_000 + '"}', "7" * 5000]
+    calls = spark.createDataFrame([("c", f"i{n}", n, "lookup", a, None) for n, a in enumerate(args)], CALLS.replace("conv long", "conv string"))
+    out = {r.id: r for r in tool_calls.link_calls(calls, spark.createDataFrame([], "conv string, id string, turn long, content string")).collect()}
+    assert len(out) == len(args) and [out[f"i{n}"].status for n in range(8)] == ["pending", "invalid", "invalid", "invalid", "invalid", "invalid", "pending", "invalid"]
+    assert "\\ud800 x" in out["i0"].json and json.loads(out["i0"].json)["arguments"] == {"query": "\ud800 x"}
+    assert out["i2"].problem == "arguments nest too deep" and json.loads(out["i2"].json)["arguments"] == deep
+
+
+def test_turns_of_the_smallest_tables(spark):
+    """The registered query against a plain reading of every conversation."""
+    d = "/root/testdata/sf0.001"
+    turns = [r.asDict() for r in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    calls, results = {}, {}
+    for t in turns:
+        if t["role"] == "assistant":
+            calls.setdefault((t["conv_id"], t["turn"]), []).append(t)
+        elif t["role"] == "user":
+            results.setdefault((t["conv_id"], t["turn"] - 1), []).append(t)
+    got = tool_calls.op4_tool_calls(spark, d).collect()
+    linked = {(int(r.conv), r.call_turn): r for r in got if r.call_turn is not None and r.status not in ("duplicate", "no_id")}
+    assert len(turns) == len(got) + sum(k in results for k in calls)
+    assert linked.keys() == calls.keys()
+    for k, r in linked.items():
+        text = min(t["text"] or "" for t in calls[k])
+        body, pick = json.loads(r.json), zlib.crc32(text.encode())
+        assert body["arguments"]["query"] == text and body["id"] == f"call-{k[0]}-{k[1]}" and r.json == tool_calls.canonical(body)
+        assert r["name"] == ["search", "lookup", "count"][pick % 3]
+        wants = {"query": text, "lang": "en"} if pick % 3 == 1 else {"query": text, "limit": str(len(text)) if pick % 7 == 0 else len(text)}
+        assert body["arguments"] == wants
+        ok = pick % 3 == 1 or pick % 7
+        assert r.status == ("ok" if k in results else "pending") if ok else r.status == "invalid"
+        waits, n = k, 0
+        while zlib.crc32(min(t["text"] or "" for t in calls[waits]).encode()) % 9 < 3 and (waits[0], waits[1] - 2) in calls:
+            waits, n = (waits[0], waits[1] - 2), n + 1
+        assert r.level == n and body["content"] == (min(t["text"] for t in results[k]) if k in results else None)
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
