@@ -3,7 +3,7 @@
 One pass over the whole texts turns each document into a short vector of transformed statistics, written once. Class moments are
 summed over every labelled training row with partial sums in the tasks, so only one small matrix a class reaches the driver.
 Class covariances are shrunk towards the pooled one and towards a multiple of the identity; their Cholesky factors are
-computed once and ride to the tasks, which score by the difference of the Mahalanobis log-densities.
+computed once, their inverses ride to the tasks, and these score by the difference of the Mahalanobis log-densities.
 """
 
 from __future__ import annotations
@@ -70,7 +70,10 @@ def statistics(text: bytes) -> list[float]:
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, x)`` for every row, written to the shared folder; a null text counts as empty."""
+    """``(id, x)`` for every row, repeated ones and null ids included, written to the shared folder; a null text counts as empty.
+
+    Other columns are ignored, whatever their names. An empty table gives an empty one. A text of any length is counted in one pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,10 +93,13 @@ class Model:
     log_dets: list[float]
     prior: float
 
+    def __post_init__(self):
+        self.whiten = [np.linalg.inv(c) for c in self.factors]
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         each = []
-        for m, chol, ld in zip(self.means, self.factors, self.log_dets):
-            z = np.linalg.solve(chol, (x - m).T)
+        for m, back, ld in zip(self.means, self.whiten, self.log_dets):
+            z = back @ (x - m).T
             each.append(-0.5 * (z * z).sum(axis=0) - 0.5 * ld)
         return each[1] - each[0] + self.prior
 
@@ -123,7 +129,7 @@ def moments(rows: DataFrame) -> dict[int, np.ndarray]:
 
 
 def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", pooled: float = POOLED, sphere: float = SPHERE) -> Model | None:
-    """The model from all ``labels`` rows given; None unless both classes have a row. An id's labels are its largest one."""
+    """The model from all ``labels`` rows given; None unless both classes have a row, as with an empty table. An id's label is its largest one; each row of ``features`` with a labelled id counts, repeated ones too."""
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     got = moments(features.join(lab.hint("merge"), "id").select("x", "y"))
     if set(got) != {0, 1}:
