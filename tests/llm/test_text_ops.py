@@ -306,5 +306,71 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), w).count() == 0
 
 
-def test_sha_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_quality_scores_are_the_log_densities(spark):
+    """Moments and scores against plain numpy: densities by the inverse and determinant of the shrunk covariances."""
+    rng = np.random.default_rng(3)
+    d = len(quality.NAMES)
+    x = np.concatenate([rng.standard_normal((60, d)), rng.standard_normal((40, d)) * 2 + 1])
+    y = [0] * 60 + [1] * 40
+    feats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(5)
+    m = quality.fit(feats, spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int"))
+    got = {r.id: r.score for r in quality.score(feats, m).collect()}
+    cov = [np.cov(x[:60].T, bias=True), np.cov(x[60:].T, bias=True)]
+    both = 0.6 * cov[0] + 0.4 * cov[1]
+    each = []
+    for c, mean in zip(cov, (x[:60].mean(axis=0), x[60:].mean(axis=0))):
+        c = (1 - quality.POOLED) * c + quality.POOLED * both
+        c = (1 - quality.SPHERE) * c + quality.SPHERE * np.diag(np.diag(both)) + 1e-6 * np.eye(d)
+        each.append(-0.5 * np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(c), x - mean) - 0.5 * np.linalg.slogdet(c)[1])
+    want = 1 / (1 + np.exp(-np.clip((each[1] - each[0] + np.log(40 / 60)) / quality.TEMPER, -40, 40)))
+    assert np.allclose([got[i] for i in range(100)], want, atol=1e-9)
+
+
+def test_risk_and_its_gradient():
+    """The non-negative risk document by document, and its gradient by differences, on both sides of the bound."""
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(6, rng.integers(0, 5), replace=False)) for _ in range(12)]
+    flat, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(d) for d in sets])))
+    seen = set()
+    for n in range(6):
+        p, u = rng.integers(0, 4, 12).astype(float), rng.integers(0, 9, 12).astype(float)
+        u += 1
+        prior, w = (0.2, rng.standard_normal(7)) if n % 2 else (0.9, np.where(np.arange(7) < 6, 3.0, -1.0))
+        p = p + 1 if n % 2 else (np.array(list(map(len, sets))) == max(map(len, sets))).astype(float)
+
+        def terms(w):
+            g = [sum(w[f] for f in d) + w[6] for d in sets]
+            mean = lambda c, sign: sum(k * np.log(1 + np.exp(sign * x)) for k, x in zip(c, g)) / sum(c)
+            return prior * mean(p, -1), mean(u, 1) - prior * mean(p, 1)
+
+        first, rest, grad = toxicity.risk(w, flat, at, p / p.sum(), u / u.sum(), prior)
+        assert np.allclose((first, rest), terms(w))
+        step = (lambda w: sum(terms(w))) if rest >= 0 else (lambda w: -terms(w)[1])
+        want = [(step(w + 1e-6 * e) - step(w - 1e-6 * e)) / 2e-6 for e in np.eye(7)]
+        assert np.allclose(grad, want, atol=1e-5)
+        seen.add(rest >= 0)
+    assert {bool(x) for x in seen} == {True, False}
+
+
+def test_all_unlabelled_documents_count(spark):
+    """Feature counts over every document of the fold, copies included, whatever the shard; several shards agree with one on clear cases."""
+    texts = ["good word here"] * 50 + ["vile word here"] * 6 + ["other thing", None, ""]
+    df = docs(spark, *texts).repartition(4)
+    labels = spark.createDataFrame([(i, int(50 <= i < 56)) for i in range(56)], "doc_id long, toxic int").where(toxicity.in_training(F.col("doc_id")))
+    lab = labels.selectExpr("doc_id as id", "toxic as y")
+    fold = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    n_pos, n_unl, in_pos, in_unl = toxicity.shares(toxicity.feature_sets(df, lab, "doc_id", "text", 100))
+    assert (n_pos, n_unl) == (sum(50 <= i < 56 for i in fold), len(fold))
+    at = zlib.crc32(b"vile") & (1 << toxicity.BITS) - 1
+    assert in_pos[at] == in_unl[at] == n_pos and in_unl[zlib.crc32(b"word") & (1 << toxicity.BITS) - 1] == sum(i < 56 for i in fold)
+    for shard in (1, 20_000):
+        got = {r.doc_id: r.predicted for r in toxicity.score(df, toxicity.fit(df, labels, shard=shard)).collect()}
+        assert [i for i, x in got.items() if x] == sorted(range(50, 56), key=list(got).index)
+
+
+def test_reject_toxic_keeps_columns(spark):
+    df = spark.createDataFrame([(i, t, 0.5 + i, "p") for i, t in enumerate(["fine words", "fine words", "", None])], "doc_id long, text string, score double, Predicted string")
+    labels = spark.createDataFrame([(0, 0)], "doc_id long, toxic int")
+    out = toxicity.reject_toxic(df.union(df), df, labels)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.union(df).collect()), key=str)
+    assert toxicity.reject_toxic(df.limit(0), df.limit(0), labels.limit(0)).count() == 0
