@@ -26,7 +26,7 @@ def test_url_rules(spark):
         "http://z.com", "http://z.com/fr/", "http://z.com/de/?a://b/c", "://com/de/é", "http://org/es/es/es/es/es/s", "http://k.é.net/üx", "http://é.net/u", "http://a..com/fr/", "http://example.org./es/", "http://q.net/fr/",
     ]
     df = spark.createDataFrame([(i if i else None, u, "x", "y") for i, u in enumerate(urls)] + [(5, urls[5], "x", "y")], "page_id long, url string, host string, verdict string")
-    got = url_filter.judge_urls(df, spark.createDataFrame(rules, url_filter.RULES_SCHEMA), salts=3).collect()
+    got = url_filter.judge_urls(df, spark.createDataFrame(rules, url_filter.RULES_SCHEMA), ranges=3).collect()
     want = [(i if i else None, *brute_url(u, rules)) for i, u in enumerate(urls)] + [(5, *brute_url(urls[5], rules))]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     none = spark.createDataFrame([], url_filter.RULES_SCHEMA)
@@ -34,6 +34,35 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(df.limit(0), none).count() == 0
 
 
+def test_open_intervals(spark):
+    """Nested prefixes cut into many ranges: every stack is the set of prefixes, whichever range a point is in."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("ab"), rng.integers(1, 8)))
+    prefixes, points = sorted({word() for _ in range(60)}), sorted({word() + word() for _ in range(300)})
+    iv = spark.createDataFrame([(x.encode(), x) for x in prefixes], "key binary, rule string")
+    pt = spark.createDataFrame([(x.encode(), x) for x in points], "key binary, point string")
+    want = {x: sorted(p for p in prefixes if x.startswith(p)) for x in points}
+    for ranges in (1, 7, 40):
+        got = {}
+        for r in url_filter.open_intervals(pt, iv, True, ranges).collect():
+            got.setdefault(r.point, []).append(r.rule)
+        assert {x: sorted(v) for x, v in got.items()} == {x: v for x, v in want.items() if v}
+        top = {r.point: r.rule for r in url_filter.open_intervals(pt, iv, False, ranges).collect()}
+        assert top == {x: max(v, key=len) for x, v in want.items() if v}
+
+
+def test_url_rules_at_random(spark):
+    rng = np.random.default_rng(6)
+    host = lambda: ".".join(rng.choice(["a", "b", "org"], rng.integers(1, 6)))
+    path = lambda: "".join(rng.choice(["/", "x", "yy"], rng.integers(0, 6)))
+    rules = [(host(), path(), str(rng.choice(["allow", "block"]))) for _ in range(80)]
+    rules = list({(h, p): (h, p, max(v for a, b, v in rules if (a, b) == (h, p))) for h, p, _ in rules}.values())
+    urls = [f"http://{host()}{path()}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = sorted(map(tuple, url_filter.judge_urls(df, spark.createDataFrame([*rules, (None, "/", "block"), ("org", None, "block")], url_filter.RULES_SCHEMA), ranges=5).collect()))
+    assert got == [(i, *brute_url(u, rules)) for i, u in enumerate(urls)]
+
+
 def brute_near(rows, k):
     ok = {i: np.array(v, float) for i, v in rows}
     out = {}
