@@ -263,8 +263,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         rows = texts.agg(F.sum("n")).first()[0]
         hot = written(hot_keys(texts.withColumnRenamed("key", key_col), key_col, "n", rows), "op10-hot")
         met = dealt_join(some, put, key_col, hot, [c for c in kept if "map" not in docs.schema[c].dataType.simpleString()])
-    gaps = F.split(F.col(text_col), ENTITY, -1)
-    text = F.concat(F.array_join(F.transform(puts, lambda e, i: F.concat(F.get(gaps, i), e["new"])), ""), F.element_at(gaps, -1))
+    news_ = F.concat(F.transform(puts, lambda e: e["new"]), F.array(F.lit("")))
+    text = F.array_join(F.zip_with(F.split(F.col(text_col), ENTITY, -1), news_, lambda gap, new: F.concat(gap, new)), "")
     kinds = F.transform(puts, lambda e: F.coalesce(e["kind"], F.lit("")))
     counts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k), F.size(kinds) - F.size(F.array_remove(kinds, k))) for k in TYPES]), lambda x: x["col2"] > 0))
     changed = met.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], counts.alias("entities"))
