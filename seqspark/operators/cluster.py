@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import match as M
-from .stages import written
+from .stages import discard, written
 
 PART = 2048
 
@@ -22,14 +22,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
     before = None
     while True:
-        both = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "components")
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "components")
         large = both.join(low.hint("merge"), both["u"] == low["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "components")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "components")
         met = large.join(least.hint("merge"), large["u"] == least["n"])
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small, "components")
+        done, edges = edges, written(small, "components")
+        discard(done, low, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
