@@ -8,7 +8,8 @@ one with the 0 bit flips it, and of an equal pair the smaller one asks, so a tab
 Equal fingerprints are one node from the start: copies never become pairs. Groups of near copies, whose fingerprints crowd into
 the same table entries, are drawn together first: each fingerprint is linked to its next few neighbours in the order of every
 table entry, and the components of these links are found. The full look-up then asks only for links between different such
-components, so it returns few rows from a dense group, yet no component is missed.
+components, so it returns few rows from a dense group, yet no component is missed. Where an entry is crowded, most of its fingerprints
+are of one component by then: these look only at the entry's others, so a crowd isn't compared with itself.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seqspark.operators.cluster import components
 
-from .common import sized, table, written
+from .common import discard, sized, spare, table, written
 
 SHINGLE_WORDS, SEED, DISTANCE, SEGMENTS = 4, 42, 4, 3
 #: Neighbours in the order of a table entry that are compared first.
 NEAR = 3
+#: Fingerprints in a table entry from which its largest component is set apart.
+CROWD = 200
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -98,14 +100,27 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def crowds(fps: DataFrame, segments: int = SEGMENTS, least: int = CROWD) -> DataFrame:
+    """``(seg, val, most)``: the component with most fingerprints in each table entry of more than ``least``."""
+    each = tables(fps, segments).groupBy("seg", "val", "comp").agg(F.count("*").alias("n"))
+    return each.groupBy("seg", "val").agg(F.sum("n").alias("all"), F.max_by("comp", F.struct("n", "comp")).alias("most")).where(F.col("all") > least).select("seg", "val", "most")
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """``(a, b)``: pairs of ``fps`` (columns ``fp``, ``comp``) at ``distance`` or fewer bits whose ``comp`` differ, each at one table at most."""
+    """``(a, b)``: pairs of ``fps`` (columns ``fp``, ``comp``) at ``distance`` or fewer bits whose ``comp`` differ, each at one table at most.
+
+    The fingerprints of a crowded entry are cut in two: those of its largest component (``other`` false) and the others. A look-up from that component needs only the others.
+    """
     if distance // segments > 1:
         raise ValueError("balls of radius one need distance < 2 * segments")
-    ask = balls(fps, segments).select(F.col("fp").alias("a"), F.col("comp").alias("ca"), "seg", "val", "same")
-    have = tables(fps, segments).select(F.col("fp").alias("b"), F.col("comp").alias("cb"), "seg", "val")
+    crowd = sized(written(crowds(fps, segments), "op9-crowds"), "merge")
+    lone = F.coalesce(F.col("comp") != F.col("most"), F.lit(False))
+    have = tables(fps, segments).join(crowd, ["seg", "val"], "left").select(F.col("fp").alias("b"), F.col("comp").alias("cb"), "seg", "val", lone.alias("other"))
+    no, yes = F.lit(False), F.lit(True)
+    sides = F.when(F.col("most").isNull(), F.array(no)).when(lone, F.array(no, yes)).otherwise(F.array(yes))
+    ask = balls(fps, segments).join(crowd, ["seg", "val"], "left").select(F.col("fp").alias("a"), F.col("comp").alias("ca"), "seg", "val", "same", F.explode(sides).alias("other"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    cond = (ask["seg"] == have["seg"]) & (ask["val"] == have["val"]) & (F.col("ca") != F.col("cb")) & (_apart(F.col("a"), F.col("b")) <= distance) & (~F.col("same") | (F.col("a") < F.col("b")))
+    cond = (ask["seg"] == have["seg"]) & (ask["val"] == have["val"]) & (ask["other"] == have["other"]) & (F.col("ca") != F.col("cb")) & (_apart(F.col("a"), F.col("b")) <= distance) & (~F.col("same") | (F.col("a") < F.col("b")))
     seg = ask["seg"]
     for s, (lo, hi) in enumerate(_bounds(segments)[:-1]):
         cond &= (seg <= s) | (F.bit_count(x.bitwiseAND(F.lit(_mask(lo, hi)).cast("long"))) > 1)
@@ -113,11 +128,27 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
 
 
 def neighbour_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, near: int = NEAR) -> DataFrame:
-    """``(a, b)``: links between a fingerprint and its next ``near`` ones in the order of each table entry: no pairs, a constant number of looks a row."""
-    order = Window.partitionBy("seg", "val").orderBy("fp")
-    next_ = tables(fps, segments).select("fp", F.array(*[F.lead("fp", k).over(order) for k in range(1, near + 1)]).alias("n"))
-    found = next_.select(F.col("fp").alias("a"), F.explode(F.array_compact("n")).alias("b"))
-    return found.where(_apart(F.col("a"), F.col("b")) <= distance).distinct()
+    """``(a, b)``: links between a fingerprint and its next ``near`` ones in the order of each table entry: no pairs, a constant number of looks a row.
+
+    Entries are dealt by ranges of (entry, fingerprint), so a crowded one is cut; a link across a cut is left to :func:`links`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)
+        for batch in batches:
+            x = np.concatenate((held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)))
+            out = []
+            for k in range(1, near + 1):
+                a, b = x[:-k], x[k:]
+                fresh = np.arange(k, len(x)) >= len(held)
+                ok = fresh & (a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1]) & (np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64)) <= distance)
+                out.append(np.stack((a[ok, 2], b[ok, 2]), axis=1))
+            got, held = np.concatenate(out), x[-near:]
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tables(fps, segments).select("seg", "val", "fp").repartitionByRange(parts, "seg", "val", "fp").sortWithinPartitions("seg", "val", "fp")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined(fps: DataFrame, comps: DataFrame) -> DataFrame:
@@ -134,10 +165,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, segment
     near = written(_joined(nodes, components(neighbour_links(classes.select("fp"), distance, segments))), "op9-near")
     far = links(near, distance, segments)
     moved = far.join(near.select(F.col("fp").alias("a"), F.col("comp").alias("ca")).hint("merge"), "a").join(near.select(F.col("fp").alias("b"), F.col("comp").alias("cb")).hint("merge"), "b")
-    last = _joined(near, components(moved.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-    named = last.join(classes.hint("merge"), "fp")
-    name = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    known = written(last.join(name.hint("merge"), "comp").select("fp", "comp", "component_id"), "op9-components")
+    last = written(_joined(near, components(moved.select(F.col("ca").alias("a"), F.col("cb").alias("b")))), "op9-last")
+    # written apart, so that neither join needs a component's fingerprints in one task
+    least = written(last.join(classes.hint("merge"), "fp").groupBy("comp").agg(F.min("least").alias("component_id")), "op9-names")
+    known = written(last.join(sized(least, "merge"), "comp").select("fp", "comp", "component_id"), "op9-components")
+    discard(near, last, least, classes)
     return rows.join(known.hint("merge"), "fp")
 
 
@@ -153,16 +185,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id, null ids last.
 
-    Of several rows with that id one text stays, the same whenever the same rows are given; of exact repeats of that row one stays. Columns stay.
+    Of several rows with that id one text stays, the same whenever the same rows are given; of exact repeats of that row one stays. Columns stay, whatever
+    their names. Null, empty and blank texts are one group. An empty table gives an empty result.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("w")
     group = _grouped(docs, id_col, text_col, DISTANCE, SEGMENTS)
     best = written(group.groupBy("comp").agg(first).select("w.key"), "op9-kept")
     again = written(group.groupBy("key").count().where("count > 1").select("key"), "op9-repeats")
     once, more = best.join(again.hint("merge"), "key", "left_anti"), best.join(again.hint("merge"), "key", "left_semi")
-    keyed = docs.withColumn("__key", _key(id_col, text_col))
-    kept = keyed.join(once.select(F.col("key").alias("__key")).hint("shuffle_hash"), "__key", "left_semi")
-    repeated = keyed.join(sized(more.select(F.col("key").alias("__key"))), "__key", "left_semi").dropDuplicates(["__key"])
+    key = spare("doc_key", docs)
+    keyed = docs.withColumn(key, _key(id_col, text_col))
+    kept = keyed.join(once.select(F.col("key").alias(key)).hint("shuffle_hash"), key, "left_semi")
+    repeated = keyed.join(sized(more.select(F.col("key").alias(key))), key, "left_semi").dropDuplicates([key])
     return kept.unionByName(repeated).select(*docs.columns)
 
 

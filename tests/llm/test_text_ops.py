@@ -73,6 +73,33 @@ def test_links_are_complete(spark):
     assert got == want
 
 
+def test_crowded_entries_lose_no_link(spark, monkeypatch):
+    """A table entry crowded by one component, and strangers within reach of it: components as by all pairs."""
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    rng = np.random.default_rng(8)
+    low = int(rng.integers(0, 1 << 21))
+    fps = set()
+    for k in range(3):  # three groups that agree in the first segment
+        centre = (int(rng.integers(0, 1 << 42)) << 21) | low
+        for _ in range(40 if k else 150):
+            x = centre
+            for b in rng.choice(np.arange(21, 64), int(rng.integers(0, 6)), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps |= {next(iter(fps)) ^ 0b11101 << 30, int(rng.integers(0, 1 << 62))}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, id long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: df.selectExpr("id", "cast(id as string) as key", "fp"))
+    got = {r.id: r.component_id for r in simhash._grouped(df, "id", "fp", 4, 3).collect()}
+    assert [got[i] for i in range(len(fps))] == brute_groups(fps)
+    everyone = df.selectExpr("fp", "fp as comp")
+    pairs = {tuple(sorted(r)) for r in simhash.links(everyone).collect()}
+    near = {tuple(sorted(r)) for r in simhash.neighbour_links(everyone.select("fp")).collect()}
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4}
+    assert pairs == want and near and near <= want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (4, 1), (5, 5)] + [(i, i + 1) for i in range(100, 140)]
     got = dict(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
