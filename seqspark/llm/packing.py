@@ -1,8 +1,8 @@
 """Sequence packing: first-fit decreasing with a tournament tree, run in randomised groups of documents.
 
-Documents become token ids in one pass, are cut into pieces of at most ``capacity`` ids, and pieces ride with their payload to
-a group chosen by a hash. The number of groups grows with the corpus, so a group stays near ``docs_per_group`` documents
-however large the corpus is, and groups are packed independently of each other. Inside a group the pieces go, longest first,
+Documents become token ids in one pass, are cut into pieces of at most ``capacity`` ids, and each piece rides with its payload to
+a group of its own choice by a hash. The number of groups grows with the bytes of the corpus, so a group stays near ``group_bytes`` of text
+however many or long the documents are, and groups are packed independently of each other. Inside a group the pieces go, longest first,
 to the first sequence with room, found by descending a tournament tree over the sequences' free room.
 """
 
@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CAPACITY, DOCS_PER_GROUP, END_ID = 2048, 4096, 1
+CAPACITY, END_ID = 2048, 1
+#: Bytes of text a group; a token has one at least.
+GROUP_BYTES = 12 << 20
+#: Ids that a task gathers before it passes pieces on.
+HELD = 4 << 20
 #: Entries of a task's piece cache; it is emptied when full.
 CACHE = 800_000
 _AWKWARD = re.compile(r"\s\s|\A\s|\s\Z")
@@ -81,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None =
     """``(doc_id, start, length, ids, ids_crc32, doc_tokens, spread)``: every document's ids, ended by ``end_id``, cut into pieces of ``capacity`` and a rest.
 
     A null text is empty and so has only the end id. ``ids`` is null without ``keep_ids``; ``spread`` is a hash of the row's
-    content and place that deals it to a group.
+    content and place and the piece's start that deals it to a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,19 +93,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None =
         cache = _Pieces(short) if short else None
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "spread"]
+
+        def batch(b, at, out):
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(out, types))], names)
+
         for n, b in enumerate(batches):
-            out: list[list] = [[] for _ in range(6)]
-            at = []
+            out: list[list] = [[] for _ in types]
+            at, held = [], 0
             for i, t in enumerate(b.column(1)):
                 buf = encode_text(t.as_py() or "", whole, cache) + end
                 tokens, key = len(buf) // 4, zlib.crc32(f"{task}:{n}:".encode() + buf)
                 for s in range(0, tokens, capacity):
                     part = buf[4 * s : 4 * (s + capacity)]
                     at.append(i)
-                    for col, v in zip(out, (s, len(part) // 4, np.frombuffer(part, "<u4") if keep_ids else None, zlib.crc32(part), tokens, key)):
+                    for col, v in zip(out, (s, len(part) // 4, np.frombuffer(part, "<u4") if keep_ids else None, zlib.crc32(part), tokens, zlib.crc32(s.to_bytes(8, "little"), key))):
                         col.append(v)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(out, types))], ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "spread"])
+                held += tokens
+                if held > HELD:
+                    yield batch(b, at, out)
+                    out, at, held = [[] for _ in types], [], 0
+            yield batch(b, at, out)
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -150,13 +163,14 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, seed: int = 0
     return dealt.groupBy("grp").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, docs_per_group: int = DOCS_PER_GROUP, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, keep_ids: bool = True) -> DataFrame:
     """Each piece of every document with the sequence and offset that it is packed at.
 
     Null and empty texts are one piece with the end id. Repeated rows and null ids are packed like others. Other columns are
-    ignored. An empty table gives an empty result.
+    ignored, whatever their names. An empty table gives an empty result. The pieces of a very long text are packed in many groups.
     """
-    groups = max(1, -(-docs.count() // docs_per_group))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1)).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
     return pack(token_pieces(docs, tokenizer_path, ranks_path, id_col, text_col, capacity, keep_ids=keep_ids), groups, capacity)
 
 

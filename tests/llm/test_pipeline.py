@@ -31,4 +31,4 @@ def test_stages(spark, tmp_path):
     assert secret_scan.scan(secret).where("size(spans) > 0").count() == 0
     assert secret.where("doc_id = 102").first().n_chars == len(secret.where("doc_id = 102").first().text)
     assert secret.where("doc_id = 1").first().text == body(1)
-    spark.read.parquet(f"{d}/packing").where("length > 2048").count() == 0
+    assert spark.read.parquet(f"{d}/packing").where("length > 2048").count() == 0

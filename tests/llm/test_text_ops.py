@@ -308,7 +308,7 @@ def test_packing_round_trip(spark):
     texts = ODD + ["lead  two\n\nlines ", " a", "it's we'll\nsee <|endoftext|> x", "word " * 4000]
     df = docs(spark, *texts)
     df = df.union(df.where("doc_id = 8"))
-    rows = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), docs_per_group=4).collect()
+    rows = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), group_bytes=9000).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
