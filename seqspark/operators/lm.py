@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stages import running, written
+
 SEP, BOS, FLOOR = "\u0001", "<BOS>", 1e-12
 
 
@@ -113,23 +115,26 @@ class KneserNey:
     """Modified Kneser-Ney of order ``n``: raw counts at the top, counts of distinct left tokens below, three discounts an order, uniform base."""
 
     def __init__(self, rows: DataFrame, folds: int, n: int):
-        """``rows``: :func:`histories` to ``n - 1``, padded."""
+        """``rows``: :func:`histories` to ``n - 1``, padded. Tokens are counted once by their own fold; the counts, not the tokens, are added up for each fold. All tables are written."""
         self.n = n
-        tr = training(rows, folds)
+        hs = [f"h{k}" for k in range(n)]
+        by_own = written(rows.groupBy("own", *hs, "token").agg(F.count("*").alias("c")), "ngrams")
+        tr = training(by_own, folds).select("fold", *hs, "token", "c")
         self.counts: list[DataFrame | None] = [None] * (n + 1)
         self.totals: list[DataFrame | None] = [None] * (n + 1)
-        self.counts[n] = tr.groupBy("fold", F.col(f"h{n - 1}").alias("h"), "token").agg(F.count("*").alias("c"))
-        for k in range(1, n):
-            grams = tr.select("fold", F.col(f"h{k}").alias("g"), F.col(f"h{k - 1}").alias("h"), "token").distinct()
-            self.counts[k] = grams.groupBy("fold", "h", "token").agg(F.count("*").alias("c"))
+        top = written(tr.groupBy("fold", *hs, "token").agg(F.sum("c").alias("c")), "counts")  # an n-gram a row: lower orders need no other
+        self.counts[n] = top.select("fold", F.col(hs[-1]).alias("h"), "token", "c")
+        for k in range(1, n):  # distinct left tokens
+            grams = top.select("fold", f"h{k}", f"h{k - 1}", "token").distinct() if k < n - 1 else top.select("fold", f"h{k}", f"h{k - 1}", "token")
+            self.counts[k] = written(grams.groupBy("fold", F.col(f"h{k - 1}").alias("h"), "token").agg(F.count("*").alias("c")), "counts")
         for k in range(1, n + 1):
             d = self._discounts(self.counts[k])
             x = self.counts[k].join(F.broadcast(d), "fold")  # a row a fold
             take = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-            x = x.withColumn("kept", F.greatest(F.col("c") - take, F.lit(0.0)))
-            self.totals[k] = x.groupBy("fold", "h").agg(F.sum("c").alias("ch"), (F.sum(take) / F.sum("c")).alias("gamma"))
+            x = written(x.withColumn("take", take).select("fold", "h", "token", "c", "take", F.greatest(F.col("c") - F.col("take"), F.lit(0.0)).alias("kept")), "kept")
+            self.totals[k] = written(x.groupBy("fold", "h").agg(F.sum("c").alias("ch"), (F.sum("take") / F.sum("c")).alias("gamma")), "totals")
             self.counts[k] = x.select("fold", "h", "token", "c", "kept")
-        self.v = tr.groupBy("fold").agg(F.count_distinct("token").alias("v"))
+        self.v = written(self.counts[1].groupBy("fold").agg(F.count("*").alias("v")), "vocabulary")
 
     @staticmethod
     def _discounts(counts: DataFrame) -> DataFrame:
@@ -151,7 +156,8 @@ class KneserNey:
             h = f"h{k - 1}"
             c = self.counts[k].select("fold", F.col("h").alias(h), "token", "kept")
             t = self.totals[k].select("fold", F.col("h").alias(h), "ch", "gamma")
-            x = x.join(t.hint("merge"), ["fold", h], "left").join(c.hint("merge"), ["fold", h, "token"], "left")
+            t = t.hint("broadcast" if k == 1 else "merge")  # of the empty history there is a row a fold
+            x = x.join(t, ["fold", h], "left").join(c.hint("merge"), ["fold", h, "token"], "left")
             x = x.withColumn("p", F.when(F.col("ch").isNull(), F.col("p")).otherwise(F.coalesce("kept", F.lit(0.0)) / F.col("ch") + F.col("gamma") * F.col("p"))).drop("ch", "gamma", "kept")
         return x
 
@@ -164,17 +170,21 @@ class KneserNey:
         for k in range(1, self.n + 1):
             hs = [f"h{i}" for i in range(k)]
             keys = hist.select("fold", *hs).distinct()
-            cand = keys.join(self.counts[k].select("fold", F.col("h").alias(hs[-1]), "token").hint("merge"), ["fold", hs[-1]])
+            keys = written(keys, "histories") if k < self.n else keys
+            seen = self.counts[k].select("fold", F.col("h").alias(hs[-1]), "token")
+            cand = seen.join(F.broadcast(keys), ["fold", hs[-1]]).select("fold", *hs, "token") if k == 1 else keys.join(seen.hint("merge"), ["fold", hs[-1]])  # of the empty history there is a row a fold
             if best is not None:
-                cand = cand.unionByName(keys.join(best.select("fold", *hs[:-1], F.col("best").alias("token")).hint("merge"), ["fold", *hs[:-1]])).distinct()
+                lower = best.select("fold", *hs[:-1], F.col("best").alias("token")).hint("broadcast" if k == 2 else "merge")
+                cand = cand.unionByName(keys.join(lower, ["fold", *hs[:-1]])).distinct()
             x = self.prob(cand, k)
             best = x.groupBy("fold", *hs).agg(F.min_by("token", F.struct(-F.round("p", 12), F.col("token"))).alias("best"))
+            best = written(best, "best") if k < self.n else best
         return best
 
 
 def kneser_ney(df: DataFrame, folds: int, n: int = 5) -> DataFrame:
     """Scored test tokens, every position, of the modified Kneser-Ney model."""
-    rows = histories(df, n - 1)
+    rows = written(histories(df, n - 1), "histories")
     m, hs = KneserNey(rows, folds, n), [f"h{i}" for i in range(n)]
     te = testing(rows)
     p = m.prob(te.select("fold", *hs, "token").distinct())
@@ -186,7 +196,7 @@ def kneser_ney(df: DataFrame, folds: int, n: int = 5) -> DataFrame:
 def kneser_ney_labels(df: DataFrame, folds: int, n: int = 3) -> DataFrame:
     """Scored test rows of the model on ``token``, summed over the tokens of the true ``label`` (a column of ``df``, a function of the token)."""
     lab = df.select("token", "label").distinct()
-    rows, hs = histories(df, n - 1), [f"h{i}" for i in range(n)]
+    rows, hs = written(histories(df, n - 1), "histories"), [f"h{i}" for i in range(n)]
     m = KneserNey(rows, folds, n)
     te = testing(rows).join(lab.hint("shuffle_hash"), "token")
     asked = te.select("fold", *hs, "label").distinct().join(lab.select("label", F.col("token").alias("token")).hint("shuffle_hash"), "label")
@@ -211,20 +221,26 @@ def ppm_d(df: DataFrame, folds: int, order: int = 7) -> DataFrame:
     for each history, made when fitting. The best token of an order that a longer history doesn't exclude is among as many most
     frequent ones as are excluded, and one more.
     """
-    rows = histories(df, order, pad=None)
-    tr = training(rows, folds)
-    t = [tr.where(F.col(f"h{k}").isNotNull()).groupBy("fold", F.col(f"h{k}").alias("h"), *([F.col(f"h{k - 1}").alias("up")] if k else []), "token").agg(F.count("*").alias("c")) for k in range(order + 1)]
-    tot = [x.groupBy("fold", "h", *(["up"] if k else [])).agg(F.sum("c").alias("ch"), F.count("*").alias("u")) for k, x in enumerate(t)]
+    rows = written(histories(df, order, pad=None), "histories")
+    t = []
+    for k in range(order + 1):
+        own = rows.where(F.col(f"h{k}").isNotNull()).groupBy("own", F.col(f"h{k}").alias("h"), *([F.col(f"h{k - 1}").alias("up")] if k else []), "token").agg(F.count("*").alias("c"))
+        t.append(written(training(own, folds).groupBy("fold", "h", *(["up"] if k else []), "token").agg(F.sum("c").alias("c")), "counts"))
+    tot = [written(x.groupBy("fold", "h", *(["up"] if k else [])).agg(F.sum("c").alias("ch"), F.count("*").alias("u")), "totals") for k, x in enumerate(t)]
     # counts of the tokens seen after h, in the table of its suffix
     excl = [None] + [t[k].select("fold", "h", "up", "token").join(t[k - 1].select("fold", F.col("h").alias("up"), "token", "c").hint("merge"), ["fold", "up", "token"]).groupBy("fold", "h").agg(F.sum("c").alias("xc")) for k in range(1, order + 1)]
-    ranked = [x.withColumn("r", F.row_number().over(Window.partitionBy("fold", "h").orderBy(F.desc("c"), "token"))) for x in t]
-    v = tr.groupBy("fold").agg(F.count_distinct("token").alias("v"))
+    ranked = [x.withColumn("r", F.row_number().over(Window.partitionBy("fold", "h").orderBy(F.desc("c"), "token"))) if k else None for k, x in enumerate(t)]
+    # the empty history has a fold's whole vocabulary, so that is ranked by ranges
+    vocabulary = running(t[0].withColumn("m", -F.col("c")), ["fold", "m", "token"], rank="__r").drop("m")
+    first = vocabulary.groupBy("fold").agg((F.min("__r") - 1).alias("__s"))  # a row a fold
+    ranked[0] = vocabulary.join(F.broadcast(first), "fold").withColumn("r", (F.col("__r") - F.col("__s")).cast("int")).drop("__r", "__s")
+    v = written(t[0].groupBy("fold").agg(F.count("*").alias("v")), "vocabulary")
     te = testing(rows)
     x = te.withColumns({"w": F.lit(1.0), "p": F.lit(None).cast("double"), "bp": F.lit(-1.0), "bt": F.lit(None).cast("string"), "xc": F.lit(0).cast("long"), "xu": F.lit(0).cast("long"), "longer": F.lit(None).cast("string")})
     for k in range(order, -1, -1):
         h = f"h{k}"
         a = tot[k].select("fold", F.col("h").alias(h), "ch", "u")
-        x = x.join(a.hint("merge"), ["fold", h], "left").join(t[k].select("fold", F.col("h").alias(h), "token", F.col("c").alias("ct")).hint("merge"), ["fold", h, "token"], "left")
+        x = x.join(a.hint("merge" if k else "broadcast"), ["fold", h], "left").join(t[k].select("fold", F.col("h").alias(h), "token", F.col("c").alias("ct")).hint("merge"), ["fold", h, "token"], "left")
         eff, uniq = F.col("ch") - F.col("xc"), F.col("u") - F.col("xu")
         live = F.col("ch").isNotNull() & (uniq > 0)
         # the best token here that the longer history doesn't exclude
@@ -245,6 +261,7 @@ def ppm_d(df: DataFrame, folds: int, order: int = 7) -> DataFrame:
             here = F.col("ch").isNotNull()
             x = x.withColumns({"xc": F.when(here, F.col("nx")).otherwise(F.lit(0)).cast("long"), "xu": F.when(here, F.col("u")).otherwise(F.lit(0)).cast("long"), "longer": F.when(here, F.col(h))}).drop("nx")
         x = x.drop("ch", "u", "ct", "bc", "bn")
+        x = written(x, "scored") if k else x
     x = x.join(F.broadcast(v), "fold")  # a row a fold
     return x.select("fold", "seq", "pos", "token", (F.col("p") + F.col("w") / F.col("v")).alias("p"), (F.col("bt") == F.col("token")).alias("hit"))
 

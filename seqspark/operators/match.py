@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import sized
+from .stages import quantiles, sized, small, written
 
 K, MIN_ANCHORS, TAU_FLOOR, DIGITS, PART = 5, 6, 0.10, 9, 2048
 
@@ -22,7 +22,7 @@ def truth_join(rows: DataFrame, truth: DataFrame, key: str, truth_key: str, labe
     """``rows`` with the truth's label by string key; the first label of a key wins; rows outside ``restrict`` get none."""
     t = truth.select(F.col(truth_key).cast("string").alias("__k"), F.col(label)).where("__k is not null").groupBy("__k").agg(F.min(label).alias(label))
     cond = F.col(key).cast("string") == F.col("__k")
-    return rows.join(sized(t), cond & restrict if restrict is not None else cond, "left").drop("__k")
+    return rows.join(small(t), cond & restrict if restrict is not None else cond, "left").drop("__k")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -36,7 +36,7 @@ def knn(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: s
     With ``cosine``, ``d`` is the cosine similarity and the largest come first.
     """
     size = lambda df, name: df.groupBy(*block).agg(F.ceil(F.count("*") / part).alias(name))
-    parts = size(queries, "qn").join(size(anchors, "an"), block)  # blocks that both sides have
+    parts = written(size(queries, "qn").join(size(anchors, "an").hint("shuffle_hash"), block), "blocks")  # blocks that both sides have
     spread = lambda c, n: F.pmod(F.xxhash64(c), n)
     q = queries.select(*block, F.col(qid).alias("id"), F.col(vec).alias("v")).join(sized(parts), block)
     a = anchors.select(*block, F.col(aid).alias("id"), F.col(vec).alias("v")).join(sized(parts), block)
@@ -88,7 +88,7 @@ def vote(neighbours: DataFrame, labels: DataFrame, block: list[str], aid: str =
 def knn_match(queries: DataFrame, anchors: DataFrame, block: list[str], k: int = K, least: int = MIN_ANCHORS, label: str = "label") -> DataFrame:
     """Blocked kNN vote; blocks with fewer than ``least`` anchors are skipped."""
     full = anchors.groupBy(*block).count().where(F.col("count") >= least).select(*block)
-    use = anchors.join(sized(full), block, "left_semi")
+    use = anchors.join(small(full), block, "left_semi")
     return vote(knn(queries, use, block, k), anchors, block, label=label)
 
 
@@ -100,16 +100,16 @@ def loo_match(anchors: DataFrame, block: list[str], k: int = K, label: str = "la
 def tau_table(anchors: DataFrame, length: str = "n_clicks", label: str = "label", floor: float = TAU_FLOOR) -> DataFrame:
     """``(length, label, tau)``: 99th percentile of nearest same-class distances, at least ``floor``; single members take the median of their length's classes."""
     near = knn(anchors, anchors, [length, label], 1, exclude_self=True)
-    p99 = near.groupBy(length, label).agg(F.percentile("d", F.lit(0.99)).alias("p"))
-    mid = p99.groupBy(length).agg(F.percentile("p", F.lit(0.5)).alias("mid"))
-    every = anchors.select(length, label).distinct().join(p99, [length, label], "left").join(mid, length, "left")
+    p99 = written(quantiles(near, [length, label], "d", [0.99]).select(length, label, F.get("q", F.lit(0)).alias("p")), "tau")
+    mid = quantiles(p99, [length], "p", [0.5]).select(length, F.get("q", F.lit(0)).alias("mid"))
+    every = anchors.select(length, label).distinct().join(p99.hint("shuffle_hash"), [length, label], "left").join(small(mid), length, "left")
     return every.select(length, label, F.greatest(F.coalesce("p", "mid", F.lit(floor)), F.lit(floor)).alias("tau"))
 
 
 def accept(matched: DataFrame, tau: DataFrame, length: str = "n_clicks", label: str = "label") -> DataFrame:
     """``matched`` with ``accepted``: the nearest distance is within the predicted label's threshold; labels without one accept."""
     t = tau.select(length, F.col(label).alias("predicted"), "tau")
-    return matched.join(sized(t), [length, "predicted"], "left").withColumn("accepted", F.col("nearest") <= F.coalesce("tau", F.lit(float("inf")))).drop("tau")
+    return matched.join(small(t), [length, "predicted"], "left").withColumn("accepted", F.col("nearest") <= F.coalesce("tau", F.lit(float("inf")))).drop("tau")
 
 
 def centroids(rows: DataFrame, by: list[str], vec: str = "ici") -> DataFrame:
@@ -119,18 +119,26 @@ def centroids(rows: DataFrame, by: list[str], vec: str = "ici") -> DataFrame:
     return g.withColumn("centroid", F.transform("sums", lambda s: s / F.col("n")))
 
 
+def spread(rows: DataFrame, cents: DataFrame, by: list[str], vec: str = "ici") -> DataFrame:
+    """``(by.., mean_dist, r95)``: mean and 95th percentile of the distances to the class centroid."""
+    d = written(rows.select(*by, vec).join(cents.select(*by, "centroid").hint("shuffle_hash"), by).select(*by, distance(F.col(vec), F.col("centroid")).alias("d")), "distances")
+    q = quantiles(d, by, "d", [0.95]).select(*by, F.get("q", F.lit(0)).alias("r95"))
+    return d.groupBy(*by).agg(F.avg("d").alias("mean_dist")).join(q.hint("shuffle_hash"), by)
+
+
 def class_variance(rows: DataFrame, length: str = "n_clicks", label: str = "label", vec: str = "ici") -> DataFrame:
     """``(length, label, n, centroid, mean_dist, r95, p50, p90, p95, p99)``: distances to the centroid, and quantiles of the nearest same-class distance."""
-    c = centroids(rows, [length, label], vec)
-    d = rows.join(c.select(length, label, "centroid").hint("shuffle_hash"), [length, label]).groupBy(length, label).agg(F.avg(distance(F.col(vec), F.col("centroid"))).alias("mean_dist"), F.percentile(distance(F.col(vec), F.col("centroid")), F.lit(0.95)).alias("r95"))
-    near = knn(rows, rows, [length, label], 1, vec, exclude_self=True).groupBy(length, label).agg(F.percentile("d", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("q"))
-    x = c.join(d, [length, label]).join(near, [length, label], "left")
+    rows = written(rows.select(length, label, vec, "row_id"), "classes")
+    c = written(centroids(rows, [length, label], vec), "centroids")
+    away = spread(rows, c, [length, label], vec)
+    near = quantiles(knn(rows, rows, [length, label], 1, vec, exclude_self=True), [length, label], "d", [0.5, 0.9, 0.95, 0.99])
+    x = c.join(away.hint("shuffle_hash"), [length, label]).join(near.hint("shuffle_hash"), [length, label], "left")
     return x.select(length, label, "n", "centroid", "mean_dist", "r95", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))])
 
 
 def predicted_vs_runner_up(rows: DataFrame, cents: DataFrame, length: str = "n_clicks", predicted: str = "predicted", vec: str = "ici", rid: str = "row_id") -> DataFrame:
     """``(rid, own, other, margin)``: distance to the predicted class's centroid, to the nearest other one, and their difference."""
-    x = rows.select(rid, length, predicted, vec).join(sized(cents.select(length, F.col("label").alias("__l"), "centroid")), length)
+    x = rows.select(rid, length, predicted, vec).join(small(cents.select(length, F.col("label").alias("__l"), "centroid")), length)
     d = distance(F.col(vec), F.col("centroid"))
     g = x.groupBy(rid).agg(F.max(F.when(F.col("__l") == F.col(predicted), d)).alias("own"), F.min(F.when(F.col("__l") != F.col(predicted), d)).alias("other"))
     return g.withColumn("margin", F.col("other") - F.col("own"))
@@ -138,10 +146,9 @@ def predicted_vs_runner_up(rows: DataFrame, cents: DataFrame, length: str = "n_c
 
 def loo_nearest_centroid(rows: DataFrame, length: str = "n_clicks", label: str = "label", vec: str = "ici", rid: str = "row_id", floor: float = TAU_FLOOR) -> DataFrame:
     """``(rid, nearest, d, outlier)``: the nearest class centroid, the own one without the row; an outlier lies beyond the class's r95 or ``floor``."""
-    c = centroids(rows, [length, label], vec)
-    dist = rows.join(c.select(length, label, "centroid").hint("shuffle_hash"), [length, label]).groupBy(length, label).agg(F.percentile(distance(F.col(vec), F.col("centroid")), F.lit(0.95)).alias("r95"))
-    both = c.join(dist, [length, label]).select(length, F.col(label).alias("__l"), "n", "sums", "r95")
-    x = rows.select(rid, length, label, vec).join(sized(both), length).where((F.col("__l") != F.col(label)) | (F.col("n") > 1))
+    c = written(centroids(rows, [length, label], vec), "centroids")
+    both = c.join(spread(rows, c, [length, label], vec).hint("shuffle_hash"), [length, label]).select(length, F.col(label).alias("__l"), "n", "sums", "r95")
+    x = rows.select(rid, length, label, vec).join(small(both), length).where((F.col("__l") != F.col(label)) | (F.col("n") > 1))
     own = F.col("__l") == F.col(label)
     cent = F.when(own, F.zip_with("sums", F.col(vec), lambda s, v: (s - v) / (F.col("n") - 1))).otherwise(F.transform("sums", lambda s: s / F.col("n")))
     d = x.select(rid, "__l", "r95", F.round(distance(F.col(vec), cent), DIGITS).alias("d"))
@@ -152,35 +159,55 @@ def loo_nearest_centroid(rows: DataFrame, length: str = "n_clicks", label: str =
 def nearest_reference(clusters: DataFrame, reference: DataFrame, length: str = "n_clicks", name: str = "cluster") -> DataFrame:
     """``(name, length, nearest, d)``: the reference type of the same length with the nearest centroid."""
     r = reference.select(length, F.col("label").alias("__l"), F.col("centroid").alias("__c"))
-    x = clusters.select(name, length, "centroid").join(sized(r), length).withColumn("d", F.round(distance(F.col("centroid"), F.col("__c")), DIGITS))
+    x = clusters.select(name, length, "centroid").join(small(r), length).withColumn("d", F.round(distance(F.col("centroid"), F.col("__c")), DIGITS))
     return x.groupBy(name, length).agg(F.min_by("__l", F.struct("d", "__l")).alias("nearest"), F.min("d").alias("d"))
 
 
 def nearest_other_cluster(clusters: DataFrame, length: str = "n_clicks", name: str = "cluster") -> DataFrame:
     """``(name, length, nearest, d)`` among the other clusters of the same length."""
     o = clusters.select(length, F.col(name).alias("__n"), F.col("centroid").alias("__c"))
-    x = clusters.select(name, length, "centroid").join(sized(o), length).where(F.col(name) != F.col("__n")).withColumn("d", F.round(distance(F.col("centroid"), F.col("__c")), DIGITS))
+    x = clusters.select(name, length, "centroid").join(small(o), length).where(F.col(name) != F.col("__n")).withColumn("d", F.round(distance(F.col("centroid"), F.col("__c")), DIGITS))
     return x.groupBy(name, length).agg(F.min_by("__n", F.struct("d", "__n")).alias("nearest"), F.min("d").alias("d"))
 
 
-def group_summary(rows: DataFrame, group: str, label: str, length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", cap: int = 1500, top: int = 5) -> DataFrame:
-    """``(group, n, top, coverage, spread)``: the most frequent labels, their share, and the mean pairwise distance, weighted by the lengths' sizes.
+def pair_means(rows: DataFrame, by: list[str], vec: str = "ici", rid: str = "row_id", part: int = PART) -> DataFrame:
+    """``(by.., m)``: the mean distance over all pairs of each group's rows, by blocks that return one sum each; null for a single row. Vectors of a group have one length."""
+    parts = written(rows.groupBy(*by).agg(F.ceil(F.count("*") / part).alias("parts"), F.count("*").alias("n")), "pair-parts")
+    x = rows.select(*by, F.col(vec).alias("v"), rid).join(sized(parts), by).withColumn("p", F.pmod(F.xxhash64(rid), F.col("parts")))
+    below, above = F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))), F.explode(F.sequence(F.col("p"), F.col("parts") - 1))
+    left, right = x.select(*by, "v", F.col("p").alias("lp"), above.alias("rp")), x.select(*by, "v", below.alias("lp"), F.col("p").alias("rp"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own columns, though both sides are one table
+    kind = {f.name: f.dataType.simpleString() for f in left.schema}
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in [*by, "s"]})
+        p, q, total = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), 0.0
+        for i in range(0, len(p), 256):
+            total += float(np.sqrt(((p[i : i + 256, None, :] - q[None, :, :]) ** 2).sum(axis=2)).sum())
+        same = a["lp"].iloc[0] == a["rp"].iloc[0]  # a part with itself meets each pair twice
+        return pd.DataFrame({**{c: [a[c].iloc[0]] for c in by}, "s": [total / 2 if same else total]})
+
+    keys = [*by, "lp", "rp"]
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, ", ".join([*[f"`{c}` {kind[c]}" for c in by], "s double"])).groupBy(*by).agg(F.sum("s").alias("s"))
+    return sums.join(sized(parts), by).select(*by, F.when(F.col("n") > 1, F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("m"))
 
-    Pairs are taken among at most ``cap`` rows of a group and length, chosen by a mixed id: the cap is the sample size of this estimate.
+
+def group_summary(rows: DataFrame, group: str, label: str, length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", cap: int | None = 1500, top: int = 5) -> DataFrame:
+    """``(group, n, top, coverage, spread, nn_p50, nn_p90)``: the most frequent labels, their share, the mean pairwise distance, weighted by the lengths' sizes, and quantiles of the nearest distance in the group.
+
+    Pairs are taken among at most ``cap`` rows of a group and length, chosen by a mixed id (the cap is the sample size of this estimate), or among all rows without a cap.
     """
+    rows = written(rows.select(group, label, length, vec, rid), "groups")
     c = rows.groupBy(group, label).agg(F.count("*").alias("c")).withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), label)))
     t = c.groupBy(group).agg(F.sum("c").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.struct("r", label)))), lambda s: s[label]), ",").alias("top"), (F.sum(F.when(F.col("r") <= top, F.col("c"))) / F.sum("c")).alias("coverage"))
-    mixed = F.pmod(F.col(rid) * 2654435761, F.lit(4294967296))
-    s = rows.select(group, length, rid, vec, F.row_number().over(Window.partitionBy(group, length).orderBy(mixed, rid)).alias("r")).where(F.col("r") <= cap)
-    kind = {f.name: f.dataType.simpleString() for f in s.schema}
-
-    def mean_pair(pdf: pd.DataFrame) -> pd.DataFrame:  # at most cap rows
-        x = np.stack(pdf[vec]).astype(float)
-        total = sum(float(np.sqrt(((x[i + 1 :] - x[i]) ** 2).sum(axis=1)).sum()) for i in range(len(x) - 1))
-        pairs = len(x) * (len(x) - 1) / 2
-        return pd.DataFrame({group: [pdf[group].iloc[0]], length: [pdf[length].iloc[0]], "m": [total / pairs if pairs else np.nan]})
-
-    m = s.groupBy(group, length).applyInPandas(mean_pair, f"`{group}` {kind[group]}, `{length}` {kind[length]}, m double").where(~F.isnan("m"))
     size = rows.groupBy(group, length).agg(F.count("*").alias("w"))
-    spread = m.join(size, [group, length]).groupBy(group).agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("spread"))
-    return t.join(spread, group, "left")
+    some = rows
+    if cap is not None:
+        mixed = F.pmod(F.col(rid) * 2654435761, F.lit(4294967296))
+        some = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group, length).orderBy(mixed, rid))).where(F.col("__r") <= cap).drop("__r")
+    m = pair_means(some, [group, length], vec, rid).where("m is not null")
+    apart = m.join(size.hint("shuffle_hash"), [group, length]).groupBy(group).agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("spread"))
+    near = quantiles(knn(rows, rows, [group, length], 1, vec, rid, rid, exclude_self=True), [group], "d", [0.5, 0.9])
+    out = t.join(apart.hint("shuffle_hash"), group, "left").join(near.hint("shuffle_hash"), group, "left")
+    return out.select(group, "n", "top", "coverage", "spread", F.get("q", F.lit(0)).alias("nn_p50"), F.get("q", F.lit(1)).alias("nn_p90"))

@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 
 from seqspark.functions import columns as C
 
-from .tokens import sized
+from .stages import quantiles, sized, small, written
 
 
 def position_edges(df: DataFrame, vec: str = "ici", bins: int = 4) -> DataFrame:
     """``(pos, edges)``: exact quantile edges of each position (from 1) with at least ``10 * bins`` values and two distinct edges."""
-    e = df.select(F.posexplode(vec).alias("i", "x")).where("x is not null")
-    q = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    g = e.groupBy((F.col("i") + 1).alias("pos")).agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.percentile("x", q))).alias("edges"))
+    e = written(df.select(F.posexplode(vec).alias("i", "x")).where("x is not null").select((F.col("i") + 1).alias("pos"), "x"), "positions")
+    q = quantiles(e, ["pos"], "x", [i / bins for i in range(bins + 1)]).select("pos", F.array_sort(F.array_distinct("q")).alias("edges"))
+    g = e.groupBy("pos").agg(F.count("*").alias("n")).join(q.hint("shuffle_hash"), "pos")
     return g.where((F.col("n") >= 10 * bins) & (F.size("edges") > 1)).select("pos", "edges")
 
 
@@ -41,7 +41,7 @@ def bin_means(df: DataFrame, edges: DataFrame, vec: str = "ici", sym: str = "sym
 def desymbolise(df: DataFrame, means: DataFrame, key: str, sym: str = "sym", fallback: float = 0.25, out: str = "timing") -> DataFrame:
     """``(key, out)``: a string's symbols as intervals in order, ``fallback`` for an unknown one."""
     x = df.select(key, F.posexplode(F.filter(F.split(sym, ""), lambda s: s != "")).alias("i", "symbol")).withColumn("pos", F.col("i") + 1)
-    x = x.join(sized(means), ["pos", "symbol"], "left")
+    x = x.join(small(means), ["pos", "symbol"], "left")
     return x.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("mean", F.lit(fallback)).alias("m")))), lambda s: s["m"]).alias(out))
 
 
@@ -94,12 +94,22 @@ def label_strings(df: DataFrame, label: str, sym: str = "sym") -> DataFrame:
     return c.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("c"), "string")))
 
 
-def bin_sensitivity(df: DataFrame, bins: tuple = (2, 3, 4, 7, 10), vec: str = "ici", least: int = 2) -> DataFrame:
-    """``(bins, strings, events, top_share)`` for several numbers of bins in one plan."""
+def bin_sensitivity(df: DataFrame, segment, bins: tuple = (2, 3, 4, 7, 10), vec: str = "ici", label: str = "label", least: int = 2, often: int = 50, head: int = 20) -> DataFrame:
+    """``(bins, strings, inventory, segmented, mean_length, top_purity, confined, spanning)`` for several numbers of bins.
+
+    ``segment`` cuts the unique strings of ``(string, c)`` into ``(string, segs)``. ``segmented`` is the share of occurrences whose string is cut into two or more,
+    ``mean_length`` that of a segment in symbols. Purity is that of the ``head`` most frequent segments; only segments seen ``often`` count as confined to a label or spanning several.
+    """
     out = None
-    for b in bins:
-        s = string_corpus(symbol_strings(df, position_edges(df, vec, b), vec, bins=b), least=least)
-        g = s.agg(F.lit(b).alias("bins"), F.count("*").alias("strings"), F.sum("c").alias("events"), (F.max("c") / F.sum("c")).alias("top_share"))
+    for b in bins:  # a handful of branches
+        x = written(symbol_strings(df, position_edges(df, vec, b), vec, bins=b), "bins")
+        segs = written(segment(string_corpus(x, least=least)), "segments")
+        cut = x.select(F.col("sym").alias("string"), label).join(small(segs), "string")
+        each = cut.agg(F.avg((F.size("segs") > 1).cast("double")).alias("segmented"), (F.sum(F.length("string")) / F.sum(F.size("segs"))).alias("mean_length"))
+        names = segs.agg(F.count("*").alias("strings")).crossJoin(F.broadcast(segs.select(F.explode("segs").alias("s")).agg(F.count_distinct("s").alias("inventory"))))  # one row each
+        t = tension_summary(segment_purity(x, segs, "sym", label), often, head)
+        row = names.crossJoin(F.broadcast(each)).crossJoin(F.broadcast(t))  # one row each
+        g = row.select(F.lit(b).alias("bins"), "strings", "inventory", "segmented", "mean_length", "top_purity", "confined", "spanning")
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -179,3 +189,24 @@ def predicted_strings(best_label: DataFrame, table: DataFrame) -> DataFrame:
     """``(key, pred)``: the most frequent training string of the predicted label; empty for an unseen label."""
     top = table.where("r = 1").select("label", F.col("string").alias("pred"))
     return best_label.join(sized(top), "label", "left").select("key", F.coalesce("pred", F.lit("")).alias("pred"))
+
+
+def next_labels(rows: DataFrame, folds: int, label: str = "label") -> DataFrame:
+    """``(row_id, fold, pred_label)`` of ``rows`` (row_id, seq, pos, own, label): the likeliest label after the one before, counted in the other folds (ties: the smaller); without one, or after an unseen one, the fold's most frequent."""
+    before = F.lag(label).over(Window.partitionBy("seq").orderBy("pos"))
+    x = written(rows.select("row_id", "own", F.col(label).alias("__l"), before.alias("__b")), "labels")
+    by_own = x.groupBy("own", "__b", "__l").agg(F.count("*").alias("c"))
+    tr = written(by_own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own").groupBy("fold", "__b", "__l").agg(F.sum("c").alias("c")), "transitions")
+    top = F.min_by("__l", F.struct(-F.col("c"), F.col("__l")))
+    after = tr.where("__b is not null").groupBy("fold", "__b").agg(top.alias("nxt"))
+    most = tr.groupBy("fold", "__l").agg(F.sum("c").alias("c")).groupBy("fold").agg(top.alias("most"))  # a row a fold
+    y = x.select("row_id", F.col("own").alias("fold"), "__b").join(small(after), ["fold", "__b"], "left").join(F.broadcast(most), "fold", "left")
+    return y.select("row_id", "fold", F.coalesce("nxt", "most").alias("pred_label"))
+
+
+def held_out_strings(rows: DataFrame, folds: int, label: str = "label", sym: str = "sym") -> DataFrame:
+    """``(row_id, pred)`` of ``rows`` (row_id, seq, pos, own, label, sym): the string most frequent with the predicted label (:func:`next_labels`) in the other folds; empty if these don't have it."""
+    by_own = rows.groupBy("own", F.col(label).alias("pred_label"), F.col(sym).alias("s")).agg(F.count("*").alias("c"))
+    tr = by_own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own").groupBy("fold", "pred_label", "s").agg(F.sum("c").alias("c"))
+    best = tr.groupBy("fold", "pred_label").agg(F.min_by("s", F.struct(-F.col("c"), F.col("s"))).alias("pred"))
+    return next_labels(rows, folds, label).join(small(best), ["fold", "pred_label"], "left").select("row_id", F.coalesce("pred", F.lit("")).alias("pred"))

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stages import quantiles
+
 
 def rate_by(df: DataFrame, key: str, flag: Column, value: str, first: str, order: str) -> DataFrame:
     """``(key, n, flagged, rate, median, first)``; a null key is a group."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(flag.cast("int")).alias("flagged"), F.avg(flag.cast("double")).alias("rate"), F.percentile(value, F.lit(0.5)).alias("median"), F.min_by(first, order).alias("first"))
+    g = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(flag.cast("int")).alias("flagged"), F.avg(flag.cast("double")).alias("rate"), F.min_by(first, order).alias("first"))
+    q = quantiles(df, [key], value, [0.5]).select(F.col(key).alias("__k"), F.get("q", F.lit(0)).alias("median"))
+    return g.join(q.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__k")), "left").select(key, "n", "flagged", "rate", "median", "first")
 
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -17,9 +21,12 @@ QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 def distribution(df: DataFrame, by: str, value: str, approx: bool = False) -> DataFrame:
     """``(by, n, mean, p5..p99)``; ``approx`` uses a quantile sketch."""
-    q = F.array(*map(F.lit, QUANTILES))
-    p = F.percentile_approx(value, q) if approx else F.percentile(value, q)
-    g = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p.alias("q"))
+    own, mean = df.where(F.col(value).isNotNull()).groupBy(by), [F.count("*").alias("n"), F.avg(value).alias("mean")]
+    if approx:
+        g = own.agg(*mean, F.percentile_approx(value, F.array(*map(F.lit, QUANTILES))).alias("q"))
+    else:
+        q = quantiles(df, [by], value, list(QUANTILES)).withColumnRenamed(by, "__k")
+        g = own.agg(*mean).join(q.hint("shuffle_hash"), F.col(by).eqNullSafe(F.col("__k")))
     return g.select(by, "n", "mean", *[F.get("q", F.lit(i)).alias(f"p{int(x * 100)}") for i, x in enumerate(QUANTILES)])
 
 
@@ -96,8 +103,9 @@ def outcome_rollup(df: DataFrame, key: str, truth: Column, predicted: Column, ac
 
 def sweep_summary(df: DataFrame, parameter: str, length: str) -> DataFrame:
     """Accuracy by parameter and by length over ``(parameter, length, n, correct)``, and per length the best parameter (ties: the smaller)."""
-    df.createOrReplaceTempView("__sweep")
-    g = df.sparkSession.sql(f"SELECT {parameter}, {length}, sum(correct) / sum(n) AS accuracy, min_by({parameter}, struct(-correct / n, {parameter})) AS best FROM __sweep GROUP BY GROUPING SETS (({parameter}), ({length}))")
+    p, n = F.col(parameter), F.col(length)
+    x = df.withColumn("__p", p)  # the parameter itself is null in the rows of a length
+    g = x.groupingSets([[p], [n]], p, n).agg((F.sum("correct") / F.sum("n")).alias("accuracy"), F.min_by("__p", F.struct(-F.col("correct") / F.col("n"), F.col("__p"))).alias("best"))
     return g.select(parameter, length, "accuracy", F.when(F.col(parameter).isNull(), F.col("best")).alias("best"))
 
 
@@ -109,5 +117,5 @@ def cluster_records(df: DataFrame, length: str, cluster: str, dur: str, source:
 def cluster_quality(variance: DataFrame, nearest: DataFrame, reference: DataFrame, length: str = "n_clicks", name: str = "cluster", limit: float = 2.0) -> DataFrame:
     """``(name, length, mean_dist, nearest, ratio, collapsed)``: spread against that of the nearest reference type."""
     r = reference.select(length, F.col("label").alias("nearest"), F.col("mean_dist").alias("ref"))
-    x = variance.select(name, length, "mean_dist").join(nearest.select(name, length, "nearest"), [name, length]).join(r, [length, "nearest"], "left")
+    x = variance.select(name, length, "mean_dist").join(nearest.select(name, length, "nearest").hint("shuffle_hash"), [name, length]).join(r.hint("shuffle_hash"), [length, "nearest"], "left")
     return x.select(name, length, "mean_dist", "nearest", F.when(F.col("ref") > 0, F.col("mean_dist") / F.col("ref")).alias("ratio")).withColumn("collapsed", F.coalesce(F.col("ratio") > limit, F.lit(False)))

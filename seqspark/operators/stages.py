@@ -84,6 +84,41 @@ def running(df: DataFrame, order: list, add: str | None = None, rank: str = "ran
     return out.drop("__p", "__in", "__is", "__bn", "__bs")
 
 
+#: Rows up to which exact quantiles are left to one aggregate, which holds a group's distinct values in a task.
+FEW_ROWS = 1_000_000
+
+
+def small(df: DataFrame, other: str = "shuffle_hash") -> DataFrame:
+    """:func:`sized` of a table that is written first, so that it is computed once."""
+    return sized(written(df, "side"), other)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], out: str = "q", few: int | None = None) -> DataFrame:
+    """``(by.., out)``: exact interpolated quantiles of each group as an array; nulls don't count, a group without values is left out.
+
+    Beyond ``few`` rows the values are ranked over the whole table by ranges and only the two neighbours of each quantile are picked, so no task holds a group.
+    """
+    x = written(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), "values")
+    if x.count() <= (FEW_ROWS if few is None else few):
+        got = x.groupBy(*by).agg(F.percentile("__v", F.array(*map(F.lit, probs))).alias(out))
+        return got if by else got.where(F.col(out).isNotNull())
+    ranked = running(x, [*by, "__v"], rank="__r")
+    each = small(ranked.groupBy(*by).agg(F.count("*").alias("__n"), (F.min("__r") - 1).alias("__s")), "merge")
+    same = F.lit(True)
+    for b in by:
+        same &= ranked[b].eqNullSafe(each[b])
+    at = F.col("__r") - F.col("__s") - 1  # from 0 in the group
+    place = [F.lit(float(p)) * (F.col("__n") - 1) for p in probs]
+    near = F.lit(False)
+    for x_ in place:
+        near |= at.isin(F.floor(x_), F.ceil(x_))
+    few_ = ranked.join(each, same).where(near).select(*[ranked[b] for b in by], "__v", "__n", at.alias("__at"))
+    value_at = lambda i: F.max(F.when(F.col("__at") == i, F.col("__v")))
+    got = few_.groupBy(*by, "__n").agg(*[f for i, x_ in enumerate(place) for f in (value_at(F.floor(x_)).alias(f"__l{i}"), value_at(F.ceil(x_)).alias(f"__h{i}"))])
+    mid = lambda i, x_: F.when(F.floor(x_) == F.ceil(x_), F.col(f"__l{i}")).otherwise((F.ceil(x_) - x_) * F.col(f"__l{i}") + (x_ - F.floor(x_)) * F.col(f"__h{i}"))
+    return got.select(*by, F.array(*[mid(i, x_) for i, x_ in enumerate(place)]).alias(out))
+
+
 def fingerprint(df: DataFrame) -> str:
     """A content fingerprint that doesn't depend on the order of the rows."""
     r = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()

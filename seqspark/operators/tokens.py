@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import running, sized
+from .stages import quantiles, running, sized
 
 PAD = "<PAD>"
 
@@ -74,8 +74,7 @@ def strict_windows(df: DataFrame, seq: str, pos: str, token: str, k: int) -> Dat
 
 def quantile_edges(df: DataFrame, value: str, bins: int = 5, by: list[str] = ()) -> DataFrame:
     """``(by.., edges)``: exact interpolated quantile edges, equal ones once."""
-    q = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return df.groupBy(*by).agg(F.array_distinct(F.percentile(value, q)).alias("edges"))
+    return quantiles(df, list(by), value, [i / bins for i in range(bins + 1)]).select(*by, F.array_distinct("q").alias("edges"))
 
 
 def right_closed_bin(value: Column, edges: Column) -> Column:
@@ -85,7 +84,7 @@ def right_closed_bin(value: Column, edges: Column) -> Column:
 
 def equal_population_bins(df: DataFrame, value: str, bins: int = 5, out: str = "bin") -> DataFrame:
     """``df`` with the bin of ``value``; null for null."""
-    edges = quantile_edges(df, value, bins).select(F.col("edges").alias("__e"))
+    edges = quantile_edges(df, value, bins).agg(F.first("edges").alias("__e"))  # null edges if there is no value
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), right_closed_bin(F.col(value), F.col("__e")))).drop("__e")  # one row of edges
 
 

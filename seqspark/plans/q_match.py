@@ -87,12 +87,21 @@ def a02(spark, d):
     return rounded(v, "mean_dist", "r95", "p50", "p90", "p95", "p99")
 
 
-@query("a03_group_summary")
-def a03(spark, d):
-    return M.group_summary(anchors(spark, d), "status", "label")
+ED = "sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+ED_AB = ED.format(a="a.ici", b="b.ici")
 
 
-ED = "sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+@query(
+    "a03_group_summary",
+    f"""WITH {AQ}, c AS (SELECT status, label, count(*) AS c FROM an GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY c DESC, label) AS r FROM c), t AS (SELECT status, CAST(sum(c) AS BIGINT) AS n, string_agg(label, ',' ORDER BY r) FILTER (r <= 5) AS top, sum(c) FILTER (r <= 5) / sum(c) AS coverage FROM r GROUP BY status),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY status, n_clicks ORDER BY (row_id * 2654435761) % 4294967296, row_id) AS k FROM an) WHERE k <= 1500), pm AS (SELECT a.status, a.n_clicks, avg({ED_AB}) AS m FROM s a JOIN s b ON a.status = b.status AND a.n_clicks = b.n_clicks AND a.row_id < b.row_id GROUP BY ALL),
+w AS (SELECT status, n_clicks, count(*) AS w FROM an GROUP BY ALL), sp AS (SELECT status, sum(m * w) / sum(w) AS spread FROM pm JOIN w USING (status, n_clicks) GROUP BY status),
+nn AS (SELECT a.status, a.row_id, min({DIST.format(a='a.ici', b='b.ici')}) AS d FROM an a JOIN an b ON a.status = b.status AND a.n_clicks = b.n_clicks AND a.row_id <> b.row_id GROUP BY ALL), q AS (SELECT status, quantile_cont(d, 0.5) AS a, quantile_cont(d, 0.9) AS b FROM nn GROUP BY status)
+SELECT status, n, top, round(coverage, 6) AS coverage, round(spread, 6) AS spread, round(a, 6) AS nn_p50, round(b, 6) AS nn_p90 FROM t LEFT JOIN sp USING (status) LEFT JOIN q USING (status)""",
+)
+def a03(spark, d):
+    return rounded(M.group_summary(anchors(spark, d), "status", "label"), "coverage", "spread", "nn_p50", "nn_p90")
+
 
 
 @query(

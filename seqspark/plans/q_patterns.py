@@ -104,19 +104,39 @@ def a35(spark, d):
     return rounded(P.tension_summary(P.segment_purity(s, two(s), "sym", "label")), "top_purity")
 
 
-@query("a31_bin_sensitivity")
+def _bins(b):
+    """SQL of one number of bins: strings, their cut into twos, and the shares."""
+    edges = ", ".join(str(i / b) for i in range(b + 1))
+    names = "ABCDEFGHIJ"[:b]
+    return f"""eg{b} AS (SELECT i AS pos, list_sort(list_distinct(quantile_cont(x, [{edges}]))) AS e FROM el GROUP BY i HAVING count(*) >= {10 * b}), ok{b} AS (SELECT * FROM eg{b} WHERE len(e) > 1),
+st{b} AS (SELECT lab.row_id, lab.label, sym FROM lab JOIN (SELECT row_id, string_agg(CASE WHEN e IS NULL THEN 'C' ELSE substr('{names}', CAST(least(len(list_filter(e[2:len(e) - 1], lambda z: z < x)), {b - 1}) AS INTEGER) + 1, 1) END, '' ORDER BY i) AS sym FROM el LEFT JOIN ok{b} ON pos = i GROUP BY row_id) USING (row_id)),
+cu{b} AS (SELECT sym, label, list_transform(range(0, CAST((length(sym) + 1) // 2 AS BIGINT)), lambda i: substr(sym, CAST(2 * i + 1 AS INTEGER), 2)) AS segs FROM st{b} WHERE length(sym) >= 2),
+sl{b} AS (SELECT seg, label, count(*) AS c FROM (SELECT label, unnest(list_distinct(segs)) AS seg FROM cu{b}) WHERE label IS NOT NULL GROUP BY ALL), pu{b} AS (SELECT seg AS segment, sum(c) AS n, count(*) AS labels, max(c) / sum(c) AS purity FROM sl{b} GROUP BY seg HAVING sum(c) >= 50),
+rb{b} AS (SELECT {b} AS bins, (SELECT count(DISTINCT sym) FROM cu{b}) AS strings, (SELECT count(DISTINCT seg) FROM (SELECT unnest(segs) AS seg FROM cu{b})) AS inventory, (SELECT round(avg(CAST(len(segs) > 1 AS INTEGER)), 6) FROM cu{b}) AS segmented, (SELECT round(sum(length(sym)) / sum(len(segs)), 6) FROM cu{b}) AS mean_length,
+  (SELECT round(avg(purity), 6) FROM (SELECT purity FROM pu{b} ORDER BY n DESC, segment LIMIT 20)) AS top_purity, (SELECT count(*) FILTER (labels = 1) FROM pu{b}) AS confined, (SELECT count(*) FILTER (labels > 1) FROM pu{b}) AS spanning)"""
+
+
+BINS = (2, 3, 4, 7, 10)
+
+
+@query("a31_bin_sensitivity", f"WITH {LAB}, {ED.split(', eg AS')[0]}, " + ", ".join(map(_bins, BINS)) + " " + " UNION ALL ".join(f"SELECT * FROM rb{b}" for b in BINS))
 def a31(spark, d):
-    return P.bin_sensitivity(labelled(spark, d), (2, 3, 4, 7))
+    in_twos = lambda corpus: corpus.select("string", F.regexp_extract_all("string", F.lit("..?"), F.lit(0)).alias("segs"))
+    return rounded(P.bin_sensitivity(labelled(spark, d), in_twos, BINS), "segmented", "mean_length", "top_purity")
 
 
-PRED = "pr AS (SELECT st.row_id, sym, ici, (SELECT string FROM (SELECT label, sym AS string, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, sym) AS r FROM st GROUP BY label, sym) q WHERE r = 1 AND q.label = st.label) AS pred FROM st)"
+FOLDS = 3
+PRED = f"""sq AS (SELECT row_id, CAST(actor % {FOLDS} AS INTEGER) AS own, label, sym, ici, lag(label) OVER (PARTITION BY actor ORDER BY row_id) AS b FROM st), fo AS (SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS fold), tr AS (SELECT fold, sq.* FROM sq JOIN fo ON fold <> own),
+nx AS (SELECT fold, b, arg_min(label, (-c, label)) AS nxt FROM (SELECT fold, b, label, count(*) AS c FROM tr WHERE b IS NOT NULL GROUP BY ALL) GROUP BY ALL), mo AS (SELECT fold, arg_min(label, (-c, label)) AS most FROM (SELECT fold, label, count(*) AS c FROM tr GROUP BY ALL) GROUP BY ALL),
+be AS (SELECT fold, label, arg_min(sym, (-c, sym)) AS pred FROM (SELECT fold, label, sym, count(*) AS c FROM tr GROUP BY ALL) GROUP BY ALL),
+pr AS (SELECT sq.row_id, sym, ici, coalesce(be.pred, '') AS pred FROM sq JOIN mo ON mo.fold = own LEFT JOIN nx ON nx.fold = own AND nx.b = sq.b LEFT JOIN be ON be.fold = own AND be.label = coalesce(nxt, most))"""
 
 
 def predicted(spark, d):
+    """Strings with ``pred``: the string of the likeliest next label of the actor, both counted in the folds that don't test the actor."""
     s, e = strings(spark, d)
-    t = P.label_strings(s, "label")
-    p = P.predicted_strings(s.select(F.col("row_id").alias("key"), "label"), t)
-    return s, e, s.join(p.withColumnRenamed("key", "row_id"), "row_id")
+    x = s.select("row_id", F.col("actor").alias("seq"), F.col("row_id").alias("pos"), (F.col("actor") % FOLDS).cast("int").alias("own"), "label", "sym")
+    return s, e, s.join(P.held_out_strings(x, FOLDS).hint("shuffle_hash"), "row_id")
 
 
 @query("l12_string_metrics", f"WITH {SYM}, {PRED} SELECT row_id, CAST(pred = sym AS INTEGER) AS exact, round(len(list_filter(range(1, CAST(least(length(pred), length(sym)) AS INTEGER) + 1), lambda i: substr(pred, CAST(i AS INTEGER), 1) = substr(sym, CAST(i AS INTEGER), 1))) / greatest(length(pred), length(sym)), 6) AS symbol_acc, round(levenshtein(pred, sym) / greatest(length(pred), length(sym)), 6) AS norm_edit FROM pr")
@@ -146,9 +166,10 @@ def l10(spark, d):
     s, _ = strings(spark, d)
     s = s.select("row_id", "label", "sym")
     total = s.agg(F.count("*").alias("t"))
-    lp = s.groupBy("label").agg(F.count("*").alias("c")).crossJoin(total).select("label", (F.col("c") / F.col("t")).alias("p"))
+    lp = s.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(total)).select("label", (F.col("c") / F.col("t")).alias("p"))
     test = s.where("row_id % 4 = 0").select(F.col("row_id").alias("key"), F.col("sym").alias("string"))
-    probs = test.select("key").join(F.broadcast(lp))  # a row a label
+    shares = lp.agg(F.collect_list(F.struct("label", "p")).alias("ls"))  # one row: the labels are the model's
+    probs = test.select("key").crossJoin(F.broadcast(shares)).select("key", F.explode("ls").alias("l")).select("key", "l.*")
     return rounded(P.label_mixture_bits(probs, P.label_strings(s.where("row_id % 4 <> 0"), "label"), test), "bits")
 
 
