@@ -6,7 +6,7 @@ word: a longer one would only do part of the verification's work. Rarity is the
 that no document has is dropped. Every document word is looked up among the prefix words; the positional bound gives the only
 place where the window could start, the length bound that it fits, and the verification compares all words at that place.
 
-Documents are cut into words once and written. Windows of measured small size are broadcast. Larger ones meet the words by shuffle: a row is then
+Documents are cut into words twice, for the rarity and for the look-up, as writing the words takes more time, disk and memory. Windows of measured small size are broadcast. Larger ones meet the words by shuffle: a row is then
 a word and its place alone, frequent words are dropped where no window needs them and dealt to several tasks where one does, and the few
 candidates are verified in a second join that fetches only the documents that have one.
 """
@@ -60,28 +60,28 @@ def prefix_entries(windows: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, entries: DataFrame, seen: DataFrame) -> DataFrame:
-    """``(rid, from, to, window)``, each once: where the words of ``rows`` (rid, w) hold a window, as word places, the end exclusive."""
+    """``(key, from, to, window)``, each once: where the words of ``rows`` (key, id, w) hold a window, as word places, the end exclusive; ``key`` is the text's digest."""
     start = F.col("pos") - F.col("offset")
     till = start + F.size("words")
     found = [start.alias("from"), till.alias("to"), "window"]
     if _fits(entries):
-        placed = rows.select("rid", "w", F.posexplode("w").alias("pos", "token"))
+        placed = rows.select("key", "w", F.posexplode("w").alias("pos", "token"))
         fits = (start >= 0) & (till <= F.size("w"))
         same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")
         few = F.broadcast(entries.withColumnRenamed("token", "prefix"))  # measured just above
-        return placed.join(few, (F.col("token") == F.col("prefix")) & fits & same).select("rid", *found).distinct()
+        return placed.join(few, (F.col("token") == F.col("prefix")) & fits & same).select("key", *found).distinct()
     total = seen.agg(F.sum("n")).first()[0] or 0
     hot = written(hot_keys(seen, "token", "n", total), "op7-hot")
     needless = hot.join(entries.select("token").distinct().hint("merge"), "token", "left_anti")
-    narrow = rows.select("rid", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
+    narrow = rows.select("key", F.xxhash64(F.col("id").cast("string")).alias("spread"), F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
     narrow = narrow.join(F.broadcast(needless), "token", "left_anti")  # a row a shuffle partition at most
-    met = dealt_join(narrow, entries, "token", hot, ["rid", "pos"], cond=(start >= 0) & (till <= F.col("n_words")))
-    maybe = written(met.select("rid", *found), "op7-candidates")
+    met = dealt_join(narrow, entries, "token", hot, ["key", "spread", "pos"], cond=(start >= 0) & (till <= F.col("n_words")))
+    maybe = written(met.select("key", *found).distinct(), "op7-candidates")
     words = entries.select("window", "words")
-    asked = maybe.join(words.hint("merge"), "window").select("rid", "from", "to", "window", "words")
-    texts = rows.join(sized(written(maybe.select("rid").distinct(), "op7-asked"), "merge"), "rid", "left_semi").select(F.col("rid").alias("__rid"), "w")
+    asked = maybe.join(words.hint("merge"), "window").select("key", "from", "to", "window", "words")
+    texts = rows.join(sized(written(maybe.select("key").distinct(), "op7-asked"), "merge"), "key", "left_semi").groupBy(F.col("key").alias("__text")).agg(F.first("w").alias("w"))
     same = F.slice("w", F.col("from") + 1, F.size("words")) == F.col("words")
-    return asked.join(texts.hint("merge"), (F.col("rid") == F.col("__rid")) & same).select("rid", "from", "to", "window").distinct()
+    return asked.join(texts.hint("merge"), (F.col("key") == F.col("__text")) & same).select("key", "from", "to", "window")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -93,22 +93,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ignored. An empty benchmark hits nothing. A text of any length is one row while it is cut and verified, a place a word while it is looked up.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.md5(F.encode(text, "utf-8")).alias("key"), words_of(F.col(text_col)).alias("w"))
-    rows = written(cut, "op7-words")
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.encode(text, "utf-8")).alias("key"), words_of(F.col(text_col)).alias("w"))
     windows = written(item_windows(benchmark, item_col, item_text, window), "op7-windows")
     seen = rarity(rows, written(windows.select(F.explode("words").alias("token")).distinct(), "op7-vocabulary"))
     entries = written(prefix_entries(windows, seen), "op7-entries")
-    hits = written(occurrences(rows.select("rid", "w"), entries, seen), "op7-hits")
-    spans = hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
-    listed = hits.select("rid", "window").distinct().join(sized(windows.select("window", "item"), "merge"), "window").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    per = written(spans.join(listed.hint("merge"), "rid"), "op7-documents")
+    hits = written(occurrences(rows, entries, seen), "op7-hits")
+    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    listed = hits.select("key", "window").distinct().join(sized(windows.select("window", "item"), "merge"), "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per = written(spans.join(listed.hint("merge"), "key"), "op7-texts")
     discard(hits, entries, seen)
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("till"))
     covered = F.aggregate(
         "spans", zero, lambda a, s: F.struct((a["hit"] + F.greatest(s["to"] - F.greatest(s["from"], a["till"]), F.lit(0))).alias("hit"), F.greatest(a["till"], s["to"]).alias("till"))
     )["hit"]
     none = F.array().cast("array<string>")
-    all_ = rows.select("rid", "id", "key", F.size("w").cast("long").alias("n_words")).join(sized(per), "rid", "left")
+    all_ = rows.select("id", "key", F.size("w").cast("long").alias("n_words")).join(sized(per, "merge"), "key", "left")
     items = F.coalesce("items", none)
     out = all_.select(
         F.col("id").alias(id_col), F.col("key").alias("text_md5"), "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),

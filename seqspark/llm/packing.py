@@ -25,11 +25,11 @@ from .common import table
 
 CAPACITY, END_ID = 2048, 1
 #: Bytes of text a group; a token has one at least.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 #: Ids that a task gathers before it passes pieces on.
 HELD = 4 << 20
 #: Entries of a task's piece cache; it is emptied when full.
-CACHE = 800_000
+CACHE = 250_000
 _AWKWARD = re.compile(r"\s\s|\A\s|\s\Z")
 
 
@@ -46,12 +46,16 @@ class _Pieces(dict):
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str, ranks_path: str | None):
-    """``(whole text -> ids, piece -> ids)``. The rank file holds the same vocabulary; pieces go through it as it is faster on short texts."""
+def _whole(path: str):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    whole = lambda text: tok.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str, ranks_path: str | None):
+    """``(whole text -> ids, piece -> ids)``. The rank file holds the same vocabulary; pieces go through it as it is faster on short texts, and the tokenizer is only loaded for a text that needs it."""
+    whole = lambda text: _whole(path).encode(text, add_special_tokens=False).ids
     if not ranks_path:
         return whole, None
     import base64

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import discard, spare, table, written
 
 BITS, PREFIX = 18, 5
-#: Bound of the labelled sample: documents with a positive label. Distinct unlabelled sets in a shard.
-POSITIVES, SHARD = 6000, 20_000
+#: Bound of the labelled sample: documents with a positive label. Distinct unlabelled sets in a shard, about, and texts hashed at a time: these bound a task's memory.
+POSITIVES, SHARD = 6000, 8_000
+SLICE = 500
 STEPS, RATE, DECAY = 200, 0.1, 1e-5
 #: Standard errors by which a feature's shares among positive and unlabelled documents must differ to be used, and features used at most: those that differ most.
 APART, FEATURES = 4.0, 1 << 14
@@ -48,12 +49,16 @@ class _Hashes(dict):
 def features(text: str | None, hashes: _Hashes) -> np.ndarray:
     """The sorted distinct hashed features of a whole text; none for a null or wordless one."""
     words = set(_WORD.findall((text or "").lower()))
-    if len(hashes) > 500_000:
+    if len(hashes) > 150_000:
         hashes.clear()
     flat = [h for w in words for h in hashes[w]]
     return np.unique(np.array(flat, np.int32))
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE))
+
+
 def _sums(weights: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The sum of the weights of each document's features; ``at`` holds its bounds in ``flat``."""
     total = np.concatenate(([0.0], np.cumsum(weights[flat])))
@@ -105,7 +110,7 @@ def feature_sets(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py(), cache) for t in b.column(1)], pa.list_(pa.int32()))], ["pos", "f"])
 
     return written(rows.mapInArrow(run, "pos boolean, f array<int>"), "op3-features")
