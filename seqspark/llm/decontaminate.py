@@ -6,7 +6,7 @@ word: a longer one would only do part of the verification's work. Rarity is the
 that no document has is dropped. Every document word is looked up among the prefix words; the positional bound gives the only
 place where the window could start, the length bound that it fits, and the verification compares all words at that place.
 
-Documents are cut into words twice, for the rarity and for the look-up, as writing the words takes more time, disk and memory. Windows of measured small size are broadcast. Larger ones meet the words by shuffle: a row is then
+Documents are cut into words in each pass (rarity, look-up, word counts), as writing the words takes more time, disk and memory. Windows of measured small size are broadcast. Larger ones meet the words by shuffle: a row is then
 a word and its place alone, frequent words are dropped where no window needs them and dealt to several tasks where one does, and the few
 candidates are verified in a second join that fetches only the documents that have one.
 """
