@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .stages import quantiles, running, sized
@@ -115,20 +119,27 @@ def estimated_gaps(df: DataFrame, seq: str, order: list[str], actor: str, uttera
 def soft_chunks(df: DataFrame, seq: str, pos: str, actor: str, size: str, target: int = 80) -> DataFrame:
     """``df`` (one row a turn) with ``chunk``: cut at the first change of actor after ``target`` or more tokens; the count starts again.
 
-    The state is folded over the ordered turns of one conversation, never over more.
+    The ordered turns of a conversation stream through one task, which holds only the running count, so a conversation of any length fits. A null size
+    counts 0, a null actor is no change, a null ``seq`` is a conversation of its own. Repeated rows stay; a column named ``chunk`` is replaced.
     """
-    turn = F.struct(F.col(pos).alias("p"), F.col(actor).alias("a"), F.col(size).alias("n"))
-    turns = df.groupBy(seq).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast(df.schema[actor].dataType).alias("a"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, t):
-        cut = (s["seen"] >= target) & (s["a"] != t["a"])
-        cut = F.coalesce(cut, F.lit(False))
-        chunk = s["chunk"] + cut.cast("int")
-        return F.struct(chunk.alias("chunk"), (F.when(cut, 0).otherwise(s["seen"]) + t["n"]).cast("long").alias("seen"), t["a"].alias("a"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    marks = turns.select(seq, F.explode(F.arrays_zip(F.transform("t", lambda x: x["p"]).alias("p"), F.aggregate("t", zero, step)["out"].alias("c"))).alias("x"))
-    return df.join(marks.select(seq, F.col("x.p").alias(pos), F.col("x.c").alias("chunk")).hint("shuffle_hash"), [seq, pos], "left")
+    kept = [c for c in df.columns if c != "chunk"]
+    at = [kept.index(c) for c in (seq, actor, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, who, seen, chunk, started = None, None, 0, 0, False
+        for b in batches:
+            marks = []
+            for s, a, n in zip(*(b.column(i).to_pylist() for i in at)):
+                if not started or s != now:
+                    now, who, seen, chunk, started = s, None, 0, 0, True
+                if seen >= target and a is not None and who is not None and a != who:
+                    chunk, seen = chunk + 1, 0
+                seen, who = seen + (n or 0), a
+                marks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.int32())], [*kept, "chunk"])
+
+    turns = df.select(*kept).repartition(seq).sortWithinPartitions(seq, pos, actor, size)
+    return turns.mapInArrow(run, StructType([*turns.schema.fields, StructField("chunk", IntegerType())]))
 
 
 def realign(tokens: DataFrame, rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

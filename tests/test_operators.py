@@ -347,3 +347,21 @@ def test_learned_baseline_scores_every_fold(spark):
     got = {r.fold: r for r in L.learned_baseline(spark.createDataFrame(rows, "own int, seq long, pos int, token string"), 3, k=2, max_iter=10).collect()}
     assert {f: r.n for f, r in got.items()} == {f: sum(8 + s - 1 for s in range(6) if s % 3 == f) for f in range(3)}
     assert all(r.acc == 1 for r in got.values())
+
+
+def test_soft_chunks_of_long_conversations(spark):
+    rng = random.Random(4)
+    rows = [(c, i, rng.choice(["a", "b", None]), rng.choice([0, 5, 30, None]), 9) for c, n in ((1, 30_000), (2, 40), (None, 50), (3, 1)) for i in range(n)]
+    want = []
+    for c in (1, 2, None, 3):
+        who, seen, chunk = None, 0, 0
+        for r in (r for r in rows if r[0] == c):
+            if seen >= 80 and r[2] and who and r[2] != who:
+                chunk, seen = chunk + 1, 0
+            seen, who = seen + (r[3] or 0), r[2]
+            want.append((c, r[1], chunk))
+    df = spark.createDataFrame(rows, "c int, i int, a string, n int, chunk int")
+    out = T.soft_chunks(df, "c", "i", "a", "n")
+    assert out.columns == ["c", "i", "a", "n", "chunk"]
+    assert sorted(map(repr, ((r.c, r.i, r.chunk) for r in out.collect()))) == sorted(map(repr, want))
+    assert T.soft_chunks(df.limit(0), "c", "i", "a", "n").count() == 0
