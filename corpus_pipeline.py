@@ -9,14 +9,26 @@ from pyspark.sql import functions as F
 from seqspark.llm import decontaminate, packing, secret_scan, simhash, toxicity
 from seqspark.llm.common import table, written
 
+#: Rows that meet Python at a time. Spark's own 10,000 whole texts are tens of MB, held by the JVM and by the worker, in and out.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``BATCH_ROWS``; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, trained on this stage's documents, rejects go."""
+    _small_batches(spark)
     return toxicity.reject_toxic(docs, docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
+    _small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -32,6 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their place in sequences of 2048."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
