@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, packing, pii, quality, secret_scan, simhash, tool_calls, toxicity, url_filter
+from . import ann, decontaminate, exact_dedup, packing, pii, quality, secret_scan, simhash, tool_calls, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_simhash": simhash.op9_simhash,
     "op10_pii": pii.op10_pii,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
 }
 ORACLES = {
     "op6_url_filter": url_filter.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_secret_scan": secret_scan.SQL,
+    "op11_exact_dedup": exact_dedup.SQL,
 }
