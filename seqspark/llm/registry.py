@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, conversation_repair, decontaminate, exact_dedup, packing, pii, quality, secret_scan, simhash, tool_calls, toxicity, url_filter
+from . import ann, conversation_repair, decontaminate, exact_dedup, filter_audit, packing, pii, quality, secret_scan, simhash, tool_calls, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_pii": pii.op10_pii,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_secret_scan": secret_scan.SQL,
     "op11_exact_dedup": exact_dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
