@@ -2,10 +2,11 @@
 
 What five filters do to each other needs, for each part, only how many documents fail which set of filters. Four of the filters look at the text alone. The
 fifth asks whether any document with a smaller id has the same text, so an early verdict may have to be taken back. All files are processed as
-available-now micro-batches. Each document is counted at once as if no smaller id came; a task drops at once what its own rows decide. The state of a text, keyed by
+available-now micro-batches. Each document is counted at once as if no smaller id came; a task settles at once what its own rows decide. The state of a text, known by
 its SHA-256, is its smallest id so far with the masks counted for it: of a new and the known smallest, the larger one's masks are retracted from the part
-counters and counted again with the fifth filter failed. A micro-batch adds its changes, a row for a part and mask, to a table of its own, written anew if the batch is
-run again; the counters are their sums. Only the per-text state stays, in the state store, and a hot text arrives as a row a task.
+counters and counted again with the fifth filter failed. A state entry holds the few texts of one bucket of hashes, as a call for each text costs more than its work; there are as many buckets as the
+input's bytes ask for. A micro-batch adds its changes, a row for a part and mask, to a table of its own, written anew if the batch is
+run again; the counters are their sums. Only the state stays, in the session's state store (its heap; set RocksDB's provider for state beyond that), and a hot text arrives as a row a task.
 """
 
 from __future__ import annotations
@@ -25,43 +26,45 @@ from .common import UPPER, discard, shared_dir, sized, table, written
 
 FILTERS = "ABCDE"
 REPEATED, GOOD, TOXIC = 16, 32, 64
-#: Bytes of input a core and micro-batch; rows that a task holds before it passes them on.
-CORE_BYTES, HELD = 64 << 20, 200_000
+#: Bytes of input a core and micro-batch, and a bucket of texts; texts that a task holds before it passes them on.
+CORE_BYTES, BUCKET_BYTES, HELD = 64 << 20, 64 << 10, 200_000
+BLANK = " \t\n\v\f\r"
 
 
-def text_mask(text: Column) -> Column:
-    """Bits 1, 2, 4, 8: under 200 words; fewer than half of the words distinct; over 2 % of A-Z; any of ``#$%&*|``. Null counts as empty."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, m = F.size(words), F.size(F.array_distinct(words))
-    capitals = F.length(t) - F.length(F.translate(t, UPPER, ""))
-    fails = [n < 200, 100 * m < 50 * n, 100 * capitals > 2 * F.length(t), F.length(t) != F.length(F.translate(t, "#$%&*|", ""))]
-    return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0)).cast("int")
+def masked(docs: DataFrame, text: str, name: str = "mask") -> DataFrame:
+    """``docs`` with bits 1, 2, 4, 8: under 200 words; fewer than half of the words distinct; over 2 % of A-Z; any of ``#$%&*|``. ``text`` has no nulls."""
+    bare = F.btrim(F.col(text), F.lit(BLANK))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    n, m = F.size("__words"), F.size(F.array_distinct("__words"))
+    capitals = F.length(text) - F.length(F.translate(text, UPPER, ""))
+    fails = [n < 200, 100 * m < 50 * n, 100 * capitals > 2 * F.length(text), F.col(text).rlike("[#$%&*|]")]
+    return docs.withColumn("__words", words).withColumn(name, sum((f.cast("int") * (1 << i) for i, f in enumerate(fails)), F.lit(0))).drop("__words")
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(key, id, part, mask)`` to ``(key, id, part, mask, n)``: each text's smallest id of this task, and counts that need no state (``id`` null, one key)."""
-    best: dict[bytes, tuple[int, Counter]] = {}
+    """Rows ``(bucket, key, id, part, mask)`` to those with ``n``: each text's smallest id of this task, and counts that need no state (bucket -1)."""
+    best: dict[str, tuple[int, Counter]] = {}
+    home: dict[str, int] = {}
     counted: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = [(key, i, part, mask, n) for key, (i, c) in best.items() for (part, mask), n in c.items()]
-        for _, _, part, mask, n in rows:
+        rows = [(home[key], key, i, part, mask, n) for key, (i, c) in best.items() for (part, mask), n in c.items()]
+        for *_, part, mask, n in rows:
             counted[part, mask] += n
-        rows += [(b"", None, part, mask, n) for (part, mask), n in counted.items()]
-        best.clear()
-        counted.clear()
-        kinds = (pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["key", "id", "part", "mask", "n"])
+        rows += [(-1, None, None, part, mask, n) for (part, mask), n in counted.items()]
+        for held in (best, home, counted):
+            held.clear()
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["bucket", "key", "id", "part", "mask", "n"])
 
     for b in batches:
-        for key, i, part, mask in zip(*[c.to_pylist() for c in b.columns]):
+        for bucket, key, i, part, mask in zip(*[c.to_pylist() for c in b.columns]):
             if i is None:
                 counted[part, mask] += 1  # no id is smaller than none
                 continue
             now = best.get(key)
             if now is None:
-                best[key] = (i, Counter({(part, mask): 1}))
+                best[key], home[key] = (i, Counter({(part, mask): 1})), bucket
             elif i > now[0]:
                 counted[part, mask | REPEATED] += 1
             elif i == now[0]:
@@ -75,30 +78,30 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def retracted(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """``(part, mask, n)``: the changes to the counters when ``frames`` bring ids of one text. Its smallest id and the masks counted for that are the state."""
-    if not key[0]:
+def retracted(bucket: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """``(part, mask, n)``: the changes to the counters when ``frames`` bring ids of a bucket's texts. The state has each text's smallest id and the masks counted for that."""
+    if bucket[0] < 0:
         for f in frames:
             yield f[["part", "mask", "n"]]
         return
-    low, masks, out, known = None, Counter(), [], state.exists
-    if known:
-        low, held = state.get
-        masks = Counter({(p, m): n for p, m, n in json.loads(held)})
-    first = low
+    held = json.loads(state.get[0]) if state.exists else {}
+    out: Counter = Counter()
     for f in frames:
-        for i, part, mask, n in zip(f["id"].tolist(), f["part"].tolist(), f["mask"].tolist(), f["n"].tolist()):
+        for key, i, part, mask, n in zip(*[f[c].tolist() for c in ("key", "id", "part", "mask", "n")]):
+            low, masks = held.get(key, (None, []))
             if low is None or i < low:
-                out += [x for (p, m), c in masks.items() for x in ((p, m, -c), (p, m | REPEATED, c))]
-                low, masks = i, Counter({(part, mask): n})
+                for p, m, c in masks:
+                    out[p, m] -= c
+                    out[p, m | REPEATED] += c
+                held[key] = (i, [[part, mask, n]])
             elif i == low:
-                masks[part, mask] += n
+                masks.append([part, mask, n])
             else:
-                out += [(part, mask, -n), (part, mask | REPEATED, n)]
-    if low != first or len(out) == 0:
-        state.update((int(low), json.dumps([[p, int(m), int(n)] for (p, m), n in sorted(masks.items())])))
+                out[part, mask] -= n
+                out[part, mask | REPEATED] += n
+    state.update((json.dumps(held, separators=(",", ":")),))
     if out:
-        yield pd.DataFrame(out, columns=["part", "mask", "n"])
+        yield pd.DataFrame([(p, m, n) for (p, m), n in out.items()], columns=["part", "mask", "n"])
 
 
 def _fs(spark: SparkSession, path: str):
@@ -116,29 +119,20 @@ def _streamable(spark: SparkSession, path: str) -> str:
 def counters(spark: SparkSession, path: str, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", batch_bytes: int | None = None) -> DataFrame:
     """``(part, mask, n)``: documents of each part by the filters they fail (bits from A), quality label 1 (32) and toxic label 1 (64).
 
-    ``path``: Parquet files, streamed by about ``batch_bytes`` a micro-batch (the cluster's cores times ``CORE_BYTES`` by default). ``labels``: ``doc_id, quality, toxic``. The state is kept by RocksDB, in the shared
-    folder; a session of its own holds these settings, so the caller's stay.
+    ``path``: Parquet files, streamed by about ``batch_bytes`` a micro-batch (the cluster's cores times ``CORE_BYTES`` by default). ``labels``: ``doc_id, quality, toxic``.
     """
-    own, home = spark.newSession(), f"{shared_dir(spark)}/op12-{uuid.uuid4().hex}"
-    for name, value in {
-        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
-        "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    }.items():
-        own.conf.set(name, value)
+    home = f"{shared_dir(spark)}/op12-{uuid.uuid4().hex}"
+    at, fs = _fs(spark, path)
+    buckets = 1 + fs.getContentSummary(at).getLength() // BUCKET_BYTES
     flag = lambda c, bit: F.max(F.when(F.col(c) == 1, bit).otherwise(0))
     flags = written(labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg((flag("quality", GOOD) + flag("toxic", TOXIC)).alias("flags")), "op12-labels")
-    flags.write.parquet(f"{home}/labels")
-    docs = own.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(batch_bytes or spark.sparkContext.defaultParallelism * CORE_BYTES)).parquet(_streamable(spark, path))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    seen = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text_mask(text).alias("mask"))
-    known = sized(own.read.parquet(f"{home}/labels"), "merge")
-    labelled = seen.join(known, F.col("id") == F.col("__of"), "left").select("key", "id", "part", (F.col("mask") + F.coalesce("flags", F.lit(0))).cast("int").alias("mask"))
-    small = labelled.mapInArrow(_combined, "key binary, id long, part string, mask int, n long")
-    changes = small.groupBy("key").applyInPandasWithState(retracted, "part string, mask int, n long", "low long, masks string", "update", "NoTimeout")
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(batch_bytes or spark.sparkContext.defaultParallelism * CORE_BYTES)).parquet(_streamable(spark, path))
+    docs = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
+    seen = masked(docs, "text").select(F.base64(F.unhex(F.sha2("text", 256))).alias("key"), "id", "part", "mask")
+    labelled = seen.join(sized(flags, "merge"), F.col("id") == F.col("__of"), "left")
+    labelled = labelled.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "id", "part", (F.col("mask") + F.coalesce("flags", F.lit(0))).cast("int").alias("mask"))
+    small = labelled.mapInArrow(_combined, "bucket long, key string, id long, part string, mask int, n long")
+    changes = small.groupBy("bucket").applyInPandasWithState(retracted, "part string, mask int, n long", "texts string", "update", "NoTimeout")
 
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{home}/changes/batch={number}")
@@ -146,7 +140,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, id_col: str = "d
     query = changes.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     none = spark.createDataFrame([], "part string, mask int, n long")
-    at, fs = _fs(spark, f"{home}/changes")
+    at, fs = _fs(spark, f"{home}/changes")  # no batch, no folder
     got = spark.read.schema("part string, mask int, n long").parquet(f"{home}/changes") if fs.exists(at) else none
     out = written(got.groupBy("part", "mask").agg(F.sum("n").alias("n")).where("n <> 0"), "op12-counters")
     discard(flags)
