@@ -19,6 +19,7 @@ from itertools import permutations
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +43,17 @@ def masked(docs: DataFrame, text: str, name: str = "mask") -> DataFrame:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(bucket, key, id, part, mask)`` to those with ``n``: each text's smallest id of this task, and counts that need no state (bucket -1)."""
+    """Rows ``(bucket, key, id, part, mask)`` to those with ``n``: each text's smallest id of this task, and counts that need no state (a bucket below 0 of the task's own)."""
     best: dict[str, tuple[int, Counter]] = {}
     home: dict[str, int] = {}
+    own = -1 - TaskContext.get().partitionId()
     counted: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
         rows = [(home[key], key, i, part, mask, n) for key, (i, c) in best.items() for (part, mask), n in c.items()]
         for *_, part, mask, n in rows:
             counted[part, mask] += n
-        rows += [(-1, None, None, part, mask, n) for (part, mask), n in counted.items()]
+        rows += [(own, None, None, part, mask, n) for (part, mask), n in counted.items()]
         for held in (best, home, counted):
             held.clear()
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
