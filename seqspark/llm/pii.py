@@ -1,8 +1,8 @@
 """PII surrogates, in DataFrame functions only.
 
 Detected entities (e-mail, phone, card, IPv4 address, person) get keyed replacements of the same type: the same entity, however it is
-written, gets the same replacement everywhere, two entities never share one, and none equals a real entity of the table. A surname alone that
-fits just one full name of its text takes that person's new surname.
+written, gets the same replacement everywhere, two entities never share one, and none equals a real entity of the table. A titled surname alone that
+fits just one full name of its text takes that person's new surname. A bare surname of a person found in the text becomes the new one, of the first such person.
 
 Texts are searched once; what is found is written beside the rows. The distinct entities form a table. Each round hashes the open ones with the key and
 the round's number to a candidate; candidates that are real entities, are taken, or lose a clash to a smaller entity are open again in the next
@@ -23,7 +23,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин", "Κος", "Κύριος")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Dra", "Г-жа", "Госпожа", "Κα", "Κυρία")
 _EITHER = ("Mx", "Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesora", "Profesor", "Д-р", "Доктор", "Профессор", "Δρ")
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Inner repeats are possessive or bounded: Java's matcher runs through the former and calls itself for each turn of others, which a long text would carry beyond its stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++"
 #: With a country code: +1 and ten digits; 8 to 15 digits in any groups, or with an area code in brackets; short numbers in groups.
 _ABROAD = (
     r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}",
@@ -42,11 +43,12 @@ _HOME = (
 PHONE = rf"(?:{'|'.join((*_ABROAD, *_BRACKETS))}|(?<![\p{{L}}\d_])(?<!\d[./-])(?:{'|'.join(_HOME)}))(?!\d)"
 CARD = r"(?<![\d.])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
-TITLED = rf"(?:(?:{'|'.join(sorted(_MALE + _FEMALE + _EITHER, key=len, reverse=True))})\.? )+"
+_TITLES = "|".join(sorted(_MALE + _FEMALE + _EITHER, key=len, reverse=True))
+TITLED = rf"(?:(?:{_TITLES})\.? ){{1,8}}(?!(?:{_TITLES})\.? )"
 #: A capital and letters, with parts behind hyphens and apostrophes, but no 's; of one capital only with such a part.
 _PARTS = r"(?:-\p{L}[\p{L}\p{M}]*|['’]\p{Lu}[\p{L}\p{M}]+)"
-_NAME = rf"(?:\p{{Lu}}['’]\p{{L}}[\p{{L}}\p{{M}}]+{_PARTS}*|\p{{Lu}}[\p{{L}}\p{{M}}]+{_PARTS}*|\p{{Lu}}{_PARTS}+)"
-_BEFORE = r"(?:(?:\p{Lu}\. ?)+|(?:(?:von|vom|van|der|den|zu|zur|de|del|della|di|da|dos|du|des|la|le|las|los|el|al|bin|ten|ter) )+)?"
+_NAME = rf"(?:\p{{Lu}}['’]\p{{L}}[\p{{L}}\p{{M}}]+{_PARTS}*+|\p{{Lu}}[\p{{L}}\p{{M}}]+{_PARTS}*+|\p{{Lu}}{_PARTS}++)"
+_BEFORE = r"(?:(?:\p{Lu}\. ?)++|(?:(?:von|vom|van|der|den|zu|zur|de|del|della|di|da|dos|du|des|la|le|las|los|el|al|bin|ten|ter) )++)?"
 #: Given names that mark a person without a title, when a capitalised name follows.
 MALE_NAMES = (
     "Adam Alexander Andrew Anthony Antonio Benjamin Carlos Charles Christopher Daniel David Edward Eric François Frank Friedrich George Hans Heinrich Henri Henry Jack Jacques Jakob James Javier Jean "
@@ -62,7 +64,7 @@ _GIVEN = "|".join(sorted(MALE_NAMES + FEMALE_NAMES))
 UNTITLED = rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_GIVEN})(?:-\p{{Lu}}\p{{L}}+)? {_BEFORE}{_NAME}"
 PERSON = rf"(?<!\p{{L}}){TITLED}{_BEFORE}{_NAME}(?: {_BEFORE}{_NAME})?|{UNTITLED}"
 #: A surname alone, particles before it included.
-_PARTICLES = r"(?:(?:von|vom|van|der|den|zu|zur|de|del|della|di|da|dos|du|des|la|le|las|los|el|al|bin|ten|ter) )*"
+_PARTICLES = r"(?:(?:von|vom|van|der|den|zu|zur|de|del|della|di|da|dos|du|des|la|le|las|los|el|al|bin|ten|ter) )*+"
 _SURNAME = rf"{_PARTICLES}{_NAME}"
 #: Country codes of two digits; 1 and 7 have one, all others three.
 _TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -214,7 +216,22 @@ def with_coreference(each: DataFrame) -> DataFrame:
     met = each.join(full.hint("merge"), ["key", "family"], "left")
     only = lambda g: F.when(F.col(f"lo_{g}") == F.col(f"hi_{g}"), F.col(f"lo_{g}"))
     link = F.when(F.col("alone"), F.when(F.col("gender") == "m", only("mx")).when(F.col("gender") == "f", only("fx")).otherwise(only("mfx")))
-    return met.select("key", "at", "raw", "kind", F.coalesce(link, "ident").alias("ident"), link.isNotNull().alias("surname"))
+    last = F.when(person, F.regexp_extract(name, f"{_NAME}$", 0))
+    return met.select("key", "at", "raw", "kind", F.coalesce(link, "ident").alias("ident"), link.isNotNull().alias("surname"), F.when(last != "", last).alias("last"))
+
+
+def surnames(finds: Column) -> Column:
+    """``{surname: new surname}`` of the people among a text's finds (structs ``last``, ``put``), in their order; of people of one surname the first counts."""
+    people = F.filter(finds, lambda e: e["last"].isNotNull())
+    names = F.array_distinct(F.transform(people, lambda e: e["last"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(people, lambda e: e["last"] == n), F.lit(0))["put"]))
+
+
+def bare_surnames(gap: Column, known: Column) -> Column:
+    """``gap`` with every name that is a key of ``known`` replaced."""
+    word = F.lit(rf"(?<![\p{{L}}\p{{M}}]){_NAME}")
+    news = F.transform(F.regexp_extract_all(gap, word, F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x))
+    return F.array_join(F.zip_with(F.split(gap, word, -1), F.concat(news, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -243,10 +260,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with the entities of ``text_col`` replaced, and ``entities``: how many, by type, as ``map<string,int>``.
 
     A null text stays null; null and empty texts and those without an entity have an empty map. Rows stay, repeated ones included, with
-    every other column (one named ``entities`` is replaced). An empty table gives an empty result. A text of any length is one row.
+    every other column (one named ``entities``, in any case, is replaced). An empty table gives an empty result. A text of any length is one row.
     """
-    kept = [c for c in docs.columns if c != "entities"]
-    key_col, raws, puts = (spare(c, docs) for c in ("text_key", "found", "put"))
+    kept = [c for c in docs.columns if c.lower() != "entities"]
+    key_col, raws, puts, known = (spare(c, docs) for c in ("text_key", "found", "put", "known"))
     seen = written(docs.select(*kept, entities_of(F.col(text_col)).alias(raws)), "op10-rows")
     some = seen.where(F.col(raws).isNotNull()).withColumn(key_col, F.md5(F.encode(F.col(text_col), "utf-8")))
     texts = some.select(F.col(key_col).alias("key"), F.col(raws).alias("raws")).groupBy("key").agg(F.first("raws").alias("raws"), F.count("*").alias("n"))
@@ -255,8 +272,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     each = written(with_coreference(written(each, "op10-finds").where("kind is not null")).unionByName(each.where("kind is null"), allowMissingColumns=True), "op10-occurrences")
     news = assign(written(each.where("kind is not null").select("kind", "ident").distinct(), "op10-entities"), key)
     new = F.coalesce(written_like(F.col("raw"), F.col("kind"), F.col("new"), F.col("surname")), F.col("raw"))
-    spelt = each.join(news.hint("merge"), ["kind", "ident"], "left").select("key", F.struct("at", new.alias("new"), "kind").alias("e"))
-    put = written(spelt.groupBy("key").agg(F.sort_array(F.collect_list("e")).alias(puts)).withColumnRenamed("key", key_col), "op10-puts")
+    last = F.when(F.col("new").isNotNull(), F.col("last"))
+    spelt = each.join(news.hint("merge"), ["kind", "ident"], "left").select("key", F.struct("at", new.alias("new"), "kind", last.alias("last"), F.substring_index(F.regexp_replace("new", r"^.\|", ""), " ", -1).alias("put")).alias("e"))
+    put = written(spelt.groupBy("key").agg(F.sort_array(F.collect_list("e")).alias(puts)).withColumn(known, surnames(F.col(puts))).withColumnRenamed("key", key_col), "op10-puts")
     if stages.taken_bytes(put) <= stages.BROADCAST_BYTES:
         met = some.join(F.broadcast(put), key_col)  # measured just above
     else:
@@ -264,7 +282,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         hot = written(hot_keys(texts.withColumnRenamed("key", key_col), key_col, "n", rows), "op10-hot")
         met = dealt_join(some, put, key_col, hot, [c for c in kept if "map" not in docs.schema[c].dataType.simpleString()])
     news_ = F.concat(F.transform(puts, lambda e: e["new"]), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(F.split(F.col(text_col), ENTITY, -1), news_, lambda gap, new: F.concat(gap, new)), "")
+    gaps = F.split(F.col(text_col), ENTITY, -1)
+    gaps = F.when(F.size(known) > 0, F.transform(gaps, lambda gap: bare_surnames(gap, F.col(known)))).otherwise(gaps)
+    text = F.array_join(F.zip_with(gaps, news_, lambda gap, new: F.concat(gap, new)), "")
     kinds = F.transform(puts, lambda e: F.coalesce(e["kind"], F.lit("")))
     counts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k), F.size(kinds) - F.size(F.array_remove(kinds, k))) for k in TYPES]), lambda x: x["col2"] > 0))
     changed = met.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], counts.alias("entities"))
