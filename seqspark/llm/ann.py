@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 from .common import discard, sized, table, written
 
 TABLES, HASHES, WIDTHS = 2, 4, (0.8, 1.0, 1.2, 1.5, 2.0, 3.0, 5.0)
-#: Vectors at most in the sample that the index is fitted on, queries of it tried, and the share of their neighbours to be met.
-SAMPLE, TRIED, TARGET = 4096, 512, 0.97
+#: Vectors at most in the sample that the index is fitted on, one in so many of the table's, queries of it tried, and the share of their neighbours to be met.
+SAMPLE, SHARE, TRIED, TARGET = 4096, 10, 512, 0.97
 #: Components at most in a part of a cell, and answers that a task holds before it passes them on.
 BLOCK, HELD = 1 << 20, 400_000
 _DELTAS = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)))
@@ -178,10 +178,11 @@ def _rows(col: pa.Array, n: int) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0, report: dict | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query`` (a condition on ``id``) holds, the ``k`` rows of other ids with the largest inner products among those met.
 
-    A query that meets fewer than ``k`` rows in its buckets is compared with all rows, in blocks.
+    A query that meets fewer than ``k`` rows in its buckets visits every perturbed bucket of every table; one that is short even then is compared with all rows, in blocks. ``report``
+    gets the numbers of queries, ``asked``, and of both kinds, ``widened`` and ``compared``.
     Null, zero, ragged and non-finite vectors and null ids take no part. Rows that repeat an id answer together, each pair of
     ids once with its best score; equal scores go to the smaller id, and equal vectors have equal scores. Fewer than ``k`` others give fewer rows, an empty
     table none. Other columns are ignored, whatever their names.
@@ -194,7 +195,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     schema = "query_id long, rank int, vec_id long, score double"
     if not count:
         return spark.createDataFrame([], schema)
-    got = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).collect()
+    got = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(2, min(SAMPLE, count // SHARE))).collect()
     index = fit(np.array([r.v for r in got]), norm, count, k, seed)
     index.ids, index.vectors = np.array([r.id for r in got]), np.array([r.v for r in got])
     shared = spark.sparkContext.broadcast(index)  # SAMPLE vectors
@@ -210,8 +211,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                     h = ix.slots(x, t)[0]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(_bucket(h[:, :2])), pa.array(_bucket(h)), b.column(0), b.column(1)], ["t", "cell", "bucket", "id", "v"])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query once a cell that it visits, with the buckets it visits there, the likeliest first, and its k-th best score in the sample."""
+    def probing(batches: Iterator[pa.RecordBatch], probes: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Each query once a cell that it visits, with the buckets it visits there, the likeliest first, and its k-th best score in the sample. ``probes``: more than the index's, without that score."""
         ix = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -221,12 +222,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 floor = np.full(len(v), -np.inf)
                 s = v @ ix.vectors.T
                 s[own[:, None] == ix.ids[None, :]] = -np.inf
-                if len(np.unique(ix.ids)) == s.shape[1] > k:  # k other ids are that near
+                if probes is None and len(np.unique(ix.ids)) == s.shape[1] > k:  # k other ids are that near
                     floor = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
                     floor = np.where(np.isfinite(floor), floor - np.abs(floor) * 1e-9, -np.inf)
                 for t in range(TABLES):
                     h, place = ix.slots(q, t)
-                    order = np.argsort(_costs(place), axis=1, kind="stable")[:, : ix.probes]
+                    order = np.argsort(_costs(place), axis=1, kind="stable")[:, : probes or ix.probes]
                     seen = h[:, None, :] + _DELTAS[order]
                     cell, bucket = _bucket(seen[..., :2]), _bucket(seen)
                     by = np.argsort(cell, axis=1, kind="stable")
@@ -314,25 +315,43 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         best_ = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank)
         return written(best_.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "op2-found")
 
+    def hashed(asking: DataFrame, probes: int | None = None) -> DataFrame:
+        """What ``asking`` meet in the buckets that they visit."""
+        ask = asking.mapInArrow(lambda batches: probing(batches, probes), f"t int, cell long, buckets array<long>, id long, v {kind}, floor double")
+        crowd = have.groupBy("t", "cell").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).union(ask.groupBy("t", "cell").agg(F.lit(0).cast("long"), F.count("*")))
+        crowd = crowd.groupBy("t", "cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"n > {block} or m > {asked}")
+        crowd = written(crowd.select("t", "cell", F.ceil(F.greatest("n", F.lit(1)) / block).alias("vparts"), F.ceil(F.greatest("m", F.lit(1)) / asked).alias("qparts")), "op2-crowd")
+        met = best(sides(have.join(sized(crowd), ["t", "cell"], "left"), ask.join(sized(crowd), ["t", "cell"], "left")))
+        discard(crowd)
+        return met
+
+    def short_of(asking: DataFrame, met: DataFrame) -> tuple[DataFrame, int]:
+        full = met.where(F.col("rank") == min(k, ids - 1)).select(F.col("query_id").alias("id"))
+        short = written(asking.join(full.hint("merge"), "id", "left_anti"), "op2-short")
+        return short, short.count()
+
     asking = rows.where(is_query)
     have = rows.mapInArrow(listed, f"t int, cell long, bucket long, id long, v {kind}")
-    ask = asking.mapInArrow(probing, f"t int, cell long, buckets array<long>, id long, v {kind}, floor double")
-    crowd = have.groupBy("t", "cell").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).union(ask.groupBy("t", "cell").agg(F.lit(0).cast("long"), F.count("*")))
-    crowd = crowd.groupBy("t", "cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"n > {block} or m > {asked}")
-    crowd = written(crowd.select("t", "cell", F.ceil(F.greatest("n", F.lit(1)) / block).alias("vparts"), F.ceil(F.greatest("m", F.lit(1)) / asked).alias("qparts")), "op2-crowd")
-    met = best(sides(have.join(sized(crowd), ["t", "cell"], "left"), ask.join(sized(crowd), ["t", "cell"], "left")))
-    discard(crowd)
-    full = met.where(F.col("rank") == min(k, ids - 1)).select(F.col("query_id").alias("id"))
-    short = written(asking.join(full.hint("merge"), "id", "left_anti"), "op2-short")
-    n = short.count()
+    met = hashed(asking)
+    short, n = short_of(asking, met)
+    if report is not None:
+        report.update(asked=asking.count(), widened=n, compared=0)
+    if not n:
+        return met
+    without = lambda met, short: met.join(short.select(F.col("id").alias("query_id")).hint("merge"), "query_id", "left_anti")
+    wide = hashed(short, len(_DELTAS))
+    met = without(met, short).unionByName(wide).select("query_id", "rank", "vec_id", "score")
+    short, n = short_of(short, wide)
+    if report is not None:
+        report["compared"] = n
     if not n:
         return met
-    # queries that met fewer than k: against all vectors, in blocks
+    # queries that still met fewer than k: against all vectors, in blocks
     blocks = lambda rows, size: F.lit(-(-rows // size)).cast("long")
     zero = F.lit(0).cast("long")
     place = lambda df: df.withColumns({"t": F.lit(-1), "cell": zero, "vparts": blocks(count, block), "qparts": blocks(n, asked)})
     rest = best(sides(place(rows).withColumn("bucket", zero), place(short).withColumns({"buckets": F.array(zero), "floor": F.lit(float("-inf"))})))
-    return met.join(short.select(F.col("id").alias("query_id")).hint("merge"), "query_id", "left_anti").unionByName(rest).select("query_id", "rank", "vec_id", "score")
+    return without(met, short).unionByName(rest).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
