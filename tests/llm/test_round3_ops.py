@@ -357,3 +357,50 @@ def test_queries_equal_their_sql(spark, name):
     columns = [x[0] for x in r.description]
     df = QUERIES[name](spark, DATA)
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(r.fetchall(), key=repr)
+
+
+# surrogates and neighbours: what earlier rounds left
+
+
+def test_pii_of_long_texts_and_bare_surnames(spark):
+    """Repeats that would carry a recursive matcher beyond its stack, and surnames of people found in the text."""
+    from seqspark.llm import pii
+
+    n = 100_000
+    texts = ["Mr " * n, "a@b" + ".c" * n, "Mr " + "Ab-" * n + "Ab", "Jean " + "von " * n, "x" * n + " 1" * n + "@"]
+    texts += ["Mr. John Smith called. Smith left, Smithson's not", "Frau Anna von Trapp met Trapp and von Trapp", "Smith alone"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, Entities string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert len(got) == len(texts) and [got[i].entities for i in (1, 2, 5, 6, 7)] == [{"email": 1}, {"person": 1}, {"person": 1}, {"person": 1}, {}]
+    assert got[3].text == texts[3] and got[7].text == texts[7]
+    new = re.fullmatch(r"Mr\. \S+ (\S+) called\. (\S+) left, Smithson's not", got[5].text)
+    assert new and new[1] == new[2] != "Smith"
+    new = re.fullmatch(r"Frau \S+ (\S+) met (\S+) and von (\S+)", got[6].text)
+    assert new and new[1] == new[2] == new[3] != "Trapp"
+
+
+@needs_data
+def test_ann_by_hashing_alone(spark):
+    """The sample is a tenth of the vectors, so what queries find isn't what the sample knew; few queries fall short."""
+    import numpy as np
+
+    from pyspark.sql import functions as F
+    from seqspark.llm import ann
+
+    path = DATA.replace("0.001", "0.1")
+    if not os.path.isdir(path):
+        pytest.skip("no larger tables")
+    df = spark.read.parquet(f"{path}/embeddings.parquet")
+    report = {}
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("id") % 20 == 0, report=report).collect():
+        got[r.query_id].add(r.vec_id)
+    rows = df.collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    met = []
+    for q in ids[ids % 20 == 0]:
+        s = v @ v[ids == q][0]
+        s[ids == q] = -np.inf
+        met.append(len(got[q] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert np.mean(met) >= 0.95 and report["compared"] == 0 and report["widened"] <= 0.05 * report["asked"]
+    print(report, np.mean(met))
