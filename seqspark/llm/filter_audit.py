@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,8 +79,10 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def retracted(bucket: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def retracted(bucket: tuple, frames: Iterator, state) -> Iterator:
     """``(part, mask, n)``: the changes to the counters when ``frames`` bring ids of a bucket's texts. The state has each text's smallest id and the masks counted for that."""
+    import pandas as pd  # here, as the workers that only combine do without
+
     if bucket[0] < 0:
         for f in frames:
             yield f[["part", "mask", "n"]]
