@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import match as M
-from .stages import discard, written
+from .merges import merge_rounds
+from .stages import discard, small, written
 
 PART = 2048
 
@@ -54,7 +58,7 @@ def mutual_knn_components(vectors: DataFrame, block: list[str], k: int = 6, leas
 def mutual_pair_score(rates: DataFrame, a: str = "a", b: str = "b", rate: str = "rate", n: int = 50) -> DataFrame:
     """``(a, b, score)``: the geometric mean of both directed rates, the ``n`` largest."""
     back = rates.select(F.col(a).alias("__b"), F.col(b).alias("__a"), F.col(rate).alias("__r"))
-    x = rates.join(back, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).where(F.col(a) < F.col(b))
+    x = rates.join(back.hint("merge"), (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).where(F.col(a) < F.col(b))
     return x.select(a, b, F.sqrt(F.col(rate) * F.col("__r")).alias("score")).orderBy(F.desc(F.round("score", 9)), a, b).limit(n)
 
 
@@ -150,6 +154,111 @@ def density_clusters(rows: DataFrame, length: str = "n_clicks", vec: str = "ici"
     return rows.join(of.hint("merge"), [length, vec], "left").select(rid, length, "cluster")
 
 
+def _distances(l: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:  # noqa: E741
+    x, y = np.stack(l["v"]).astype(float), np.stack(r["v"]).astype(float)
+    out = np.empty((len(x), len(y)))
+    for i in range(0, len(x), 128):
+        out[i : i + 128] = np.round(np.sqrt(((x[i : i + 128, None, :] - y[None, :, :]) ** 2).sum(axis=2)), M.DIGITS)
+    return out
+
+
+def _grow(row: np.ndarray, col: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """Labels (positions among the rows) after joining what the links ``row, col`` (sorted by row) tell, from the labels that are joined already."""
+    if not len(row):
+        return lab
+    order = np.argsort(col, kind="stable")
+    sides = []
+    for key, other in ((row, col), (col[order], row[order])):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sides.append((key[starts], starts, other))
+    while True:
+        new = lab.copy()
+        for nodes, starts, other in sides:
+            low = np.minimum.reduceat(new[other], starts)
+            np.minimum.at(new, new[nodes], low)  # a root takes what any of its rows meets
+            new[nodes] = np.minimum(new[nodes], low)
+        while True:
+            up = new[new]
+            if (up == new).all():
+                break
+            new = up
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def density_grid(rows: DataFrame, eps: list[float], min_points: list[int], length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", part: int = PART) -> DataFrame:
+    """``(rid, length, eps, min_points, cluster)``: :func:`density_clusters` for every pair of a radius and a least number of points, as one search.
+
+    One pass of blocks counts the neighbours at all radii, a second returns for each least number the links in which clusters grow from the smallest radius up, each with the
+    radius from which it holds, and each other point's nearest core at every setting. One loop of component rounds serves all settings. So a grid costs little more than one setting.
+    """
+    radii, least = sorted(set(eps)), sorted(set(min_points))
+    points = written(rows.groupBy(length, F.col(vec).alias("v")).agg(F.min(rid).alias("id"), F.count("*").alias("w")).withColumn("core", F.lit(None).cast("array<bigint>")), "grid")
+    kind = points.schema["id"].dataType.simpleString()
+    keys = [length, "bin", "lp", "rp"]
+
+    def joined(pts: DataFrame, run, schema: str) -> DataFrame:
+        a, b = _blocks(pts, [length], radii[-1], part)
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
+
+    def counts(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        if l.empty or r.empty:
+            return pd.DataFrame({"id": [], "n": []}, dtype=object)
+        d, guest, lw, rw = _distances(l, r), r["guest"].to_numpy(bool), l["w"].to_numpy(), r["w"].to_numpy()
+        own = np.stack([(d <= e) @ rw for e in radii], axis=1)
+        back = np.stack([lw @ (d[:, guest] <= e) for e in radii], axis=1)
+        return pd.DataFrame({"id": [*l["id"], *r["id"][guest]], "n": [*own.tolist(), *back.tolist()]})
+
+    total = F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(len(radii))])
+    dense = joined(points, counts, f"id {kind}, n array<bigint>").groupBy("id").agg(total.alias("core"))
+    marked = written(points.drop("core").join(dense.hint("shuffle_hash"), "id"), "grid")
+
+    def spans(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        names = ["least", "level", "a", "b", "d"]
+        if l.empty or r.empty:
+            return pd.DataFrame({c: [] for c in names}, dtype=object)
+        d, guest = _distances(l, r), r["guest"].to_numpy(bool)
+        ids, n = np.concatenate([l["id"], r["id"]]), len(l)
+        have = np.stack([*l["core"], *r["core"]])
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        out: list[tuple] = []
+        for m in least:
+            lab = np.arange(len(ids))
+            for i, e in enumerate(radii):
+                core = have[:, i] >= m
+                row, col = np.nonzero((d <= e) & core[:n, None] & core[None, n:])
+                new = _grow(row, col + n, lab)
+                moved = np.unique(lab[new != lab])
+                out += [(m, i, a, b, None) for a, b in zip(ids[moved].tolist(), ids[new[moved]].tolist())]
+                lab = new
+                for x, who, at, back in ((d, np.arange(n), ~core[:n], np.arange(n, len(ids))), (d.T, np.arange(n, len(ids)), ~core[n:] & guest, np.arange(n))):  # the nearest core of the others, the smallest of several
+                    to = back[core[back]]
+                    if at.any() and len(to):
+                        y = x[at][:, core[back]]
+                        dd = y.min(axis=1)
+                        ok = dd <= e
+                        y, dd, mine = y[ok], dd[ok], who[at][ok]
+                        near = np.where(y == dd[:, None], rank[to][None, :], len(ids)).argmin(axis=1)
+                        out += [(m, i, a, b, z) for a, b, z in zip(ids[mine].tolist(), ids[to[near]].tolist(), dd.tolist())]
+        return pd.DataFrame(out, columns=names)
+
+    found = written(joined(marked, spans, f"least int, level int, a {kind}, b {kind}, d double"), "grid")
+    link = found.where("d is null and a <> b").withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(len(radii) - 1))))
+    node = lambda c: F.struct("least", "level", F.col(c).alias("id")).alias(c)
+    comp = written(components(link.select(node("a"), node("b"))), "grid")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("least"), F.lit(i).alias("level")) for m in least for i in range(len(radii))])).alias("s")
+    cores = marked.select("id", "core", each).where(F.get("core", F.col("s.level")) >= F.col("s.least")).select(F.struct("s.least", "s.level", "id").alias("node"))
+    cores = cores.join(comp.hint("merge"), "node", "left").select("node.*", F.coalesce("comp.id", "node.id").alias("cluster"))
+    near = found.where("d is not null").groupBy("least", "level", F.col("a").alias("id")).agg(F.min_by("b", F.struct("d", "b")).alias("core_id"))
+    edge = near.join(cores.withColumnRenamed("id", "core_id").hint("merge"), ["least", "level", "core_id"]).select("least", "level", "id", "cluster")
+    named = written(cores.unionByName(edge), "grid")
+    every = points.select("id", length, F.col("v").alias(vec), each).select("id", length, vec, "s.least", "s.level").join(named.hint("merge"), ["least", "level", "id"], "left")
+    radius = F.get(F.array(*map(F.lit, radii)), F.col("level"))
+    of = every.select(length, vec, radius.alias("eps"), F.col("least").alias("min_points"), "cluster")
+    return rows.select(rid, length, vec).join(of.hint("merge"), [length, vec]).select(rid, length, "eps", "min_points", "cluster")
+
+
 def keep_large(clusters: DataFrame, least: int = 10, cluster: str = "cluster", length: str = "n_clicks") -> DataFrame:
     """``clusters`` with clusters of fewer than ``least`` rows made noise, and ``name``: ``{n}-NOISE`` for noise."""
     size = clusters.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("__n"))
@@ -174,49 +283,6 @@ def tempo_rank_names(clusters: DataFrame, length: str, shape: str, mean: str, di
     return x.withColumn("name", F.when(plus, F.col(shape)).otherwise(F.concat(n, F.when(F.col("__k"), F.col(shape)).otherwise(""), F.lit("P"), F.col("rank").cast("string")))).drop("__k")
 
 
-def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = False, joiner: str = "+", weight: str | None = None) -> tuple[DataFrame, list[dict]]:
-    """Repeatedly replace the most frequent (or most frequent times PMI) digram of ``(seq, pos, token)``, inside sequences, left to right without overlap.
-
-    Returns the last table and, per round, the digram, its count, the number of tokens and the ratio to the first. Each round is a count, one
-    row to the driver (the winner) and a merge: two different tokens can't overlap; of equal ones in a run every other one starts a pair.
-    """
-    cols = ["seq", "pos", "token", *([weight] if weight else [])]
-    cur = written(df.select(*cols), "merge")
-    w = F.col(weight) if weight else F.lit(1)
-    first = cur.agg(F.sum(w)).first()[0] or 0
-    log = []
-    for n in range(rounds):
-        order = Window.partitionBy("seq").orderBy("pos")
-        pair = cur.withColumn("b", F.lead("token").over(order)).where("b is not null").groupBy(F.col("token").alias("a"), "b").agg(F.sum(w).alias("c"))
-        if by_pmi:
-            uni = cur.groupBy("token").agg(F.sum(w).alias("u"))
-            tot = cur.agg(F.sum(w).alias("t"))
-            ua, ub = uni.select(F.col("token").alias("a"), F.col("u").alias("ua")), uni.select(F.col("token").alias("b"), F.col("u").alias("ub"))
-            pair = pair.join(ua.hint("shuffle_hash"), "a").join(ub.hint("shuffle_hash"), "b").crossJoin(F.broadcast(tot))  # one row
-            pair = pair.withColumn("score", F.round(F.col("c") * F.log2(F.col("c") * F.col("t") / (F.col("ua") * F.col("ub"))), 6))
-        else:
-            pair = pair.withColumn("score", F.col("c").cast("double"))
-        top = pair.where((F.col("c") >= least) & (F.col("score") > 0)).orderBy(F.desc("score"), "a", "b").limit(1).collect()
-        if not top:
-            break
-        a, b = top[0]["a"], top[0]["b"]
-        nxt, prev = F.lead("token").over(order), F.lag("token").over(order)
-        if a != b:
-            head = (F.col("token") == a) & F.coalesce(nxt == b, F.lit(False))
-            marked = cur.withColumn("head", head)
-        else:
-            new = F.when((F.col("token") == a) & F.coalesce(prev == a, F.lit(False)), 0).otherwise(1)
-            run = cur.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-            at = F.row_number().over(Window.partitionBy("seq", "run").orderBy("pos"))
-            marked = run.withColumn("at", at).withColumn("head", (F.col("token") == a) & (F.col("at") % 2 == 1) & F.coalesce(F.lead("run").over(order) == F.col("run"), F.lit(False)))
-        tail = F.coalesce(F.lag("head").over(order), F.lit(False))
-        kept = marked.withColumn("tail", tail).where("not tail").withColumn("token", F.when(F.col("head"), F.lit(f"{a}{joiner}{b}")).otherwise(F.col("token")))
-        cur = written(kept.withColumn("pos", F.row_number().over(order) - 1).select(*cols), "merge")
-        size = cur.agg(F.sum(w)).first()[0]
-        log.append({"round": n + 1, "a": a, "b": b, "count": int(top[0]["c"]), "tokens": int(size), "ratio": size / first})
-    return cur, log
-
-
 def log_table(spark, log: list[dict]) -> DataFrame:
     """A merge log as a table, a row a round."""
     return spark.createDataFrame([(r["round"], r["a"], r["b"], r["count"], r["tokens"], float(r["ratio"])) for r in log], "round int, a string, b string, count long, tokens long, ratio double")
@@ -249,21 +315,61 @@ def global_cluster_ids(df: DataFrame, length: str, cluster: str, label: str) ->
     return ids, g.agg(F.count_if(F.col("n") > 0).alias("with_labels"), F.count_if(F.col("n") == 0).alias("without"))
 
 
-def pca_2(rows: DataFrame, lengths: list[int], length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", least: int = 5) -> DataFrame:
-    """``(rid, length, pc1, pc2)``: two principal components of the scaled patterns of each length; signs make the largest loading positive."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    out = None
-    for n in lengths:  # a handful of fits, one a length
-        x = rows.where(F.col(length) == n).select(rid, length, array_to_vector(vec).alias("v"))
-        if n < 3 or x.limit(least).count() < least:
-            continue
-        s = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(x).transform(x)
-        m = PCA(k=2, inputCol="s", outputCol="p").fit(s)
-        load = m.pc.toArray()
-        sign = [1.0 if load[np.abs(load[:, i]).argmax(), i] > 0 else -1.0 for i in range(2)]
-        p = vector_to_array("p")
-        y = m.transform(s).select(rid, length, (p[0] * sign[0]).alias("pc1"), (p[1] * sign[1]).alias("pc2"))
-        out = y if out is None else out.unionByName(y)
-    return out
+def noise_majority(df: DataFrame, length: str, cluster: str, label: str, noise: Column) -> DataFrame:
+    """One row: clusters, those whose most frequent label (ties: the smaller) is ``noise`` (a condition on the label), and the labelled rows that aren't noise inside these."""
+    c = df.where(F.col(cluster).isNotNull() & F.col(label).isNotNull()).groupBy(length, cluster, label).agg(F.count("*").alias("c"), F.max(noise).alias("noise"))
+    g = c.groupBy(length, cluster).agg(F.min_by("noise", F.struct(-F.col("c"), F.col(label))).alias("lost"), F.sum(F.when(F.col("noise"), 0).otherwise(F.col("c"))).alias("rows"))
+    return g.agg(F.count("*").alias("clusters"), F.count_if("lost").alias("noise_clusters"), F.coalesce(F.sum(F.when(F.col("lost"), F.col("rows"))), F.lit(0).cast("long")).alias("rows_inside"))
+
+
+def principal_components(rows: DataFrame, length: str = "n_clicks", vec: str = "ici", least: int = 5) -> DataFrame:
+    """``(length, n, mean, sd, v1, v2, ratio1, ratio2)``: the two first components of the scaled patterns of each length of 3 or more with ``least`` rows, and their shares of the variance; signs make the largest loading positive.
+
+    Tasks return counts, sums and products a length; what is solved is a small matrix a length.
+    """
+    kind = rows.schema[length].dataType.simpleString()
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            n = b.column(0).to_numpy(zero_copy_only=False)
+            for k in np.unique(n):
+                part = b.column(1).filter(pa.array(n == k))
+                x = np.asarray(part.flatten().to_numpy(zero_copy_only=False), float).reshape(len(part), -1)
+                both = np.column_stack((np.ones(len(x)), x))
+                held[k] = held.get(k, 0) + both.T @ both  # counts, sums and products in one
+        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([m.ravel().tolist() for m in held.values()], pa.list_(pa.float64()))], ["n", "m"])
+
+    x = rows.where((F.col(length) >= 3) & F.col(vec).isNotNull()).select(F.col(length).cast("long").alias("n"), F.col(vec).cast("array<double>").alias("v"))
+    each = x.mapInArrow(moments, "n long, m array<double>").select("n", F.posexplode("m").alias("i", "x")).groupBy("n", "i").agg(F.sum("x").alias("x"))
+    whole = each.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, m in zip(*[c.to_pylist() for c in b.columns]):
+                k = int(round(len(m) ** 0.5))
+                m = np.array(m).reshape(k, k)
+                count, mean = m[0, 0], m[0, 1:] / m[0, 0]
+                if count < least:
+                    continue
+                cov = (m[1:, 1:] - count * np.outer(mean, mean)) / (count - 1)
+                sd = np.sqrt(np.maximum(np.diag(cov), 0))
+                unit = np.where(sd > 1e-12, 1 / np.maximum(sd, 1e-12), 0.0)
+                values, vectors = np.linalg.eigh(cov * np.outer(unit, unit))
+                top = [vectors[:, -1 - i] * (1 if vectors[np.abs(vectors[:, -1 - i]).argmax(), -1 - i] > 0 else -1) for i in (0, 1)]
+                total = values.sum() or 1.0
+                out.append((n, int(count), mean.tolist(), sd.tolist(), top[0].tolist(), top[1].tolist(), values[-1] / total, values[-2] / total))
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * 4, pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], ["k", "n", "mean", "sd", "v1", "v2", "ratio1", "ratio2"])
+
+    got = whole.mapInArrow(solved, "k long, n long, mean array<double>, sd array<double>, v1 array<double>, v2 array<double>, ratio1 double, ratio2 double")
+    return got.withColumn(length, F.col("k").cast(kind)).drop("k")
+
+
+def pca_2(rows: DataFrame, length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", least: int = 5) -> DataFrame:
+    """``(rid, length, pc1, pc2)``: each pattern on the :func:`principal_components` of its length."""
+    model = small(principal_components(rows, length, vec, least).select(length, "mean", "sd", "v1", "v2"))
+    unit = F.zip_with(F.zip_with(vec, "mean", lambda x, m: x - m), "sd", lambda x, s: F.when(s > 1e-12, x / s).otherwise(0.0))
+    on = lambda v: F.aggregate(F.zip_with(unit, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(rid, length, vec).join(model, length).select(rid, length, on("v1").alias("pc1"), on("v2").alias("pc2"))

@@ -24,7 +24,7 @@ def restrict(df: DataFrame, conv: str, parts: dict[int, list[str]], ages: DataFr
 
 def long_enough(df: DataFrame, conv: str, least: int = 20) -> DataFrame:
     """Rows of conversations with ``least`` rows or more."""
-    return df.join(df.groupBy(conv).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(conv), conv, "left_semi")
+    return df.join(df.groupBy(conv).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(conv).hint("shuffle_hash"), conv, "left_semi")
 
 
 def sample_per_stratum(df: DataFrame, stratum: str, k: int, order: list) -> DataFrame:

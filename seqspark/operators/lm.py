@@ -7,11 +7,17 @@ tokens, so suffixes are keys. Scores are bits a token, ``-mean(log2(max(p, 1e-12
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import running, written
+from . import ngrams as N
+from .stages import written
 
 SEP, BOS, FLOOR = "\u0001", "<BOS>", 1e-12
 
@@ -111,98 +117,14 @@ def markov_labels(df: DataFrame, folds: int, alpha: float = 0.5, pad: str = "<PA
     return x.select("fold", "seq", "pos", "label", ((c + alpha * F.col("m")) / (n + alpha * F.col("v"))).alias("p"), (F.coalesce("bh", "bu") == F.col("label")).alias("hit"))
 
 
-class KneserNey:
-    """Modified Kneser-Ney of order ``n``: raw counts at the top, counts of distinct left tokens below, three discounts an order, uniform base."""
-
-    def __init__(self, rows: DataFrame, folds: int, n: int):
-        """``rows``: :func:`histories` to ``n - 1``, padded. Tokens are counted once by their own fold; the counts, not the tokens, are added up for each fold. All tables are written."""
-        self.n = n
-        hs = [f"h{k}" for k in range(n)]
-        by_own = written(rows.groupBy("own", *hs, "token").agg(F.count("*").alias("c")), "ngrams")
-        tr = training(by_own, folds).select("fold", *hs, "token", "c")
-        self.counts: list[DataFrame | None] = [None] * (n + 1)
-        self.totals: list[DataFrame | None] = [None] * (n + 1)
-        top = written(tr.groupBy("fold", *hs, "token").agg(F.sum("c").alias("c")), "counts")  # an n-gram a row: lower orders need no other
-        self.counts[n] = top.select("fold", F.col(hs[-1]).alias("h"), "token", "c")
-        for k in range(1, n):  # distinct left tokens
-            grams = top.select("fold", f"h{k}", f"h{k - 1}", "token").distinct() if k < n - 1 else top.select("fold", f"h{k}", f"h{k - 1}", "token")
-            self.counts[k] = written(grams.groupBy("fold", F.col(f"h{k - 1}").alias("h"), "token").agg(F.count("*").alias("c")), "counts")
-        for k in range(1, n + 1):
-            d = self._discounts(self.counts[k])
-            x = self.counts[k].join(F.broadcast(d), "fold")  # a row a fold
-            take = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-            x = written(x.withColumn("take", take).select("fold", "h", "token", "c", "take", F.greatest(F.col("c") - F.col("take"), F.lit(0.0)).alias("kept")), "kept")
-            self.totals[k] = written(x.groupBy("fold", "h").agg(F.sum("c").alias("ch"), (F.sum("take") / F.sum("c")).alias("gamma")), "totals")
-            self.counts[k] = x.select("fold", "h", "token", "c", "kept")
-        self.v = written(self.counts[1].groupBy("fold").agg(F.count("*").alias("v")), "vocabulary")
-
-    @staticmethod
-    def _discounts(counts: DataFrame) -> DataFrame:
-        g = counts.groupBy("fold").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)])
-        n = [None, *[F.col(f"n{i}") for i in range(1, 5)]]
-        ok = (n[1] > 0) & (n[2] > 0)
-        y = n[1] / (n[1] + 2 * n[2])
-        d1 = 1 - 2 * y * (n[2] / n[1])
-        d2 = F.when(n[3] > 0, 2 - 3 * y * (n[3] / n[2])).otherwise(d1)
-        d3 = F.when(n[4] > 0, 3 - 4 * y * (n[4] / n[3])).otherwise(d2)
-        within = lambda d, top: F.when(ok, F.greatest(F.least(d, F.lit(float(top))), F.lit(0.0))).otherwise(0.5)
-        return g.select("fold", within(d1, 1).alias("d1"), within(d2, 2).alias("d2"), within(d3, 3).alias("d3"))
-
-    def prob(self, pairs: DataFrame, order: int | None = None) -> DataFrame:
-        """``pairs`` (fold, h0..h{order-1}, token, ..) with ``p``: the interpolation as a chain of joins, shortest history first."""
-        order = order or self.n
-        x = pairs.join(F.broadcast(self.v), "fold").withColumn("p", 1 / F.col("v")).drop("v")  # a row a fold
-        for k in range(1, order + 1):
-            h = f"h{k - 1}"
-            c = self.counts[k].select("fold", F.col("h").alias(h), "token", "kept")
-            t = self.totals[k].select("fold", F.col("h").alias(h), "ch", "gamma")
-            t = t.hint("broadcast" if k == 1 else "merge")  # of the empty history there is a row a fold
-            x = x.join(t, ["fold", h], "left").join(c.hint("merge"), ["fold", h, "token"], "left")
-            x = x.withColumn("p", F.when(F.col("ch").isNull(), F.col("p")).otherwise(F.coalesce("kept", F.lit(0.0)) / F.col("ch") + F.col("gamma") * F.col("p"))).drop("ch", "gamma", "kept")
-        return x
-
-    def best(self, hist: DataFrame) -> DataFrame:
-        """``hist`` (distinct fold, h0..h{n-1}) with the most likely token, ties to the smaller.
-
-        Tokens not seen after a history only inherit the lower order, so the seen ones and the lower order's best are enough.
-        """
-        best = None
-        for k in range(1, self.n + 1):
-            hs = [f"h{i}" for i in range(k)]
-            keys = hist.select("fold", *hs).distinct()
-            keys = written(keys, "histories") if k < self.n else keys
-            seen = self.counts[k].select("fold", F.col("h").alias(hs[-1]), "token")
-            cand = seen.join(F.broadcast(keys), ["fold", hs[-1]]).select("fold", *hs, "token") if k == 1 else keys.join(seen.hint("merge"), ["fold", hs[-1]])  # of the empty history there is a row a fold
-            if best is not None:
-                lower = best.select("fold", *hs[:-1], F.col("best").alias("token")).hint("broadcast" if k == 2 else "merge")
-                cand = cand.unionByName(keys.join(lower, ["fold", *hs[:-1]])).distinct()
-            x = self.prob(cand, k)
-            best = x.groupBy("fold", *hs).agg(F.min_by("token", F.struct(-F.round("p", 12), F.col("token"))).alias("best"))
-            best = written(best, "best") if k < self.n else best
-        return best
-
-
 def kneser_ney(df: DataFrame, folds: int, n: int = 5) -> DataFrame:
-    """Scored test tokens, every position, of the modified Kneser-Ney model."""
-    rows = written(histories(df, n - 1), "histories")
-    m, hs = KneserNey(rows, folds, n), [f"h{i}" for i in range(n)]
-    te = testing(rows)
-    p = m.prob(te.select("fold", *hs, "token").distinct())
-    best = m.best(te.select("fold", *hs).distinct())
-    x = te.join(p.hint("merge"), ["fold", *hs, "token"]).join(best.hint("merge"), ["fold", *hs])
-    return x.select("fold", "seq", "pos", "token", "p", (F.col("best") == F.col("token")).alias("hit"))
+    """Scored test tokens, every position, of the modified Kneser-Ney model; see :mod:`ngrams` for several models over one set of counts."""
+    return N.kneser_ney(N.SuffixCounts(df, folds, n - 1), n).select("fold", "seq", "pos", "token", "p", "hit")
 
 
 def kneser_ney_labels(df: DataFrame, folds: int, n: int = 3) -> DataFrame:
     """Scored test rows of the model on ``token``, summed over the tokens of the true ``label`` (a column of ``df``, a function of the token)."""
-    lab = df.select("token", "label").distinct()
-    rows, hs = written(histories(df, n - 1), "histories"), [f"h{i}" for i in range(n)]
-    m = KneserNey(rows, folds, n)
-    te = testing(rows).join(lab.hint("shuffle_hash"), "token")
-    asked = te.select("fold", *hs, "label").distinct().join(lab.select("label", F.col("token").alias("token")).hint("shuffle_hash"), "label")
-    known = m.counts[1].select("fold", "token").distinct()  # others have no probability
-    p = m.prob(asked.join(known.hint("merge"), ["fold", "token"], "left_semi")).groupBy("fold", *hs, "label").agg(F.sum("p").alias("p"))
-    return te.join(p.hint("merge"), ["fold", *hs, "label"], "left").select("fold", "seq", "pos", "label", "p", F.lit(None).cast("boolean").alias("hit"))
+    return N.kneser_ney_labels(N.SuffixCounts(df, folds, n - 1), n)
 
 
 def with_cache(scored: DataFrame, df: DataFrame, folds: int, size: int = 320, share: float = 0.25) -> DataFrame:
@@ -214,56 +136,70 @@ def with_cache(scored: DataFrame, df: DataFrame, folds: int, size: int = 320, sh
     return x.withColumn("p", (1 - share) * F.col("p") + share * (F.col("cc") + 0.5) / (F.col("cl") + 0.5 * F.col("v"))).drop("cc", "cl", "v").withColumn("hit", F.lit(None).cast("boolean"))
 
 
-def ppm_d(df: DataFrame, folds: int, order: int = 7) -> DataFrame:
-    """Scored test tokens, every position, of PPM with escape method D and full exclusion.
+def kneser_ney_cached(df: DataFrame, folds: int, n: int = 5, size: int = 320, share: float = 0.25, counts: N.SuffixCounts | None = None) -> DataFrame:
+    """As :func:`kneser_ney`, mixed with the smoothed distribution of the sequence's last ``size`` tokens, with the mixture's best token.
 
-    What is seen after a history is seen after its suffix too, so the counts that a longer history excludes from a shorter one are a sum
-    for each history, made when fitting. The best token of an order that a longer history doesn't exclude is among as many most
-    frequent ones as are excluded, and one more.
+    Without the cache the model's own best wins, so only tokens more frequent in the window than that one can beat it: a stream over each sequence, in stretches that overlap by a
+    window, returns these, and they alone are scored.
     """
-    rows = written(histories(df, order, pad=None), "histories")
-    t = []
-    for k in range(order + 1):
-        own = rows.where(F.col(f"h{k}").isNotNull()).groupBy("own", F.col(f"h{k}").alias("h"), *([F.col(f"h{k - 1}").alias("up")] if k else []), "token").agg(F.count("*").alias("c"))
-        t.append(written(training(own, folds).groupBy("fold", "h", *(["up"] if k else []), "token").agg(F.sum("c").alias("c")), "counts"))
-    tot = [written(x.groupBy("fold", "h", *(["up"] if k else [])).agg(F.sum("c").alias("ch"), F.count("*").alias("u")), "totals") for k, x in enumerate(t)]
-    # counts of the tokens seen after h, in the table of its suffix
-    excl = [None] + [t[k].select("fold", "h", "up", "token").join(t[k - 1].select("fold", F.col("h").alias("up"), "token", "c").hint("merge"), ["fold", "up", "token"]).groupBy("fold", "h").agg(F.sum("c").alias("xc")) for k in range(1, order + 1)]
-    ranked = [x.withColumn("r", F.row_number().over(Window.partitionBy("fold", "h").orderBy(F.desc("c"), "token"))) if k else None for k, x in enumerate(t)]
-    # the empty history has a fold's whole vocabulary, so that is ranked by ranges
-    vocabulary = running(t[0].withColumn("m", -F.col("c")), ["fold", "m", "token"], rank="__r").drop("m")
-    first = vocabulary.groupBy("fold").agg((F.min("__r") - 1).alias("__s"))  # a row a fold
-    ranked[0] = vocabulary.join(F.broadcast(first), "fold").withColumn("r", (F.col("__r") - F.col("__s")).cast("int")).drop("__r", "__s")
-    v = written(t[0].groupBy("fold").agg(F.count("*").alias("v")), "vocabulary")
-    te = testing(rows)
-    x = te.withColumns({"w": F.lit(1.0), "p": F.lit(None).cast("double"), "bp": F.lit(-1.0), "bt": F.lit(None).cast("string"), "xc": F.lit(0).cast("long"), "xu": F.lit(0).cast("long"), "longer": F.lit(None).cast("string")})
-    for k in range(order, -1, -1):
-        h = f"h{k}"
-        a = tot[k].select("fold", F.col("h").alias(h), "ch", "u")
-        x = x.join(a.hint("merge" if k else "broadcast"), ["fold", h], "left").join(t[k].select("fold", F.col("h").alias(h), "token", F.col("c").alias("ct")).hint("merge"), ["fold", h, "token"], "left")
-        eff, uniq = F.col("ch") - F.col("xc"), F.col("u") - F.col("xu")
-        live = F.col("ch").isNotNull() & (uniq > 0)
-        # the best token here that the longer history doesn't exclude
-        asked = x.where(live).select("fold", h, "longer", (F.least(F.col("xu") + 1, F.col("u"))).alias("need")).distinct()
-        tries = asked.select("fold", h, "longer", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("r")).join(ranked[k].select("fold", F.col("h").alias(h), "r", "token", "c").hint("merge"), ["fold", h, "r"])
-        if k < order:
-            seen = t[k + 1].select("fold", F.col("h").alias("longer"), "token")
-            tries = tries.join(seen.hint("merge"), ["fold", "longer", "token"], "left_anti")
-        top = tries.groupBy("fold", h, F.coalesce("longer", F.lit("\u0002")).alias("lg")).agg(F.min(F.struct((-F.col("c")).alias("c"), "token")).alias("b")).select("fold", h, "lg", (-F.col("b.c")).alias("bc"), F.col("b.token").alias("bn"))
-        x = x.withColumn("lg", F.coalesce("longer", F.lit("\u0002"))).join(top.hint("merge"), ["fold", h, "lg"], "left").drop("lg")
-        share = lambda c: F.col("w") * (c - 0.5) / eff
-        x = x.withColumn("p", F.when(F.col("p").isNull() & live & F.col("ct").isNotNull(), share(F.col("ct"))).otherwise(F.col("p")))
-        better = live & (F.round(share(F.col("bc")), 12) > F.round(F.col("bp"), 12))
-        x = x.withColumns({"bt": F.when(better, F.col("bn")).otherwise(F.col("bt")), "bp": F.when(better, share(F.col("bc"))).otherwise(F.col("bp")), "w": F.when(live, F.col("w") * 0.5 * uniq / eff).otherwise(F.col("w"))})
-        if k:
-            e = excl[k].select("fold", F.col("h").alias(h), F.col("xc").alias("nx"))
-            x = x.join(e.hint("merge"), ["fold", h], "left")
-            here = F.col("ch").isNotNull()
-            x = x.withColumns({"xc": F.when(here, F.col("nx")).otherwise(F.lit(0)).cast("long"), "xu": F.when(here, F.col("u")).otherwise(F.lit(0)).cast("long"), "longer": F.when(here, F.col(h))}).drop("nx")
-        x = x.drop("ch", "u", "ct", "bc", "bn")
-        x = written(x, "scored") if k else x
-    x = x.join(F.broadcast(v), "fold")  # a row a fold
-    return x.select("fold", "seq", "pos", "token", (F.col("p") + F.col("w") / F.col("v")).alias("p"), (F.col("bt") == F.col("token")).alias("hit"))
+    counts = counts or N.SuffixCounts(df, folds, n - 1)
+    model = N.KneserNey(counts, n)
+    scored = written(N.kneser_ney(counts, n, model), "cached")
+    seen = written(_windows(scored, size), "cached")
+    x = scored.join(seen.hint("merge"), ["seq", "pos"]).join(F.broadcast(model.v), "fold")  # a row a fold
+    mix = lambda p, c: (1 - share) * p + share * (c + 0.5) / (F.col("cl") + 0.5 * F.col("v"))
+    rivals = x.select("seq", "pos", "fold", "h", "cl", "v", F.explode("rivals").alias("e")).select("seq", "pos", "fold", "h", "cl", "v", "e.token", "e.n")
+    p = model.score(rivals.select("fold", "h", "token").distinct()).select("fold", "h", "token", F.col("p").alias("rp"))
+    order = lambda p, token: F.struct((-F.round(p, 12)).alias("q"), token.alias("token"))
+    most = rivals.join(p.hint("merge"), ["fold", "h", "token"]).groupBy("seq", "pos").agg(F.min(order(mix(F.col("rp"), F.col("n")), F.col("token"))).alias("rival"))
+    x = x.join(most.hint("merge"), ["seq", "pos"], "left")
+    own = order(mix(F.col("bp"), F.col("cb")), F.col("best"))
+    return x.select("fold", "seq", "pos", "token", mix(F.col("p"), F.col("cc")).alias("p"), (F.least(own, "rival")["token"] == F.col("token")).alias("hit"))
+
+
+#: Positions of a sequence that one task's stream takes together.
+STRETCH = 1 << 16
+
+
+def _windows(scored: DataFrame, size: int, stretch: int = STRETCH) -> DataFrame:
+    """``(seq, pos, cc, cb, cl, rivals)``: how often the token and the best one stand in the last ``size`` tokens, how many these are, and the tokens that stand there more often than the best one."""
+    at = F.floor(F.col("pos") / stretch)
+    next_ = F.floor((F.col("pos") + size) / stretch)
+    x = scored.select("seq", "pos", "token", "best", F.explode(F.sequence(at, next_)).alias("stretch"), at.alias("home"))
+    x = x.repartition("seq", "stretch").sortWithinPartitions("seq", "stretch", "pos")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, count = None, deque(), Counter()
+        for b in batches:
+            keep, out = [], []
+            for i, (seq, pos, token, best, part, home) in enumerate(zip(*[c.to_pylist() for c in b.columns])):
+                if (seq, part) != now:
+                    now = (seq, part)
+                    held.clear()
+                    count.clear()
+                if part == home:
+                    cb = count[best]
+                    keep.append(i)
+                    out.append((count[token], cb, min(pos, size), [{"token": t, "n": n} for t, n in count.items() if n > cb]))
+                held.append(token)
+                count[token] += 1
+                if len(held) > size:
+                    old = held.popleft()
+                    count[old] -= 1
+                    if not count[old]:
+                        del count[old]
+            take = pa.array(keep, pa.int64())
+            cols = zip(zip(*out) if out else [[]] * 4, kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(c, k) for c, k in cols]], ["seq", "pos", "cc", "cb", "cl", "rivals"])
+
+    t = scored.schema
+    return x.mapInArrow(run, f"seq {t['seq'].dataType.simpleString()}, pos {t['pos'].dataType.simpleString()}, cc long, cb long, cl long, rivals array<struct<token: string, n: bigint>>")
+
+
+def ppm_d(df: DataFrame, folds: int, order: int = 7) -> DataFrame:
+    """Scored test tokens, every position, of PPM with escape method D and full exclusion."""
+    return N.ppm_d(N.SuffixCounts(df, folds, order), order)
 
 
 def event_bits(scored: DataFrame, event: str) -> DataFrame:
@@ -272,20 +208,122 @@ def event_bits(scored: DataFrame, event: str) -> DataFrame:
     return e.groupBy("fold").agg(F.count("*").alias("n"), F.avg("b").alias("bits"))
 
 
-def learned_baseline(df: DataFrame, folds: int, k: int = 4, max_iter: int = 20, seed: int = 0):
-    """``(fold, n, bits, acc)`` of a multinomial logistic regression on the one-hot last ``k`` tokens, fitted once a fold on the sequences of the others."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    w = Window.partitionBy("seq").orderBy("pos")
-    x = df.select("own", "seq", "pos", "token", *[F.coalesce(F.lag("token", i).over(w), F.lit("<PAD>")).alias(f"c{i}") for i in range(1, k + 1)]).where("pos > 0")
+def softmax_gradient(w: np.ndarray, own: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Summed negative log-likelihoods and gradients of every fold that trains on the rows: ``w`` (fold, feature, class), ``x`` the features that are 1, ``n`` the rows' counts."""
+    loss, grad = np.zeros(folds), np.zeros_like(w)
+    for f in range(folds):
+        at = own != f
+        if not at.any():
+            continue
+        z = w[f][x[at]].sum(axis=1)
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        p = e / e.sum(axis=1, keepdims=True)
+        rows = np.arange(at.sum())
+        loss[f] = -(n[at] * np.log(np.maximum(p[rows, y[at]], 1e-300))).sum()
+        p[rows, y[at]] -= 1
+        p *= n[at][:, None]
+        for j in range(x.shape[1]):
+            np.add.at(grad[f], x[at][:, j], p)
+    return loss, grad
+
+
+def _descend(evaluate, w: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with step halving."""
+    value, g = evaluate(w)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, alphas = g.copy(), []
+        for s_, y in reversed(held):
+            a = (s_ * q).sum() / (y * s_).sum()
+            alphas.append(a)
+            q -= a * y
+        if held:
+            s_, y = held[-1]
+            q *= (s_ * y).sum() / (y * y).sum()
+        for (s_, y), a in zip(held, reversed(alphas)):
+            q += s_ * (a - (y * q).sum() / (y * s_).sum())
+        step, slope = 1.0, -(g * q).sum()
+        if slope > -1e-12:
+            break
+        while True:
+            new = w - step * q
+            v, h = evaluate(new)
+            if v <= value + 1e-4 * step * slope or step < 1e-4:
+                break
+            step /= 2
+        if ((new - w) * (h - g)).sum() > 1e-12:
+            held = [*held[1 - memory :], (new - w, h - g)]
+        w, value, g = new, v, h
+    return w
+
+
+def learned_baseline(df: DataFrame, folds: int, k: int = 4, max_iter: int = 20, penalty: float = 1e-4) -> DataFrame:
+    """``(fold, n, bits, acc)`` of a multinomial logistic regression on the one-hot last ``k`` tokens, for every fold fitted on the sequences of the others.
+
+    All folds are one problem: tasks add up the gradients of every fold over their distinct contexts, a task a fold adds up the tasks', and the driver takes the steps. It holds the model, ``folds`` times
+    ``k`` times the vocabulary's square.
+    """
+    w_ = Window.partitionBy("seq").orderBy("pos")
     names = [f"c{i}" for i in range(1, k + 1)]
-    stages = [StringIndexer(inputCols=[*names, "token"], outputCols=[*[f"{c}_i" for c in names], "label"], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in names], outputCols=[f"{c}_v" for c in names], handleInvalid="keep"), VectorAssembler(inputCols=[f"{c}_v" for c in names], outputCol="features"), LogisticRegression(maxIter=max_iter, regParam=1e-4)]
-    p, out = F.get(vector_to_array("probability"), F.col("label").cast("int")), None
-    for i in range(folds):  # a handful of fits, one a fold
-        y = Pipeline(stages=stages).fit(x.where(F.col("own") != i)).transform(x.where(F.col("own") == i))
-        y = y.select(F.lit(i).alias("fold"), p.alias("p"), (F.col("prediction") == F.col("label")).alias("hit"))
-        out = y if out is None else out.unionByName(y)
-    return summary(out)
+    x = df.select("own", "seq", "pos", "token", *[F.coalesce(F.lag("token", i).over(w_), F.lit("<PAD>")).alias(c) for i, c in enumerate(names, 1)]).where("pos > 0")
+    rows = written(x.groupBy("own", *names, "token").agg(F.count("*").alias("n")), "contexts")
+    vocab = ["<PAD>", *sorted(r.token for r in df.select("token").distinct().collect())]  # the model's classes
+    at, size = {t: i for i, t in enumerate(vocab)}, len(vocab)
+    spark = df.sparkSession
+
+    def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        cols = [np.array([at[t] for t in b.column(i).to_pylist()], np.int64) + (i - 1) * size for i in range(1, k + 1)]
+        features = np.column_stack([*cols, np.full(b.num_rows, k * size)])
+        return b.column(0).to_numpy(), features, np.array([at[t] for t in b.column(k + 1).to_pylist()], np.int64), b.column(k + 2).to_numpy().astype(float)
+
+    total = {r.fold: r.n for r in training(rows, folds).groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    count = np.array([max(1, total.get(f, 0)) for f in range(folds)], float)
+
+    def batch(held: dict) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.float64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(f, v, g.tobytes()) for f, (v, g) in held.items()]) if held else [[]] * 3, kinds)], ["fold", "loss", "grad"])
+
+    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(w)
+
+        def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, grad = np.zeros(folds), np.zeros_like(shared.value)
+            for b in batches:
+                if b.num_rows:
+                    v, g = softmax_gradient(shared.value, *arrays(b), folds)
+                    loss, grad = loss + v, grad + g
+            yield batch({f: (loss[f], grad[f]) for f in range(folds)})
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            for b in batches:
+                for f, v, g in zip(*[c.to_pylist() for c in b.columns]):
+                    old = held.get(f, (0.0, 0.0))
+                    held[f] = (old[0] + v, old[1] + np.frombuffer(g))
+            yield batch(held)
+
+        schema = "fold int, loss double, grad binary"
+        value, out = 0.0, np.zeros_like(w)
+        for r in rows.mapInArrow(tasks, schema).repartition(folds, "fold").mapInArrow(added, schema).collect():
+            value += r.loss / count[r.fold]
+            out[r.fold] = np.frombuffer(r.grad).reshape(w.shape[1:]) / count[r.fold]
+        shared.unpersist()
+        free = w.copy()
+        free[:, -1] = 0  # the bias isn't penalised
+        return value + penalty / 2 * (free**2).sum(), out + penalty * free
+
+    model = spark.sparkContext.broadcast(_descend(evaluate, np.zeros((folds, k * size + 1, size)), max_iter))
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, features, y, n = arrays(b)
+            z = model.value[own[:, None], features].sum(axis=1)
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+            mine = p[np.arange(len(y)), y]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(mine), pa.array(p.argmax(axis=1) == y)], ["fold", "n", "p", "hit"])
+
+    s = rows.mapInArrow(tested, "fold int, n long, p double, hit boolean")
+    bits = -F.sum(F.col("n") * F.log2(F.greatest("p", F.lit(FLOOR)))) / F.sum("n")
+    return s.groupBy("fold").agg(F.sum("n").alias("n"), bits.alias("bits"), (F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("acc"))

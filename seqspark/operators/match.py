@@ -1,6 +1,6 @@
 """Nearest-anchor matching of patterns with distance thresholds, class variance and its quality reports.
 
-Neighbours are found in blocks: the rows of a block key (a pattern length) are dealt to parts of bounded size on both sides, each pair of
+Euclidean neighbours come from :mod:`nearest`. Cosine neighbours are found in blocks: the rows of a block key are dealt to parts of bounded size on both sides, each pair of
 parts is one task's numpy product that returns only ``k`` rows a query, and these are merged. Distances are rounded to ``DIGITS`` places,
 so ties are exact and go to the smaller anchor.
 """
@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .nearest import DIGITS, nearest
 from .stages import quantiles, sized, small, written
 
-K, MIN_ANCHORS, TAU_FLOOR, DIGITS, PART = 5, 6, 0.10, 9, 2048
+K, MIN_ANCHORS, TAU_FLOOR, PART = 5, 6, 0.10, 2048
 
 
 def truth_join(rows: DataFrame, truth: DataFrame, key: str, truth_key: str, label: str, restrict: Column | None = None) -> DataFrame:
@@ -33,8 +34,10 @@ def distance(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: str = "ici", qid: str = "row_id", aid: str = "row_id", cosine: bool = False, exclude_self: bool = False, part: int = PART) -> DataFrame:
     """``(block.., qid, anchor_id, d, r)``: each query's ``k`` nearest anchors of its block, ``r`` from 1. Vectors of one block have one length.
 
-    With ``cosine``, ``d`` is the cosine similarity and the largest come first.
+    With ``cosine``, ``d`` is the cosine similarity, the largest come first, and all pairs of a block are compared in blocks.
     """
+    if not cosine:
+        return nearest(queries, anchors, block, k, vec, qid, aid, exclude_self)
     size = lambda df, name: df.groupBy(*block).agg(F.ceil(F.count("*") / part).alias(name))
     parts = written(size(queries, "qn").join(size(anchors, "an").hint("shuffle_hash"), block), "blocks")  # blocks that both sides have
     spread = lambda c, n: F.pmod(F.xxhash64(c), n)
@@ -53,12 +56,11 @@ def knn(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: s
         x, y, names = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float), right["id"].to_numpy()
         order = np.argsort(names, kind="stable")
         y, names = y[order], names[order]
-        if cosine:
-            x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+        x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
         out = []
         step = max(1, 4_000_000 // max(1, y.size))
         for i in range(0, len(x), step):
-            d = -(x[i : i + step] @ y.T) if cosine else np.sqrt(((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+            d = -(x[i : i + step] @ y.T)
             d = np.round(d, DIGITS)
             if exclude_self:
                 d[left["id"].to_numpy()[i : i + step, None] == names[None, :]] = np.inf
@@ -66,7 +68,7 @@ def knn(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: s
             dd = np.take_along_axis(d, best, axis=1)
             who = np.repeat(left["id"].to_numpy()[i : i + step], best.shape[1])
             ok = np.isfinite(dd.ravel())
-            out.append(pd.DataFrame({"qid": who[ok], "anchor_id": names[best.ravel()][ok], "d": (-dd if cosine else dd).ravel()[ok]}))
+            out.append(pd.DataFrame({"qid": who[ok], "anchor_id": names[best.ravel()][ok], "d": -dd.ravel()[ok]}))
         got = pd.concat(out, ignore_index=True)
         for b in block:
             got[b] = left[b].iloc[0]
@@ -74,7 +76,7 @@ def knn(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: s
 
     schema = ", ".join([*[f"`{b}` {kind[b]}" for b in block], f"qid {kind['id']}, anchor_id {kind['id']}, d double"])
     found = q.groupBy(*keys).cogroup(a.groupBy(*keys)).applyInPandas(run, schema)
-    r = F.row_number().over(Window.partitionBy(*block, "qid").orderBy(F.desc("d") if cosine else "d", "anchor_id"))
+    r = F.row_number().over(Window.partitionBy(*block, "qid").orderBy(F.desc("d"), "anchor_id"))
     return found.withColumn("r", r).where(F.col("r") <= k)
 
 

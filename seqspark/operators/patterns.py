@@ -35,7 +35,7 @@ def bin_means(df: DataFrame, edges: DataFrame, vec: str = "ici", sym: str = "sym
     v = df.select(F.explode(F.arrays_zip(F.col(vec).alias("x"), F.split(sym, "").alias("s"), F.sequence(F.lit(1), F.size(vec)).alias("pos"))).alias("z")).select("z.*").where("x is not null and s is not null")
     seen = v.groupBy("pos", F.col("s").alias("symbol")).agg(F.avg("x").alias("m"))
     bins_ = edges.select("pos", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("i", "lo"), F.col("edges").alias("e")).select("pos", F.substring(F.lit("ABCDEFGHIJ"), F.col("i") + 1, F.lit(1)).alias("symbol"), ((F.col("lo") + F.get("e", F.col("i") + 1)) / 2).alias("mid"))
-    return seen.join(bins_, ["pos", "symbol"], "full").select("pos", "symbol", F.coalesce("m", "mid").alias("mean"))
+    return seen.join(bins_.hint("merge"), ["pos", "symbol"], "full").select("pos", "symbol", F.coalesce("m", "mid").alias("mean"))
 
 
 def desymbolise(df: DataFrame, means: DataFrame, key: str, sym: str = "sym", fallback: float = 0.25, out: str = "timing") -> DataFrame:
@@ -64,20 +64,20 @@ def string_ids(df: DataFrame, sym: str = "sym", out: str = "sid") -> DataFrame:
 
 def segment_inventory(strings: DataFrame, segments: DataFrame) -> DataFrame:
     """``(segment, freq, strings)`` from ``(string, c)`` and ``(string, segs)``."""
-    x = strings.join(segments, "string").select("c", F.explode("segs").alias("segment"))
+    x = strings.join(segments.hint("merge"), "string").select("c", F.explode("segs").alias("segment"))
     return x.groupBy("segment").agg(F.sum("c").alias("freq"), F.count("*").alias("strings"))
 
 
 def segment_purity(rows: DataFrame, segments: DataFrame, sym: str, label: str) -> DataFrame:
     """``(segment, n, labels, purity)``: how many labels a segment's events have and the share of the most frequent one."""
-    x = rows.where(F.col(label).isNotNull()).join(segments.withColumnRenamed("string", sym), sym).select(label, F.explode(F.array_distinct("segs")).alias("segment"))
+    x = rows.where(F.col(label).isNotNull()).join(segments.withColumnRenamed("string", sym).hint("shuffle_hash"), sym).select(label, F.explode(F.array_distinct("segs")).alias("segment"))
     c = x.groupBy("segment", label).agg(F.count("*").alias("c"))
     return c.groupBy("segment").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), (F.max("c") / F.sum("c")).alias("purity"))
 
 
 def segment_features(rows: DataFrame, segments: DataFrame, sym: str, tempo: str, trend: str, ornament: str) -> DataFrame:
     """``(segment, n, tempo_mean, tempo_sd, rising, level, falling, ornament_rate)``; population deviation."""
-    x = rows.join(segments.withColumnRenamed("string", sym), sym).select(tempo, trend, ornament, F.explode("segs").alias("segment"))
+    x = rows.join(segments.withColumnRenamed("string", sym).hint("shuffle_hash"), sym).select(tempo, trend, ornament, F.explode("segs").alias("segment"))
     return x.groupBy("segment").agg(F.count("*").alias("n"), F.avg(tempo).alias("tempo_mean"), F.stddev_pop(tempo).alias("tempo_sd"), *[F.count_if(F.col(trend) == m).alias(n) for m, n in (("/", "rising"), ("-", "level"), ("\\", "falling"))], F.avg(F.col(ornament).cast("double")).alias("ornament_rate"))
 
 
@@ -180,7 +180,7 @@ def label_mixture_bits(label_probs: DataFrame, table: DataFrame, true: DataFrame
     """
     strings = table.select("string").distinct().agg(F.count("*").alias("v"))
     tot = table.groupBy("label").agg(F.sum("c").alias("n"))
-    x = label_probs.join(true, "key").join(sized(tot), "label", "left").join(table.select("label", "string", "c").hint("shuffle_hash"), ["label", "string"], "left").crossJoin(F.broadcast(strings))  # one row
+    x = label_probs.join(true.hint("merge"), "key").join(sized(tot), "label", "left").join(table.select("label", "string", "c").hint("shuffle_hash"), ["label", "string"], "left").crossJoin(F.broadcast(strings))  # one row
     p = F.when(F.col("n").isNull(), 1 / F.col("v")).otherwise((F.coalesce("c", F.lit(0)) + alpha) / (F.col("n") + alpha * F.col("v")))
     return x.groupBy("key").agg((-F.log2(F.greatest(F.sum(F.col("p") * p), F.lit(1e-12)))).alias("bits"))
 
@@ -210,3 +210,73 @@ def held_out_strings(rows: DataFrame, folds: int, label: str = "label", sym: str
     tr = by_own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own").groupBy("fold", "pred_label", "s").agg(F.sum("c").alias("c"))
     best = tr.groupBy("fold", "pred_label").agg(F.min_by("s", F.struct(-F.col("c"), F.col("s"))).alias("pred"))
     return next_labels(rows, folds, label).join(small(best), ["fold", "pred_label"], "left").select("row_id", F.coalesce("pred", F.lit("")).alias("pred"))
+
+
+def context_mixture_bits(rows: DataFrame, folds: int, label: str = "label", sym: str = "sym", alpha: float = 0.5) -> DataFrame:
+    """``(row_id, fold, bits)`` of ``rows`` (row_id, seq, pos, own, label, sym): ``-log2`` of the sum over labels of P(label | the label before) and P(string | label), counted in the other folds.
+
+    Both are additively smoothed over all labels of the table and all strings of the fold's training; a label unseen there gives one over the number of strings, an unseen or missing label before the
+    labels' own shares. A smoothed share is one number for every label and more for the seen ones, so only labels seen with the string, and of these the ones seen after the label before,
+    are joined: rows aren't multiplied by labels.
+    """
+    before = F.lag(label).over(Window.partitionBy("seq").orderBy("pos"))
+    x = written(rows.select("row_id", "own", F.col(label).cast("string").alias("l"), F.col(sym).alias("s"), before.cast("string").alias("b")), "mixture")
+    train = lambda df, *by: written(df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own").groupBy("fold", *by).agg(F.sum("c").alias("c")), "mixture")
+    strings = train(x.groupBy("own", "l", "s").agg(F.count("*").alias("c")), "l", "s")
+    after = train(x.where("b is not null").groupBy("own", "b", "l").agg(F.count("*").alias("c")), "b", "l")
+    names = x.select("l").distinct()
+    labels = names.agg(F.count("*").alias("m"))
+    v = strings.groupBy("fold").agg(F.count_distinct("s").alias("v"))  # a row a fold
+    size = strings.groupBy("fold", "l").agg(F.sum("c").alias("n"))
+    every = names.crossJoin(F.broadcast(v)).join(size.hint("merge"), ["fold", "l"], "left")  # labels times folds
+    unit = written(every.select("fold", "l", "n", "v", F.when(F.col("n").isNull(), 1 / F.col("v")).otherwise(alpha / (F.col("n") + alpha * F.col("v"))).alias("unit")), "mixture")
+    own = size.select("fold", F.lit(None).cast("string").alias("b"), "l", F.col("n").alias("c"))
+    ctx = after.select("fold", "b", "l", "c").unionByName(own).withColumn("known", F.col("b").isNotNull()).withColumn("b", F.coalesce("b", F.lit("")))
+    total = ctx.groupBy("fold", "known", "b").agg(F.sum("c").alias("t")).crossJoin(F.broadcast(labels)).withColumn("mass", F.col("t") + alpha * F.col("m"))  # one row
+    share = ctx.join(total.hint("merge"), ["fold", "known", "b"]).join(unit.select("fold", "l", "unit").hint("merge"), ["fold", "l"]).select("fold", "known", "b", "l", (F.col("c") / F.col("mass")).alias("extra"), "unit", "mass")
+    share = written(share, "mixture")
+    context = share.groupBy("fold", "known", "b").agg((alpha / F.max("mass")).alias("base"), F.sum(F.col("extra") * F.col("unit")).alias("some"))
+    all_ = unit.groupBy("fold").agg(F.sum("unit").alias("all"))  # a row a fold
+    seen = strings.join(unit.where("n is not null").select("fold", "l", "n", "v").hint("merge"), ["fold", "l"]).select("fold", "s", "l", (F.col("c") / (F.col("n") + alpha * F.col("v"))).alias("w"))
+    seen = written(seen, "mixture")
+    asked = x.select("row_id", F.col("own").alias("fold"), "s", F.coalesce("b", F.lit("")).alias("b"), F.col("b").isNotNull().alias("has"))
+    met = after.select("fold", "b").distinct().withColumn("known", F.lit(True))
+    asked = asked.join(met.hint("merge"), ["fold", "b"], "left").withColumn("known", F.col("has") & F.coalesce("known", F.lit(False)))
+    asked = written(asked.withColumn("b", F.when(F.col("known"), F.col("b")).otherwise("")).drop("has"), "mixture")
+    kinds = asked.select("fold", "known", "b", "s").distinct()
+    pairs = kinds.join(seen.hint("merge"), ["fold", "s"]).join(share.select("fold", "known", "b", "l", "extra").hint("merge"), ["fold", "known", "b", "l"], "left")
+    met = pairs.groupBy("fold", "known", "b", "s").agg(F.sum("w").alias("with_s"), F.sum(F.coalesce(F.col("extra"), F.lit(0.0)) * F.col("w")).alias("both"))
+    y = kinds.join(met.hint("merge"), ["fold", "known", "b", "s"], "left").join(context.hint("merge"), ["fold", "known", "b"]).join(F.broadcast(all_), "fold")
+    p = F.col("base") * (F.col("all") + F.coalesce("with_s", F.lit(0.0))) + F.col("some") + F.coalesce("both", F.lit(0.0))
+    y = y.select("fold", "known", "b", "s", (-F.log2(F.greatest(p, F.lit(1e-12)))).alias("bits"))
+    return asked.join(y.hint("merge"), ["fold", "known", "b", "s"]).select("row_id", "fold", "bits")
+
+
+def greedy_strings(rows: DataFrame, folds: int) -> DataFrame:
+    """``(row_id, fold, pred)`` of ``rows`` (row_id, seq, pos, own, segs): as many likeliest successors of the last segment before as the row has segments, joined.
+
+    Successors are counted in the other folds, ties go to the smaller; where none is known the fold's most frequent segment follows. The successor table is doubled, so a row of ``n`` segments
+    takes a look-up for each set bit of ``n``. Rows without segments or without a training fold are left out.
+    """
+    start = "<B>"
+    last = F.lag(F.element_at("segs", -1)).over(Window.partitionBy("seq").orderBy("pos"))
+    x = written(rows.where(F.size("segs") > 0).select("row_id", "own", "segs", F.coalesce(last, F.lit(start)).alias("b")), "greedy")
+    chain = F.arrays_zip(F.concat(F.array("b"), F.slice("segs", 1, F.size("segs") - 1)).alias("b"), F.col("segs").alias("t"))
+    step = x.select("own", F.explode(chain).alias("e")).groupBy("own", F.col("e.b").alias("b"), F.col("e.t").alias("t")).agg(F.count("*").alias("c"))
+    tr = written(step.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own").groupBy("fold", "b", "t").agg(F.sum("c").alias("c")), "greedy")
+    top = lambda c: F.min_by("t", F.struct(-F.col(c), F.col("t")))
+    most = tr.groupBy("fold", "t").agg(F.sum("c").alias("c")).groupBy("fold").agg(top("c").alias("most"))  # a row a fold
+    names = step.select("b").union(step.select("t")).distinct()
+    best = names.crossJoin(F.broadcast(most)).join(tr.groupBy("fold", "b").agg(top("c").alias("nxt")).hint("merge"), ["fold", "b"], "left")  # segments times folds
+    path = written(best.select("fold", "b", F.coalesce("nxt", "most").alias("to"), F.coalesce("nxt", "most").alias("path")), "greedy")
+    longest = x.agg(F.max(F.size("segs"))).first()[0] or 0
+    y, bit = x.select("row_id", F.col("own").alias("fold"), F.size("segs").alias("n"), F.col("b").alias("at"), F.lit("").alias("pred")), 1
+    while bit <= longest:
+        hop = path.select("fold", F.col("b").alias("at"), "to", "path")
+        y = y.join(hop.hint("merge"), ["fold", "at"])
+        on = F.col("n").bitwiseAND(bit) != 0
+        y = written(y.select("row_id", "fold", "n", F.when(on, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(on, F.concat("pred", "path")).otherwise(F.col("pred")).alias("pred")), "greedy")
+        nxt = path.select("fold", F.col("b").alias("to"), F.col("to").alias("to2"), F.col("path").alias("path2"))
+        path = written(path.join(nxt.hint("merge"), ["fold", "to"]).select("fold", "b", F.col("to2").alias("to"), F.concat("path", "path2").alias("path")), "greedy")
+        bit *= 2
+    return y.select("row_id", "fold", "pred")

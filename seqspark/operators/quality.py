@@ -35,7 +35,7 @@ def flag_rates(df: DataFrame, length: str, flag: Column, low: int, high: int) ->
     spark = df.sparkSession
     all_ = spark.range(low, high + 1).select(F.col("id").cast("int").alias(length))
     g = df.groupBy(length).agg(F.count("*").alias("n"), F.sum(flag.cast("int")).alias("flagged"))
-    x = all_.join(g, length, "left")
+    x = all_.join(g.hint("merge"), length, "left")
     return x.select(length, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("flagged", F.lit(0)).alias("flagged"), F.coalesce(F.col("flagged") / F.col("n"), F.lit(0.0)).alias("rate"))
 
 

@@ -84,7 +84,7 @@ def divergence(p: Column, q: Column) -> Column:
 
 def jsd(left: DataFrame, right: DataFrame, token: str, by: list[str], eps: float = 1e-8) -> DataFrame:
     """``(by.., jsd)`` of two token count tables with ``c``: outer join, additive smoothing, each side normalised again."""
-    full = left.select(*by, token, F.col("c").alias("l")).join(right.select(*by, token, F.col("c").alias("r")), [*by, token], "full")
+    full = left.select(*by, token, F.col("c").alias("l")).join(right.select(*by, token, F.col("c").alias("r")).hint("merge"), [*by, token], "full")
     sums = full.groupBy(*by).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.count("*").alias("v"))
     x = full.join(sums.hint("shuffle_hash"), by) if by else full.crossJoin(F.broadcast(sums))  # one row
     p = (F.coalesce("l", F.lit(0)) / F.col("nl") + eps) / (1 + F.col("v") * eps)
@@ -98,7 +98,7 @@ def pause_context_jsd(df: DataFrame, seq: str, pos: str, token: str, bucket: str
     x = df.select(F.col(bucket).alias("bucket"), F.lag(token).over(w).alias("left"), F.col(token).alias("right")).where("left is not null")
     n = x.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     side = lambda c: x.groupBy("bucket", F.col(c).alias("tok")).agg(F.count("*").alias("c"))
-    return n.join(jsd(side("left"), side("right"), "tok", ["bucket"]), "bucket")
+    return n.join(jsd(side("left"), side("right"), "tok", ["bucket"]).hint("merge"), "bucket")
 
 
 def ngram_pmi(df: DataFrame, seq: str, pos: str, token: str, orders: tuple = (2, 3, 4), least: int = 5, k: int = 20) -> DataFrame:
@@ -154,7 +154,7 @@ def conditional_kl(left: DataFrame, right: DataFrame, seq: str, pos: str, token:
     def nexts(df: DataFrame, c: str) -> DataFrame:
         return df.select(F.col(token).alias("context"), F.lead(token).over(w).alias("next")).where("next is not null").groupBy("context", "next").agg(F.count("*").alias(c))
 
-    full = nexts(left, "l").join(nexts(right, "r"), ["context", "next"], "full")
+    full = nexts(left, "l").join(nexts(right, "r").hint("merge"), ["context", "next"], "full")
     tot = full.groupBy("context").agg(F.sum("l").alias("nl"), F.sum("r").alias("nr")).where((F.col("nl") >= least) & (F.col("nr") >= least))
     x = full.join(tot.hint("shuffle_hash"), "context")
     p, q = F.coalesce("l", F.lit(0)) / F.col("nl") + eps, F.coalesce("r", F.lit(0)) / F.col("nr") + eps

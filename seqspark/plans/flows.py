@@ -33,8 +33,8 @@ def hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None =
     x = pooled(rows, anchor, noise)
     real = x.where("__anchor and not __noise")
     found = K.keep_large(K.density_clusters(x.where("__pool").select("row_id", "n_clicks", "ici"), eps=eps, min_points=min_points), min_points)
-    c = found.where("cluster is not null").join(x.select("row_id", "ici", "dur"), "row_id")
-    cent = M.centroids(c, ["n_clicks", "cluster"]).join(c.groupBy("n_clicks", "cluster").agg(F.avg("dur").alias("mean")), ["n_clicks", "cluster"])
+    c = found.where("cluster is not null").join(x.select("row_id", "ici", "dur").hint("merge"), "row_id")
+    cent = M.centroids(c, ["n_clicks", "cluster"]).join(c.groupBy("n_clicks", "cluster").agg(F.avg("dur").alias("mean")).hint("merge"), ["n_clicks", "cluster"])
     known = M.centroids(real, ["n_clicks", "label"]).select("n_clicks", C.shape(F.col("centroid")).alias("shape"))
     names = K.tempo_rank_names(cent.select("n_clicks", "cluster", C.shape(F.col("centroid")).alias("shape"), "mean"), "n_clicks", "shape", "mean", discovery=True, anchors=known)
     named = found.join(names.select("n_clicks", "cluster", F.col("name").alias("__name")).hint("shuffle_hash"), ["n_clicks", "cluster"], "left").select("row_id", "__name")

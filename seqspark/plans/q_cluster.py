@@ -39,7 +39,7 @@ def c05(spark, d):
     w = Window.partitionBy("seq").orderBy("pos")
     ahead = p.select(F.col("token").alias("a"), F.array(*[F.lead("token", i).over(w) for i in (1, 2, 3)]).alias("x")).select("a", F.explode(F.array_compact("x")).alias("b"))
     n = p.groupBy(F.col("token").alias("a")).agg(F.count("*").alias("m"))
-    r = ahead.groupBy("a", "b").agg(F.count("*").alias("n")).join(n, "a").select("a", "b", (F.col("n") / F.col("m")).alias("rate"))
+    r = ahead.groupBy("a", "b").agg(F.count("*").alias("n")).join(n.hint("merge"), "a").select("a", "b", (F.col("n") / F.col("m")).alias("rate"))
     return rounded(K.mutual_pair_score(r), "score")
 
 
@@ -81,7 +81,7 @@ def w10b(spark, d):
 
 @query("c06_digram_merges")
 def c06(spark, d):
-    _, log = K.merge_rounds(placed(spark, d).select("seq", "pos", "token"), 6)
+    _, log = K.merge_rounds(placed(spark, d).select("seq", "pos", "token"), 80)
     return K.log_table(spark, log)
 
 
@@ -97,31 +97,36 @@ def c06b(spark, d):
 
 @query("c07_pmi_merges")
 def c07(spark, d):
-    _, log = K.merge_rounds(placed(spark, d).select("seq", "pos", "token"), 4, least=3, by_pmi=True)
-    return K.log_table(spark, log)
+    return K.log_table(spark, pmi_log(spark, d))
+
+
+def pmi_log(spark, d):
+    return K.merge_rounds(placed(spark, d).select("seq", "pos", "token"), 20, least=3, by_pmi=True)[1]
 
 
 @query("a32_context_coverage")
 def a32(spark, d):
-    _, log = K.merge_rounds(placed(spark, d).select("seq", "pos", "token"), 3)
     r = F.col("ratio")
-    return K.log_table(spark, log).select("round", (100 * (1 - r)).alias("reduction"), (8 / r - 8).alias("extra"))
+    return K.log_table(spark, pmi_log(spark, d)).select("round", (100 * (1 - r)).alias("reduction"), (8 / r - 8).alias("extra"))
 
 
 @query("c09_pca")
 def c09(spark, d):
-    return K.pca_2(labelled(spark, d), list(range(3, 11)))
+    return K.pca_2(labelled(spark, d).where("n_clicks between 3 and 10"))
+
+
+@query("c09_variance_ratio")
+def c09b(spark, d):
+    return K.principal_components(labelled(spark, d).where("n_clicks between 3 and 10")).select("n_clicks", "n", "ratio1", "ratio2")
 
 
 @query("c10_parameter_sweep")
 def c10(spark, d):
+    """Accuracy of majority labels for every radius and least number of points, by setting and by length."""
     x = labelled(spark, d).where("n_clicks between 3 and 10")
-    out = None
-    for m in (5, 20):  # two settings
-        c = K.density_clusters(x, eps=0.06, min_points=m).join(x.select("row_id", "label"), "row_id")
-        a = Q.vote_accuracy(c.withColumn("cluster", F.coalesce("cluster", F.lit(-1))), ["n_clicks"], "cluster", "label").withColumn("minpts", F.lit(m))
-        out = a if out is None else out.unionByName(a)
-    return Q.sweep_summary(out, "minpts", "n_clicks")
+    c = K.density_grid(x, [0.04, 0.06, 0.08], [5, 10, 20]).join(x.select("row_id", "label").hint("merge"), "row_id")
+    c = c.withColumns({"setting": F.format_string("%.2f/%d", "eps", "min_points"), "cluster": F.coalesce("cluster", F.lit(-1))})
+    return Q.sweep_summary(Q.vote_accuracy(c, ["setting", "n_clicks"], "cluster", "label"), "setting", "n_clicks")
 
 
 @query("c11_global_cluster_ids", f"WITH {LAB} SELECT n_clicks, cluster, CAST(row_number() OVER (ORDER BY n_clicks, cluster) - 1 AS INTEGER) AS gid FROM (SELECT DISTINCT n_clicks, actor % 6 AS cluster FROM lab WHERE actor % 7 <> 0)")
@@ -136,6 +141,15 @@ def c11b(spark, d):
     return K.global_cluster_ids(x, "n_clicks", "cluster", "label")[1]
 
 
+@query(
+    "c11_noise_majority",
+    f"WITH {LAB}, c AS (SELECT n_clicks, actor % 97 AS cluster, label, count(*) AS c FROM lab WHERE row_id % 3 = 0 GROUP BY ALL), g AS (SELECT n_clicks, cluster, arg_min(label, (-c, label)) LIKE '5%' AS lost, coalesce(sum(c) FILTER (label NOT LIKE '5%'), 0) AS r FROM c GROUP BY ALL) SELECT count(*) AS clusters, count(*) FILTER (lost) AS noise_clusters, CAST(coalesce(sum(r) FILTER (lost), 0) AS BIGINT) AS rows_inside FROM g",
+)
+def c11c(spark, d):
+    x = labelled(spark, d).withColumns({"cluster": F.col("actor") % 97, "label": F.when(F.col("row_id") % 3 == 0, F.col("label"))})
+    return K.noise_majority(x, "n_clicks", "cluster", "label", F.col("label").startswith("5"))
+
+
 @query("u01_residual_pool", f"WITH {LAB} SELECT row_id FROM lab WHERE (row_id % 4 = 0 AND label LIKE '5%') OR (row_id % 4 <> 0 AND n_clicks > 6)")
 def u01(spark, d):
     anchor = F.col("row_id") % 4 == 0

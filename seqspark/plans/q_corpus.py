@@ -76,11 +76,9 @@ def s05(spark, d):
 
 @query("s06_json_inventory", f"WITH {EV} SELECT token AS segment, count(*) AS count FROM ev GROUP BY token")
 def s06(spark, d):
-    c = events(spark, d).groupBy("token").agg(F.count("*").alias("c"))
-    j = c.agg(F.to_json(F.struct(F.collect_list(F.array("token", F.col("c").cast("string"))).alias("morpheme_inventory"))).alias("value"))
     path = f"{ST.shared_dir(spark)}/inventory-{ST.uuid.uuid4().hex}"
-    j.coalesce(1).write.text(path)
-    return SRC.read_inventory(spark, path)
+    SRC.write_inventory(events(spark, d).groupBy(F.col("token").alias("segment")).agg(F.count("*").alias("count")), path)
+    return SRC.read_inventory(spark, path, lines=True)
 
 
 @query("s07_table_sink", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
@@ -95,7 +93,7 @@ def s08(spark, d):
     path = f"{ST.shared_dir(spark)}/text-{ST.uuid.uuid4().hex}"
     t = turns(spark, d)
     SRC.write_transcripts(t.select("actor", (F.col("seq") * 1000 + F.col("pos")).alias("line_no"), F.concat_ws(" ", "actor", F.col("seq").cast("string"), F.col("pos").cast("string")).alias("line")), path, "actor")
-    return spark.read.text(path).groupBy("actor").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
+    return SRC.read_transcripts(spark, path, "actor").groupBy("actor").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("s09_stage_reuse", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
@@ -166,10 +164,23 @@ def t07(spark, d):
     return K.mask_sequences(x, "seq", ["seq"], 0.4, "actor", "gap", "timed")
 
 
+def classified(spark, d):
+    x = labelled(spark, d).where("n_clicks between 3 and 10").withColumn("t", F.unix_timestamp(F.to_date("day")).cast("double"))
+    return FL.classify_events(x, "t", ["actor"])
+
+
 @query("f01_classify_events")
 def f01(spark, d):
-    x = labelled(spark, d).where("n_clicks between 3 and 8").withColumn("t", F.unix_timestamp(F.to_date("day")).cast("double"))
-    return FL.classify_events(x, "t", ["actor"]).select("row_id", "origin", "type", "type_id", "collapsed", "tempo", "trend", "ornament")
+    return classified(spark, d).select("row_id", "origin", "type", "type_id", "collapsed", "tempo", "trend", "ornament")
+
+
+@query("f01_acceptance")
+def f01b(spark, d):
+    """One row: of the anchors' labels how many are kept, the share of noise, and how far labels agree by their first character, with the bounds that they must meet."""
+    from seqspark.operators import quality as Q
+
+    x = classified(spark, d).withColumn("known", F.when(F.col("row_id") % 4 == 0, F.col("label")))
+    return Q.acceptance(x, "known", "type", F.substring("type", 1, 1), F.substring("label", 1, 1), F.col("origin") == "noise")
 
 
 @query(
@@ -184,7 +195,18 @@ def f02(spark, d):
     return rounded(FL.token_table(x, "day", "tt", "us", "event_id", "actor", "lab", "orn", "dur", 300_000_000), "gap", digits=4)
 
 
-@query("f03_transcript")
+def _transcript_sql():
+    """The SQL of speaker runs over event tokens."""
+    from . import q_context  # noqa: F401
+    from .q_columns import B26
+    from .registry import REGISTRY
+
+    letters = B26.format(k="k")
+    token = f"CASE WHEN k IS NULL OR tempo IS NULL THEN '?' ELSE CASE WHEN k % 3 = 0 THEN '/' ELSE '' END || CASE WHEN k % 2 = 1 THEN upper({letters}) ELSE {letters} END || tempo END"
+    return REGISTRY["w08_speaker_runs"][1].replace("SELECT *, CAST(floor(tt)", f"SELECT * EXCLUDE (token), {token} AS token, CAST(floor(tt)")
+
+
+@query("f03_transcript", _transcript_sql())
 def f03(spark, d):
     k = F.col("k")
     x = days(spark, d).withColumns({"orn": k % 2, "trend": F.when(k % 3 == 0, "/"), "ft": F.floor("tt").cast("double")})
@@ -208,26 +230,41 @@ def f04(spark, d):
 
 @query("f06_structure_report")
 def f06(spark, d):
-    """``(part, key, value)``: Zipf fit, information by lag in true and shuffled order, and pause divergence."""
+    """``(part, key, value)``: Zipf fit, information by lag in true and shuffled order, which decay fits it, pause divergence, and compression by digram merges."""
+    from seqspark.operators.merges import merge_rounds
+
     from .q_stats import gapped
 
     p = placed(spark, d)
     z = S.zipf_fit(p, "token").select(F.lit("zipf").alias("part"), F.lit("alpha").alias("key"), F.col("alpha").alias("value"))
-    m = S.mi_decay(p, "seq", "pos", "token").select(F.lit("mi"), F.col("lag").cast("string"), "mi")
+    info = ST.written(S.mi_decay(p, "seq", "pos", "token"), "decay")
+    m = info.select(F.lit("mi"), F.col("lag").cast("string"), "mi")
     s = S.mi_decay(S.shuffled_positions(p, "seq", "pos"), "seq", "pos", "token").select(F.lit("mi_shuffled"), F.col("lag").cast("string"), "mi")
+    fit = S.decay_models(info).select(F.lit("decay_aic"), "model", "aic")
     j = S.pause_context_jsd(gapped(spark, d), "seq", "pos", "token", "b").select(F.lit("pause_jsd"), F.col("bucket").cast("string"), "jsd")
-    return z.union(m).union(s).union(j)
+    log = merge_rounds(p.select("seq", "pos", "token"), 80)[1]
+    c = spark.createDataFrame([("merges", str(r["round"]), float(r["ratio"])) for r in log], "part string, key string, value double")
+    return z.union(m).union(s).union(fit).union(j).union(c)
 
 
 @query("f07_sequence_benchmark")
 def f07(spark, d):
-    """``(model, bits, bits_sd, perplexity, acc, acc_sd)`` of the count models over the same folds."""
-    r = L.with_folds(placed(spark, d).select("seq", "pos", "token"), "seq", 3, F.col("seq") % 3)
-    models = {"unigram": L.markov(r, 0, 3), "markov1": L.markov(r, 1, 3), "markov2": L.markov(r, 2, 3), "kneser_ney3": L.kneser_ney(r, 3, 3).where("pos > 0"), "ppm_d2": L.ppm_d(r, 3, 2).where("pos > 0")}
-    out = None
+    """``(model, bits, bits_sd, perplexity, acc, acc_sd)`` of all models over the same folds and positions; the count models of a stream share one set of suffix counts."""
+    from seqspark.operators import ngrams as N
+
+    from .q_lm import compound
+
+    folds = 3
+    own = lambda x: L.with_folds(x, "seq", folds, F.col("seq") % folds)
+    plain = own(placed(spark, d).select("seq", "pos", "token"))
+    counts, joint = N.SuffixCounts(plain, folds, 7), N.SuffixCounts(compound(spark, d).select("own", "seq", "pos", "token", "label"), folds, 4)
+    models = {
+        "unigram": N.markov(counts, 0), "markov1": N.markov(counts, 1), "markov2": N.markov(counts, 2), "joint_markov": L.markov_labels(joint.rows.select("own", "seq", "pos", "token", "label"), folds),
+        "kneser_ney5": N.kneser_ney(counts, 5), "kneser_ney5_cache": L.kneser_ney_cached(plain, folds, 5, counts=counts), "ppm_d7": N.ppm_d(counts, 7), "joint_kneser_ney5": N.kneser_ney_labels(joint, 5),
+    }
+    out = L.learned_baseline(plain, folds).withColumn("model", F.lit("learned"))
     for name, scored in models.items():  # one plan, a branch a model
-        s = L.summary(scored).withColumn("model", F.lit(name))
-        out = s if out is None else out.unionByName(s)
+        out = out.unionByName(L.summary(scored.where("pos > 0").select("fold", "p", "hit")).withColumn("model", F.lit(name)))
     return L.fold_summary(out)
 
 
@@ -241,10 +278,62 @@ def f08(spark, d):
 
     a = anchors(spark, d)
     tau = ST.written(M.tau_table(a))
-    x = M.accept(M.loo_match(a, ["n_clicks"]), tau).join(a.select(F.col("row_id").alias("qid"), "label"), "qid")
+    x = M.accept(M.loo_match(a, ["n_clicks"]), tau).join(a.select(F.col("row_id").alias("qid"), "label").hint("merge"), "qid")
     o = Q.outcome_rollup(x, "n_clicks", F.col("label"), F.col("predicted"), F.col("accepted"))
     t = tau.groupBy("n_clicks").agg(F.count("*").alias("types"), F.avg("tau").alias("mean_tau"))
-    return o.join(t, "n_clicks", "left")
+    return o.join(t.hint("merge"), "n_clicks", "left")
+
+
+def _report():
+    """Parts of the report: name, query, its key columns and the value."""
+    return [
+        ("tau", "a01_tau_table", ["n_clicks", "label"], "tau"), ("mean_dist", "a02_class_variance", ["n_clicks", "label"], "mean_dist"), ("r95", "a02_class_variance", ["n_clicks", "label"], "r95"), ("nearest_p99", "a02_class_variance", ["n_clicks", "label"], "p99"),
+        ("loo_correct", "a13_loo_outcomes", ["n_clicks"], "correct"), ("loo_total", "a13_loo_outcomes", ["n_clicks"], "total"), ("margin", "j06_runner_up_margin", ["row_id"], "margin"), ("group_spread", "a03_group_summary", ["status"], "spread"),
+        ("group_coverage", "a03_group_summary", ["status"], "coverage"), ("cluster_ratio", "a16_cluster_quality", ["cluster", "n_clicks"], "ratio"), ("top5_coverage", "a10_top_label_coverage", ["nation"], "cover_5"),
+    ]
+
+
+def _report_sql():
+    from . import q_match  # noqa: F401  its queries are the parts
+    from .registry import REGISTRY
+
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'all')"
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {' || chr(47) || '.join(map(text, keys))} AS key, CAST({value} AS DOUBLE) AS value FROM ({REGISTRY[name][1]})" for part, name, keys, value in _report())
+
+
+@query("f08_match_report", _report_sql())
+def f08b(spark, d):
+    """``(part, key, value)``: thresholds, class variance, leave-one-out outcomes, margins to the runner-up, group summaries, label coverage and cluster quality as one table."""
+    from .registry import REGISTRY
+
+    made, out = {}, None
+    for part, name, keys, value in _report():
+        if name not in made:
+            made[name] = ST.written(REGISTRY[name][0](spark, d), "report")
+        key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("all")) for k in keys])
+        x = made[name].select(F.lit(part).alias("part"), key.alias("key"), F.col(value).cast("double").alias("value"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _bits_sql():
+    from . import q_lm  # noqa: F401  one of its queries is a part
+    from .q_patterns import CTX, SYM
+    from .registry import REGISTRY
+
+    return f"SELECT 'label_mixture' AS model, * FROM (WITH {SYM}, {CTX} SELECT own AS fold, count(*) AS n, round(avg(-log2(greatest(p, 1e-12))), 6) AS bits FROM ps GROUP BY own) UNION ALL SELECT 'segment_chain', fold, n, bits FROM ({REGISTRY['l11_segment_chain_bits'][1]})"
+
+
+@query("f09_pattern_bits", _bits_sql())
+def f09b(spark, d):
+    """``(model, fold, n, bits)``: bits a pattern of the label mixture in context and of the segment chain."""
+    from seqspark.operators import patterns as P
+
+    from .q_lm import l11
+    from .q_patterns import sequenced, strings
+
+    mixture = P.context_mixture_bits(sequenced(strings(spark, d)[0]), 3).groupBy("fold").agg(F.count("*").alias("n"), F.avg("bits").alias("bits")).withColumn("model", F.lit("label_mixture"))
+    return rounded(mixture.unionByName(l11(spark, d).withColumn("model", F.lit("segment_chain"))).select("model", "fold", "n", "bits"), "bits")
 
 
 @query("f09_pattern_benchmark")
@@ -256,7 +345,7 @@ def f09(spark, d):
 
     s, e, x = predicted(spark, d)
     t = P.desymbolise(x.select("row_id", F.col("pred").alias("sym")), P.bin_means(s, e), "row_id")
-    y = x.select("row_id", "ici", "sym", "pred").join(t, "row_id")
+    y = x.select("row_id", "ici", "sym", "pred").join(t.hint("merge"), "row_id")
     m = y.select(P.string_metrics(F.col("pred"), F.col("sym")).alias("m"), P.timing_metrics(F.col("timing"), F.col("ici")).alias("t")).select("m.*", "t.*")
     return m.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in m.columns])
 

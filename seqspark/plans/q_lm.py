@@ -99,6 +99,16 @@ def l05(spark, d):
     return done(L.with_cache(L.kneser_ney(r, FOLDS, 3), r, FOLDS)).drop("acc")
 
 
+CACHE = """, al AS (SELECT own, rw.seq, rw.pos, rw.token AS tok, p3.token, p, CAST(rw.token = p3.token AS INTEGER) AS here FROM rw JOIN p3 ON p3.fold = own AND p3.a = rw.a AND p3.b = rw.b),
+cn AS (SELECT *, coalesce(sum(here) OVER (PARTITION BY seq, token ORDER BY pos ROWS BETWEEN 320 PRECEDING AND 1 PRECEDING), 0) AS c FROM al), mx AS (SELECT cn.*, 0.75 * p + 0.25 * (c + 0.5) / (least(pos, 320) + 0.5 * v) AS q FROM cn JOIN vn ON vn.fold = own),
+sc AS (SELECT own, seq, pos, max(q) FILTER (token = tok) AS p, arg_min(token, (-round(q, 12), token)) = any_value(tok) AS hit FROM mx GROUP BY ALL) """
+
+
+@query("l05_cache_accuracy", KN + CACHE + OUT)
+def l05b(spark, d):
+    return done(L.kneser_ney_cached(rows(spark, d), FOLDS, 3))
+
+
 @query(
     "l06_ppm_d_1",
     f"""{BASE}, h1 AS (SELECT fold, a AS h, token, count(*) AS c FROM tr WHERE pos > 0 GROUP BY ALL), h0 AS (SELECT fold, token, count(*) AS c FROM tr GROUP BY ALL), vn AS (SELECT fold, count(*) AS v FROM h0 GROUP BY 1), hs AS (SELECT DISTINCT own AS fold, a FROM rw),
@@ -116,6 +126,11 @@ def l06b(spark, d):
     return done(L.ppm_d(rows(spark, d), FOLDS, 3))
 
 
+@query("l06_ppm_d_7")
+def l06c(spark, d):
+    return done(L.ppm_d(rows(spark, d), FOLDS, 7))
+
+
 @query("l08_learned_baseline")
 def l08(spark, d):
     return rounded(L.learned_baseline(rows(spark, d), FOLDS), "bits", "acc")
@@ -161,6 +176,14 @@ def l07(spark, d):
     return done(L.kneser_ney_labels(compound(spark, d), FOLDS, 3)).drop("acc")
 
 
+@query(
+    "l07_label_accuracy",
+    _joint(KN) + f"lb AS (SELECT fold, a, b, split_part(token, '/', 1) AS label, sum(p) AS p FROM p3 GROUP BY ALL), bl AS (SELECT fold, a, b, arg_min(label, (-round(p, 12), label)) AS best FROM lb GROUP BY ALL), sc AS (SELECT own, lb.p, best = lb.label AS hit FROM rw JOIN lb ON lb.fold = own AND lb.a = rw.a AND lb.b = rw.b AND lb.label = split_part(rw.token, '/', 1) JOIN bl ON bl.fold = own AND bl.a = rw.a AND bl.b = rw.b) {OUT}",
+)
+def l07b(spark, d):
+    return done(L.kneser_ney_labels(compound(spark, d), FOLDS, 3))
+
+
 @query(
     "l11_segment_chain_bits",
     "WITH " + SEG + f", sq AS (SELECT actor AS seq, row_id AS event, CAST(row_number() OVER (PARTITION BY actor ORDER BY row_id, i) - 1 AS INTEGER) AS pos, substr(sym, CAST(2 * i + 1 AS INTEGER), 2) AS token FROM (SELECT actor, row_id, sym, unnest(range(0, CAST((length(sym) + 1) // 2 AS BIGINT))) AS i FROM st)), rw AS (SELECT CAST(seq % {FOLDS} AS INTEGER) AS own, seq, event, pos, token, coalesce(lag(token) OVER w, '<B>') AS a FROM sq WINDOW w AS (PARTITION BY seq ORDER BY pos)), fo AS (SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS fold), tr AS (SELECT fold, rw.* FROM rw JOIN fo ON fold <> own)"
@@ -177,4 +200,4 @@ def l11(spark, d):
     w = X.Window.partitionBy("seq").orderBy("event", "sub")
     x = x.withColumn("pos", F.row_number().over(w) - 1)
     scored = L.markov(L.with_folds(x.select("seq", "pos", "token"), "seq", FOLDS, F.col("seq") % FOLDS), 1, FOLDS)
-    return rounded(L.event_bits(scored.join(x.select("seq", "pos", "event"), ["seq", "pos"]), "event"), "bits")
+    return rounded(L.event_bits(scored.join(x.select("seq", "pos", "event").hint("merge"), ["seq", "pos"]), "event"), "bits")

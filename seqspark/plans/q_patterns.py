@@ -149,7 +149,7 @@ def l12(spark, d):
 def l13(spark, d):
     s, e, x = predicted(spark, d)
     t = P.desymbolise(x.select("row_id", F.col("pred").alias("sym")), P.bin_means(s, e), "row_id")
-    return P.timing_summary(x.select("row_id", "ici", "n_clicks").join(t, "row_id"), "timing", "ici", ["n_clicks"])
+    return P.timing_summary(x.select("row_id", "ici", "n_clicks").join(t.hint("merge"), "row_id"), "timing", "ici", ["n_clicks"])
 
 
 @query("l14_predicted_strings", f"WITH {SYM}, {PRED} SELECT row_id, pred FROM pr")
@@ -173,6 +173,37 @@ def l10(spark, d):
     return rounded(P.label_mixture_bits(probs, P.label_strings(s.where("row_id % 4 <> 0"), "label"), test), "bits")
 
 
+CTX = f"""sq AS (SELECT row_id, CAST(actor % {FOLDS} AS INTEGER) AS own, label AS l, sym AS s, lag(label) OVER (PARTITION BY actor ORDER BY row_id) AS b FROM st), fo AS (SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS fold), tr AS (SELECT fold, sq.* FROM sq JOIN fo ON fold <> own), ls AS (SELECT DISTINCT l FROM sq), m AS (SELECT count(*) AS m FROM ls),
+v AS (SELECT fold, count(DISTINCT s) AS v FROM tr GROUP BY 1), n AS (SELECT fold, l, count(*) AS n FROM tr GROUP BY ALL), c AS (SELECT fold, l, s, count(*) AS c FROM tr GROUP BY ALL), cb AS (SELECT fold, b, l, count(*) AS c FROM tr WHERE b IS NOT NULL GROUP BY ALL), tb AS (SELECT fold, b, sum(c) AS t FROM cb GROUP BY ALL), nt AS (SELECT fold, sum(n) AS t FROM n GROUP BY 1),
+ps AS (SELECT row_id, own, sum(CASE WHEN tb.t IS NULL THEN (coalesce(n.n, 0) + 0.5) / (nt.t + 0.5 * m) ELSE (coalesce(cb.c, 0) + 0.5) / (tb.t + 0.5 * m) END * CASE WHEN n.n IS NULL THEN 1 / v ELSE (coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * v) END) AS p
+  FROM sq JOIN ls ON true JOIN m ON true JOIN v ON v.fold = own JOIN nt ON nt.fold = own LEFT JOIN n ON n.fold = own AND n.l = ls.l LEFT JOIN c ON c.fold = own AND c.l = ls.l AND c.s = sq.s LEFT JOIN tb ON tb.fold = own AND tb.b = sq.b LEFT JOIN cb ON cb.fold = own AND cb.b = sq.b AND cb.l = ls.l GROUP BY ALL)"""
+
+
+def sequenced(s):
+    return s.select("row_id", F.col("actor").alias("seq"), F.col("row_id").alias("pos"), (F.col("actor") % FOLDS).cast("int").alias("own"), "label", "sym")
+
+
+@query("l10_context_mixture_bits", f"WITH {SYM}, {CTX} SELECT row_id, own AS fold, round(-log2(greatest(p, 1e-12)), 6) AS bits FROM ps")
+def l10b(spark, d):
+    return rounded(P.context_mixture_bits(sequenced(strings(spark, d)[0]), FOLDS), "bits")
+
+
+def segmented(s):
+    """Rows with their strings in pieces of two symbols."""
+    return sequenced(s).withColumn("segs", F.regexp_extract_all("sym", F.lit("..?"), F.lit(0)))
+
+
+@query(
+    "l14_greedy_strings",
+    f"""WITH RECURSIVE {SYM}, sg AS (SELECT row_id, actor, CAST(actor % {FOLDS} AS INTEGER) AS own, list_transform(range(0, CAST((length(sym) + 1) // 2 AS BIGINT)), lambda i: substr(sym, CAST(2 * i + 1 AS INTEGER), 2)) AS segs FROM st), lb AS (SELECT *, coalesce(lag(segs[-1]) OVER (PARTITION BY actor ORDER BY row_id), '<B>') AS b FROM sg),
+ch AS (SELECT own, unnest(list_concat([b], segs[1:len(segs) - 1])) AS b, unnest(segs) AS t FROM lb), fo AS (SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS fold), tc AS (SELECT fold, b, t, count(*) AS c FROM ch JOIN fo ON fold <> own GROUP BY ALL), sc AS (SELECT fold, b, arg_min(t, (-c, t)) AS nxt FROM tc GROUP BY ALL),
+mo AS (SELECT fold, arg_min(t, (-c, t)) AS most FROM (SELECT fold, t, sum(c) AS c FROM tc GROUP BY ALL) GROUP BY fold), r AS (SELECT row_id, own AS fold, len(segs) AS n, b AS at, 0 AS i, '' AS pred FROM lb UNION ALL SELECT row_id, r.fold, n, coalesce(nxt, most), i + 1, pred || coalesce(nxt, most) FROM r JOIN mo ON mo.fold = r.fold LEFT JOIN sc ON sc.fold = r.fold AND sc.b = r.at WHERE i < n)
+SELECT row_id, fold, pred FROM r WHERE i = n""",
+)
+def l14b(spark, d):
+    return P.greedy_strings(segmented(strings(spark, d)[0]), FOLDS)
+
+
 @query("c08_segmentation")
 def c08(spark, d):
     s, _ = strings(spark, d)

@@ -75,18 +75,33 @@ def child_age(lines: DataFrame, role: str = "Target_Child") -> DataFrame:
     return first.select("path", months.alias("months"))
 
 
-def read_inventory(spark: SparkSession, path: str, field: str = "morpheme_inventory") -> DataFrame:
-    """``(segment, count)`` of a JSON file whose ``field`` is a list of pairs."""
+def read_inventory(spark: SparkSession, path: str, field: str = "morpheme_inventory", lines: bool = False) -> DataFrame:
+    """``(segment, count)`` of a JSON file whose ``field`` is a list of pairs, or of :func:`write_inventory`'s ``lines``."""
+    if lines:
+        return spark.read.schema("segment string, count long").json(path)
     df = spark.read.schema(f"{field} array<array<string>>").json(path, multiLine=True)
     return df.select(F.explode(field).alias("p")).select(F.get("p", F.lit(0)).alias("segment"), F.get("p", F.lit(1)).cast("long").alias("count"))
 
 
+def write_inventory(df: DataFrame, path: str) -> None:
+    """``(segment, count)`` as JSON, an object a line, by as many tasks as there are partitions."""
+    df.select("segment", F.col("count").cast("long").alias("count")).write.mode("overwrite").json(path)
+
+
 def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "parquet") -> None:
     w = df.write.mode("overwrite")
     w = w.partitionBy(by) if by else w
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
 
 
-def write_transcripts(lines: DataFrame, path: str, group: str) -> None:
-    """One text folder a group: ``lines`` has (group, line_no, line); a group's lines stay in order in one file."""
-    lines.repartition(group).sortWithinPartitions(group, "line_no").select(group, F.col("line").alias("value")).write.mode("overwrite").partitionBy(group).text(path)
+def write_transcripts(lines: DataFrame, path: str, group: str, parts: int | None = None) -> None:
+    """One text folder a group: ``lines`` has (group, line_no, line). Tasks write ranges of (group, line_no), so a group of any size is files whose numbers follow its lines."""
+    n = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartitionByRange(n, group, "line_no").sortWithinPartitions(group, "line_no")
+    dealt.select(group, F.col("line").alias("value")).write.mode("overwrite").partitionBy(group).text(path)
+
+
+def read_transcripts(spark: SparkSession, path: str, group: str) -> DataFrame:
+    """``(group, part, at, line)`` of :func:`write_transcripts`: a group's lines are in the order of ``part, at``."""
+    x = spark.read.option("wholetext", True).text(path).select(group, F.col("_metadata.file_name").alias("part"), F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("v"))
+    return x.select(group, "part", F.posexplode("v").alias("at", "line"))
