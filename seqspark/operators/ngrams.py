@@ -62,10 +62,10 @@ def discounts(counts: DataFrame) -> DataFrame:
     g = counts.groupBy("fold").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)])
     n = [None, *[F.col(f"n{i}") for i in range(1, 5)]]
     ok = (n[1] > 0) & (n[2] > 0)
-    y = n[1] / (n[1] + 2 * n[2])
-    d1 = 1 - 2 * y * (n[2] / n[1])
-    d2 = F.when(n[3] > 0, 2 - 3 * y * (n[3] / n[2])).otherwise(d1)
-    d3 = F.when(n[4] > 0, 3 - 4 * y * (n[4] / n[3])).otherwise(d2)
+    y = F.try_divide(n[1], n[1] + 2 * n[2])
+    d1 = 1 - 2 * y * F.try_divide(n[2], n[1])
+    d2 = F.when(n[3] > 0, 2 - 3 * y * F.try_divide(n[3], n[2])).otherwise(d1)
+    d3 = F.when(n[4] > 0, 3 - 4 * y * F.try_divide(n[4], n[3])).otherwise(d2)
     within = lambda d, top: F.when(ok, F.greatest(F.least(d, F.lit(float(top))), F.lit(0.0))).otherwise(0.5)
     return g.select("fold", within(d1, 1).alias("d1"), within(d2, 2).alias("d2"), within(d3, 3).alias("d3"))
 
@@ -186,7 +186,7 @@ def ppm_d(counts: SuffixCounts, order: int) -> DataFrame:
         x = x.join(c.hint("merge" if k else "broadcast"), ["fold", "h"], "left").join(t[k].select("fold", "h", "token", F.col("c").alias("ct")).hint("merge"), ["fold", "h", "token"], "left")
         eff, uniq = F.col("ch") - F.col("xc"), F.col("u") - F.col("xu")
         live = F.col("ch").isNotNull() & (uniq > 0)
-        share = lambda n: F.col("w") * (n - 0.5) / eff
+        share = lambda n: F.try_divide(F.col("w") * (n - 0.5), eff)  # noqa: E731  nothing is left where all are excluded
         cand = F.when(F.col("longer"), F.col("rest")).otherwise(F.col("top"))
         better = live & (F.round(share(-cand["c"]), 12) > F.round(F.col("bp"), 12))
         here = F.col("ch").isNotNull()
@@ -194,7 +194,7 @@ def ppm_d(counts: SuffixCounts, order: int) -> DataFrame:
             "p": F.when(F.col("p").isNull() & live & F.col("ct").isNotNull(), share(F.col("ct"))).otherwise(F.col("p")),
             "bt": F.when(better, cand["token"]).otherwise(F.col("bt")),
             "bp": F.when(better, share(-cand["c"])).otherwise(F.col("bp")),
-            "w": F.when(live, F.col("w") * 0.5 * uniq / eff).otherwise(F.col("w")),
+            "w": F.when(live, F.try_divide(F.col("w") * 0.5 * uniq, eff)).otherwise(F.col("w")),
             **({"xc": F.when(here, F.col("nx")).otherwise(0).cast("long"), "xu": F.when(here, F.col("u")).otherwise(0).cast("long"), "rest": F.when(here, F.col("nr")), "longer": here, "h": suffix(F.col("h"), k)} if k else {}),
         }).drop("ch", "u", "top", "nx", "nr", "ct")
         x = written(x, "ppm-scored") if k and k % 3 == 0 else x

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from seqspark.functions import columns as C
 from seqspark.operators import cluster as K
 from seqspark.operators import context as X
+from seqspark.operators import corpus as CO
 from seqspark.operators import match as M
 from seqspark.operators import tokens as T
 from seqspark.operators.stages import written
+from seqspark.sources import files as SRC
 
 
 def pooled(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None) -> DataFrame:
@@ -68,3 +70,29 @@ def transcript(rows: DataFrame, seq: str, order: list[str], time: str, actor: st
     """``(seq, line_no, line)``: event tokens as lines of actors."""
     x = rows.withColumn("__tok", C.event_token(F.col(label), F.col(ornament), F.col(tempo), F.col(trend)))
     return X.speaker_runs(x, seq, order, time, actor, "__tok", pause)
+
+
+def dialogue_corpus(lines: DataFrame, share: float = 0.9, budget: int = 20_000, cap: int = 500, target: int = 80, tiers: list | None = None, masked: float = 0.3) -> DataFrame:
+    """``(cid, seq, pos, wpos, word_id, actor, dt, timed, tier, masked)`` from transcript lines (path, line_no, line): a corpus of the lemmas of conversations.
+
+    The ``share`` of conversations with the fewest distinct words a word is the pool, unless that holds less than twice the ``budget``; of the pool a sample weighted by the inverse of that ratio is drawn up to the budget. Gaps are
+    estimated from turns and sentence ends, conversations are cut into chunks at a change of speaker after ``target`` words, rare words take the last id, chunks are dealt to disjoint ``tiers``
+    ``(name, words)``, and whole chunks are masked up to the share ``masked``.
+    """
+    u = SRC.utterances(lines).where("mor is not null")
+    words = u.select(F.col("path").alias("seq"), F.col("utt").alias("pos"), F.col("speaker").alias("actor"), C.ends_sentence(F.col("mor")).alias("ended"), F.posexplode(C.lemmas(F.col("mor"))).alias("wpos", "w"))
+    words = written(words.withColumn("comma", F.lit(False)), "dialogue")
+    convs = words.groupBy("seq").agg(F.count("*").alias("size"), (F.count_distinct("w") / F.count("*")).alias("ttr")).withColumn("weight", 1 / F.col("ttr"))
+    pool = CO.bottom_share(written(convs, "dialogue"), "ttr", "seq", "size", share, budget)
+    kept = written(CO.weighted_sample(pool, "seq", "weight", "size", budget).select("seq"), "dialogue")
+    words = words.join(kept.hint("shuffle_hash"), "seq", "left_semi")
+    words = T.estimated_gaps(words, "seq", ["pos", "wpos"], "actor", "pos", "ended", "comma")
+    size = words.groupBy("seq", "pos", "actor").agg(F.count("*").alias("size"))
+    chunk = T.soft_chunks(size, "seq", "pos", "actor", "size", target).select("seq", "pos", "chunk")
+    x = written(words.join(chunk.hint("shuffle_hash"), ["seq", "pos"]).withColumn("cid", F.concat_ws("::", F.col("seq").cast("string"), F.col("chunk").cast("string"))), "dialogue")
+    v = T.cap_vocabulary(x.select("w"), "w", cap)
+    x = T.encode(x, v.where("w <> '<unk>'").select("w", F.col("id").alias("word_id")), "w", "word_id", cap - 1)
+    x = x.select("cid", "seq", "pos", "wpos", "word_id", "actor", "dt", F.lit(1).alias("timed"))
+    chunks = x.groupBy("cid").agg(F.count("*").alias("size"))
+    dealt = CO.allocate_tiers(chunks, "size", tiers or [("first", budget * 15 // 100), ("second", budget * 23 // 100), ("third", budget)], [F.xxhash64("cid"), "cid"]).select("cid", "tier")
+    return CO.mask_sequences(x.join(dealt.hint("shuffle_hash"), "cid"), "cid", [F.xxhash64("cid", F.lit(1)), "cid"], masked, "actor", "dt", "timed")

@@ -228,6 +228,11 @@ def f04(spark, d):
     return K.mask_sequences(x.join(tiers.hint("shuffle_hash"), "cid"), "cid", [F.xxhash64("cid", F.lit(1)), "cid"], 0.3, "actor", "dt", "timed")
 
 
+@query("f04_dialogue_transcripts")
+def f04b(spark, d):
+    return FL.dialogue_corpus(transcript_lines(spark, d), budget=4000)
+
+
 @query("f06_structure_report")
 def f06(spark, d):
     """``(part, key, value)``: Zipf fit, information by lag in true and shuffled order, which decay fits it, pause divergence, and compression by digram merges."""

@@ -317,3 +317,34 @@ def test_learned_baseline_equals_a_plain_fit(spark, sequences, tokens):
         z = w[0][x[~train]].sum(axis=1)
         p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
         assert got[fold].n == (~train).sum() and got[fold].bits == pytest.approx(-np.log2(p[np.arange(len(p)), y[~train]]).mean(), abs=2e-3)
+
+
+# the corpus of transcripts
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_dialogue_corpus_keeps_its_bounds(spark):
+    """Words of whole conversations up to the budget, chunks of one conversation, ids below the cap, tiers and masks of whole chunks."""
+    from seqspark.functions import columns as C
+    from seqspark.plans import flows as FL
+    from seqspark.plans.q_corpus import transcript_lines
+    from seqspark.sources import files as SRC
+
+    lines = transcript_lines(spark, DATA)
+    rows = FL.dialogue_corpus(lines, budget=1500, cap=60, target=40).collect()
+    words = defaultdict(list)
+    for r in SRC.utterances(lines).where("mor is not null").select("path", "utt", C.lemmas(F.col("mor")).alias("w")).collect():
+        words[r.path] += r.w
+    got = defaultdict(list)
+    for r in rows:
+        got[r.seq].append(r)
+    sizes = {s: len(x) for s, x in got.items()}
+    assert all(len(words[s]) == n for s, n in sizes.items()) and sum(sizes.values()) >= 1500 > sum(sizes.values()) - max(sizes.values())
+    assert {r.word_id for r in rows} <= set(range(60)) and max(r.word_id for r in rows) == 59
+    chunks = defaultdict(list)
+    for r in rows:
+        chunks[r.cid].append(r)
+    assert all(len({(r.seq, r.tier, r.masked) for r in x}) == 1 for x in chunks.values())
+    assert all((r.actor, r.dt, r.timed) == ("UNK", -1.0, 0) if r.masked else r.timed == 1 and r.dt >= 0 for r in rows)
+    hidden = sum(r.masked for r in rows)
+    assert 0.3 * len(rows) - 1 <= hidden < 0.3 * len(rows) + max(map(len, chunks.values()))
