@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import cells
 from . import match as M
 from .merges import merge_rounds
 from .stages import discard, small, written
 
-PART = 2048
+PART = cells.CELL
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,201 +62,194 @@ def mutual_pair_score(rates: DataFrame, a: str = "a", b: str = "b", rate: str =
     return x.select(a, b, F.sqrt(F.col(rate) * F.col("__r")).alias("score")).orderBy(F.desc(F.round("score", 9)), a, b).limit(n)
 
 
-def _union_find(adj: np.ndarray) -> np.ndarray:
-    """Component labels of a small adjacency matrix."""
-    lab = np.arange(len(adj))
-    while True:
-        new = np.minimum(lab, np.where(adj, lab[None, :], len(lab)).min(axis=1, initial=len(lab)))
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
-def _blocks(points: DataFrame, keys: list[str], eps: float, part: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of an eps join: a point is at home in the bin of its sum and a guest in the next; parts bound a task."""
-    width = F.sqrt(F.size("v").cast("double")) * eps
-    home = points.withColumn("bin", F.floor(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / width).cast("long"))
-    right = home.withColumn("guest", F.lit(False)).unionByName(home.withColumns({"guest": F.lit(True), "bin": F.col("bin") + 1}))
-    k = [*keys, "bin"]
-    size = right.groupBy(*k).agg(F.ceil(F.count("*") / part).alias("parts"))
-    spread = F.pmod(F.xxhash64("id"), F.col("parts"))
-    left = home.join(size.hint("shuffle_hash"), k).withColumns({"lp": spread, "all": F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)}).select(*k, "lp", F.explode("all").alias("rp"), "id", "v", "w", "core")
-    right = right.join(size.hint("shuffle_hash"), k).withColumns({"rp": spread, "all": F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)}).select(*k, F.explode("all").alias("lp"), "rp", "id", "v", "w", "core", "guest")
-    return left, right.select(*[F.col(c).alias(c) for c in right.columns])
-
-
-def _near(l: pd.DataFrame, r: pd.DataFrame, eps: float) -> np.ndarray:  # noqa: E741
-    x, y = np.stack(l["v"]).astype(float), np.stack(r["v"]).astype(float)
-    out = np.empty((len(x), len(y)), bool)
-    for i in range(0, len(x), 128):
-        out[i : i + 128] = np.round(np.sqrt(((x[i : i + 128, None, :] - y[None, :, :]) ** 2).sum(axis=2)), M.DIGITS) <= eps
-    return out
-
-
 def density_clusters(rows: DataFrame, length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", eps: float = 0.10, min_points: int = 10, part: int = PART) -> DataFrame:
     """``(rid, length, cluster)``: density clusters of equal-length patterns; null is noise. ``cluster`` is the smallest core id.
 
     Equal patterns are one weighted point. A point with ``min_points`` or more rows within ``eps`` (itself included) is a core; cores within ``eps``
-    are one cluster; another point joins that of its nearest core within ``eps``. Lengths with fewer than ``min_points`` rows are noise. Tasks compare parts of
-    neighbouring sum bins and return counts, spanning links or one core a point, never pairs.
+    are one cluster; another point joins that of its nearest core within ``eps``. Lengths with fewer than ``min_points`` rows are noise.
     """
     enough = rows.groupBy(length).count().where(F.col("count") >= min_points).select(length)
-    own = rows.join(enough.hint("shuffle_hash"), length, "left_semi")
-    points = written(own.groupBy(length, F.col(vec).alias("v")).agg(F.min(rid).alias("id"), F.count("*").alias("w")).withColumn("core", F.lit(False)), "density")
-    kind = points.schema["id"].dataType.simpleString()
-    keys = [length, "bin", "lp", "rp"]
-
-    def joined(pts: DataFrame, run, schema: str) -> DataFrame:
-        a, b = _blocks(pts, [length], eps, part)
-        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
-
-    def counts(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        if l.empty or r.empty:
-            return pd.DataFrame({"id": [], "n": []})
-        near, guest = _near(l, r, eps), r["guest"].to_numpy(bool)
-        back = (near[:, guest] * l["w"].to_numpy()[:, None]).sum(axis=0)
-        return pd.DataFrame({"id": [*l["id"], *r["id"][guest]], "n": [*(near * r["w"].to_numpy()[None, :]).sum(axis=1), *back]})
-
-    dense = joined(points, counts, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
-    marked = written(points.drop("core").join(dense.withColumn("core", F.lit(True)).hint("shuffle_hash"), "id", "left").withColumn("core", F.coalesce("core", F.lit(False))), "density")
-
-    def spans(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        l, r = l[l["core"]], r[r["core"]]  # noqa: E741
-        if l.empty or r.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        near, n = _near(l, r, eps), len(l)
-        adj = np.zeros((n + len(r),) * 2, bool)
-        adj[:n, n:], adj[n:, :n] = near, near.T
-        ids, lab = np.concatenate([l["id"], r["id"]]), _union_find(adj)
-        return pd.DataFrame({"a": ids, "b": ids[lab]})
-
-    links = joined(marked, spans, f"a {kind}, b {kind}").distinct()
-    comp = written(components(links), "density")
-    cores = marked.where("core").select("id").join(comp.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select("id", F.coalesce("comp", "id").alias("cluster"))
-
-    def border(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        out = []
-        for a, b in ((l[~l["core"]], r[r["core"]]), (r[~r["core"] & r["guest"]], l[l["core"]])):
-            if len(a) and len(b):
-                x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
-                d = np.round(np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)), M.DIGITS)
-                at = d.argmin(axis=1)
-                dd = d[np.arange(len(d)), at]
-                ok = dd <= eps
-                out.append(pd.DataFrame({"id": a["id"].to_numpy()[ok], "core_id": b["id"].to_numpy()[at][ok], "d": dd[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "core_id": [], "d": []})
-
-    near = joined(marked, border, f"id {kind}, core_id {kind}, d double").groupBy("id").agg(F.min_by("core_id", F.struct("d", "core_id")).alias("core_id"))
-    edge = near.join(cores.select(F.col("id").alias("core_id"), "cluster").hint("shuffle_hash"), "core_id").select("id", "cluster")
-    named = written(cores.unionByName(edge), "density")
-    of = points.select("id", length, F.col("v").alias(vec)).join(named.hint("shuffle_hash"), "id", "left").select(length, vec, "cluster")
+    points, named, _, _ = _density(rows.join(enough.hint("shuffle_hash"), length, "left_semi"), [eps], [min_points], length, vec, rid, part)
+    of = points.select("id", length, F.col("v").alias(vec)).join(named.select("id", "cluster").hint("shuffle_hash"), "id").select(length, vec, "cluster")
     return rows.join(of.hint("merge"), [length, vec], "left").select(rid, length, "cluster")
 
 
-def _distances(l: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:  # noqa: E741
-    x, y = np.stack(l["v"]).astype(float), np.stack(r["v"]).astype(float)
-    out = np.empty((len(x), len(y)))
-    for i in range(0, len(x), 128):
-        out[i : i + 128] = np.round(np.sqrt(((x[i : i + 128, None, :] - y[None, :, :]) ** 2).sum(axis=2)), M.DIGITS)
+class _Field:
+    """The points of a cell in leaves, those at home first: ``home`` leaves, ``inside`` points; ``rows`` are the table's rows in that order."""
+
+    def __init__(self, t: pa.Table):
+        x, guest = cells.vectors(t.column("v")), t.column("guest").to_numpy()
+        own, other = np.flatnonzero(~guest), np.flatnonzero(guest)
+        a, b = cells.Leaves(x[own]), cells.Leaves(x[other])
+        self.home, self.inside = len(a), len(own)
+        a.order, a.x = np.concatenate((own[a.order], other[b.order])), np.concatenate((a.x, b.x))
+        a.starts, a.lo, a.hi = np.concatenate((a.starts, b.starts[1:] + len(own))), np.concatenate((a.lo, b.lo)), np.concatenate((a.hi, b.hi))
+        self.leaves, self.rows = a, t.take(pa.array(a.order))
+        self.id, self.w = self.rows.column("id").to_numpy(), self.rows.column("w").to_numpy().astype(float)
+
+    def around(self, h: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The points of home leaf ``h``, and the leaves with points that may be within ``reach``."""
+        f = self.leaves
+        return np.arange(f.starts[h], f.starts[h + 1]), np.flatnonzero(f.gaps(f.lo[h], f.hi[h]) <= (reach + cells.SLACK) ** 2)
+
+
+#: Points compared at once with those of a leaf.
+WIDE = 4096
+
+
+def _limit(e: float) -> float:
+    """The square up to which a distance, rounded to ``DIGITS`` places, is within ``e``."""
+    return (e + 0.5 * 10.0**-M.DIGITS) ** 2
+
+
+def _weights(t: pa.Table, radii: list[float], enough: int) -> tuple[_Field, np.ndarray]:
+    """The :class:`_Field` of a cell, and for each point at home the weight within each radius; ``enough`` or more stands for any larger one."""
+    f = _Field(t)
+    leaves, out, fine = f.leaves, np.zeros((f.inside, len(radii))), radii[0] * 10.0 ** -(M.DIGITS + 1)
+    mass = np.add.reduceat(f.w, leaves.starts[:-1])
+    plain = bool((f.w == 1).all())
+    for h in range(f.home):
+        who, near = f.around(h, radii[-1])
+        within = mass[near][leaves.spans(leaves.lo[h], leaves.hi[h])[near] <= radii[0] ** 2].sum()
+        if within >= enough:
+            out[who] = within
+            continue
+        at = leaves.members(near)
+        for i in range(0, len(at), WIDE):
+            d = cells.squares(leaves.x[who], leaves.x[at[i : i + WIDE]], fine)
+            for j, e in enumerate(radii):
+                out[who, j] += np.count_nonzero(d <= _limit(e), axis=1) if plain else (d <= _limit(e)).astype(float) @ f.w[at[i : i + WIDE]]
+    return f, out
+
+
+def _links(t: pa.Table, radii: list[float], least: list[int]) -> list[tuple]:
+    """``(least, level, a, b, d)``: links in which the cores around a cell grow together from the smallest radius up (``d`` null), and the nearest core of each other point at home."""
+    f = _Field(t)
+    leaves, ids, fine = f.leaves, f.id, radii[0] * 10.0 ** -(M.DIGITS + 1)
+    have = cells.vectors(f.rows.column("core"))
+    out: list[tuple] = []
+    for m in least:
+        top, known = np.arange(len(ids)), np.arange(len(ids))
+
+        def root(i: np.ndarray) -> np.ndarray:
+            up = top[i]
+            while ((higher := top[up]) != up).any():
+                up = higher
+            top[i] = up
+            return up
+
+        def join(who: np.ndarray, at: np.ndarray, limit: float) -> None:
+            """Joins what is within ``limit`` of the points ``who`` of a leaf among ``at``."""
+            for i in range(0, len(at), WIDE):
+                to = at[i : i + WIDE]
+                mine = root(who)
+                if (mine == mine[0]).all():
+                    to = to[root(to) != mine[0]]
+                if not len(to):
+                    continue
+                near = cells.squares(leaves.x[who], leaves.x[to], fine) <= limit
+                near &= root(to)[None, :] != mine[:, None]
+                for r in np.flatnonzero(near.any(axis=1)):
+                    met = np.unique(np.append(root(to[near[r]]), root(who[r : r + 1])))
+                    top[met] = met[0]
+
+        for level, e in enumerate(radii):
+            core = have[:, level] >= m
+            full = np.add.reduceat(core.astype(int), leaves.starts[:-1]) > 0
+            for h in range(f.home):
+                if not full[h]:
+                    continue
+                who, near = f.around(h, e)
+                who = who[core[who]]
+                if np.square(np.ptp(leaves.x[who], axis=0)).sum() <= e * e:
+                    met = np.unique(root(who))  # all within the radius
+                    top[met] = met[0]
+                else:
+                    join(who, who, _limit(e))
+                at = leaves.members(near[full[near] & (near > h)])
+                at = at[core[at]]
+                if len(at):
+                    join(who, at, _limit(e))
+            now = root(np.arange(len(ids)))
+            fresh = np.flatnonzero((known == np.arange(len(ids))) & (now != known))  # the others are linked to one of these
+            out += [(m, level, a, b, None) for a, b in zip(ids[fresh].tolist(), ids[now[fresh]].tolist())]
+            known = now.copy()
+    for h in range(f.home):  # the nearest core of the others, the smallest of several
+        who, near = f.around(h, radii[-1])
+        if (have[who, 0] >= least[-1]).all():
+            continue
+        at = leaves.members(near)
+        at = at[have[at, -1] >= least[0]]
+        best: dict[tuple, tuple] = {}
+        for i in range(0, len(at), WIDE):
+            to = at[i : i + WIDE]
+            d = cells.squares(leaves.x[who], leaves.x[to], fine)
+            for level, e in enumerate(radii):
+                some = np.flatnonzero(have[who, level] < least[-1])
+                row, col = np.nonzero(d[some] <= _limit(e))
+                row, col = who[some[row]], to[col]
+                keep = have[col, level] >= least[0]
+                row, col = row[keep], col[keep]
+                dist = np.round(np.sqrt(np.square(leaves.x[row] - leaves.x[col]).sum(axis=1)), M.DIGITS)
+                order = np.lexsort((ids[col], dist, row))
+                for m in least:
+                    ok = order[(have[row[order], level] < m) & (have[col[order], level] >= m) & (dist[order] <= e)]
+                    first = ok[np.unique(row[ok], return_index=True)[1]]
+                    for a, b, z in zip(row[first].tolist(), ids[col[first]].tolist(), dist[first].tolist()):
+                        best[m, level, a] = min(best.get((m, level, a), (z, b)), (z, b))
+        out += [(m, level, ids[a].item(), b, z) for (m, level, a), (z, b) in best.items()]
     return out
 
 
-def _grow(row: np.ndarray, col: np.ndarray, lab: np.ndarray) -> np.ndarray:
-    """Labels (positions among the rows) after joining what the links ``row, col`` (sorted by row) tell, from the labels that are joined already."""
-    if not len(row):
-        return lab
-    order = np.argsort(col, kind="stable")
-    sides = []
-    for key, other in ((row, col), (col[order], row[order])):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sides.append((key[starts], starts, other))
-    while True:
-        new = lab.copy()
-        for nodes, starts, other in sides:
-            low = np.minimum.reduceat(new[other], starts)
-            np.minimum.at(new, new[nodes], low)  # a root takes what any of its rows meets
-            new[nodes] = np.minimum(new[nodes], low)
-        while True:
-            up = new[new]
-            if (up == new).all():
-                break
-            new = up
-        if (new == lab).all():
-            return lab
-        lab = new
-
+def _density(rows: DataFrame, radii: list[float], least: list[int], length: str, vec: str, rid: str, part: int) -> tuple[DataFrame, DataFrame, list[float], list[int]]:
+    """Distinct ``points`` (length, v, id, w), the named ones ``(least, level, id, cluster)`` at every setting, and the sorted radii and numbers.
 
-def density_grid(rows: DataFrame, eps: list[float], min_points: list[int], length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", part: int = PART) -> DataFrame:
-    """``(rid, length, eps, min_points, cluster)``: :func:`density_clusters` for every pair of a radius and a least number of points, as one search.
-
-    One pass of blocks counts the neighbours at all radii, a second returns for each least number the links in which clusters grow from the smallest radius up, each with the
-    radius from which it holds, and each other point's nearest core at every setting. One loop of component rounds serves all settings. So a grid costs little more than one setting.
+    Points lie in :mod:`cells`. A task has the points of a cell and the guests within the largest radius, in leaves with boxes: leaves out of reach aren't compared, those wholly within the
+    smallest radius are only weighed, and cores that are joined already aren't compared again. So the work grows with the points and their near pairs. It returns counts, then spanning links and one core a point.
     """
-    radii, least = sorted(set(eps)), sorted(set(min_points))
-    points = written(rows.groupBy(length, F.col(vec).alias("v")).agg(F.min(rid).alias("id"), F.count("*").alias("w")).withColumn("core", F.lit(None).cast("array<bigint>")), "grid")
-    kind = points.schema["id"].dataType.simpleString()
-    keys = [length, "bin", "lp", "rp"]
-
-    def joined(pts: DataFrame, run, schema: str) -> DataFrame:
-        a, b = _blocks(pts, [length], radii[-1], part)
-        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
-
-    def counts(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        if l.empty or r.empty:
-            return pd.DataFrame({"id": [], "n": []}, dtype=object)
-        d, guest, lw, rw = _distances(l, r), r["guest"].to_numpy(bool), l["w"].to_numpy(), r["w"].to_numpy()
-        own = np.stack([(d <= e) @ rw for e in radii], axis=1)
-        back = np.stack([lw @ (d[:, guest] <= e) for e in radii], axis=1)
-        return pd.DataFrame({"id": [*l["id"], *r["id"][guest]], "n": [*own.tolist(), *back.tolist()]})
-
-    total = F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(len(radii))])
-    dense = joined(points, counts, f"id {kind}, n array<bigint>").groupBy("id").agg(total.alias("core"))
-    marked = written(points.drop("core").join(dense.hint("shuffle_hash"), "id"), "grid")
-
-    def spans(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        names = ["least", "level", "a", "b", "d"]
-        if l.empty or r.empty:
-            return pd.DataFrame({c: [] for c in names}, dtype=object)
-        d, guest = _distances(l, r), r["guest"].to_numpy(bool)
-        ids, n = np.concatenate([l["id"], r["id"]]), len(l)
-        have = np.stack([*l["core"], *r["core"]])
-        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        out: list[tuple] = []
-        for m in least:
-            lab = np.arange(len(ids))
-            for i, e in enumerate(radii):
-                core = have[:, i] >= m
-                row, col = np.nonzero((d <= e) & core[:n, None] & core[None, n:])
-                new = _grow(row, col + n, lab)
-                moved = np.unique(lab[new != lab])
-                out += [(m, i, a, b, None) for a, b in zip(ids[moved].tolist(), ids[new[moved]].tolist())]
-                lab = new
-                for x, who, at, back in ((d, np.arange(n), ~core[:n], np.arange(n, len(ids))), (d.T, np.arange(n, len(ids)), ~core[n:] & guest, np.arange(n))):  # the nearest core of the others, the smallest of several
-                    to = back[core[back]]
-                    if at.any() and len(to):
-                        y = x[at][:, core[back]]
-                        dd = y.min(axis=1)
-                        ok = dd <= e
-                        y, dd, mine = y[ok], dd[ok], who[at][ok]
-                        near = np.where(y == dd[:, None], rank[to][None, :], len(ids)).argmin(axis=1)
-                        out += [(m, i, a, b, z) for a, b, z in zip(ids[mine].tolist(), ids[to[near]].tolist(), dd.tolist())]
-        return pd.DataFrame(out, columns=names)
-
-    found = written(joined(marked, spans, f"least int, level int, a {kind}, b {kind}, d double"), "grid")
+    radii, least = sorted(set(radii)), sorted(set(least))
+    points = written(rows.groupBy(length, F.col(vec).cast("array<double>").alias("v")).agg(F.min(rid).alias("id"), F.count("*").alias("w")), "grid")
+    kind, n = points.schema["id"].dataType.simpleString(), points.schema[length].dataType.simpleString()
+    trees = cells.cuts(points, [length], part)
+
+    def counts(t: pa.Table) -> pa.Table:
+        f, got = _weights(t, radii, least[-1])
+        own = f.rows.slice(0, f.inside)
+        core = pa.ListArray.from_arrays(pa.array(np.arange(f.inside + 1) * len(radii), pa.int32()), pa.array(got.astype(np.int64).ravel()))
+        return pa.table([own.column(length), own.column("v"), own.column("id"), own.column("w"), core], names=[length, "v", "id", "w", "core"])
+
+    around = cells.dealt(points, trees, [length], radii[-1])
+    marked = written(around.groupBy(length, "cell").applyInArrow(counts, f"`{length}` {n}, v array<double>, id {kind}, w long, core array<bigint>"), "grid")
+
+    def spans(t: pa.Table) -> pa.Table:
+        cols = list(zip(*_links(t, radii, least))) or [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), t.schema.field("id").type, t.schema.field("id").type, pa.float64()))], names=["least", "level", "a", "b", "d"])
+
+    often = F.get("core", F.lit(len(radii) - 1)) >= least[0]  # a core at some setting; the others are nobody's guests
+    met = cells.dealt(marked.where(often), trees, [length], radii[-1]).unionByName(cells.dealt(marked.where(~often), trees, [length]))
+    found = written(met.groupBy(length, "cell").applyInArrow(spans, f"least int, level int, a {kind}, b {kind}, d double"), "grid")
     link = found.where("d is null and a <> b").withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(len(radii) - 1))))
     node = lambda c: F.struct("least", "level", F.col(c).alias("id")).alias(c)
     comp = written(components(link.select(node("a"), node("b"))), "grid")
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("least"), F.lit(i).alias("level")) for m in least for i in range(len(radii))])).alias("s")
     cores = marked.select("id", "core", each).where(F.get("core", F.col("s.level")) >= F.col("s.least")).select(F.struct("s.least", "s.level", "id").alias("node"))
     cores = cores.join(comp.hint("merge"), "node", "left").select("node.*", F.coalesce("comp.id", "node.id").alias("cluster"))
-    near = found.where("d is not null").groupBy("least", "level", F.col("a").alias("id")).agg(F.min_by("b", F.struct("d", "b")).alias("core_id"))
+    near = found.where("d is not null").select("least", "level", F.col("a").alias("id"), F.col("b").alias("core_id"))
     edge = near.join(cores.withColumnRenamed("id", "core_id").hint("merge"), ["least", "level", "core_id"]).select("least", "level", "id", "cluster")
-    named = written(cores.unionByName(edge), "grid")
-    every = points.select("id", length, F.col("v").alias(vec), each).select("id", length, vec, "s.least", "s.level").join(named.hint("merge"), ["least", "level", "id"], "left")
-    radius = F.get(F.array(*map(F.lit, radii)), F.col("level"))
-    of = every.select(length, vec, radius.alias("eps"), F.col("least").alias("min_points"), "cluster")
-    return rows.select(rid, length, vec).join(of.hint("merge"), [length, vec]).select(rid, length, "eps", "min_points", "cluster")
+    return points, written(cores.unionByName(edge), "grid"), radii, least
+
+
+def density_grid(rows: DataFrame, eps: list[float], min_points: list[int], length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", part: int = PART) -> DataFrame:
+    """``(rid, length, eps, min_points, cluster)``: :func:`density_clusters` for every pair of a radius and a least number of points, as one search.
+
+    One pass over the cells counts the neighbours at all radii, a second returns for each least number the links in which clusters grow from the smallest radius up, each with the
+    radius from which it holds, and each other point's nearest core at every setting. One loop of component rounds serves all settings. So a grid costs little more than one setting.
+    """
+    points, named, radii, least = _density(rows, eps, min_points, length, vec, rid, part)
+    every = named.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("least", "level"), "cluster"))).alias("of"))  # a setting each
+    of = points.select("id", length, F.col("v").alias(vec)).join(every.hint("merge"), "id", "left").select(length, vec, "of")
+    setting = F.explode(F.array(*[F.struct(F.lit(radii[i]).alias("eps"), F.lit(m).alias("min_points"), F.element_at("of", F.struct(F.lit(m).alias("least"), F.lit(i).alias("level"))).alias("cluster")) for m in least for i in range(len(radii))])).alias("s")
+    return rows.select(rid, length, vec).join(of.hint("merge"), [length, vec]).select(rid, length, setting).select(rid, length, "s.*")
 
 
 def keep_large(clusters: DataFrame, least: int = 10, cluster: str = "cluster", length: str = "n_clicks") -> DataFrame:
