@@ -115,7 +115,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], out:
     few_ = ranked.join(each, same).where(near).select(*[ranked[b] for b in by], "__v", "__n", at.alias("__at"))
     value_at = lambda i: F.max(F.when(F.col("__at") == i, F.col("__v")))
     got = few_.groupBy(*by, "__n").agg(*[f for i, x_ in enumerate(place) for f in (value_at(F.floor(x_)).alias(f"__l{i}"), value_at(F.ceil(x_)).alias(f"__h{i}"))])
-    mid = lambda i, x_: F.when(F.floor(x_) == F.ceil(x_), F.col(f"__l{i}")).otherwise((F.ceil(x_) - x_) * F.col(f"__l{i}") + (x_ - F.floor(x_)) * F.col(f"__h{i}"))
+    # between equal values no sum of two shares: it may miss the value by its last bit, and what equals an edge would lie beyond it
+    mid = lambda i, x_: F.when((F.floor(x_) == F.ceil(x_)) | (F.col(f"__l{i}") == F.col(f"__h{i}")), F.col(f"__l{i}")).otherwise((F.ceil(x_) - x_) * F.col(f"__l{i}") + (x_ - F.floor(x_)) * F.col(f"__h{i}"))
     return got.select(*by, F.array(*[mid(i, x_) for i, x_ in enumerate(place)]).alias(out))
 
 

@@ -30,6 +30,14 @@ def test_running(spark):
     assert ST.running(df.limit(0), ["k"], "c").count() == 0
 
 
+def test_quantiles_between_equal_values_are_that_value(spark):
+    from seqspark.operators.stages import quantiles
+
+    df = spark.createDataFrame([(x, x / 100) for x in range(1, 51) for _ in range(23)], "g int, x double")
+    got = quantiles(df, ["g"], "x", [i / 7 for i in range(8)] + [i / 10 for i in range(11)], few=10).collect()
+    assert len(got) == 50 and all(set(r.q) == {r.g / 100} for r in got)
+
+
 def test_reuse(spark, tmp_path):
     calls = []
 
