@@ -1,9 +1,8 @@
-"""Exact Euclidean neighbours by a best-first search over bands of a projection.
+"""Exact Euclidean neighbours by a search over cells of the anchors.
 
-Equal vectors are one point: of its ids only the smallest few can be among a query's nearest. The points of a block (vectors of one length) are ranked by the projection on
-the diagonal, ``sum / sqrt(length)``, and cut into bands of bounded size. No two vectors are nearer than their projections are, so a query first meets its own
-band, and then only bands that its k-th distance still reaches, the nearest first, twice as many each round. It is closed when its k-th distance is
-below the next band. Inside a task the same bound narrows the rows that are compared. Distances are rounded to ``DIGITS`` places, so ties are exact and go to the smaller id.
+Equal vectors are one point: of its ids only the smallest few can be among a query's nearest. The anchors of a block (vectors of one length) lie in :mod:`cells` of bounded size. A query first
+meets its own cell, and then, at once, every other cell whose box its k-th distance reaches. Inside a task, leaves with boxes narrow the rows that are compared. Distances are rounded to ``DIGITS``
+places, so ties are exact and go to the smaller id.
 """
 
 from __future__ import annotations
@@ -14,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import discard, running, written
+from . import cells
+from .stages import small, written
 
-DIGITS, BAND, STEP, SLACK = 9, 1 << 14, 128, 1e-8
+DIGITS, BAND, STEP, SLACK, FINE = 9, 1 << 13, 32, 1e-8, 1e-9
 
 
 def _points(queries: DataFrame, anchors: DataFrame, block: list[str], vec: str, qid: str, aid: str, keep: int, same: bool) -> DataFrame:
@@ -32,56 +32,53 @@ def _points(queries: DataFrame, anchors: DataFrame, block: list[str], vec: str,
     return both.withColumns({"ids": F.coalesce("ids", F.array().cast(have.schema["ids"].dataType)), "asked": F.coalesce("asked", F.lit(False))})
 
 
-def _search(q: np.ndarray, qp: np.ndarray, radius: np.ndarray, a: np.ndarray, ap: np.ndarray, starts: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For the queries, in the order of ``qp``, up to ``keep`` nearest ids of the points ``a``, in the order of ``ap``, within ``radius``: positions of queries, distances, ids; and the pairs compared.
+def _search(q: np.ndarray, radius: np.ndarray, a: np.ndarray, starts: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query, in order, up to ``keep`` nearest ids of the points ``a`` within ``radius``: positions of queries, distances, ids; and the pairs compared.
 
-    Point ``j`` has the ids from ``starts[j]`` to ``starts[j + 1]``. Squares by products find the candidates; their distances are added up component by component.
+    Point ``j`` has the ids from ``starts[j]`` to ``starts[j + 1]``. Queries and points lie in leaves; the leaves nearest to a leaf of queries tell a first radius, and only leaves within that are
+    compared. Squares by products find the candidates; their distances are added up component by component.
     """
     out, pairs = [], 0
-    aa = (a * a).sum(axis=1)
-
-    def squares(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return np.maximum((x * x).sum(axis=1)[:, None] + aa[None, lo:hi] - 2 * (x @ a[lo:hi].T), 0)
-
-    for i in range(0, len(q), STEP):
-        x, p, r = q[i : i + STEP], qp[i : i + STEP], radius[i : i + STEP].copy()
-        lo, hi = np.searchsorted(ap, [(p - r).min() - SLACK, (p + r).max() + SLACK], side="left")
-        mid = max(lo, min(hi, int(np.searchsorted(ap, p[len(p) // 2]))))
-        near = max(lo, mid - 2 * STEP), min(hi, mid + 2 * STEP)
-        if keep <= near[1] - near[0] < hi - lo:  # a first radius from those around
-            d = squares(x, *near)
+    have, asked = cells.Leaves(a), cells.Leaves(q, STEP)
+    size = np.diff(have.starts)
+    for h in range(len(asked)):
+        who = asked.order[asked.starts[h] : asked.starts[h + 1]]
+        x, r = q[who], radius[who]
+        gap = have.gaps(asked.lo[h], asked.hi[h])
+        near = np.argsort(gap, kind="stable")
+        near = near[: int(np.searchsorted(np.cumsum(size[near]), 4 * keep)) + 1]
+        if keep <= size[near].sum() < len(a):  # a first radius from those around
+            d = cells.squares(x, have.x[have.members(near)], FINE)
             pairs += d.size
-            r = np.minimum(r, np.sqrt(np.partition(d, keep - 1, axis=1)[:, keep - 1]) + SLACK)
-            lo, hi = np.searchsorted(ap, [(p - r).min() - SLACK, (p + r).max() + SLACK], side="left")
-        if hi <= lo:
+            r = np.minimum(r, np.sqrt(np.partition(d, keep - 1, axis=1)[:, keep - 1] + FINE) + SLACK)
+        at = have.members(np.flatnonzero(gap <= (r.max() + SLACK) ** 2))
+        if not len(at):
             continue
-        d = squares(x, lo, hi)
+        d = cells.squares(x, have.x[at], FINE)
         pairs += d.size
-        most = np.partition(d, keep - 1, axis=1)[:, keep - 1] if hi - lo > keep else np.full(len(d), np.inf)
-        row, col = np.nonzero(d <= (most * (1 + 1e-9) + SLACK)[:, None])
-        dist = np.round(np.sqrt(((x[row] - a[lo + col]) ** 2).sum(axis=1)), DIGITS)
-        n = starts[lo + col + 1] - starts[lo + col]
-        at = np.arange(n.sum()) + np.repeat(starts[lo + col] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        row, dist, name = np.repeat(row, n), np.repeat(dist, n), ids[at]
+        most = np.partition(d, keep - 1, axis=1)[:, keep - 1] if len(at) > keep else np.full(len(d), np.inf)
+        row, col = np.nonzero(d <= np.minimum(most * (1 + 1e-9) + SLACK, (r + SLACK) ** 2 + 2 * FINE)[:, None])
+        col = have.order[at[col]]
+        dist = np.round(np.sqrt(((x[row] - a[col]) ** 2).sum(axis=1)), DIGITS)
+        n = starts[col + 1] - starts[col]
+        take = np.arange(n.sum()) + np.repeat(starts[col] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        row, dist, name = np.repeat(row, n), np.repeat(dist, n), ids[take]
         order = np.lexsort((name, dist, row))
         row, dist, name = row[order], dist[order], name[order]
         first = np.searchsorted(row, np.arange(len(x)))
-        take = np.arange(len(row)) - first[row] < keep
-        out.append((row[take] + i, dist[take], name[take]))
+        some = np.arange(len(row)) - first[row] < keep
+        out.append((who[row[some]], dist[some], name[some]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0), ids[:0], pairs
-    return (*(np.concatenate(c) for c in zip(*out)), pairs)
+    row, dist, name = (np.concatenate(c) for c in zip(*out))
+    order = np.argsort(row, kind="stable")
+    return row[order], dist[order], name[order], pairs
 
 
 def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def _vectors(t: pa.Table) -> np.ndarray:
-    col = t.column("v").combine_chunks()
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), float).reshape(len(col), -1)
-
-
 def nearest(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: str = "ici", qid: str = "row_id", aid: str = "row_id", exclude_self: bool = False, band: int = BAND, counted: bool = False) -> DataFrame:
     """``(block.., qid, anchor_id, d, r)``: each query's ``k`` nearest anchors of its block, ``r`` from 1; with ``counted``, ``(block.., points, pairs)`` instead: distinct vectors and pairs compared.
 
@@ -93,80 +90,50 @@ def nearest(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, ve
     keys = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in block)
     some = lambda df: df.where(" and ".join(f"`{c}` is not null" for c in block)) if block else df
     points = _points(some(queries), some(anchors), block, vec, qid, aid, keep, same)
-    points = points.withColumns({"p": F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("v").cast("double")), "at": F.monotonically_increasing_id()})
-    points = written(points, "near-points")
-    if (points.groupBy(*block).count().agg(F.max("count")).first()[0] or 0) <= band:
-        placed = points.withColumn("band", F.lit(0).cast("long"))  # a band a block
-    else:
-        ranked = running(points.drop("at"), [*block, "p", "v"], rank="at")
-        first = ranked.groupBy(*block).agg(F.min("at").alias("__s"))
-        placed = written(ranked.join(first.hint("shuffle_hash"), block).withColumn("band", F.floor((F.col("at") - F.col("__s")) / band).cast("long")).drop("__s"), "near-points")
+    points = written(points.withColumn("at", F.monotonically_increasing_id()), "near-points")
+    held = points.where(F.size("ids") > 0).select(*block, "v", "ids")
+    trees = cells.cuts(held, block, band)
+    held = cells.dealt(held, trees, block).drop("guest")
     top = f"array<struct<d: double, id: {kind}>>"
-
-    names = [*block, "at", "best", "pairs"]
+    first = [*block, "at", "v", "best", "pairs"]
+    schema = f"{keys}{', ' if keys else ''}at long, v array<double>, best {top}, pairs long"
 
     def found(ask: pa.Table, have: pa.Table) -> pa.Table:
-        """``ask`` (block, at, v, p, reach) with their nearest of ``have`` (v, p, ids), and the pairs compared, told by the first."""
-        ask, have = ask.sort_by("p"), have.sort_by("p")
+        """``ask`` (block, at, v, reach) with their nearest of ``have`` (v, ids), and the pairs compared, told by the first."""
         lists = have.column("ids").combine_chunks()
         starts, ids = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
-        some = np.diff(starts) > 0
         who, d, name, pairs = np.zeros(0, np.int64), np.zeros(0), ids[:0], 0
-        if some.any() and len(ask):
-            kept = np.concatenate(([0], starts[1:][some]))  # points without ids take no place among them
-            who, d, name, pairs = _search(_vectors(ask), _column(ask, "p"), _column(ask, "reach"), _vectors(have)[some], _column(have, "p")[some], kept, ids, keep)
+        if len(have) and len(ask):
+            who, d, name, pairs = _search(cells.vectors(ask.column("v")), _column(ask, "reach"), cells.vectors(have.column("v")), starts, ids, keep)
         ends = np.searchsorted(who, np.arange(len(ask) + 1))
         best = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(d), pa.array(name, lists.type.value_type)], ["d", "id"]))
         count = np.zeros(len(ask), np.int64)
         count[:1] = pairs
-        return pa.table([*[ask.column(c) for c in block], ask.column("at"), best, pa.array(count)], names=names)
-
-    def own(t: pa.Table) -> pa.Table:
-        ask = t.filter(t.column("asked"))
-        return found(ask.append_column("reach", pa.array(np.full(len(ask), np.inf))), t)
-
-    schema = f"{keys}{', ' if keys else ''}at long, best {top}, pairs long"
-    each = written(placed.groupBy(*block, "band").applyInArrow(own, schema), "near-found")
-    most = placed.agg(F.max("band")).first()[0] or 0
-    bands = written(placed.groupBy(*block, "band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")), "near-bands") if most else None
-    reach = lambda c: F.coalesce(F.get(c, F.lit(keep - 1))["d"], F.lit(float("inf")))
-    step, rounds, closed = 1, [], []
-    if most:
-        state = placed.where("asked").select(*block, "at", "v", "p", "band").join(each.select("at", "best").hint("merge"), "at")
-        state = written(state.withColumns({"a": F.col("band"), "b": F.col("band")}).drop("band"), "near-state")
-    while most:
-        here = F.concat(F.sequence(F.col("a") - step, F.col("a") - 1), F.sequence(F.col("b") + 1, F.col("b") + step))
-        asks = state.select(*block, "at", "v", "p", reach("best").alias("reach"), F.explode(here).alias("band")).where(f"band between 0 and {most}")
-        gap = F.greatest(F.col("p") - F.col("hi"), F.col("lo") - F.col("p"))
-        asks = written(asks.join(bands.hint("merge"), [*block, "band"]).where(gap <= F.col("reach") + SLACK).drop("lo", "hi"), "near-asks")
-        if not asks.limit(1).count():
-            closed.append(state)
-            break
-        still = written(asks.select("at").distinct(), "near-open")
-        closed.append(state.join(still.hint("merge"), "at", "left_anti"))
-        state = state.join(still.hint("merge"), "at", "left_semi")
-        parts = asks.groupBy(*block, "band").agg(F.ceil(F.count("*") / band).alias("parts"))
-        dealt = asks.join(parts.hint("merge"), [*block, "band"]).withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts"))).drop("parts")
-        met = placed.where(F.size("ids") > 0).join(parts.hint("merge"), [*block, "band"]).select(*block, "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("v").alias("v"), F.col("p").alias("p"), F.col("ids").alias("ids"))
-        got = dealt.groupBy(*block, "band", "part").cogroup(met.groupBy(*block, "band", "part")).applyInArrow(found, schema)
-        got = written(got, "near-found")
-        more = got.groupBy("at").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, keep).alias("more"))  # keep of each band met
-        state = state.join(more.hint("merge"), "at").withColumn("best", F.slice(F.array_sort(F.concat("best", "more")), 1, keep)).drop("more")
-        # a side whose next band was out of reach stays so, as a radius only shrinks
-        state = written(state.withColumns({"a": F.col("a") - step, "b": F.col("b") + step}), "near-state")
-        rounds.append(got)
-        discard(asks)
-        step *= 2
-    best = each.select("at", "best")
-    for i, part in enumerate(closed):  # one for each doubling of the bands met
-        best = part.select("at", "best") if i == 0 else best.unionByName(part.select("at", "best"))
+        return pa.table([*[ask.column(c) for c in block], ask.column("at"), ask.column("v"), best, pa.array(count)], names=first)
+
+    def meet(asks: DataFrame) -> DataFrame:
+        """``asks`` (block, at, v, reach, cell) with what they find in their cells; those of a cell are dealt to parts, which all have its points."""
+        parts = small(asks.groupBy(*block, "cell").agg(F.ceil(F.count("*") / (4 * band)).alias("parts")))
+        asking = asks.join(parts, [*block, "cell"]).withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts"))).drop("parts")
+        met = held.join(parts, [*block, "cell"]).select(*block, "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "v", "ids")
+        met = met.select(*[F.col(c).alias(c) for c in met.columns])  # own columns, though both sides are of one table
+        return asking.groupBy(*block, "cell", "part").cogroup(met.groupBy(*block, "cell", "part")).applyInArrow(found, schema)
+
+    asked = points.where("asked").select(*block, "at", "v").withColumn("reach", F.lit(float("inf")))
+    each = written(meet(cells.dealt(asked, trees, block).drop("guest")), "near-found")
+    known, got = each, None
+    if trees:
+        reach = F.coalesce(F.get("best", F.lit(keep - 1))["d"], F.lit(float("inf")))
+        far = cells.dealt(each.select(*block, "at", "v", reach.alias("reach")), trees, block, "reach").where("guest").drop("guest")
+        got = written(meet(written(far, "near-asks")), "near-found")
+        more = got.where(F.size("best") > 0).groupBy("at").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, keep).alias("more"))  # keep of each cell met
+        known = each.join(more.hint("merge"), "at", "left").withColumn("best", F.slice(F.array_sort(F.concat("best", F.coalesce("more", F.array().cast(top)))), 1, keep))
     if counted:
         every = each.select(*block, "pairs")
-        for got in rounds:
-            every = every.unionByName(got.select(*block, "pairs"))
-        n = placed.groupBy(*block).agg(F.count("*").alias("points"))
+        every = every if got is None else every.unionByName(got.select(*block, "pairs"))
+        n = points.groupBy(*block).agg(F.count("*").alias("points"))
         return n.join(every.groupBy(*block).agg(F.sum("pairs").alias("pairs")).hint("merge"), block)
-    known = placed.where("asked").select(*block, "v", "at").join(best.hint("merge"), "at").select(*[F.col(c).alias(f"__{c}") for c in block], F.col("v").alias("__v"), "best")
+    known = known.select(*[F.col(c).alias(f"__{c}") for c in block], F.col("v").alias("__v"), "best")
     on = F.col("v") == F.col("__v")
     for c in block:
         on &= F.col(c) == F.col(f"__{c}")
