@@ -185,7 +185,7 @@ class Leaves:
 
 
 def squares(x: np.ndarray, y: np.ndarray, fine: float) -> np.ndarray:
-    """Squared distances, with an error below ``fine``: by products around the middle of ``x``, or by differences where these would be too coarse."""
+    """Squared distances, with an error below ``fine`` (so some may be below 0): by products around the middle of ``x``, or by differences where these would be too coarse."""
     mid = (x.min(axis=0) + x.max(axis=0)) / 2
     p, q = x - mid, y - mid
     pp, qq = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", q, q)
@@ -194,7 +194,10 @@ def squares(x: np.ndarray, y: np.ndarray, fine: float) -> np.ndarray:
         for j in range(x.shape[1]):
             out += (x[:, j, None] - y[None, :, j]) ** 2
         return out
-    out = p @ (q.T * -2)
-    out += pp[:, None]
-    out += qq[None, :]
-    return np.maximum(out, 0, out=out)
+    return np.column_stack((p, pp, np.ones(len(p)))) @ np.column_stack((q * -2, np.ones(len(q)), qq)).T
+
+
+def marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true places, as ``np.nonzero``, which takes far longer on two dimensions."""
+    at = np.flatnonzero(mask)
+    return at // mask.shape[1], at % mask.shape[1]

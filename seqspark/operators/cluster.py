@@ -186,7 +186,7 @@ def _links(t: pa.Table, radii: list[float], least: list[int]) -> list[tuple]:
             d = cells.squares(leaves.x[who], leaves.x[to], fine)
             for level, e in enumerate(radii):
                 some = np.flatnonzero(have[who, level] < least[-1])
-                row, col = np.nonzero(d[some] <= _limit(e))
+                row, col = cells.marked(d[some] <= _limit(e))
                 row, col = who[some[row]], to[col]
                 keep = have[col, level] >= least[0]
                 row, col = row[keep], col[keep]

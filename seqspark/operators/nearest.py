@@ -16,15 +16,15 @@ from pyspark.sql.window import Window
 from . import cells
 from .stages import small, written
 
-DIGITS, BAND, STEP, SLACK, FINE = 9, 1 << 13, 32, 1e-8, 1e-9
+DIGITS, BAND, STEP, MIX, SLACK, FINE = 9, 1 << 13, 32, 16, 1e-8, 1e-9
 
 
-def _points(queries: DataFrame, anchors: DataFrame, block: list[str], vec: str, qid: str, aid: str, keep: int, same: bool) -> DataFrame:
-    """``(block.., v, ids, asked)``: each distinct vector with its ``keep`` smallest anchor ids, in order, and whether a query has it."""
+def _points(queries: DataFrame, anchors: DataFrame, block: list[str], vec: str, qid: str, aid: str, keep: int, same: bool, carry: str | None) -> DataFrame:
+    """``(block.., v, ids, asked)``: each distinct vector with its ``keep`` smallest anchor ids, in order, and whether a query has it; ``(id, tag)`` for an id where anchors ``carry`` a column."""
     rank = F.row_number().over(Window.partitionBy(*block, "v").orderBy("id"))
-    a = anchors.select(*block, F.col(vec).cast("array<double>").alias("v"), F.col(aid).alias("id"))
+    a = anchors.select(*block, F.col(vec).cast("array<double>").alias("v"), F.col(aid).alias("id"), *([F.col(carry).alias("tag")] if carry else []))
     few = a.withColumn("__r", rank).where(F.col("__r") <= keep)
-    have = few.groupBy(*block, "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    have = few.groupBy(*block, "v").agg(F.array_sort(F.collect_list(F.struct("id", "tag") if carry else F.col("id"))).alias("ids"))
     if same:
         return have.withColumn("asked", F.lit(True))
     ask = queries.select(*block, F.col(vec).cast("array<double>").alias("v")).distinct().withColumn("asked", F.lit(True))
@@ -32,6 +32,15 @@ def _points(queries: DataFrame, anchors: DataFrame, block: list[str], vec: str,
     return both.withColumns({"ids": F.coalesce("ids", F.array().cast(have.schema["ids"].dataType)), "asked": F.coalesce("asked", F.lit(False))})
 
 
+def _bound(d: np.ndarray, keep: int) -> np.ndarray:
+    """For each row a bound of its ``keep``-th smallest value: the ``keep``-th smallest of the least values of ``MIX`` sets of columns a kept one, as selecting among all columns takes most of the time."""
+    sets = MIX * keep
+    if d.shape[1] >= 2 * sets:
+        whole = d.shape[1] // sets * sets
+        d = d[:, :whole].reshape(len(d), -1, sets).min(axis=1)
+    return np.partition(d, keep - 1, axis=1)[:, keep - 1] if d.shape[1] > keep else np.full(len(d), np.inf)
+
+
 def _search(q: np.ndarray, radius: np.ndarray, a: np.ndarray, starts: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """For each query, in order, up to ``keep`` nearest ids of the points ``a`` within ``radius``: positions of queries, distances, ids; and the pairs compared.
 
@@ -50,14 +59,13 @@ def _search(q: np.ndarray, radius: np.ndarray, a: np.ndarray, starts: np.ndarray
         if keep <= size[near].sum() < len(a):  # a first radius from those around
             d = cells.squares(x, have.x[have.members(near)], FINE)
             pairs += d.size
-            r = np.minimum(r, np.sqrt(np.partition(d, keep - 1, axis=1)[:, keep - 1] + FINE) + SLACK)
+            r = np.minimum(r, np.sqrt(np.maximum(np.partition(d, keep - 1, axis=1)[:, keep - 1], 0) + FINE) + SLACK)
         at = have.members(np.flatnonzero(gap <= (r.max() + SLACK) ** 2))
         if not len(at):
             continue
         d = cells.squares(x, have.x[at], FINE)
         pairs += d.size
-        most = np.partition(d, keep - 1, axis=1)[:, keep - 1] if len(at) > keep else np.full(len(d), np.inf)
-        row, col = np.nonzero(d <= np.minimum(most * (1 + 1e-9) + SLACK, (r + SLACK) ** 2 + 2 * FINE)[:, None])
+        row, col = cells.marked(d <= np.minimum(_bound(d, keep) * (1 + 1e-9) + SLACK, (r + SLACK) ** 2 + 2 * FINE)[:, None])
         col = have.order[at[col]]
         dist = np.round(np.sqrt(((x[row] - a[col]) ** 2).sum(axis=1)), DIGITS)
         n = starts[col + 1] - starts[col]
@@ -79,9 +87,12 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def nearest(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: str = "ici", qid: str = "row_id", aid: str = "row_id", exclude_self: bool = False, band: int = BAND, counted: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, vec: str = "ici", qid: str = "row_id", aid: str = "row_id", exclude_self: bool = False, band: int = BAND, counted: bool = False, carry: str | None = None) -> DataFrame:
     """``(block.., qid, anchor_id, d, r)``: each query's ``k`` nearest anchors of its block, ``r`` from 1; with ``counted``, ``(block.., points, pairs)`` instead: distinct vectors and pairs compared.
 
+    With ``carry``, a column of the anchors, ``(block.., qid, best)`` instead: a row a query that has any, ``best`` its nearest as ``(d, id, tag)``, in order; so what is told of neighbours needs no join.
+    Queries and anchors are read several times: write costly ones first.
+
     Vectors of one block have one length and no nulls. Null blocks meet nothing.
     """
     keep = k + 1 if exclude_self else k
@@ -89,24 +100,31 @@ def nearest(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, ve
     kind = anchors.schema[aid].dataType.simpleString()
     keys = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in block)
     some = lambda df: df.where(" and ".join(f"`{c}` is not null" for c in block)) if block else df
-    points = _points(some(queries), some(anchors), block, vec, qid, aid, keep, same)
+    points = _points(some(queries), some(anchors), block, vec, qid, aid, keep, same, carry)
     points = written(points.withColumn("at", F.monotonically_increasing_id()), "near-points")
     held = points.where(F.size("ids") > 0).select(*block, "v", "ids")
     trees = cells.cuts(held, block, band)
     held = cells.dealt(held, trees, block).drop("guest")
-    top = f"array<struct<d: double, id: {kind}>>"
+    tag = anchors.schema[carry].dataType.simpleString() if carry else None
+    top = f"array<struct<d: double, id: {kind}{f', tag: {tag}' if carry else ''}>>"
     first = [*block, "at", "v", "best", "pairs"]
     schema = f"{keys}{', ' if keys else ''}at long, v array<double>, best {top}, pairs long"
 
     def found(ask: pa.Table, have: pa.Table) -> pa.Table:
         """``ask`` (block, at, v, reach) with their nearest of ``have`` (v, ids), and the pairs compared, told by the first."""
         lists = have.column("ids").combine_chunks()
-        starts, ids = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+        held_ids = lists.flatten()
+        names, tags = (held_ids.field("id"), held_ids.field("tag")) if carry else (held_ids, None)
+        starts, ids = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))).astype(np.int64), names.to_numpy(zero_copy_only=False)
         who, d, name, pairs = np.zeros(0, np.int64), np.zeros(0), ids[:0], 0
         if len(have) and len(ask):
             who, d, name, pairs = _search(cells.vectors(ask.column("v")), _column(ask, "reach"), cells.vectors(have.column("v")), starts, ids, keep)
         ends = np.searchsorted(who, np.arange(len(ask) + 1))
-        best = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(d), pa.array(name, lists.type.value_type)], ["d", "id"]))
+        each = [pa.array(d), pa.array(name, names.type)]
+        if carry:
+            order = np.argsort(ids, kind="stable")
+            each.append(tags.take(pa.array(order[np.searchsorted(ids, name, sorter=order)])))
+        best = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(each, ["d", "id", "tag"][: len(each)]))
         count = np.zeros(len(ask), np.int64)
         count[:1] = pairs
         return pa.table([*[ask.column(c) for c in block], ask.column("at"), ask.column("v"), best, pa.array(count)], names=first)
@@ -139,5 +157,7 @@ def nearest(queries: DataFrame, anchors: DataFrame, block: list[str], k: int, ve
         on &= F.col(c) == F.col(f"__{c}")
     rows = some(queries).select(*block, F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("v")).join(known.hint("merge"), on)
     mine = F.filter("best", lambda x: x["id"] != F.col("qid")) if exclude_self else F.col("best")
+    if carry:
+        return rows.select(*block, "qid", F.slice(mine, 1, k).alias("best")).where(F.size("best") > 0)
     out = rows.select(*block, "qid", F.posexplode(F.slice(mine, 1, k)).alias("r", "x"))
     return out.select(*block, "qid", F.col("x.id").alias("anchor_id"), F.col("x.d").alias("d"), (F.col("r") + 1).alias("r"))

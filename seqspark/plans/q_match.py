@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqspark.operators import match as M
 from seqspark.operators import quality as Q
+from seqspark.operators.stages import written
 
 from .q_stats import rounded
 from .registry import query
@@ -20,6 +21,15 @@ def others(spark, d):
     return labelled(spark, d).where("n_clicks between 3 and 10 and row_id % 4 <> 0")
 
 
+def kept(spark, d, *more):
+    """Anchors and others as one table, written once: matching reads them several times."""
+    return written(labelled(spark, d).where("n_clicks between 3 and 10").select("row_id", "n_clicks", "ici", "label", *more), "patterns")
+
+
+def kept_anchors(spark, d):
+    return written(anchors(spark, d).select("row_id", "n_clicks", "ici", "label"), "patterns")
+
+
 AQ = f"{LAB}, an AS (SELECT * FROM lab WHERE n_clicks BETWEEN 3 AND 10 AND row_id % 4 = 0), qu AS (SELECT * FROM lab WHERE n_clicks BETWEEN 3 AND 10 AND row_id % 4 <> 0)"
 DIST = "round(sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))), 9)"
 
@@ -41,18 +51,20 @@ def j01(spark, d):
 
 @query("j02_knn_match", f"WITH {AQ}, {BIG}, {KNN('qu', 'ax')} SELECT n_clicks, qid, predicted, round(nearest, 6) AS nearest FROM km")
 def j02(spark, d):
-    return rounded(M.knn_match(others(spark, d), anchors(spark, d), ["n_clicks"]), "nearest")
+    x = kept(spark, d)
+    return rounded(M.knn_match(x.where("row_id % 4 <> 0"), x.where("row_id % 4 = 0"), ["n_clicks"]), "nearest")
 
 
 @query("a01_tau_table", f"WITH {AQ}, {TAU} SELECT n_clicks, label, round(tau, 6) AS tau FROM tau")
 def a01(spark, d):
-    return rounded(M.tau_table(anchors(spark, d)), "tau")
+    return rounded(M.tau_table(kept_anchors(spark, d)), "tau")
 
 
 @query("j03_threshold_accept", f"WITH {AQ}, {BIG}, {TAU}, {KNN('qu', 'ax')} SELECT km.n_clicks, qid, predicted, round(nearest, 6) AS nearest, nearest <= coalesce(tau, 'Infinity'::DOUBLE) AS accepted FROM km LEFT JOIN tau ON tau.n_clicks = km.n_clicks AND tau.label = predicted")
 def j03(spark, d):
-    a = anchors(spark, d)
-    return rounded(M.accept(M.knn_match(others(spark, d), a, ["n_clicks"]), M.tau_table(a)).select("n_clicks", "qid", "predicted", "nearest", "accepted"), "nearest")
+    x = kept(spark, d)
+    a = x.where("row_id % 4 = 0")
+    return rounded(M.accept(M.knn_match(x.where("row_id % 4 <> 0"), a, ["n_clicks"]), M.tau_table(a)).select("n_clicks", "qid", "predicted", "nearest", "accepted"), "nearest")
 
 
 LOO = f"{AQ}, {TAU}, {KNN('an', 'an', 'a.row_id <> q.row_id')}"
@@ -60,7 +72,7 @@ LOO = f"{AQ}, {TAU}, {KNN('an', 'an', 'a.row_id <> q.row_id')}"
 
 @query("j04_knn_loo", f"WITH {LOO} SELECT n_clicks, qid, predicted, round(nearest, 6) AS nearest FROM km")
 def j04(spark, d):
-    return rounded(M.loo_match(anchors(spark, d), ["n_clicks"]), "nearest")
+    return rounded(M.loo_match(kept_anchors(spark, d), ["n_clicks"]), "nearest")
 
 
 @query(
@@ -69,7 +81,7 @@ def j04(spark, d):
 SELECT n_clicks, count(*) AS total, count(*) FILTER (ok AND label = predicted) AS correct, count(*) FILTER (ok AND label <> predicted) AS mismatch, count(*) FILTER (NOT ok) AS reject FROM o GROUP BY ROLLUP (n_clicks)""",
 )
 def a13(spark, d):
-    a = anchors(spark, d)
+    a = kept_anchors(spark, d)
     x = M.accept(M.loo_match(a, ["n_clicks"]), M.tau_table(a)).join(a.select(F.col("row_id").alias("qid"), "label").hint("merge"), "qid")
     return Q.outcome_rollup(x, "n_clicks", F.col("label"), F.col("predicted"), F.col("accepted"))
 

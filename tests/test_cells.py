@@ -74,3 +74,25 @@ def test_nearest_in_four_dimensions_compares_few_pairs(spark):
     df = spark.createDataFrame([(i, 4, [rng.random() for _ in range(4)]) for i in range(8000)], "row_id long, n int, ici array<double>")
     r = nearest(df, df, ["n"], 3, exclude_self=True, band=1024, counted=True).first()
     assert r.points == 8000 and r.pairs < 8000 * 8000 / 4, r
+
+
+def test_votes_carry_labels_and_bounds_keep_the_nearest(spark):
+    """Predictions by hand over repeated vectors, and without a join of neighbours to labels; the bound of a row lies at or above its k-th smallest value."""
+    from seqspark.operators import match as M
+    from seqspark.operators.nearest import _bound
+
+    rng = random.Random(8)
+    rows = [(i, 3, [rng.randrange(8) / 8, rng.randrange(8) / 8], rng.choice(["a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, n_clicks int, ici array<double>, label string")
+    voted = M.loo_match(df, ["n_clicks"])
+    assert "anchor_id" not in voted._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.qid: (r.predicted, r.nearest) for r in voted.collect()}
+    for i, _, v, _ in rows:
+        near = sorted((round(math.dist(v, w), 9), j) for j, _, w, _ in rows if j != i)[:5]
+        tags = [rows[j][3] for _, j in near]
+        want = min(set(tags), key=lambda t: (-tags.count(t), t is not None, t or ""))
+        assert got[i] == (want, near[0][0])
+    d = np.random.default_rng(1).random((7, 1003))
+    for keep in (1, 5, 6):
+        kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+        assert (_bound(d, keep) >= kth).all() and (np.count_nonzero(d <= _bound(d, keep)[:, None], axis=1) <= 3 * keep).all()
