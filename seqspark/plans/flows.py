@@ -16,14 +16,14 @@ from seqspark.sources import files as SRC
 
 
 def pooled(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None) -> DataFrame:
-    """``rows`` with ``__anchor``, the match (``predicted``, ``nearest``, ``accepted``) of the others, and ``__pool``: noise anchors and rows no anchor accepts, as :func:`hybrid` searches them."""
+    """``rows`` with ``__anchor``, the match (``predicted``, ``nearest``, ``accepted``) of the others, and ``__pool``: noise anchors and rows no anchor accepts, as :func:`hybrid` searches them. ``rows`` are read several times: write costly ones first."""
     anchor = F.col("row_id") % 4 == 0 if anchor is None else anchor
     noise = F.col("label").startswith("5") if noise is None else noise
     rows = rows.withColumns({"__anchor": anchor, "__noise": noise})
     real = rows.where("__anchor and not __noise")
     other = rows.where("not __anchor")
-    hit = written(M.accept(M.knn_match(other, real, ["n_clicks"]), M.tau_table(real)), "hybrid").select(F.col("qid").alias("row_id"), "predicted", "nearest", "accepted")
-    return rows.join(hit.hint("shuffle_hash"), "row_id", "left").withColumn("__pool", (F.col("__anchor") & F.col("__noise")) | (~F.col("__anchor") & ~F.coalesce("accepted", F.lit(False))))
+    hit = M.accept(M.knn_match(other, real, ["n_clicks"]), M.tau_table(real)).select(F.col("qid").alias("row_id"), "predicted", "nearest", "accepted")
+    return written(rows.join(hit.hint("shuffle_hash"), "row_id", "left"), "hybrid").withColumn("__pool", (F.col("__anchor") & F.col("__noise")) | (~F.col("__anchor") & ~F.coalesce("accepted", F.lit(False))))
 
 
 def hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None, eps: float = 0.10, min_points: int = 10) -> DataFrame:
@@ -32,10 +32,15 @@ def hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None =
     Anchors keep their label (``anchor``); other rows take the label of their nearest anchors if within its threshold (``matched``); noise anchors and
     unmatched rows are searched for dense groups (``discovered``); the rest is ``{n}-NOISE`` (``noise``). The distance is kept for every queried row.
     """
+    return _hybrid(rows, anchor, noise, eps, min_points).select("row_id", "origin", "type", "distance")
+
+
+def _hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None = None, eps: float = 0.10, min_points: int = 10) -> DataFrame:
+    """``rows`` with origin, type and distance."""
     x = pooled(rows, anchor, noise)
     real = x.where("__anchor and not __noise")
     found = K.keep_large(K.density_clusters(x.where("__pool").select("row_id", "n_clicks", "ici"), eps=eps, min_points=min_points), min_points)
-    c = found.where("cluster is not null").join(x.select("row_id", "ici", "dur").hint("merge"), "row_id")
+    c = written(found.where("cluster is not null").join(x.select("row_id", "ici", "dur").hint("merge"), "row_id").select("n_clicks", "cluster", "ici", "dur"), "members")
     cent = M.centroids(c, ["n_clicks", "cluster"]).join(c.groupBy("n_clicks", "cluster").agg(F.avg("dur").alias("mean")).hint("merge"), ["n_clicks", "cluster"])
     known = M.centroids(real, ["n_clicks", "label"]).select("n_clicks", C.shape(F.col("centroid")).alias("shape"))
     names = K.tempo_rank_names(cent.select("n_clicks", "cluster", C.shape(F.col("centroid")).alias("shape"), "mean"), "n_clicks", "shape", "mean", discovery=True, anchors=known)
@@ -43,12 +48,12 @@ def hybrid(rows: DataFrame, anchor: Column | None = None, noise: Column | None =
     out = x.join(named.hint("merge"), "row_id", "left")
     origin = F.when(~F.col("__pool") & F.col("__anchor"), "anchor").when(~F.col("__pool"), "matched").when(F.col("__name").isNotNull(), "discovered").otherwise("noise")
     kind = F.when(~F.col("__pool") & F.col("__anchor"), F.col("label")).when(~F.col("__pool"), F.col("predicted")).otherwise(F.coalesce("__name", F.concat(F.col("n_clicks").cast("string"), F.lit("-NOISE"))))
-    return out.select("row_id", origin.alias("origin"), kind.alias("type"), F.col("nearest").alias("distance"))
+    return out.select(*rows.columns, origin.alias("origin"), kind.alias("type"), F.col("nearest").alias("distance"))
 
 
 def classify_events(rows: DataFrame, time: str, keys: list[str], **kw) -> DataFrame:
     """``rows`` with origin, type, distance, label id, tempo, trend and ornament."""
-    x = rows.join(hybrid(rows, **kw).hint("merge"), "row_id")
+    x = written(_hybrid(rows, **kw), "classified")
     ids = T.label_index(x, "type", "type_id")
     x = T.encode(x, ids, "type", "type_id").withColumns({"collapsed": C.collapse_label(F.col("type")), "tempo": C.tempo_bucket(F.col("dur"))})
     x = X.duration_trend(x, keys, time, "row_id", "type", "tempo", "dur")

@@ -9,6 +9,7 @@ from seqspark.operators import match as M
 from seqspark.operators import quality as Q
 
 from .q_context import POS, placed
+from .q_match import kept
 from .q_stats import rounded
 from .registry import query
 from .views import EV, LAB, labelled, table
@@ -47,7 +48,7 @@ def c05(spark, d):
 def c01(spark, d):
     from .flows import pooled
 
-    x = pooled(labelled(spark, d).where("n_clicks between 3 and 10")).where("__pool").select("row_id", "n_clicks", "ici")
+    x = pooled(kept(spark, d)).where("__pool").select("row_id", "n_clicks", "ici")
     return K.keep_large(K.density_clusters(x, eps=0.08, min_points=10))
 
 
@@ -55,7 +56,7 @@ def c01(spark, d):
 def c02(spark, d):
     from .flows import hybrid
 
-    return hybrid(labelled(spark, d).where("n_clicks between 3 and 10"))
+    return hybrid(kept(spark, d, "dur"))
 
 
 W10 = f"""WITH {LAB}, g AS (SELECT n_clicks, CASE actor % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'D' WHEN 2 THEN 'i' ELSE '1+' || (n_clicks - 1) END AS shape, label AS cluster, round(avg(dur), 9) AS m FROM lab GROUP BY ALL),

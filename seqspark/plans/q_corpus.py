@@ -165,7 +165,9 @@ def t07(spark, d):
 
 
 def classified(spark, d):
-    x = labelled(spark, d).where("n_clicks between 3 and 10").withColumn("t", F.unix_timestamp(F.to_date("day")).cast("double"))
+    from .q_match import kept
+
+    x = kept(spark, d, "dur", "actor", "day").withColumn("t", F.unix_timestamp(F.to_date("day")).cast("double"))
     return FL.classify_events(x, "t", ["actor"])
 
 

@@ -76,3 +76,11 @@ def test_residual_pool_is_whole(spark):
     rows = spark.createDataFrame([(i, 3, [0.1, 0.1 + i / 1000], "A", 1.0) for i in range(0, 40)] + [(101, 3, [9.0, 9.0], "B", 1.0), (104, 3, [5.0, 5.0], "5-LOW", 1.0)], "row_id long, n_clicks int, ici array<double>, label string, dur double")
     pool = {r.row_id for r in pooled(rows).where("__pool").collect()}
     assert {101, 104} <= pool and not pool & set(range(0, 40, 4))
+
+
+def test_flows_end_in_written_rows(spark):
+    """The labelled patterns and the classes are written once, not made again for each of their readers."""
+    files = QUERIES["f01_classify_events"][0](spark, DATA).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
+    files = QUERIES["j03_threshold_accept"][0](spark, DATA).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
