@@ -13,9 +13,10 @@ from .stages import quantiles, sized, small, written
 
 def position_edges(df: DataFrame, vec: str = "ici", bins: int = 4) -> DataFrame:
     """``(pos, edges)``: exact quantile edges of each position (from 1) with at least ``10 * bins`` values and two distinct edges."""
-    e = written(df.select(F.posexplode(vec).alias("i", "x")).where("x is not null").select((F.col("i") + 1).alias("pos"), "x"), "positions")
-    q = quantiles(e, ["pos"], "x", [i / bins for i in range(bins + 1)]).select("pos", F.array_sort(F.array_distinct("q")).alias("edges"))
-    g = e.groupBy("pos").agg(F.count("*").alias("n")).join(q.hint("shuffle_hash"), "pos")
+    e = df.select(F.posexplode(vec).alias("i", "x")).where("x is not null").groupBy((F.col("i") + 1).alias("pos"), "x").agg(F.count("*").alias("c"))
+    e = written(e, "positions")
+    q = quantiles(e, ["pos"], "x", [i / bins for i in range(bins + 1)], weight="c").select("pos", F.array_sort(F.array_distinct("q")).alias("edges"))
+    g = e.groupBy("pos").agg(F.sum("c").alias("n")).join(q.hint("shuffle_hash"), "pos")
     return g.where((F.col("n") >= 10 * bins) & (F.size("edges") > 1)).select("pos", "edges")
 
 

@@ -93,27 +93,30 @@ def small(df: DataFrame, other: str = "shuffle_hash") -> DataFrame:
     return sized(written(df, "side"), other)
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], out: str = "q", few: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], out: str = "q", few: int | None = None, weight: str | None = None) -> DataFrame:
     """``(by.., out)``: exact interpolated quantiles of each group as an array; nulls don't count, a group without values is left out.
 
-    Beyond ``few`` rows the values are ranked over the whole table by ranges and only the two neighbours of each quantile are picked, so no task holds a group.
+    Equal values of a group become one row with their count (or the sum of their ``weight``) before anything is shuffled. Beyond ``few`` such rows they are ranked over the whole table by ranges
+    and only the two neighbours of each quantile are picked, so no task holds a group.
     """
-    x = written(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), "values")
+    x = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("__c"))
+    x = written(x, "values")
     if x.count() <= (FEW_ROWS if few is None else few):
-        got = x.groupBy(*by).agg(F.percentile("__v", F.array(*map(F.lit, probs))).alias(out))
+        got = x.groupBy(*by).agg(F.percentile("__v", F.array(*map(F.lit, probs)), F.col("__c")).alias(out))
         return got if by else got.where(F.col(out).isNotNull())
-    ranked = running(x, [*by, "__v"], rank="__r")
-    each = small(ranked.groupBy(*by).agg(F.count("*").alias("__n"), (F.min("__r") - 1).alias("__s")), "merge")
+    ranked = running(x, [*by, "__v"], add="__c", total="__r")
+    each = small(ranked.groupBy(*by).agg(F.sum("__c").alias("__n"), F.min(F.col("__r") - F.col("__c")).alias("__s")), "merge")
     same = F.lit(True)
     for b in by:
         same &= ranked[b].eqNullSafe(each[b])
-    at = F.col("__r") - F.col("__s") - 1  # from 0 in the group
+    last = F.col("__r") - F.col("__s") - 1  # from 0 in the group
+    first = last - F.col("__c") + 1
     place = [F.lit(float(p)) * (F.col("__n") - 1) for p in probs]
     near = F.lit(False)
     for x_ in place:
-        near |= at.isin(F.floor(x_), F.ceil(x_))
-    few_ = ranked.join(each, same).where(near).select(*[ranked[b] for b in by], "__v", "__n", at.alias("__at"))
-    value_at = lambda i: F.max(F.when(F.col("__at") == i, F.col("__v")))
+        near |= F.floor(x_).between(first, last) | F.ceil(x_).between(first, last)
+    few_ = ranked.join(each, same).where(near).select(*[ranked[b] for b in by], "__v", "__n", first.alias("__first"), last.alias("__last"))
+    value_at = lambda i: F.max(F.when(i.between(F.col("__first"), F.col("__last")), F.col("__v")))
     got = few_.groupBy(*by, "__n").agg(*[f for i, x_ in enumerate(place) for f in (value_at(F.floor(x_)).alias(f"__l{i}"), value_at(F.ceil(x_)).alias(f"__h{i}"))])
     # between equal values no sum of two shares: it may miss the value by its last bit, and what equals an edge would lie beyond it
     mid = lambda i, x_: F.when((F.floor(x_) == F.ceil(x_)) | (F.col(f"__l{i}") == F.col(f"__h{i}")), F.col(f"__l{i}")).otherwise((F.ceil(x_) - x_) * F.col(f"__l{i}") + (x_ - F.floor(x_)) * F.col(f"__h{i}"))

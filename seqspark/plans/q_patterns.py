@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqspark.functions import columns as C
 from seqspark.operators import cluster as K
 from seqspark.operators import patterns as P
+from seqspark.operators.stages import written
 
 from .q_stats import rounded
 from .registry import query
@@ -18,9 +19,10 @@ SYM = f"{LAB}, {ED}, st AS (SELECT lab.*, sym FROM lab JOIN sy USING (row_id))"
 
 
 def strings(spark, d):
-    x = labelled(spark, d)
-    e = P.position_edges(x)
-    return P.symbol_strings(x, e), e
+    """Rows with their symbol strings, written, as most readers take them several times, and the edges."""
+    x = written(labelled(spark, d), "patterns")
+    e = written(P.position_edges(x), "edges")
+    return written(P.symbol_strings(x, e), "strings"), e
 
 
 @query("a19_position_edges", f"WITH {LAB}, {ED} SELECT CAST(pos AS INTEGER) AS pos, list_transform(e, lambda z: round(z, 6)) AS edges FROM ok")

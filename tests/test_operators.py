@@ -373,3 +373,25 @@ def test_soft_chunks_of_long_conversations(spark):
     assert out.columns == ["c", "i", "a", "n", "chunk"]
     assert sorted(map(repr, ((r.c, r.i, r.chunk) for r in out.collect()))) == sorted(map(repr, want))
     assert T.soft_chunks(df.limit(0), "c", "i", "a", "n").count() == 0
+
+
+def test_quantiles_count_equal_values_once(spark, monkeypatch):
+    """Weighted values, in one aggregate and ranked, against all rows of a group in order; equal values are one written row."""
+    import random
+
+    from seqspark.operators import stages
+
+    rng = random.Random(12)
+    rows = [(g, float(rng.randrange(6)), rng.randrange(1, 4)) for g in ("a", "b", None) for _ in range(40)] + [("c", 2.5, 1), ("a", None, 3)]
+    df = spark.createDataFrame(rows, "g string, x double, w int")
+    probs, made = [0.0, 0.1, 0.37, 0.5, 0.99, 1.0], []
+    kept = stages.written
+    monkeypatch.setattr(stages, "written", lambda x, name="stage": made.append((name, kept(x, name))) or made[-1][1])
+    for few in (1000, 2):
+        for weight in (None, "w"):
+            got = {r.g: r.q for r in stages.quantiles(df, ["g"], "x", probs, few=few, weight=weight).collect()}
+            for g in ("a", "b", "c", None):
+                v = sorted(x for h, x, w in rows if h == g and x is not None for _ in range(w if weight else 1))
+                want = [v[int(p * (len(v) - 1))] + (p * (len(v) - 1) - int(p * (len(v) - 1))) * (v[min(int(p * (len(v) - 1)) + 1, len(v) - 1)] - v[int(p * (len(v) - 1))]) for p in probs]
+                assert got[g] == pytest.approx(want, abs=1e-9), (g, few, weight)
+    assert {x.count() for name, x in made if name == "values"} == {19}
