@@ -281,11 +281,11 @@ def f08(spark, d):
     from seqspark.operators import match as M
     from seqspark.operators import quality as Q
 
-    from .q_match import anchors
+    from .q_match import kept_anchors
 
-    a = anchors(spark, d)
+    a = kept_anchors(spark, d)
     tau = ST.written(M.tau_table(a))
-    x = M.accept(M.loo_match(a, ["n_clicks"]), tau).join(a.select(F.col("row_id").alias("qid"), "label").hint("merge"), "qid")
+    x = M.accept(M.loo_match(a, ["n_clicks"], also=["label"]), tau)
     o = Q.outcome_rollup(x, "n_clicks", F.col("label"), F.col("predicted"), F.col("accepted"))
     t = tau.groupBy("n_clicks").agg(F.count("*").alias("types"), F.avg("tau").alias("mean_tau"))
     return o.join(t.hint("merge"), "n_clicks", "left")

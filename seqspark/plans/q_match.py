@@ -82,7 +82,7 @@ SELECT n_clicks, count(*) AS total, count(*) FILTER (ok AND label = predicted) A
 )
 def a13(spark, d):
     a = kept_anchors(spark, d)
-    x = M.accept(M.loo_match(a, ["n_clicks"]), M.tau_table(a)).join(a.select(F.col("row_id").alias("qid"), "label").hint("merge"), "qid")
+    x = M.accept(M.loo_match(a, ["n_clicks"], also=["label"]), M.tau_table(a))
     return Q.outcome_rollup(x, "n_clicks", F.col("label"), F.col("predicted"), F.col("accepted"))
 
 

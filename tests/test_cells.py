@@ -96,3 +96,28 @@ def test_votes_carry_labels_and_bounds_keep_the_nearest(spark):
     for keep in (1, 5, 6):
         kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
         assert (_bound(d, keep) >= kth).all() and (np.count_nonzero(d <= _bound(d, keep)[:, None], axis=1) <= 3 * keep).all()
+
+
+def test_others_are_measured_once_a_vector(spark, monkeypatch):
+    """Distances to the nearest other row by hand, in cells and without; only vectors of a single row are searched for, and thresholds and outcomes read them without a join back to rows."""
+    from seqspark.operators import match as M
+    from seqspark.operators import nearest as N
+
+    rng = random.Random(9)
+    rows = [(i, 3, rng.choice("ab"), [rng.randrange(30) / 20, -0.0 if i % 9 == 0 else rng.randrange(30) / 20]) for i in range(700)] + [(900, 3, "c", [0.1, 0.2]), (901, 4, "a", [0.1, 0.2, 0.3])]
+    df = spark.createDataFrame(rows, "row_id long, n_clicks int, label string, ici array<double>")
+    asked = []
+    search = N._found
+    monkeypatch.setattr(N, "_found", lambda points, *a: asked.append(points.where("asked").count()) or search(points, *a))
+    for band in (40, 5000):
+        got = {(r.label, r.n_clicks, r.d): r.rows for r in N.nearest_others(df, ["n_clicks", "label"], band=band).groupBy("n_clicks", "label", "d").sum("rows").withColumnRenamed("sum(rows)", "rows").collect()}
+        want: dict = {}
+        for i, n, c, v in rows:
+            near = [round(math.dist(v, w), 9) for j, m, o, w in rows if j != i and (m, o) == (n, c)]
+            if near:
+                want[c, n, min(near)] = want.get((c, n, min(near)), 0) + 1
+        assert got == want
+    alone = [v for v in {(c, n, *map(abs, v)) for _, n, c, v in rows} if sum((c, n, *map(abs, w)) == v for _, n, c, w in rows) == 1]
+    assert asked == [len(alone)] * 2 and len(alone) < 500
+    voted = M.loo_match(df, ["n_clicks"], also=["label"])
+    assert {r.qid: r.label for r in voted.collect()} == {i: c for i, n, c, _ in rows if n == 3}
