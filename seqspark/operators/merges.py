@@ -1,13 +1,12 @@
 """Digram merges over token sequences, by an index of digram counts.
 
-A sequence is held in parts of at most ``CUT`` tokens, a row each, as small integers with the part's own list of names. What the merges do is told by a table of digram counts
-that is never counted anew: a part that a merge touches returns the differences around the merged places, other parts nothing. Rounds whose
+A row holds a part of at most ``CUT`` tokens as small integers with its own list of names: of a longer sequence a part, of shorter ones as many as go in, with a ``GAP`` between two, as arrays of numpy are worth while
+only when long. What the merges do is told by a table of digram counts that is never counted anew: a part that a merge touches returns the differences, other parts nothing. Rounds whose
 digrams share no token, and that nothing between could have come before, are merged in one pass.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,9 @@ from .stages import discard, written
 
 #: Tokens of a part; digrams looked at for further winners of a pass; passes after which the count differences are added up.
 CUT, AHEAD, COMPACT = 1 << 16, 64, 8
-FIELDS = "weight long, tokens array<int>, names array<string>, first string, last string, lead int, trail int, size int, a array<string>, b array<string>, c array<bigint>"
+#: What stands between two sequences of a row; the largest square of names that is counted without sorting.
+GAP, DENSE = -1, 1 << 20
+FIELDS = "weight array<bigint>, tokens array<int>, names array<string>, first string, last string, lead int, trail int, size int, total long, a array<string>, b array<string>, c array<bigint>"
 
 
 def merged(t: np.ndarray, a: int, b: int, x: int, before: int = 0, after: bool = False) -> np.ndarray:
@@ -44,46 +45,95 @@ def merged(t: np.ndarray, a: int, b: int, x: int, before: int = 0, after: bool =
     return out[~tail]
 
 
-def _pairs(t: np.ndarray, names: list[str]) -> Counter:
-    both, n = np.unique(t[:-1].astype(np.int64) * len(names) + t[1:], return_counts=True)
-    return Counter({(names[k // len(names)], names[k % len(names)]): int(c) for k, c in zip(both.tolist(), n.tolist())})
+def _each(t: np.ndarray, weight: np.ndarray) -> np.ndarray | int:
+    """The weight of each token, or of all where they are equal."""
+    return int(weight[0]) if (weight == weight[0]).all() else weight[np.cumsum(t == GAP)]
 
 
-def _row(weight: int, t: np.ndarray, names: list[str], change: Counter) -> tuple:
-    """A part's fields: its tokens, its ends with the lengths of their runs, and the changes to the counts."""
-    n = len(t)
-    ends = (None, None, 0, 0)
-    if n:
+def _pairs(t: np.ndarray, w: np.ndarray | int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digrams inside sequences, as ``first * k + second``, and their weights."""
+    inside = np.flatnonzero((t[:-1] != GAP) & (t[1:] != GAP))
+    return t[inside].astype(np.int64) * k + t[inside + 1], np.full(len(inside), w, np.int64) if np.isscalar(w) else w[inside]
+
+
+def _change(new: tuple, old: tuple, names: list[str]) -> tuple[list, list, np.ndarray]:
+    """Digrams by name and how far their counts differ, where they do."""
+    k = len(names)
+    if k * k <= DENSE:  # sums of integers below 2 ** 53 are exact
+        n = np.rint(np.bincount(new[0], new[1], k * k) - np.bincount(old[0], old[1], k * k)).astype(np.int64)
+        at = np.flatnonzero(n)
+        n = n[at]
+    else:
+        at, to = np.unique(np.concatenate((new[0], old[0])), return_inverse=True)
+        n = np.rint(np.bincount(to, np.concatenate((new[1], -old[1])), len(at))).astype(np.int64)
+        at, n = at[n != 0], n[n != 0]
+    return [names[i] for i in (at // k).tolist()], [names[i] for i in (at % k).tolist()], n
+
+
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _row(weight: np.ndarray, t: np.ndarray, names: list[str], change: tuple) -> tuple:
+    """A part's fields: its tokens, its ends with the lengths of their runs, its tokens with and without weights, and the changes to the counts. Ends count only where it holds one sequence."""
+    n, ends = len(t), (None, None, 0, 0)
+    if n and len(weight) == 1:
         lead, trail = np.flatnonzero(t != t[0]), np.flatnonzero(t[::-1] != t[-1])
         ends = (names[t[0]], names[t[-1]], int(lead[0]) if len(lead) else n, int(trail[0]) if len(trail) else n)
-    a, b, c = zip(*[(x, y, n_ * weight) for (x, y), n_ in sorted(change.items()) if n_]) if any(change.values()) else ((), (), ())
-    return weight, t.tolist(), names, *ends, n, a, b, c
+    w, real = _each(t, weight), t != GAP
+    size = int(real.sum())
+    return weight, t.astype(np.int32), names, *ends, size, size * w if np.isscalar(w) else int(w[real].sum()), *change
+
+
+def _used(t: np.ndarray, names: list[str]) -> tuple[np.ndarray, list[str]]:
+    """``t`` with only those names that it has."""
+    has = np.bincount(t + 1, minlength=len(names) + 1)[1:] > 0
+    return np.append(np.cumsum(has) - 1, GAP)[t], [names[i] for i in np.flatnonzero(has).tolist()]
 
 
-def _batch(b: pa.RecordBatch, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    ints, texts = pa.list_(pa.int32()), pa.list_(pa.string())
-    kinds = (pa.int64(), ints, texts, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), texts, texts, pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["seq", "part", *names])
+def _batch(keys: list[pa.Array], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    ints, longs, texts = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+    kinds = (longs, ints, texts, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), texts, texts, longs)
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], ["seq", "one", "part", *names])
 
 
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
-def _first(parts: DataFrame) -> DataFrame:
-    """The parts as integers, with all their digrams as changes."""
+def _lists(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each list of a column begins, and its last one ends, in their values."""
+    return np.concatenate(([0], np.cumsum(np.asarray(col.value_lengths())))).astype(np.int64), col.flatten()
+
+
+def _first(parts: DataFrame, cut: int) -> DataFrame:
+    """The parts (seq, part, weight, words) as integers, short sequences several a row, with all their digrams as changes: ``seq`` lists the sequences, ``one`` is the sequence of a row that may be one of several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not len(b):
+                continue
+            starts, words = _lists(b.column(3))
+            words = words.dictionary_encode()
+            code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+            seq, part, weight, n = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), np.diff(starts)
+            lone = (part > 0) | (n >= cut)
+            some = np.flatnonzero(~lone)
+            full = np.cumsum(n[some] + 1) // max(1, cut)
+            groups = [np.array([i]) for i in np.flatnonzero(lone)] + [g for g in np.split(some, np.flatnonzero(np.diff(full)) + 1) if len(g)]
             rows = []
-            for weight, words in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                names = sorted(set(words))
-                at = {w: i for i, w in enumerate(names)}
-                t = np.array([at[w] for w in words], np.int32)
-                rows.append(_row(weight, t, names, _pairs(t, names)))
-            if rows:
-                yield _batch(b, rows, NAMES)
-
-    return parts.mapInArrow(run, f"seq {parts.schema['seq'].dataType.simpleString()}, part long, {FIELDS}")
+            for g in groups:
+                to = np.cumsum(n[g] + 1)
+                t = np.full(to[-1] - 1, GAP, np.int64)
+                at = np.arange(n[g].sum()) + np.repeat(np.arange(len(g)), n[g])
+                t[at] = code[np.arange(n[g].sum()) + np.repeat(starts[g] - np.concatenate(([0], np.cumsum(n[g])[:-1])), n[g])]
+                t, own = _used(t, names)
+                rows.append(_row(weight[g], t, own, _change(_pairs(t, _each(t, weight[g]), len(own)), NONE, own)))
+            ends = np.concatenate(([0], np.cumsum([len(g) for g in groups]))).astype(np.int32)
+            head = pa.array([g[0] for g in groups])
+            one = pa.array([g[0] if lone[g[0]] else None for g in groups], pa.int64())
+            yield _batch([pa.ListArray.from_arrays(pa.array(ends), seq.take(pa.array(np.concatenate(groups)))), seq.take(one), b.column(1).take(head)], rows, NAMES)
+
+    kind = parts.schema["seq"].dataType.simpleString()
+    return parts.mapInArrow(run, f"seq array<{kind}>, one {kind}, part long, {FIELDS}")
 
 
 def _merge(parts: DataFrame, winners: list[tuple[str, str, str]]) -> DataFrame:
@@ -92,11 +142,13 @@ def _merge(parts: DataFrame, winners: list[tuple[str, str, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for weight, tokens, names, before, after in zip(*[b.column(i).to_pylist() for i in range(2, 7)]):
-                t, had = np.array(tokens, np.int32), {w: i for i, w in enumerate(names)}
-                new, names = t, list(names)
+            (ws, weights), (ts, tokens) = _lists(b.column(3)), _lists(b.column(4))
+            weights, tokens = weights.to_numpy(zero_copy_only=False), tokens.to_numpy(zero_copy_only=False)
+            for r, (names, before, after) in enumerate(zip(*[b.column(i).to_pylist() for i in range(5, 8)])):
+                weight, t, had = weights[ws[r] : ws[r + 1]], tokens[ts[r] : ts[r + 1]], {w: i for i, w in enumerate(names)}
+                new = t
                 for x, y, name in winners:
-                    i, j = had.get(x, -1), had.get(y, -1)
+                    i, j = had.get(x, -2), had.get(y, -2)
                     edge = bool(before) and j >= 0 or after == y and i >= 0
                     if (i >= 0 and j >= 0) or edge:
                         x_id = had.get(name, len(names))  # two ways of merging may give one name
@@ -104,39 +156,57 @@ def _merge(parts: DataFrame, winners: list[tuple[str, str, str]]) -> DataFrame:
                         if len(got) < len(new) or edge and (got != new).any():
                             new, names = got, names if name in had else [*names, name]
                 if new is t:
-                    rows.append(_row(weight, t, names, Counter()))
+                    rows.append(_row(weight, t, names, ([], [], [])))
                     continue
-                change = _pairs(new, names)
-                change.subtract(_pairs(t, names))
-                used, new = np.unique(new, return_inverse=True)
-                rows.append(_row(weight, new.astype(np.int32), [names[k] for k in used], change))
+                k = len(names)
+                change = _change(_pairs(new, _each(new, weight), k), _pairs(t, _each(t, weight), k), names)
+                rows.append(_row(weight, *_used(new, names), change))
             if rows:
-                yield _batch(b, rows, NAMES)
+                yield _batch([b.column(0), b.column(1), b.column(2)], rows, NAMES)
+
+    x = parts.select("seq", "one", "part", "weight", "tokens", "names", "before", "after")
+    kind = parts.schema["one"].dataType.simpleString()
+    return x.mapInArrow(run, f"seq array<{kind}>, one {kind}, part long, {FIELDS}")
+
+
+def _apart(parts: DataFrame) -> DataFrame:
+    """``(seq, part, at, token, weight)``: the parts as a row a token, ``at`` in order inside a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (ss, seqs), (ws, weights), (ts, tokens), (ns, names) = [_lists(b.column(i)) for i in (0, 2, 3, 4)]
+            weights, tokens = weights.to_numpy(zero_copy_only=False), tokens.to_numpy(zero_copy_only=False)
+            for r in range(len(b)):
+                t = tokens[ts[r] : ts[r + 1]]
+                at = np.flatnonzero(t != GAP)
+                who = np.cumsum(t == GAP)[at]
+                part = pa.array(np.full(len(at), b.column(1)[r].as_py()))
+                yield pa.RecordBatch.from_arrays([seqs.take(pa.array(ss[r] + who)), part, pa.array(at), names.take(pa.array(ns[r] + t[at])), pa.array(weights[ws[r] + who])], ["seq", "part", "at", "token", "weight"])
 
-    x = parts.select("seq", "part", "weight", "tokens", "names", "before", "after")
-    return x.mapInArrow(run, f"seq {parts.schema['seq'].dataType.simpleString()}, part long, {FIELDS}")
+    x = parts.select("seq", "part", "weight", "tokens", "names")
+    return x.mapInArrow(run, f"seq {parts.schema['one'].dataType.simpleString()}, part long, at long, token string, weight long")
 
 
 def _edges(parts: DataFrame) -> DataFrame:
     """The ends of the parts that aren't empty, of sequences with several, and what follows each: a row a part."""
-    w = Window.partitionBy("seq").orderBy("part")
-    return parts.where("size > 0").select("seq", "part", "weight", "first", "last", "lead", "trail", "size").withColumn("after", F.lead("first").over(w))
+    w = Window.partitionBy("one").orderBy("part")
+    return parts.where("one is not null and size > 0").select("one", "part", F.get("weight", F.lit(0)).alias("weight"), "first", "last", "lead", "trail", "size").withColumn("after", F.lead("first").over(w))
 
 
 def _with_edges(parts: DataFrame, edges: DataFrame | None, a: str, b: str) -> DataFrame:
     """``parts`` with ``before`` and ``after`` for the digram ``a b``; see :func:`merged`."""
     if edges is None:
         return parts.withColumns({"before": F.lit(0), "after": F.lit(None).cast("string")})
-    w = Window.partitionBy("seq").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("one").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     if a != b:
         before = F.coalesce((F.last("last").over(w) == a).cast("int"), F.lit(0))
     else:
         whole = (F.col("first") == a) & (F.col("lead") == F.col("size"))
         broken = F.last(F.when(~whole, F.struct("upto", F.when(F.col("last") == a, F.col("trail")).otherwise(0).alias("trail"))), ignorenulls=True).over(w)
-        edges = edges.withColumn("upto", F.sum("size").over(Window.partitionBy("seq").orderBy("part")))
+        edges = edges.withColumn("upto", F.sum("size").over(Window.partitionBy("one").orderBy("part")))
         before = F.coalesce(F.max("upto").over(w), F.lit(0)) - F.coalesce(broken["upto"] - broken["trail"], F.lit(0))
-    e = edges.select("seq", "part", before.cast("int").alias("before"), "after")
-    return parts.join(e.hint("merge"), ["seq", "part"], "left")
+    e = edges.select("one", "part", before.cast("int").alias("before"), "after")
+    return parts.join(e.hint("merge"), ["one", "part"], "left")
 
 
 def _winners(top: list, joiner: str, made: set[str], many: bool, rounds: int) -> list:
@@ -168,8 +238,8 @@ def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = Fals
     rows = df.select("seq", "pos", "token", (F.col(weight) if weight else F.lit(1)).cast("long").alias("weight")).withColumn("__n", F.row_number().over(order) - 1)
     part = F.floor(F.col("__n") / cut).cast("long").alias("part")
     lists = rows.groupBy("seq", part).agg(F.max("weight").alias("weight"), F.transform(F.array_sort(F.collect_list(F.struct("__n", "token"))), lambda s: s["token"]).alias("words"))
-    parts = written(_first(lists), "merge-parts")
-    size = parts.agg(F.sum(F.col("size") * F.col("weight")), F.max("part")).first()
+    parts = written(_first(lists, cut), "merge-parts")
+    size = parts.agg(F.sum("total"), F.max("part")).first()
     first = tokens = size[0] or 0
     several = bool(size[1])
     many = not by_pmi and not several and not parts.where(F.exists("names", lambda x: x.contains(joiner))).limit(1).count()  # so that no name is both given and made
@@ -177,8 +247,7 @@ def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = Fals
     log, deltas, sums = [], [parts], None
     moved: list[tuple[str, int]] = []  # three a round
     if by_pmi:
-        each = parts.select("weight", F.explode("tokens").alias("i"), "names").groupBy(F.get("names", F.col("i")).alias("token")).agg(F.sum("weight").alias("u"))
-        given = written(each, "merge-units")
+        given = written(_apart(parts).groupBy("token").agg(F.sum("weight").alias("u")), "merge-units")
     while len(log) < rounds and tokens:
         edges = changes = None
         for d in deltas:
@@ -210,7 +279,7 @@ def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = Fals
         parts = written(_merge(_with_edges(parts, edges, *names[0][:2]), names), "merge-parts")
         deltas.append(parts)
         if took[0]["a"] == took[0]["b"]:  # a run of n holds n - 1 of them and gives n // 2
-            counts = [tokens - parts.agg(F.sum(F.col("size") * F.col("weight"))).first()[0]]
+            counts = [tokens - parts.agg(F.sum("total")).first()[0]]
         else:  # a digram of two tokens is merged wherever it stands
             counts = [r["c"] for r in took]
         for r, gone in zip(took, counts):
@@ -218,7 +287,6 @@ def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = Fals
             log.append({"round": len(log) + 1, "a": r["a"], "b": r["b"], "count": int(r["c"]), "tokens": int(tokens), "ratio": tokens / first})
         if by_pmi:
             moved += [(t, int(n)) for t, n in zip(names[0], (-counts[0], -counts[0], counts[0]))]
-    last = parts.select("seq", "part", "weight", F.posexplode(F.transform("tokens", lambda i: F.get(F.col("names"), i))).alias("__i", "token"))
-    pos = F.row_number().over(Window.partitionBy("seq").orderBy("part", "__i")) - 1
-    out = last.select("seq", pos.alias("pos"), "token", *([F.col("weight").alias(weight)] if weight else []))
+    pos = F.row_number().over(Window.partitionBy("seq").orderBy("part", "at")) - 1
+    out = _apart(parts).select("seq", pos.alias("pos"), "token", *([F.col("weight").alias(weight)] if weight else []))
     return out, log

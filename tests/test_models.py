@@ -348,3 +348,24 @@ def test_dialogue_corpus_keeps_its_bounds(spark):
     assert all((r.actor, r.dt, r.timed) == ("UNK", -1.0, 0) if r.masked else r.timed == 1 and r.dt >= 0 for r in rows)
     hidden = sum(r.masked for r in rows)
     assert 0.3 * len(rows) - 1 <= hidden < 0.3 * len(rows) + max(map(len, chunks.values()))
+
+
+def test_short_sequences_share_rows(spark, monkeypatch):
+    """Weighted short sequences are merged several a row, beside one in parts; the log and the tokens are those of the plain way over copies."""
+    from seqspark.operators import merges
+
+    rows_of = []
+    write = merges.written
+    monkeypatch.setattr(merges, "written", lambda df, name: (out := write(df, name), name == "merge-parts" and rows_of.append(out.count()))[0])
+    rng = random.Random(5)
+    seqs = [("".join(rng.choice("aabc") for _ in range(rng.randint(1, 6))), rng.randint(1, 3)) for _ in range(400)] + [("ab" * 30 + "aaa" * 15, 2)]
+    df = spark.createDataFrame([(i, j, t, w) for i, (s, w) in enumerate(seqs) for j, t in enumerate(s)], "seq long, pos long, token string, w long")
+    out, log = merge_rounds(df, 3, weight="w", cut=50)
+    want, left = plain_merges([s for s, w in seqs for _ in range(w)], 3, 2)
+    assert logged(log) == want
+    got = defaultdict(list)
+    for r in out.orderBy("seq", "pos").collect():
+        got[r.seq].append(r.token)
+        assert r.w == seqs[r.seq][1]
+    assert [got[i] for i, (_, w) in enumerate(seqs) for _ in range(w)] == left
+    assert max(rows_of) < 80, rows_of
