@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from seqspark.functions import columns as C
+from seqspark.operators.stages import small, written
+
+#: Line numbers of a stretch of a path; about the lines that a task sorts.
+STRETCH, TASK_LINES = 1 << 16, 1 << 20
 
 
 def event_schema(intervals: int = 40) -> T.StructType:
@@ -56,11 +60,19 @@ def utterances(lines: DataFrame) -> DataFrame:
     return g.select("path", "utt", "speaker", F.when(F.size("p") > 0, F.trim(F.array_join(F.transform("p", lambda s: s["t"]), " "))).alias("mor"))
 
 
-def marked_dialogue(lines: DataFrame, token: str = r"[/\\-]?[a-zA-Z]\d+", header: str = "File:", chorus: str = "In chorus") -> DataFrame:
-    """``(path, section, line_no, pos, token, marked)``: tokens of each section; ``marked`` has a ``*`` on chorus lines. Lines before a header belong to ``unknown``."""
-    w = Window.partitionBy("path").orderBy("line_no")
+def marked_dialogue(lines: DataFrame, token: str = r"[/\\-]?[a-zA-Z]\d+", header: str = "File:", chorus: str = "In chorus", stretch: int = STRETCH) -> DataFrame:
+    """``(path, section, line_no, pos, token, marked)``: tokens of each section; ``marked`` has a ``*`` on chorus lines. Lines before a header belong to ``unknown``.
+
+    A path of any length is read in stretches of ``stretch`` line numbers, each a window of its own; what a stretch takes over from those before it is a row a stretch. ``lines`` are read twice.
+    """
     head = F.when(F.col("line").startswith(header), F.trim(F.substring(F.col("line"), F.lit(len(header) + 1), F.length("line"))))
-    x = lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("unknown"))).where(~F.col("line").startswith(header))
+    x = lines.withColumns({"stretch": F.floor(F.col("line_no") / stretch).cast("long"), "head": head})
+    every = written(x.groupBy("path", "stretch").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line_no"))).alias("head"), F.count("*").alias("n")), "stretches")
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), (every.agg(F.sum("n")).first()[0] or 0) // TASK_LINES + 1)
+    before = F.last("head", ignorenulls=True).over(Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    carried = small(every.select("path", "stretch", before.alias("carried")).where("carried is not null"))
+    w = Window.partitionBy("path", "stretch").orderBy("line_no")
+    x = x.repartition(parts, "path", "stretch").withColumn("own", F.last("head", ignorenulls=True).over(w)).where("head is null").join(carried, ["path", "stretch"], "left").withColumn("section", F.coalesce("own", "carried", F.lit("unknown")))
     t = x.select("path", "section", "line_no", F.col("line").contains(chorus).alias("c"), F.posexplode(F.regexp_extract_all("line", F.lit(token), F.lit(0))).alias("pos", "token"))
     return t.select("path", "section", "line_no", "pos", "token", F.concat("token", F.when(F.col("c"), "*").otherwise("")).alias("marked"))
 

@@ -395,3 +395,24 @@ def test_quantiles_count_equal_values_once(spark, monkeypatch):
                 want = [v[int(p * (len(v) - 1))] + (p * (len(v) - 1) - int(p * (len(v) - 1))) * (v[min(int(p * (len(v) - 1)) + 1, len(v) - 1)] - v[int(p * (len(v) - 1))]) for p in probs]
                 assert got[g] == pytest.approx(want, abs=1e-9), (g, few, weight)
     assert {x.count() for name, x in made if name == "values"} == {19}
+
+
+def test_long_dialogues_are_read_in_stretches(spark):
+    """Sections go on over stretches without a header; no window holds more of a path than a stretch, so a path isn't one task."""
+    from seqspark.sources import files as SRC
+
+    lines = [("p", i, f"File: s{i}" if i in (7, 8, 55) else f"a{i % 5} - /b1{' In chorus' if i % 3 == 0 else ''}") for i in range(90) if i not in (20, 21, 22)] + [("q", i, "a1") for i in (0, 70)]
+    df = spark.createDataFrame(lines, "path string, line_no long, line string")
+    kinds = [set(map(tuple, SRC.marked_dialogue(df, stretch=n).collect())) for n in (10, 1 << 16)]
+    want = set()
+    for path in ("p", "q"):
+        section = "unknown"
+        for _, i, line in sorted(x for x in lines if x[0] == path):
+            if line.startswith("File:"):
+                section = line[5:].strip()
+                continue
+            for pos, t in enumerate(line.replace(" In chorus", "").split(" - ")):
+                want.add((path, section, i, pos, t, t + "*" * ("In chorus" in line)))
+    assert kinds == [want, want]
+    plan = SRC.marked_dialogue(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[path#" in plan and all("stretch#" in line.split("], [")[1] for line in plan.splitlines() if "Window [" in line)
