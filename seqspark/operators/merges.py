@@ -2,7 +2,7 @@
 
 A row holds a part of at most ``CUT`` tokens as small integers with its own list of names: of a longer sequence a part, of shorter ones as many as go in, with a ``GAP`` between two, as arrays of numpy are worth while
 only when long. What the merges do is told by a table of digram counts that is never counted anew: a part that a merge touches returns the differences, other parts nothing. Rounds whose
-digrams share no token, and that nothing between could have come before, are merged in one pass.
+digrams share no token, and that nothing between could have come before, are merged in one pass. The integers are kept as bytes, as a pass would take an array apart and make it anew several times on its way to Python and back.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import discard, written
+from .stages import discard, together, written
 
 #: Tokens of a part; digrams looked at for further winners of a pass; passes after which the count differences are added up.
 CUT, AHEAD, COMPACT = 1 << 16, 64, 8
 #: What stands between two sequences of a row; the largest square of names that is counted without sorting.
 GAP, DENSE = -1, 1 << 20
-FIELDS = "weight array<bigint>, tokens array<int>, names array<string>, first string, last string, lead int, trail int, size int, total long, a array<string>, b array<string>, c array<bigint>"
+FIELDS = "weight array<bigint>, tokens binary, names array<string>, first string, last string, lead int, trail int, size int, total long, a array<string>, b array<string>, c array<bigint>"
 
 
 def merged(t: np.ndarray, a: int, b: int, x: int, before: int = 0, after: bool = False) -> np.ndarray:
@@ -50,23 +50,35 @@ def _each(t: np.ndarray, weight: np.ndarray) -> np.ndarray | int:
     return int(weight[0]) if (weight == weight[0]).all() else weight[np.cumsum(t == GAP)]
 
 
-def _pairs(t: np.ndarray, w: np.ndarray | int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digrams inside sequences, as ``first * k + second``, and their weights."""
-    inside = np.flatnonzero((t[:-1] != GAP) & (t[1:] != GAP))
-    return t[inside].astype(np.int64) * k + t[inside + 1], np.full(len(inside), w, np.int64) if np.isscalar(w) else w[inside]
+def _narrow(k: int) -> type:
+    """The integers that hold ``GAP`` and ``k`` names."""
+    return np.int8 if k <= 1 << 7 else np.int16 if k <= 1 << 15 else np.int32
+
+
+def _pairs(t: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digrams inside sequences, as ``first * k + second``, and how often they occur."""
+    w, wide, u = _each(t, weight), k + 1, t.astype(np.int64) + 1  # GAP is 0 here
+    key = u[:-1] * wide + u[1:]
+    if wide * wide <= DENSE:  # sums of integers below 2 ** 53 are exact
+        n = np.bincount(key, None if np.isscalar(w) else w[:-1], wide * wide)
+        n = n * w if np.isscalar(w) else np.rint(n).astype(np.int64)
+        n = n.reshape(wide, wide)[1:, 1:].ravel()
+        at = np.flatnonzero(n)
+        return at, n[at]
+    at, to = np.unique(key, return_inverse=True)
+    n = np.bincount(to, None if np.isscalar(w) else w[:-1], len(at))
+    n = n * w if np.isscalar(w) else np.rint(n).astype(np.int64)
+    inside = (at >= wide) & (at % wide > 0)
+    return (at[inside] // wide - 1) * k + at[inside] % wide - 1, n[inside]
 
 
 def _change(new: tuple, old: tuple, names: list[str]) -> tuple[list, list, np.ndarray]:
     """Digrams by name and how far their counts differ, where they do."""
     k = len(names)
-    if k * k <= DENSE:  # sums of integers below 2 ** 53 are exact
-        n = np.rint(np.bincount(new[0], new[1], k * k) - np.bincount(old[0], old[1], k * k)).astype(np.int64)
-        at = np.flatnonzero(n)
-        n = n[at]
-    else:
-        at, to = np.unique(np.concatenate((new[0], old[0])), return_inverse=True)
-        n = np.rint(np.bincount(to, np.concatenate((new[1], -old[1])), len(at))).astype(np.int64)
-        at, n = at[n != 0], n[n != 0]
+    at, to = np.unique(np.concatenate((new[0], old[0])), return_inverse=True)
+    n = np.zeros(len(at), np.int64)
+    np.add.at(n, to, np.concatenate((new[1], -old[1])))
+    at, n = at[n != 0], n[n != 0]
     return [names[i] for i in (at // k).tolist()], [names[i] for i in (at % k).tolist()], n
 
 
@@ -81,18 +93,18 @@ def _row(weight: np.ndarray, t: np.ndarray, names: list[str], change: tuple) ->
         ends = (names[t[0]], names[t[-1]], int(lead[0]) if len(lead) else n, int(trail[0]) if len(trail) else n)
     w, real = _each(t, weight), t != GAP
     size = int(real.sum())
-    return weight, t.astype(np.int32), names, *ends, size, size * w if np.isscalar(w) else int(w[real].sum()), *change
+    return weight, t.astype(_narrow(len(names))).tobytes(), names, *ends, size, size * w if np.isscalar(w) else int(w[real].sum()), *change
 
 
 def _used(t: np.ndarray, names: list[str]) -> tuple[np.ndarray, list[str]]:
     """``t`` with only those names that it has."""
-    has = np.bincount(t + 1, minlength=len(names) + 1)[1:] > 0
-    return np.append(np.cumsum(has) - 1, GAP)[t], [names[i] for i in np.flatnonzero(has).tolist()]
+    has = np.bincount(t.astype(np.int64) + 1, minlength=len(names) + 1)[1:] > 0
+    return t if has.all() else np.append(np.cumsum(has) - 1, GAP)[t], [names[i] for i in np.flatnonzero(has).tolist()]
 
 
 def _batch(keys: list[pa.Array], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    ints, longs, texts = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
-    kinds = (longs, ints, texts, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), texts, texts, longs)
+    longs, texts = pa.list_(pa.int64()), pa.list_(pa.string())
+    kinds = (longs, pa.binary(), texts, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), texts, texts, longs)
     return pa.RecordBatch.from_arrays([*keys, *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], ["seq", "one", "part", *names])
 
 
@@ -104,6 +116,11 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate(([0], np.cumsum(np.asarray(col.value_lengths())))).astype(np.int64), col.flatten()
 
 
+def _tokens(field: pa.Scalar, k: int) -> np.ndarray:
+    """A row's tokens, which have ``k`` names."""
+    return np.frombuffer(field.as_buffer(), _narrow(k))
+
+
 def _first(parts: DataFrame, cut: int) -> DataFrame:
     """The parts (seq, part, weight, words) as integers, short sequences several a row, with all their digrams as changes: ``seq`` lists the sequences, ``one`` is the sequence of a row that may be one of several parts."""
 
@@ -126,7 +143,7 @@ def _first(parts: DataFrame, cut: int) -> DataFrame:
                 at = np.arange(n[g].sum()) + np.repeat(np.arange(len(g)), n[g])
                 t[at] = code[np.arange(n[g].sum()) + np.repeat(starts[g] - np.concatenate(([0], np.cumsum(n[g])[:-1])), n[g])]
                 t, own = _used(t, names)
-                rows.append(_row(weight[g], t, own, _change(_pairs(t, _each(t, weight[g]), len(own)), NONE, own)))
+                rows.append(_row(weight[g], t, own, _change(_pairs(t, weight[g], len(own)), NONE, own)))
             ends = np.concatenate(([0], np.cumsum([len(g) for g in groups]))).astype(np.int32)
             head = pa.array([g[0] for g in groups])
             one = pa.array([g[0] if lone[g[0]] else None for g in groups], pa.int64())
@@ -142,10 +159,11 @@ def _merge(parts: DataFrame, winners: list[tuple[str, str, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            (ws, weights), (ts, tokens) = _lists(b.column(3)), _lists(b.column(4))
-            weights, tokens = weights.to_numpy(zero_copy_only=False), tokens.to_numpy(zero_copy_only=False)
+            ws, weights = _lists(b.column(3))
+            weights = weights.to_numpy(zero_copy_only=False)
             for r, (names, before, after) in enumerate(zip(*[b.column(i).to_pylist() for i in range(5, 8)])):
-                weight, t, had = weights[ws[r] : ws[r + 1]], tokens[ts[r] : ts[r + 1]], {w: i for i, w in enumerate(names)}
+                weight, had = weights[ws[r] : ws[r + 1]], {w: i for i, w in enumerate(names)}
+                t = _tokens(b.column(4)[r], len(names)).astype(_narrow(len(names) + len(winners)))
                 new = t
                 for x, y, name in winners:
                     i, j = had.get(x, -2), had.get(y, -2)
@@ -159,7 +177,7 @@ def _merge(parts: DataFrame, winners: list[tuple[str, str, str]]) -> DataFrame:
                     rows.append(_row(weight, t, names, ([], [], [])))
                     continue
                 k = len(names)
-                change = _change(_pairs(new, _each(new, weight), k), _pairs(t, _each(t, weight), k), names)
+                change = _change(_pairs(new, weight, k), _pairs(t, weight, k), names)
                 rows.append(_row(weight, *_used(new, names), change))
             if rows:
                 yield _batch([b.column(0), b.column(1), b.column(2)], rows, NAMES)
@@ -174,10 +192,10 @@ def _apart(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (ss, seqs), (ws, weights), (ts, tokens), (ns, names) = [_lists(b.column(i)) for i in (0, 2, 3, 4)]
-            weights, tokens = weights.to_numpy(zero_copy_only=False), tokens.to_numpy(zero_copy_only=False)
+            (ss, seqs), (ws, weights), (ns, names) = [_lists(b.column(i)) for i in (0, 2, 4)]
+            weights = weights.to_numpy(zero_copy_only=False)
             for r in range(len(b)):
-                t = tokens[ts[r] : ts[r + 1]]
+                t = _tokens(b.column(3)[r], ns[r + 1] - ns[r])
                 at = np.flatnonzero(t != GAP)
                 who = np.cumsum(t == GAP)[at]
                 part = pa.array(np.full(len(at), b.column(1)[r].as_py()))
@@ -228,6 +246,12 @@ def _winners(top: list, joiner: str, made: set[str], many: bool, rounds: int) ->
     return [r for i, r in enumerate(took) if i == 0 or r["score"] > floor][:rounds]
 
 
+def _counts(deltas: list[DataFrame]) -> DataFrame:
+    """``(a, b, c)``: the written changes summed, which are read as one table."""
+    x = together("a array<string>, b array<string>, c array<bigint>", *deltas)
+    return x.select(F.explode(F.arrays_zip("a", "b", "c")).alias("e")).groupBy("e.a", "e.b").agg(F.sum("e.c").alias("c"))
+
+
 def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = False, joiner: str = "+", weight: str | None = None, cut: int = CUT) -> tuple[DataFrame, list[dict]]:
     """Repeatedly replace the most frequent (or most frequent times PMI) digram of ``(seq, pos, token)``, inside sequences, left to right without overlap; ties to the smaller digram.
 
@@ -244,25 +268,22 @@ def merge_rounds(df: DataFrame, rounds: int, least: int = 2, by_pmi: bool = Fals
     several = bool(size[1])
     many = not by_pmi and not several and not parts.where(F.exists("names", lambda x: x.contains(joiner))).limit(1).count()  # so that no name is both given and made
     made: set[str] = set()
-    log, deltas, sums = [], [parts], None
+    log, deltas = [], [parts]
     moved: list[tuple[str, int]] = []  # three a round
     if by_pmi:
         given = written(_apart(parts).groupBy("token").agg(F.sum("weight").alias("u")), "merge-units")
     while len(log) < rounds and tokens:
-        edges = changes = None
-        for d in deltas:
-            x = d.select(F.explode(F.arrays_zip("a", "b", "c")).alias("e")).select("e.a", "e.b", "e.c")
-            changes = x if changes is None else changes.unionByName(x)
-        if sums is not None:
-            changes = sums if changes is None else changes.unionByName(sums)
-        if len(deltas) >= COMPACT:
-            sums = written(changes.groupBy("a", "b").agg(F.sum("c").alias("c")).where("c <> 0"), "merge-counts")
+        edges = None
+        if len(deltas) > COMPACT:
+            sums = written(_counts(deltas).where("c <> 0").select(F.array("a").alias("a"), F.array("b").alias("b"), F.array("c").alias("c")), "merge-counts")
             discard(*[d for d in deltas if d is not parts])
-            changes, deltas = sums, []
+            deltas = [sums]
+        pair = _counts(deltas)
         if several:  # a digram may lie across parts
             edges = written(_edges(parts), "merge-edges")
-            changes = changes.unionByName(edges.where("after is not null").select(F.col("last").alias("a"), F.col("after").alias("b"), F.col("weight").alias("c")))
-        pair = changes.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+            across = edges.where("after is not null").select(F.col("last").alias("a"), F.col("after").alias("b"), F.col("weight").alias("c"))
+            pair = pair.unionByName(across).groupBy("a", "b").agg(F.sum("c").alias("c"))
+        pair = pair.where(F.col("c") >= least)
         if by_pmi:
             units = given.unionByName(df.sparkSession.createDataFrame(moved, "token string, u long")).groupBy("token").agg(F.sum("u").alias("u")).where("u > 0")
             ua, ub = units.select(F.col("token").alias("a"), F.col("u").alias("ua")), units.select(F.col("token").alias("b"), F.col("u").alias("ub"))

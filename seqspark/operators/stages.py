@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def together(schema: str, *tables: DataFrame) -> DataFrame:
+    """The columns of ``schema`` of several tables made by :func:`written`, as one table."""
+    return tables[0].sparkSession.read.schema(schema).parquet(*[_paths[t] for t in tables])
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes the files of tables made by :func:`written` that nothing reads any more; other tables are left alone."""
     for df in tables:

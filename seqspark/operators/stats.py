@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .stages import running
+from .stages import running, written
+
+#: Rows whose pairs a task counts at once; the largest square of tokens that is counted without sorting.
+STRETCH, DENSE = 1 << 18, 1 << 20
 
 
 def _xlogx(p: Column) -> Column:
@@ -52,12 +59,53 @@ def top_k(df: DataFrame, token: str, k: int) -> DataFrame:
     return counts(df, token).orderBy(F.desc("c"), token).limit(k)
 
 
+def lag_counts(df: DataFrame, seq: str, pos: str, token: str, lags: int, stretch: int = STRETCH, dense: int = DENSE) -> DataFrame:
+    """``(lag, a, b, c)``: how often ``b`` stands ``lag`` rows after ``a`` inside a sequence, for 1 to ``lags``; no pair has a null ``b``.
+
+    A task's rows come in the order of the window, and are counted a stretch at a time: the pairs, ``lags`` times as many as the rows, never become rows.
+    """
+
+    def count(tokens: pa.Array, n: np.ndarray, old: int) -> pa.RecordBatch:
+        """The pairs whose later row isn't one of the ``old`` ones; ``n`` is a row's place in its sequence, from 1."""
+        t = tokens.dictionary_encode(null_encoding="encode")
+        code, names = t.indices.to_numpy(zero_copy_only=False).astype(np.int64), t.dictionary
+        v, some, parts = len(names), tokens.is_valid().to_numpy(zero_copy_only=False), []
+        for k in range(1, lags + 1):
+            b = np.flatnonzero((n[max(k, old) :] > k) & some[max(k, old) :]) + max(k, old)
+            key = code[b - k] * v + code[b]
+            if v * v <= dense:
+                c = np.bincount(key, minlength=v * v)
+                at = np.flatnonzero(c)
+                c = c[at]
+            else:
+                at, c = np.unique(key, return_counts=True)
+            parts.append((np.full(len(at), k), at, c))
+        lag, at, c = map(np.concatenate, zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(lag, pa.int32()), names.take(pa.array(at // v)), names.take(pa.array(at % v)), pa.array(c, pa.int64())], ["lag", "a", "b", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, old = [], 0, 0
+        for x in batches:
+            held.append(x)
+            size += len(x)
+            if size - old >= stretch:
+                x = pa.Table.from_batches(held).combine_chunks()
+                yield count(x.column(0).combine_chunks(), x.column(1).to_numpy(), old)
+                held = x.slice(max(0, size - lags)).to_batches()
+                size = old = min(size, lags)
+        if size > old:
+            x = pa.Table.from_batches(held)
+            yield count(x.column(0).combine_chunks(), x.column(1).to_numpy(), old)
+
+    n = F.row_number().over(Window.partitionBy(seq).orderBy(pos))
+    x = df.select(F.col(token).alias("token"), n.alias("n"))
+    kind = x.schema["token"].dataType.simpleString()
+    return x.mapInArrow(run, f"lag int, a {kind}, b {kind}, c long").groupBy("lag", "a", "b").agg(F.sum("c").alias("c"))
+
+
 def mi_decay(df: DataFrame, seq: str, pos: str, token: str, lags: int = 20) -> DataFrame:
     """``(lag, n, mi)``: mutual information in bits between tokens ``lag`` apart inside sequences; marginals come from the pairs of that lag."""
-    w = Window.partitionBy(seq).orderBy(pos)
-    ahead = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead(token, k).over(w).alias("b")) for k in range(1, lags + 1)])
-    pairs = df.select(F.col(token).alias("a"), ahead.alias("x")).select("a", F.explode("x").alias("x")).select("a", "x.lag", "x.b").where("b is not null")
-    joint = pairs.groupBy("lag", "a", "b").agg(F.count("*").alias("c"))
+    joint = lag_counts(df, seq, pos, token, lags)
     # I = log2 n + (sum c log c - sum ca log ca - sum cb log cb) / n, so three sums a lag are enough
     s = lambda d, name: d.groupBy("lag").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias(name))
     ab = s(joint, "ab")
@@ -96,8 +144,9 @@ def pause_context_jsd(df: DataFrame, seq: str, pos: str, token: str, bucket: str
     """``(bucket, n, jsd)``: tokens before against tokens after a gap of each bucket that occurs ``least`` times or more."""
     w = Window.partitionBy(seq).orderBy(pos)
     x = df.select(F.col(bucket).alias("bucket"), F.lag(token).over(w).alias("left"), F.col(token).alias("right")).where("left is not null")
-    n = x.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    side = lambda c: x.groupBy("bucket", F.col(c).alias("tok")).agg(F.count("*").alias("c"))
+    x = written(x.groupBy("bucket", "left", "right").agg(F.count("*").alias("c")), "pauses")
+    n = x.groupBy("bucket").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+    side = lambda c: x.groupBy("bucket", F.col(c).alias("tok")).agg(F.sum("c").alias("c"))
     return n.join(jsd(side("left"), side("right"), "tok", ["bucket"]).hint("merge"), "bucket")
 
 

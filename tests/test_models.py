@@ -369,3 +369,45 @@ def test_short_sequences_share_rows(spark, monkeypatch):
         assert r.w == seqs[r.seq][1]
     assert [got[i] for i, (_, w) in enumerate(seqs) for _ in range(w)] == left
     assert max(rows_of) < 80, rows_of
+
+
+def test_tokens_of_merges_are_bytes(spark, monkeypatch):
+    """Tokens are kept as bytes, one a token up to 128 names of a row and two beyond, which merges pass; the changes of all passes are read as one table."""
+    from seqspark.operators import merges
+
+    kinds, scans = set(), []
+    write, read = merges.written, merges.together
+    monkeypatch.setattr(merges, "written", lambda df, name: (out := write(df, name), name == "merge-parts" and kinds.update((out.schema["tokens"].dataType.simpleString(), r.n, len(r.names) > 128) for r in out.select(F.expr("length(tokens) / (size + size(weight) - 1)").alias("n"), "names").collect()))[0])
+    monkeypatch.setattr(merges, "together", lambda schema, *t: (scans.append(len(t)), read(schema, *t))[1])
+    rng = random.Random(11)
+    words = [f"t{i:03}" for i in range(122)]
+    seqs = [words[:], *[[rng.choice(words[:5]) for _ in range(rng.randint(1, 30))] for _ in range(60)]]
+    df = spark.createDataFrame([(i, j, t) for i, s in enumerate(seqs) for j, t in enumerate(s)], "seq long, pos long, token string").coalesce(1)
+    out, log = merge_rounds(df, 14)
+    want, left = plain_merges(seqs, 14, 2)
+    assert logged(log) == want
+    got = defaultdict(list)
+    for r in out.orderBy("seq", "pos").collect():
+        got[r.seq].append(r.token)
+    assert [got[i] for i in range(len(seqs))] == left
+    assert {k[0] for k in kinds} == {"binary"} and all(n == 1 + wide for _, n, wide in kinds) and {k[2] for k in kinds} == {False, True}
+    assert 1 < max(scans) <= merges.COMPACT + 1
+
+
+@pytest.mark.parametrize("stretch, dense", [(1, 1 << 20), (7, 0), (1 << 18, 1 << 20)])
+def test_lag_counts_make_no_row_a_pair(spark, stretch, dense):
+    """Counts by stretches equal plain ones, with null tokens and a null sequence; no pair becomes a row before it is counted."""
+    from seqspark.operators import stats as S
+
+    rng = random.Random(7)
+    seqs = {i or None: [rng.choice(["a", "b", "c", None]) for _ in range(rng.choice([1, 3, 9, 40]))] for i in range(30)}
+    df = spark.createDataFrame([(i, j, t) for i, s in seqs.items() for j, t in enumerate(s)], "seq long, pos long, token string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        got = {(r.lag, r.a, r.b): r.c for r in S.lag_counts(df, "seq", "pos", "token", 6, stretch, dense).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == Counter((k, a, b) for s in seqs.values() for k in range(1, 7) for a, b in zip(s, s[k:]) if b is not None)
+    plan = S.mi_decay(df, "seq", "pos", "token")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert S.mi_decay(df.limit(0), "seq", "pos", "token").collect() == []
