@@ -15,7 +15,8 @@ from . import match as M
 from .merges import merge_rounds
 from .stages import discard, small, written
 
-PART = cells.CELL
+#: Points of a cell: fewer where there are few, so that tasks are many; more where there are many, so that guests are few.
+PART, MOST = cells.CELL, 1 << 16
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,39 +63,115 @@ def mutual_pair_score(rates: DataFrame, a: str = "a", b: str = "b", rate: str =
     return x.select(a, b, F.sqrt(F.col(rate) * F.col("__r")).alias("score")).orderBy(F.desc(F.round("score", 9)), a, b).limit(n)
 
 
-def density_clusters(rows: DataFrame, length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", eps: float = 0.10, min_points: int = 10, part: int = PART) -> DataFrame:
-    """``(rid, length, cluster)``: density clusters of equal-length patterns; null is noise. ``cluster`` is the smallest core id.
+#: Links of a group up to which one task joins them; more are joined in rounds.
+FEW_LINKS = 1 << 20
 
-    Equal patterns are one weighted point. A point with ``min_points`` or more rows within ``eps`` (itself included) is a core; cores within ``eps``
-    are one cluster; another point joins that of its nearest core within ``eps``. Lengths with fewer than ``min_points`` rows are noise.
+
+class _Sets:
+    """Disjoint sets of the numbers below ``n``; the smallest number stands for its set."""
+
+    def __init__(self, n: int):
+        self.top = np.arange(n)
+
+    def root(self, i: np.ndarray) -> np.ndarray:
+        up = self.top[i]
+        while ((higher := self.top[up]) != up).any():
+            up = higher
+        self.top[i] = up
+        return up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.root(a), self.root(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            self.top[np.maximum(a, b)] = np.minimum(a, b)  # of several links of one set, one holds; the others come again
+
+
+def components_by(edges: DataFrame, by: list[str], a: str = "a", b: str = "b", few: int | None = None) -> DataFrame:
+    """``(by.., node, comp)``: :func:`components` of each group of edges, a graph of its own.
+
+    A group of at most ``few`` distinct links is joined by one task; larger groups go through the rounds of :func:`components` together.
     """
-    enough = rows.groupBy(length).count().where(F.col("count") >= min_points).select(length)
-    points, named, _, _ = _density(rows.join(enough.hint("shuffle_hash"), length, "left_semi"), [eps], [min_points], length, vec, rid, part)
-    of = points.select("id", length, F.col("v").alias(vec)).join(named.select("id", "cluster").hint("shuffle_hash"), "id").select(length, vec, "cluster")
-    return rows.join(of.hint("merge"), [length, vec], "left").select(rid, length, "cluster")
+    few = FEW_LINKS if few is None else few
+    edges = written(edges.where(F.col(a) != F.col(b)).select(*by, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
+    size = small(edges.groupBy(*by).agg((F.count("*") > few).alias("__large")))
+    kinds = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by)
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def joined(t: pa.Table) -> pa.Table:
+        ends = pa.chunked_array([*t.column("u").chunks, *t.column("v").chunks]).combine_chunks().dictionary_encode()
+        code, nodes = ends.indices.to_numpy(), ends.dictionary
+        sets = _Sets(len(nodes))
+        sets.join(code[: len(t)], code[len(t) :])
+        comp = _least(nodes.to_numpy(zero_copy_only=False), sets.root(np.arange(len(nodes))))
+        return pa.table([*[pa.array([t.column(c)[0].as_py()] * len(nodes), t.schema.field(c).type) for c in by], nodes, pa.array(comp, nodes.type)], names=[*by, "node", "comp"])
+
+    sided = edges.join(size, by)
+    out = sided.where("not __large").groupBy(*by).applyInArrow(joined, f"{kinds}, node {kind}, comp {kind}")
+    if size.where("__large").isEmpty():
+        return out
+    node = lambda c: F.struct(*by, F.col(c).alias("id")).alias(c)
+    rounds = components(sided.where("__large").select(node("u"), node("v")), "u", "v")
+    return out.unionByName(rounds.select("node.*", F.col("comp.id").alias("comp")).withColumnRenamed("id", "node"))
+
+
+def _least(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each number the smallest of ``ids`` in its set."""
+    order = np.argsort(ids, kind="stable")
+    rank, low = np.empty(len(ids), int), np.full(len(ids), len(ids))
+    rank[order] = np.arange(len(ids))
+    np.minimum.at(low, root, rank)
+    return ids[order[low[root]]]
 
 
 class _Field:
     """The points of a cell in leaves, those at home first: ``home`` leaves, ``inside`` points; ``rows`` are the table's rows in that order."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, radii: list[float]):
         x, guest = cells.vectors(t.column("v")), t.column("guest").to_numpy()
         own, other = np.flatnonzero(~guest), np.flatnonzero(guest)
-        a, b = cells.Leaves(x[own]), cells.Leaves(x[other])
+        a, b = cells.Leaves(x[own], LEAF), cells.Leaves(x[other], LEAF)
         self.home, self.inside = len(a), len(own)
         a.order, a.x = np.concatenate((own[a.order], other[b.order])), np.concatenate((a.x, b.x))
         a.starts, a.lo, a.hi = np.concatenate((a.starts, b.starts[1:] + len(own))), np.concatenate((a.lo, b.lo)), np.concatenate((a.hi, b.hi))
         self.leaves, self.rows = a, t.take(pa.array(a.order))
         self.id, self.w = self.rows.column("id").to_numpy(), self.rows.column("w").to_numpy().astype(float)
+        self.radii, self.limits, self.fine = radii, np.array([_limit(e) for e in radii]), radii[0] * 10.0 ** -(M.DIGITS + 1)
 
-    def around(self, h: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """The points of home leaf ``h``, and the leaves with points that may be within ``reach``."""
-        f = self.leaves
-        return np.arange(f.starts[h], f.starts[h + 1]), np.flatnonzero(f.gaps(f.lo[h], f.hi[h]) <= (reach + cells.SLACK) ** 2)
+    def members(self, h: int) -> np.ndarray:
+        return np.arange(self.leaves.starts[h], self.leaves.starts[h + 1])
 
+    def around(self, h: int, leaves: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(far, points, level)``: some of the points of ``leaves``, of those ``wanted``, that the box of home leaf ``h`` reaches; near leaves first, a few at once, then more.
 
-#: Points compared at once with those of a leaf.
-WIDE = 4096
+        ``level`` is the first radius that reaches a point, ``far`` the first that reaches any of these.
+        """
+        f = self.leaves
+        lo, hi, reach = f.lo[h], f.hi[h], np.square(np.array(self.radii) + cells.SLACK)
+        gap = f.gaps(lo, hi)[leaves]
+        near = np.flatnonzero(gap <= reach[-1])
+        near = near[np.argsort(gap[near], kind="stable")]
+        near, ends = leaves[near], np.searchsorted(gap[near], reach, side="right")
+        i, step = 0, FEW
+        for far, end in enumerate(ends.tolist()):
+            while i < end:
+                at = f.members(near[i : min(i + step, end)])
+                i, step = min(i + step, end), min(4 * step, MANY)
+                if wanted is not None:
+                    at = at[wanted[at]]
+                off = np.maximum(np.maximum(f.x[at] - hi, lo - f.x[at]), 0)
+                level = np.searchsorted(reach, np.einsum("ij,ij->i", off, off))
+                met = np.flatnonzero(level < len(reach))
+                if len(met):
+                    yield far, at[met], level[met]
+
+    def squares(self, who: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return cells.squares(self.leaves.x[who], self.leaves.x[at], self.fine)
+
+
+#: Points of a leaf; leaves compared at once with a leaf, first and at most; leaves after which the sets of all are looked up again.
+LEAF, FEW, MANY, AGAIN = 256, 2, 32, 16
 
 
 def _limit(e: float) -> float:
@@ -102,154 +179,231 @@ def _limit(e: float) -> float:
     return (e + 0.5 * 10.0**-M.DIGITS) ** 2
 
 
-def _weights(t: pa.Table, radii: list[float], enough: int) -> tuple[_Field, np.ndarray]:
-    """The :class:`_Field` of a cell, and for each point at home the weight within each radius; ``enough`` or more stands for any larger one."""
-    f = _Field(t)
-    leaves, out, fine = f.leaves, np.zeros((f.inside, len(radii))), radii[0] * 10.0 ** -(M.DIGITS + 1)
-    mass = np.add.reduceat(f.w, leaves.starts[:-1])
-    plain = bool((f.w == 1).all())
+def _weights(f: _Field, enough: int) -> np.ndarray:
+    """For each point at home the weight within each radius; ``enough`` or more stands for any larger one, so a point is compared until it has that many."""
+    leaves, radii, out = f.leaves, f.radii, np.zeros((f.inside, len(f.radii)))
+    mass, every = np.add.reduceat(f.w, leaves.starts[:-1]), np.arange(len(leaves))
     for h in range(f.home):
-        who, near = f.around(h, radii[-1])
-        within = mass[near][leaves.spans(leaves.lo[h], leaves.hi[h])[near] <= radii[0] ** 2].sum()
+        who = f.members(h)
+        within = mass[leaves.spans(leaves.lo[h], leaves.hi[h]) <= radii[0] ** 2].sum()
         if within >= enough:
             out[who] = within
             continue
-        at = leaves.members(near)
-        for i in range(0, len(at), WIDE):
-            d = cells.squares(leaves.x[who], leaves.x[at[i : i + WIDE]], fine)
-            for j, e in enumerate(radii):
-                out[who, j] += np.count_nonzero(d <= _limit(e), axis=1) if plain else (d <= _limit(e)).astype(float) @ f.w[at[i : i + WIDE]]
-    return f, out
-
-
-def _links(t: pa.Table, radii: list[float], least: list[int]) -> list[tuple]:
-    """``(least, level, a, b, d)``: links in which the cores around a cell grow together from the smallest radius up (``d`` null), and the nearest core of each other point at home."""
-    f = _Field(t)
-    leaves, ids, fine = f.leaves, f.id, radii[0] * 10.0 ** -(M.DIGITS + 1)
-    have = cells.vectors(f.rows.column("core"))
-    out: list[tuple] = []
-    for m in least:
-        top, known = np.arange(len(ids)), np.arange(len(ids))
-
-        def root(i: np.ndarray) -> np.ndarray:
-            up = top[i]
-            while ((higher := top[up]) != up).any():
-                up = higher
-            top[i] = up
-            return up
-
-        def join(who: np.ndarray, at: np.ndarray, limit: float) -> None:
-            """Joins what is within ``limit`` of the points ``who`` of a leaf among ``at``."""
-            for i in range(0, len(at), WIDE):
-                to = at[i : i + WIDE]
-                mine = root(who)
-                if (mine == mine[0]).all():
-                    to = to[root(to) != mine[0]]
-                if not len(to):
-                    continue
-                near = cells.squares(leaves.x[who], leaves.x[to], fine) <= limit
-                near &= root(to)[None, :] != mine[:, None]
-                for r in np.flatnonzero(near.any(axis=1)):
-                    met = np.unique(np.append(root(to[near[r]]), root(who[r : r + 1])))
-                    top[met] = met[0]
-
-        for level, e in enumerate(radii):
-            core = have[:, level] >= m
-            full = np.add.reduceat(core.astype(int), leaves.starts[:-1]) > 0
-            for h in range(f.home):
-                if not full[h]:
-                    continue
-                who, near = f.around(h, e)
-                who = who[core[who]]
-                if np.square(np.ptp(leaves.x[who], axis=0)).sum() <= e * e:
-                    met = np.unique(root(who))  # all within the radius
-                    top[met] = met[0]
-                else:
-                    join(who, who, _limit(e))
-                at = leaves.members(near[full[near] & (near > h)])
-                at = at[core[at]]
-                if len(at):
-                    join(who, at, _limit(e))
-            now = root(np.arange(len(ids)))
-            fresh = np.flatnonzero((known == np.arange(len(ids))) & (now != known))  # the others are linked to one of these
-            out += [(m, level, a, b, None) for a, b in zip(ids[fresh].tolist(), ids[now[fresh]].tolist())]
-            known = now.copy()
-    for h in range(f.home):  # the nearest core of the others, the smallest of several
-        who, near = f.around(h, radii[-1])
-        if (have[who, 0] >= least[-1]).all():
+        for far, at, _ in f.around(h, every):
+            who = who[out[who, far] < enough]
+            if not len(who):
+                break
+            d = f.squares(who, at).ravel()
+            hit = np.flatnonzero(d <= f.limits[-1])
+            row, w, d = hit // len(at), f.w[at[hit % len(at)]], d[hit]
+            for j in range(far, len(radii)):
+                out[who, j] += np.bincount(row, w * (d <= f.limits[j]), len(who))
+    return out
+
+
+def _grow(f: _Field, core: np.ndarray, level: np.ndarray, sets: _Sets, across: bool) -> None:
+    """Joins the cores within reach at each setting: those at home with each other, or, ``across``, with guests. ``core`` has a row a setting; point ``i`` is number ``s * n + i`` at setting ``s``.
+
+    Points whose cores are in the set of a leaf already aren't compared with it again, so a dense cell costs few comparisons.
+    """
+    n, starts, wanted = core.shape[1], f.leaves.starts[: len(f.leaves) if across else f.home], core.any(axis=0)
+    some = np.flatnonzero(np.add.reduceat(wanted, starts, dtype=int))
+    own, other = some[some < f.home], some[some >= f.home] if across else some
+    live = np.arange(len(core))
+    for i, h in enumerate(own.tolist()):
+        if i % max(AGAIN, f.home // AGAIN) == 0:  # the sets of each leaf: the same one, or from low to high
+            have = core[live]
+            now = sets.root(live[:, None] * n + np.arange(n))
+            low, high = np.where(have, now, core.size), np.where(have, now, -1)
+            apart = low.min(axis=1) < high.max(axis=1)
+            low, high, live = (np.minimum.reduceat(low[apart], starts, axis=1), np.maximum.reduceat(high[apart], starts, axis=1), live[apart])
+            if not len(live):
+                break  # one set at every setting
+            base, level_, have = live[:, None] * n, level[live], have[apart]
+        met = other if across else other[other >= h]
+        one = (low[:, h] == high[:, h])[:, None] & (low[:, met] == high[:, met]) & (low[:, met] == low[:, [h]])
+        met = met[~(one | (high[:, met] < 0) | (high[:, [h]] < 0)).all(axis=0)]
+        if not len(met):
+            continue
+        who = f.members(h)
+        who = who[wanted[who]]
+        mine_core = have[:, who]
+        for far, at, reach in f.around(h, met, wanted):
+            mine, theirs = sets.root(base + who), sets.root(base + at)
+            least, most = np.where(mine_core, mine, core.size).min(axis=1), np.where(mine_core, mine, -1).max(axis=1)
+            alive = (level_ >= far) & (most >= 0)
+            apart = have[:, at] & alive[:, None] & (level_[:, None] >= reach) & ((least != most)[:, None] | (theirs != least[:, None]))
+            keep = np.flatnonzero(apart.any(axis=0))
+            if not len(keep):
+                continue
+            at, theirs, apart = at[keep], theirs[:, keep], apart[:, keep]
+            d = f.squares(who, at).ravel()
+            hit = np.flatnonzero(d <= f.limits[-1])
+            row, col = hit // len(at), hit % len(at)
+            first = np.searchsorted(f.limits, d[hit])
+            for s in np.flatnonzero(alive).tolist():
+                pair = np.flatnonzero((first <= level_[s]) & mine_core[s, row] & apart[s, col])
+                a, b = mine[s, row[pair]], theirs[s, col[pair]]
+                pair = a != b
+                sets.join(a[pair], b[pair])
+
+
+def _nearest_cores(f: _Field, have: np.ndarray, core: np.ndarray, least: list[int], level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each setting the points at home that are no cores but have one within the radius, and their nearest core (ties: the smallest id).
+
+    A point is compared up to the largest radius at which it is no core, where it has fewer than the largest least number of neighbours: so what is found is few.
+    """
+    short = have[: f.inside] < least[-1]
+    top = np.where(short.any(axis=1), len(f.radii) - 1 - short[:, ::-1].argmax(axis=1), -1)
+    often, every, rows, cols = core.any(axis=0), np.arange(len(f.leaves)), [], []
+    for h in range(f.home):
+        who = f.members(h)
+        who = who[top[who] >= 0]
+        if not len(who):
             continue
-        at = leaves.members(near)
-        at = at[have[at, -1] >= least[0]]
-        best: dict[tuple, tuple] = {}
-        for i in range(0, len(at), WIDE):
-            to = at[i : i + WIDE]
-            d = cells.squares(leaves.x[who], leaves.x[to], fine)
-            for level, e in enumerate(radii):
-                some = np.flatnonzero(have[who, level] < least[-1])
-                row, col = cells.marked(d[some] <= _limit(e))
-                row, col = who[some[row]], to[col]
-                keep = have[col, level] >= least[0]
-                row, col = row[keep], col[keep]
-                dist = np.round(np.sqrt(np.square(leaves.x[row] - leaves.x[col]).sum(axis=1)), M.DIGITS)
-                order = np.lexsort((ids[col], dist, row))
-                for m in least:
-                    ok = order[(have[row[order], level] < m) & (have[col[order], level] >= m) & (dist[order] <= e)]
-                    first = ok[np.unique(row[ok], return_index=True)[1]]
-                    for a, b, z in zip(row[first].tolist(), ids[col[first]].tolist(), dist[first].tolist()):
-                        best[m, level, a] = min(best.get((m, level, a), (z, b)), (z, b))
-        out += [(m, level, ids[a].item(), b, z) for (m, level, a), (z, b) in best.items()]
+        most = top[who].max()
+        for far, at, reach in f.around(h, every, often):
+            if far > most:
+                break
+            at = at[reach <= most]
+            if len(at):
+                row, col = cells.marked(f.squares(who, at) <= f.limits[top[who]][:, None])
+                rows.append(who[row])
+                cols.append(at[col])
+    row, col = (np.concatenate(c) if c else np.zeros(0, int) for c in (rows, cols))
+    dist = np.round(np.sqrt(np.square(f.leaves.x[row] - f.leaves.x[col]).sum(axis=1)), M.DIGITS)
+    order = np.lexsort((f.id[col], dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    out = []
+    for s, j in enumerate(level.tolist()):
+        ok = np.flatnonzero(~core[s, row] & core[s, col] & (dist <= f.radii[j]))
+        first = ok[np.unique(row[ok], return_index=True)[1]]
+        out.append((row[first], col[first]))
     return out
 
 
-def _density(rows: DataFrame, radii: list[float], least: list[int], length: str, vec: str, rid: str, part: int) -> tuple[DataFrame, DataFrame, list[float], list[int]]:
-    """Distinct ``points`` (length, v, id, w), the named ones ``(least, level, id, cluster)`` at every setting, and the sorted radii and numbers.
+def _lists(values: pa.Array, size: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), values)
+
 
-    Points lie in :mod:`cells`. A task has the points of a cell and the guests within the largest radius, in leaves with boxes: leaves out of reach aren't compared, those wholly within the
-    smallest radius are only weighed, and cores that are joined already aren't compared again. So the work grows with the points and their near pairs. It returns counts, then spanning links and one core a point.
+def _density(points: DataFrame, radii: list[float], least: list[int], length: str, part: int | None) -> tuple[DataFrame, DataFrame, list[tuple[float, int]]]:
+    """The clusters of distinct ``points`` (length, v, id, w; written) at every setting: ``(length, v, of)``, ``of`` a name a setting or null, ``(s, node, comp)``, the names of setting ``s`` that belong together, and the settings.
+
+    Points lie in :mod:`cells`. A task has the points of a cell and the guests within the largest radius, in leaves with boxes. The first pass counts neighbours and joins the cores of a cell, which are named by their smallest
+    id. The second joins these names across cells, at most a link a name, and finds the nearest core of the other points. So what is joined in rounds, or by a task if it is little, are names and not points.
     """
     radii, least = sorted(set(radii)), sorted(set(least))
-    points = written(rows.groupBy(length, F.col(vec).cast("array<double>").alias("v")).agg(F.min(rid).alias("id"), F.count("*").alias("w")), "grid")
+    settings = [(i, m) for m in least for i in range(len(radii))]
+    level, lows = np.array([i for i, _ in settings]), np.array([m for _, m in settings])
     kind, n = points.schema["id"].dataType.simpleString(), points.schema[length].dataType.simpleString()
-    trees = cells.cuts(points, [length], part)
+    trees = cells.cuts(points, [length], part or max(PART, min(MOST, points.count() // 64)))
+    tasks = max(16, min(4096, 2 * sum(len(t.lo) for t in trees.values())))  # a cell is much work on little data
+
+    def cores(have: np.ndarray) -> np.ndarray:
+        return have.T[level] >= lows[:, None]
 
     def counts(t: pa.Table) -> pa.Table:
-        f, got = _weights(t, radii, least[-1])
+        f = _Field(t, radii)
+        have = np.minimum(_weights(f, least[-1]), least[-1])
+        core, ids = cores(have), f.id[: f.inside]
+        sets = _Sets(core.size)
+        _grow(f, core, level, sets, False)
+        root = sets.root(np.arange(core.size)).reshape(core.shape) - np.arange(len(settings))[:, None] * f.inside
+        names = np.column_stack([_least(ids, r) for r in root])
         own = f.rows.slice(0, f.inside)
-        core = pa.ListArray.from_arrays(pa.array(np.arange(f.inside + 1) * len(radii), pa.int32()), pa.array(got.astype(np.int64).ravel()))
-        return pa.table([own.column(length), own.column("v"), own.column("id"), own.column("w"), core], names=[length, "v", "id", "w", "core"])
+        lists = [_lists(pa.array(have.astype(np.int32).ravel()), len(radii)), _lists(pa.array(names.ravel(), t.schema.field("id").type), len(settings))]
+        return pa.table([*[own.column(c) for c in (length, "v", "id", "w")], *lists], names=[length, "v", "id", "w", "core", "root"])
 
-    around = cells.dealt(points, trees, [length], radii[-1])
-    marked = written(around.groupBy(length, "cell").applyInArrow(counts, f"`{length}` {n}, v array<double>, id {kind}, w long, core array<bigint>"), "grid")
+    around = cells.dealt(points, trees, [length], radii[-1]).repartition(tasks, length, "cell")
+    marked = written(around.groupBy(length, "cell").applyInArrow(counts, f"`{length}` {n}, v array<double>, id {kind}, w long, core array<int>, root array<{kind}>"), "grid")
 
     def spans(t: pa.Table) -> pa.Table:
-        cols = list(zip(*_links(t, radii, least))) or [[]] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), t.schema.field("id").type, t.schema.field("id").type, pa.float64()))], names=["least", "level", "a", "b", "d"])
+        f, id_type = _Field(t, radii), t.schema.field("id").type
+        have = cells.vectors(f.rows.column("core"))
+        core, total = cores(have), len(f.id)
+        names = f.rows.column("root").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(total, -1)
+        sets, firsts = _Sets(core.size), []
+        for s in range(len(settings)):  # cores of one name are one set
+            at = np.flatnonzero(core[s])
+            code = pa.array(names[at, s]).dictionary_encode().indices.to_numpy()
+            first = at[np.unique(code, return_index=True)[1]]
+            sets.top[s * total + at] = s * total + first[code]
+            firsts.append(first)
+        _grow(f, core, level, sets, True)
+        of, noise = names[: f.inside].copy(), ~core[:, : f.inside].T
+        for s, (who, to) in enumerate(_nearest_cores(f, have, core, least, level)):
+            of[who, s], noise[who, s] = names[to, s], False
+        links = []
+        for s, first in enumerate(firsts):
+            to = sets.root(s * total + first) - s * total
+            other = to != first
+            links.append((np.full(int(other.sum()), s), names[first[other], s], names[to[other], s]))
+        at, a, b = (np.concatenate(c) for c in zip(*links))
+        own, k = f.rows.slice(0, f.inside), len(at)
+        full = [*[own.column(c).combine_chunks() for c in (length, "v")], _lists(pa.array(of.ravel(), id_type, mask=noise.ravel()), len(settings))]
+        full = [pa.concat_arrays([c, pa.nulls(k, c.type)]) for c in full]
+        ends = [pa.concat_arrays([pa.nulls(f.inside, kind_), pa.array(c, kind_)]) for c, kind_ in ((at, pa.int32()), (a, id_type), (b, id_type))]
+        return pa.table([*full, *ends], names=[length, "v", "of", "s", "a", "b"])
 
     often = F.get("core", F.lit(len(radii) - 1)) >= least[0]  # a core at some setting; the others are nobody's guests
     met = cells.dealt(marked.where(often), trees, [length], radii[-1]).unionByName(cells.dealt(marked.where(~often), trees, [length]))
-    found = written(met.groupBy(length, "cell").applyInArrow(spans, f"least int, level int, a {kind}, b {kind}, d double"), "grid")
-    link = found.where("d is null and a <> b").withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(len(radii) - 1))))
-    node = lambda c: F.struct("least", "level", F.col(c).alias("id")).alias(c)
-    comp = written(components(link.select(node("a"), node("b"))), "grid")
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("least"), F.lit(i).alias("level")) for m in least for i in range(len(radii))])).alias("s")
-    cores = marked.select("id", "core", each).where(F.get("core", F.col("s.level")) >= F.col("s.least")).select(F.struct("s.least", "s.level", "id").alias("node"))
-    cores = cores.join(comp.hint("merge"), "node", "left").select("node.*", F.coalesce("comp.id", "node.id").alias("cluster"))
-    near = found.where("d is not null").select("least", "level", F.col("a").alias("id"), F.col("b").alias("core_id"))
-    edge = near.join(cores.withColumnRenamed("id", "core_id").hint("merge"), ["least", "level", "core_id"]).select("least", "level", "id", "cluster")
-    return points, written(cores.unionByName(edge), "grid"), radii, least
-
-
-def density_grid(rows: DataFrame, eps: list[float], min_points: list[int], length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", part: int = PART) -> DataFrame:
+    met = met.repartition(tasks, length, "cell")
+    found = written(met.groupBy(length, "cell").applyInArrow(spans, f"`{length}` {n}, v array<double>, of array<{kind}>, s int, a {kind}, b {kind}"), "grid")
+    discard(marked)
+    comp = small(components_by(found.where("s is not null").select("s", "a", "b"), ["s"]), "merge")
+    return found.where("s is null").select(length, "v", "of"), comp, [(radii[i], m) for i, m in settings]
+
+
+def _points(rows: DataFrame, length: str, vec: str, rid: str, tag: str | None = None) -> DataFrame:
+    """Distinct ``(length, v, tag, id, w)``: the smallest id and the number of rows."""
+    more = [] if tag is None else [F.col(tag).alias("tag")]
+    return written(rows.groupBy(length, F.col(vec).cast("array<double>").alias("v"), *more).agg(F.min(rid).alias("id"), F.count("*").alias("w")), "grid")
+
+
+def _clustered(rows: DataFrame, of: DataFrame, length: str, vec: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the names ``of`` their vectors; sorted by a hash, as comparing arrays takes most of a sort."""
+    left = rows.withColumn("__h", F.xxhash64(length, F.col(vec).cast("array<double>")))
+    right = of.select(F.xxhash64(length, "v").alias("__h"), F.col(length), F.col("v").alias(vec), "of")
+    return left.join(right.hint("merge"), ["__h", length, vec], how).drop("__h")
+
+
+def _whole(named: DataFrame, comp: DataFrame) -> DataFrame:
+    """``named`` (.., s, name) with ``cluster``: the smallest of the names that belong together."""
+    x = named.join(comp.select(F.col("s").alias("__s"), "node", "comp"), (F.col("s") == F.col("__s")) & (F.col("name") == F.col("node")), "left")
+    return x.withColumn("cluster", F.coalesce("comp", "name")).drop("__s", "node", "comp", "name")
+
+
+def density_clusters(rows: DataFrame, length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", eps: float = 0.10, min_points: int = 10, part: int | None = None) -> DataFrame:
+    """``(rid, length, cluster)``: density clusters of equal-length patterns; null is noise. ``cluster`` is the smallest core id.
+
+    Equal patterns are one weighted point. A point with ``min_points`` or more rows within ``eps`` (itself included) is a core; cores within ``eps``
+    are one cluster; another point joins that of its nearest core within ``eps``. Lengths with fewer than ``min_points`` rows are noise.
+    """
+    enough = rows.groupBy(length).count().where(F.col("count") >= min_points).select(length)
+    of, comp, _ = _density(_points(rows.join(enough.hint("shuffle_hash"), length, "left_semi"), length, vec, rid), [eps], [min_points], length, part)
+    named = _clustered(rows.select(rid, length, vec), of, length, vec, "left").select(rid, length, F.lit(0).alias("s"), F.get("of", F.lit(0)).alias("name"))
+    return _whole(named, comp).select(rid, length, "cluster")
+
+
+def density_grid(rows: DataFrame, eps: list[float], min_points: list[int], length: str = "n_clicks", vec: str = "ici", rid: str = "row_id", part: int | None = None, tag: str | None = None) -> DataFrame:
     """``(rid, length, eps, min_points, cluster)``: :func:`density_clusters` for every pair of a radius and a least number of points, as one search.
 
-    One pass over the cells counts the neighbours at all radii, a second returns for each least number the links in which clusters grow from the smallest radius up, each with the
-    radius from which it holds, and each other point's nearest core at every setting. One loop of component rounds serves all settings. So a grid costs little more than one setting.
+    With ``tag``, a column, ``(length, tag, eps, min_points, cluster, n)`` instead: the rows counted, before a row a setting is made of each. One pass over the cells counts the neighbours at all radii and
+    joins the cores of each cell at every setting, a second joins them across cells. So a grid costs little more than one setting.
     """
-    points, named, radii, least = _density(rows, eps, min_points, length, vec, rid, part)
-    every = named.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("least", "level"), "cluster"))).alias("of"))  # a setting each
-    of = points.select("id", length, F.col("v").alias(vec)).join(every.hint("merge"), "id", "left").select(length, vec, "of")
-    setting = F.explode(F.array(*[F.struct(F.lit(radii[i]).alias("eps"), F.lit(m).alias("min_points"), F.element_at("of", F.struct(F.lit(m).alias("least"), F.lit(i).alias("level"))).alias("cluster")) for m in least for i in range(len(radii))])).alias("s")
-    return rows.select(rid, length, vec).join(of.hint("merge"), [length, vec]).select(rid, length, setting).select(rid, length, "s.*")
+    kinds = _points(rows, length, vec, rid, tag)
+    points = kinds if tag is None else written(kinds.groupBy(length, "v").agg(F.min("id").alias("id"), F.sum("w").alias("w")), "grid")
+    of, comp, settings = _density(points, eps, min_points, length, part)
+    if tag is None:
+        named = _clustered(rows.select(rid, length, vec), of, length, vec).select(rid, length, F.posexplode("of").alias("s", "name"))
+    else:
+        named = _clustered(kinds.select(length, "v", "tag", "w"), of, length, "v").select(length, "tag", "w", F.posexplode("of").alias("s", "name"))
+        named = named.groupBy(length, "tag", "s", "name").agg(F.sum("w").alias("w"))
+    of_setting = lambda i, name: F.get(F.array(*[F.lit(x[i]) for x in settings]), F.col("s")).alias(name)
+    x = _whole(named, comp)
+    if tag is None:
+        return x.select(rid, length, of_setting(0, "eps"), of_setting(1, "min_points"), "cluster")
+    return x.groupBy(length, "tag", "s", "cluster").agg(F.sum("w").alias("n")).select(length, F.col("tag").alias(tag), of_setting(0, "eps"), of_setting(1, "min_points"), "cluster", "n")
 
 
 def keep_large(clusters: DataFrame, least: int = 10, cluster: str = "cluster", length: str = "n_clicks") -> DataFrame:

@@ -72,9 +72,9 @@ def majority_labels(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return g.withColumn("purity", F.col("support") / F.col("total"))
 
 
-def vote_accuracy(df: DataFrame, by: list[str], cluster: str, label: str) -> DataFrame:
-    """``(by.., n, correct, accuracy)`` of each cluster's dominant label."""
-    c = df.where(F.col(label).isNotNull()).groupBy(*by, cluster, label).agg(F.count("*").alias("c"))
+def vote_accuracy(df: DataFrame, by: list[str], cluster: str, label: str, weight: str | None = None) -> DataFrame:
+    """``(by.., n, correct, accuracy)`` of each cluster's dominant label; with ``weight``, a row stands for that many."""
+    c = df.where(F.col(label).isNotNull()).groupBy(*by, cluster, label).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     g = c.groupBy(*by, cluster).agg(F.max("c").alias("correct"), F.sum("c").alias("n"))
     return g.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("correct").alias("correct")).withColumn("accuracy", F.col("correct") / F.col("n"))
 

@@ -125,9 +125,9 @@ def c09b(spark, d):
 def c10(spark, d):
     """Accuracy of majority labels for every radius and least number of points, by setting and by length."""
     x = labelled(spark, d).where("n_clicks between 3 and 10")
-    c = K.density_grid(x, [0.04, 0.06, 0.08], [5, 10, 20]).join(x.select("row_id", "label").hint("merge"), "row_id")
+    c = K.density_grid(x, [0.04, 0.06, 0.08], [5, 10, 20], tag="label")
     c = c.withColumns({"setting": F.format_string("%.2f/%d", "eps", "min_points"), "cluster": F.coalesce("cluster", F.lit(-1))})
-    return Q.sweep_summary(Q.vote_accuracy(c, ["setting", "n_clicks"], "cluster", "label"), "setting", "n_clicks")
+    return Q.sweep_summary(Q.vote_accuracy(c, ["setting", "n_clicks"], "cluster", "label", "n"), "setting", "n_clicks")
 
 
 @query("c11_global_cluster_ids", f"WITH {LAB} SELECT n_clicks, cluster, CAST(row_number() OVER (ORDER BY n_clicks, cluster) - 1 AS INTEGER) AS gid FROM (SELECT DISTINCT n_clicks, actor % 6 AS cluster FROM lab WHERE actor % 7 <> 0)")

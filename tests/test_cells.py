@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqspark.operators import cells
@@ -121,3 +122,75 @@ def test_others_are_measured_once_a_vector(spark, monkeypatch):
     assert asked == [len(alone)] * 2 and len(alone) < 500
     voted = M.loo_match(df, ["n_clicks"], also=["label"])
     assert {r.qid: r.label for r in voted.collect()} == {i: c for i, n, c, _ in rows if n == 3}
+
+
+@pytest.mark.parametrize("part", [400, None])
+def test_clusters_over_many_leaves_link_names(spark, monkeypatch, part):
+    """Cells of several leaves against plain numpy, dense and sparse regions, repeated vectors; what is joined across cells are names of a cell's clusters and not its points."""
+    rng = np.random.default_rng(11)
+    x = np.round(np.concatenate([rng.normal(c, 0.05, (700, 2)) for c in (0.2, 0.6)] + [rng.uniform(0, 3, (900, 2))]), 2)
+    rows = [(i, 3, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "row_id long, n_clicks int, ici array<double>")
+    links = []
+    join = K.components_by
+    monkeypatch.setattr(K, "components_by", lambda edges, by: links.append(edges.count()) or join(edges, by))
+    got = {(r.eps, r.min_points, r.row_id): r.cluster for r in K.density_grid(df, [0.02, 0.05, 0.08], [4, 12], part=part).collect()}
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    first = np.array([min(np.flatnonzero(d[i] == 0)) for i in range(len(x))])
+    cores = 0
+    for e in (0.02, 0.05, 0.08):
+        for m in (4, 12):
+            near = d <= e
+            core = near.sum(axis=1) >= m
+            cores += len(set(first[core]))
+            low = np.arange(len(x))
+            while True:
+                now = np.where(core, np.where(near & core[None, :], low[None, :], len(x)).min(axis=1), low)
+                if (now == low).all():
+                    break
+                low = now
+            want = {}
+            for i in range(len(x)):
+                to = np.flatnonzero(near[i] & core)
+                want[i] = int(low[i]) if core[i] else int(low[min(zip(d[i, to], first[to]))[1]]) if len(to) else None
+            assert {i: got[e, m, i] for i in range(len(x))} == want
+    assert cores > 3500 and links[0] < cores / 10 and (part or links == [0]), (cores, links)
+
+
+def test_weights_stop_at_enough():
+    """A point is compared until it has enough neighbours; below that its weights are exact."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate((rng.normal(0.5, 0.02, (3000, 3)), rng.uniform(0, 1, (100, 3)))).round(3)
+    n = len(x)
+    t = pa.table([pa.array(x.tolist()), pa.array(range(n)), pa.array([1] * n), pa.array([False] * n)], names=["v", "id", "w", "guest"])
+    f = K._Field(t, [0.03, 0.06])
+    compared, squares = [0], f.squares
+    f.squares = lambda who, at: compared.append(len(who) * len(at)) or squares(who, at)
+    got = K._weights(f, 20)
+    y = f.leaves.x
+    d = np.round(np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2)), 9)
+    want = np.column_stack([(d <= e).sum(axis=1) for e in (0.03, 0.06)])
+    assert (np.minimum(got, 20) == np.minimum(want, 20)).all() and (want >= 20).any() and (want < 20).any()
+    assert sum(compared) < n * n / 3, sum(compared)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_components_by_group(spark, few):
+    """By rounds, by a task or some groups by each; groups are graphs of their own."""
+    edges = [(g, i, i + 1) for g in (1, 2) for i in range(0, 20 * g, g)] + [(3, 5, 9), (3, 9, 5), (3, 7, 7)]
+    got = {(r.g, r.node): r.comp for r in K.components_by(spark.createDataFrame(edges, "g int, a long, b long"), ["g"], few=few).collect()}
+    want = {(1, i): 0 for i in range(21)} | {(2, i): i // 2 * 2 for i in range(40)} | {(3, 5): 5, (3, 9): 5}
+    assert got == want
+
+
+def test_grid_counted_by_tag(spark):
+    """Rows counted by a tag equal the rows of the grid, null tags too."""
+    rng = random.Random(13)
+    rows = [(i, 3, [round(rng.choice([0.2, 0.6]) + rng.gauss(0, 0.03), 2) for _ in range(2)], rng.choice(["a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, n_clicks int, ici array<double>, label string")
+    want: dict = {}
+    for r in K.density_grid(df, [0.02, 0.04], [3, 9], part=50).collect():
+        key = (rows[r.row_id][3], r.eps, r.min_points, r.cluster)
+        want[key] = want.get(key, 0) + 1
+    got = K.density_grid(df, [0.02, 0.04], [3, 9], part=50, tag="label").collect()
+    assert {(r.label, r.eps, r.min_points, r.cluster): r.n for r in got} == want and len(got) == len(want)
